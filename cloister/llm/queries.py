@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, urls
+from . import chat, decontaminate, neardup, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_near_duplicates": neardup.op3_near_duplicates,
         "op7_url_filter": urls.op7_url_filter,
     }
 
@@ -21,5 +23,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.OP1_SQL,
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_near_duplicates": neardup.OP3_SQL,
         "op7_url_filter": urls.OP7_SQL,
     }
