@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, neardup, urls
+from . import chat, decontaminate, neardup, packing, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op7_url_filter": urls.op7_url_filter,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_token_output": tokens.op10_token_output,
     }
 
 
