@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, neardup, packing, tokens, urls
+from . import ann, chat, decontaminate, langid, neardup, packing, quality, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,10 @@ def queries() -> dict[str, Query]:
         "op1_chat_format": chat.op1_chat_format,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_near_duplicates": neardup.op3_near_duplicates,
+        "op4_quality": quality.op4_quality,
+        "op6_language_id": langid.op6_language_id,
         "op7_url_filter": urls.op7_url_filter,
+        "op8_nearest": ann.op8_nearest,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_token_output": tokens.op10_token_output,
     }
