@@ -6,9 +6,10 @@ kept, so 64 hash evaluations give 128 signature values with less variance than 1
 bands with probability (1 - 0.8^4)^32, about 5e-8.  Every candidate is confirmed on the full sets.
 
 Texts with equal word sequences are one node (its smallest doc_id).  In each band bucket all members
-are compared with one hub; after components are formed, only members of still different
-components of a bucket are compared with each other.  So a group of n near copies costs about n
-comparisons, not n squared, and no member, bucket or partner is capped.
+are compared with one hub, which settles most groups with as many comparisons as members.  The members of a
+hub's buckets that are then still in different components are compared exactly with each
+other, by blocks of a 0/1 matrix product that return a spanning forest.  No member, bucket or
+partner is capped, and pairs within a group are not written out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PERMUTATIONS = 64
 BANDS = 32
 #: Pairs whose share of equal signature bytes is lower than similarity minus this are not looked at further (5.7 sigma).
 ESTIMATE_SLACK = 0.2
+#: A task compares the members of two blocks of about so many members and shingles, so many shared shingles at a time.
+BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 4096
 
 _FACTORS = np.random.default_rng(7).integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -145,6 +148,73 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, pe
     return materialise(full.mapInArrow(_confirm(words, percent), "a long, b long"), "linked")
 
 
+def _group_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each hub's members: all their pairs are compared exactly, in blocks.
+
+    Buckets of one hub overlap, so their members are taken together, each once.  A group beyond the block
+    size is cut into blocks by a hash, and each pair of blocks is a task's work; a task returns a
+    spanning forest of the links it finds, not the pairs.
+    """
+    several = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+    rows = members.join(several, "hub", "left_semi").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    rows = materialise(rows, "group-members")
+    blocks = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "hub").withColumn("_own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("hub", "node", "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    used = rows.select(F.col("node").alias("doc_id")).distinct()
+    found = materialise(texts.join(used, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "group-texts")
+    return materialise(rows.join(found, "node").groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
+
+
+def _forest(words: int, percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        component, nodes = table["component"].to_numpy(), table["node"].to_numpy()
+        if len(np.unique(component)) < 2:
+            return schema.empty_table()
+        sets = []
+        for text in table["text"]:
+            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            sets.append(np.unique(_sets(data, np.array([0, len(data)]), words)[1]))
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[column] > 1  # others are in no intersection
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        width = int(column.max(initial=-1)) + 1
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        label, most = np.unique(component, return_counts=True)
+        rest = np.flatnonzero(component != label[most.argmax()])  # at least one end of each pair that matters
+        common = np.zeros((len(rest), len(sets)), np.float32)
+        for start in range(0, width, COLUMNS):
+            lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+            part = np.zeros((len(sets), min(COLUMNS, width - start)), np.float32)
+            part[owner[lo:hi], column[lo:hi] - start] = 1
+            common += part[rest] @ part.T
+        parent = {c: c for c in label.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        pairs = []
+        for i, row in zip(rest.tolist(), common.astype(np.int64), strict=True):
+            linked = np.flatnonzero(100 * row >= percent * (sizes[i] + sizes - row))
+            for j in linked[component[linked] != component[i]].tolist():
+                one, two = root(int(component[i])), root(int(component[j]))
+                if one != two:
+                    parent[one] = two
+                    pairs.append((nodes[i], nodes[j]))
+        return pa.table([pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], schema=schema)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
 
@@ -169,18 +239,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     links = _linked(pairs, nodes, texts, words, percent)
     roots = connected_components(links)
 
-    # Exact rest: members of one bucket that are in different components and not compared yet.
+    # Exact rest: members of one bucket that are still in different components and not compared yet.
     placed = members.join(roots, "node", "left").select("band", "node", "hub", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialise(placed.where("node <> hub").join(mixed, "band", "left_semi"), "open-members")
-    one = open_.select("band", F.col("node").alias("a"), F.col("component").alias("c_a"))
-    two = open_.select("band", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    rest = one.join(two, "band").where("a > b and c_a <> c_b").select("a", "b").distinct()
-    more = _linked(rest, nodes, texts, words, percent)
-    if more.isEmpty():
-        found = roots
-    else:
-        found = connected_components(links.union(more))
+    open_ = placed.where("node <> hub").join(mixed, "band", "left_semi").select("hub", "node", "component").distinct()
+    more = _group_links(materialise(open_, "open-members"), nodes, texts, words, percent)
+    found = roots if more.isEmpty() else connected_components(links.union(more))
 
     whole = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return (
