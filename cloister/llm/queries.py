@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, langid, neardup, packing, quality, tokens, urls
+from . import ann, chat, decontaminate, langid, neardup, packing, quality, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_quality": quality.op4_quality,
+        "op5_sharding": shards.op5_sharding,
         "op6_language_id": langid.op6_language_id,
         "op7_url_filter": urls.op7_url_filter,
         "op8_nearest": ann.op8_nearest,
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": chat.OP1_SQL,
         "op2_decontaminate": decontaminate.OP2_SQL,
         "op3_near_duplicates": neardup.OP3_SQL,
+        "op5_sharding": shards.OP5_SQL,
         "op7_url_filter": urls.OP7_SQL,
     }
