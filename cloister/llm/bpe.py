@@ -15,13 +15,15 @@ from tokenizers import Tokenizer
 #: The characters with the property White_Space, which the tokenizers' patterns call ``\s`` (fixed value).
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
-#: Byte-level files keep white space: a space goes with the word after it, other runs stand alone.
-_KEEPING = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
-#: Files with word ends drop white space.
-_DROPPING = re.compile(f"[^{WHITE_SPACE}]+")
+#: Letters, and ASCII signs but the apostrophe, between which both patterns always cut.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@[-`{-~"
+_CUTS = f"[{_LETTERS}]+(?=[{_SIGNS}'{WHITE_SPACE}]|$)|[{_SIGNS}]+(?=[{_LETTERS}{WHITE_SPACE}]|$)|[^{WHITE_SPACE}]+"
+#: Files with word ends drop white space; byte-level files keep it: a space goes with what follows, other runs stand alone.
+_DROPPING = re.compile(_CUTS)
+_KEEPING = re.compile(f" ?(?:{_CUTS})|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
-#: Chunks in a worker's cache, and the longest chunk that is kept there.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 40
+#: Chunks in a worker's cache, the longest chunk that is kept there, and characters that are encoded together.
+CACHE_CHUNKS, CACHE_CHARS, BATCH_CHARS = 500_000, 40, 400_000
 
 
 class ChunkEncoder:
@@ -32,45 +34,59 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pattern = _DROPPING if self.tokenizer.normalizer is not None else _KEEPING
         self.cache: dict[str, bytes] = {}
-        self.mark = "\n" if self.pattern is _KEEPING else "\n\x01\n"  # one id that stands between chunks
-        self.mark_ids = self._ids(self.mark)
+        self.fold = self.tokenizer.normalizer is not None
+        self.one_word = re.compile(f" ?[{_LETTERS}]+").fullmatch if self.tokenizer.get_vocab_size() <= len(_ID) else lambda chunk: None
 
     @property
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def encode(self, text: str | None) -> bytes:
-        chunks = self.pattern.findall(text or "")
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        start = held = 0
+        for end, text in enumerate(texts, 1):
+            held += len(text or "")
+            if held >= BATCH_CHARS or end == len(texts):
+                out += self._encode_some(texts[start:end])
+                start, held = end, 0
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.pattern.findall(text or "") for text in texts]
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = self._encode_chunks(list({c for c in chunks if c not in cache}))
-        ids = [new[c] if c in new else cache[c] for c in chunks]
-        if len(cache) < CACHE_CHUNKS:  # frequent chunks come early
-            cache.update((c, v) for c, v in new.items() if len(c) <= CACHE_CHARS)
-        return b"".join(ids)
+        new = set().union(*cut).difference(cache)
+        room = CACHE_CHUNKS - len(cache)
+        cache.update(self._encode_chunks(list(new)))
+        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
+        for chunk in new if room < len(new) else [c for c in new if len(c) > CACHE_CHARS]:
+            del cache[chunk]  # frequent chunks come early and stay
+        return out
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk; ordinary chunks are encoded as one text with marks between them."""
-        plain = [c for c in chunks if "\x01" not in c and not c.isspace()]
-        odd = [c for c in chunks if "\x01" in c or c.isspace()]
-        found = {c: self._ids(c).tobytes() for c in odd}
-        if plain:
-            ids = self._ids(self.mark.join(plain))
-            cuts = np.flatnonzero(ids[: len(ids) - len(self.mark_ids) + 1] == self.mark_ids[0]) if len(plain) > 1 else []
-            if len(cuts) != len(plain) - 1:
-                return found | {c: self._ids(c).tobytes() for c in plain}
-            data, step = ids.tobytes(), 4 * len(self.mark_ids)
-            start = 0
-            for chunk, cut in zip(plain, [*(4 * np.asarray(cuts)).tolist(), len(data)], strict=True):
-                found[chunk] = data[start:cut]
-                start = cut + step
+        """Ids of each chunk.  One of letters only (and a space before them) is a single word for the model, so it skips
+        the tokenizer's normaliser and pre-tokenizer, which leave such a word as it is but for its case."""
+        model, one_word, fold, found = self.tokenizer.model.tokenize, self.one_word, self.fold, {}
+        for chunk in chunks:
+            if one_word(chunk):
+                word = (chunk.lower() if fold else chunk).encode().decode("latin-1").translate(_BYTE_LEVEL)
+                found[chunk] = b"".join([_ID[t.id] for t in model(word)])
+            else:
+                found[chunk] = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
         return found
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+def byte_level() -> dict[int, str]:
+    """Byte -> character of byte-level BPE: printable bytes stand for themselves, the others, in order, for 256 and on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_BYTE_LEVEL = byte_level()
+_ID = [np.uint32(i).astype("<u4").tobytes() for i in range(1 << 16)]
 
 
 _encoders: dict[str, ChunkEncoder] = {}

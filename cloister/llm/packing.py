@@ -78,12 +78,12 @@ def plan_bins(counts: np.ndarray, capacity: int) -> pd.DataFrame:
 
 def _tokenised(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.uint32(end_id).astype("<u4").tobytes()
+        encode, end = encoder(path).encode_batch, np.uint32(end_id).astype("<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for k in range(len(cuts) - 1):

@@ -79,8 +79,8 @@ def _tokenised(path: str, end_id: int):
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             sizes, packed = [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(own.encode(text.as_py()) + end, "<u4")
+            for ids in own.encode_batch(batch.column(1).to_pylist()):
+                ids = np.frombuffer(ids + end, "<u4")
                 sizes.append(len(ids))
                 packed.append(pack(ids.astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
