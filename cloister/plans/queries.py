@@ -695,6 +695,115 @@ def guard_fetch_safe(t):
     return f.collect().fetch()
 
 
+# SQL.
+
+
+@query("SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal BETWEEN 0 AND 5000 GROUP BY o_orderpriority")
+def sql_placeholders(t):
+    from cloister.plans.sql import sql
+
+    return sql('SELECT "o_orderpriority", count(*) AS n, Max(o_totalprice) AS top FROM {} INNER JOIN {} ON o_custkey = c_custkey WHERE c_acctbal BETWEEN 0 AND 5000 GROUP BY o_orderpriority', t("orders"), t("customer"))
+
+
+@query("SELECT a.n_name, count(*) AS others FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY a.n_name")
+def sql_self_join(t):
+    from cloister.plans.sql import sql
+
+    n = t("nation")
+    return sql("SELECT a.n_name, count(*) AS others FROM {} a JOIN {} b ON a.n_regionkey = b.n_regionkey GROUP BY a.n_name", n, n)
+
+
+@query("SELECT 'nation' AS source, (SELECT min(n) FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey)) AS agg_size")
+def sql_guard(t):
+    from cloister.plans.sql import sql
+
+    (stats,) = sql("SELECT n_regionkey, count(*) AS n FROM {} GROUP BY n_regionkey", t("nation")).provenance().values()
+    return t.session.spark.createDataFrame([("nation", int(stats.agg_size))], "source string, agg_size long")
+
+
+# Arrays, tokens, learning, streams.
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, [p_retailprice, p_size::DOUBLE] AS value FROM part")
+def arrays_flat(t):
+    from cloister.operators.arrays import to_array
+
+    df = t("part").df.select(F.col("p_retailprice"), F.col("p_size").cast("double"), F.col("p_partkey").cast("double"))
+    indexed = to_array(df, [F.col("p_partkey")])
+    return indexed.df.select("row", F.slice("value", 1, 2).alias("value"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, [embedding, [vec_id::FLOAT]] AS value FROM (SELECT vec_id, embedding[1:1] AS embedding FROM embeddings)")
+def arrays_stack(t):
+    from cloister.operators.arrays import to_array
+
+    df = t("embeddings").df.select(F.slice("embedding", 1, 1).alias("embedding"), F.array(F.col("vec_id").cast("float")).alias("id"))
+    return to_array(df, [F.col("id")[0]]).df
+
+
+@query("SELECT CASE WHEN i < 1600 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(p_partkey) AS keys FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) GROUP BY 1")
+def split_fixed(t):
+    from cloister.operators.arrays import to_array, train_test_split
+
+    a = to_array(t("part").df.select("p_partkey"), [F.col("p_partkey")])
+    train, test = train_test_split(a, test_size=0.2)
+    both = train.df.withColumn("part", F.lit("train")).union(test.df.withColumn("part", F.lit("test")))
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value")[0]).alias("keys"))
+
+
+@query()
+def tokenise(t):
+    import public_tokenizers
+
+    from cloister.operators.arrays import TokenizerConfig, encode
+
+    config = TokenizerConfig(public_tokenizers.path("byte_bpe_50k.json")).enable_padding(16)
+    return encode(t("benchmark").df.select("text"), config)
+
+
+@query()
+def dp_release(t):
+    """The number of orders of each priority with Gaussian noise, half of a budget of 1 spent on it."""
+    import numpy as np
+
+    from cloister.operators.privacy import Guarded, PrivacyContext
+
+    rows = t("orders").groupby("o_orderpriority").count().sort("o_orderpriority").df.collect()
+    context = PrivacyContext(1.0, sum(x["count"] for x in rows))
+    noisy = Guarded(np.array([float(x["count"]) for x in rows]), context, 1.0, None, np.random.default_rng(1)).release(0.5)
+    return t.session.spark.createDataFrame([(x["o_orderpriority"], float(v)) for x, v in zip(rows, noisy, strict=True)], "priority string, noisy double")
+
+
+@query()
+def dp_sgd(t):
+    """Private linear regression of a part's scaled price on its scaled size."""
+    from cloister.operators.learning import SGD, Dataset, Learner, Model
+
+    p = t("part").minmax_scale(["p_retailprice", "p_size", "p_partkey"]).df
+    data = Dataset.build(p, ["p_size", "p_partkey"], "p_retailprice", 100.0, F.xxhash64("p_partkey"))
+    learner = Learner(Model.zeros(2), data, SGD(0.2, 0.9), max_batch_size=500)
+    learner.fit(nb_epochs=3, eps=5.0)
+    loss, spread = learner.test(data, "l2", 0.5)
+    w = learner.model.weights[0]
+    return t.session.spark.createDataFrame([(float(w[0]), float(w[1]), float(w[2]), loss, spread, data.context.spent)], "w0 double, w1 double, bias double, loss double, spread double, spent double")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS ts, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_tumble(t):
+    """Closed windows of a stream of files, emitted once the watermark has passed them."""
+    from cloister.sources.scratch import scratch_path
+    from cloister.streaming.windows import drain, read_files, windowed
+
+    spark = t.session.spark
+    source = scratch_path(spark, "stream-in")
+    events = spark.read.parquet(f"{t.sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    events.write.parquet(source)
+    stream = read_files(spark, source, events.schema)
+    out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+    drain(windowed(stream, "ts", "1d", count().alias("n"), r(col("value").sum(), 2).alias("total"), by=("event_type",)), out, state)
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register a guarded table, aggregate it, let its policy judge the result, and fetch that."""
     return QUERIES["guard_fetch_safe"](spark, sf_dir)
