@@ -32,6 +32,8 @@ BANDS = 32
 ESTIMATE_SLACK = 0.2
 #: A task compares the members of two blocks of about so many members and shingles, so many shared shingles at a time.
 BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 4096
+#: At most so many ids are broadcast.
+BROADCAST_IDS = 1_000_000
 
 _FACTORS = np.random.default_rng(7).integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -135,6 +137,12 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents that share a bucket with another: few ids go to the texts, many (counted) are joined by a shuffle."""
+    ids = materialise(ids, "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links; every filter before the last is exact or errs towards keeping."""
     side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -142,8 +150,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, pe
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
     near = materialise(near.mapInArrow(_likely(percent), "a long, b long"), "pairs")
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}"))
-    used = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = materialise(texts.join(used, "doc_id", "left_semi"), "pair-texts")
     full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
     return materialise(full.mapInArrow(_confirm(words, percent), "a long, b long"), "linked")
 
@@ -162,9 +168,7 @@ def _group_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, words:
     rows = rows.join(blocks, "hub").withColumn("_own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("hub", "node", "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    used = rows.select(F.col("node").alias("doc_id")).distinct()
-    found = materialise(texts.join(used, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "group-texts")
-    return materialise(rows.join(found, "node").groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
+    return materialise(rows.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
 
 
 def _forest(words: int, percent: int):
@@ -235,6 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     members = nodes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
     members = materialise(members.join(hubs, "band"), "members")  # of buckets with several members
+    texts = materialise(_texts_of(texts, members.select(F.col("node").alias("doc_id")).distinct()), "texts")
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = _linked(pairs, nodes, texts, words, percent)
     roots = connected_components(links)
