@@ -80,10 +80,15 @@ def to_array(df: DataFrame, order: Sequence) -> ArrayFrame:
     raise TypeError(f"columns of type {kind.simpleString()} make no array")
 
 
-def train_test_split(*arrays: ArrayFrame, train_size: float | None = None, test_size: float = 0.25, shuffle: bool = False, random_state: int = 0) -> list[ArrayFrame]:
-    """[train, test] of each array, cut at floor(rows * train_size) of one order that all arrays share."""
-    if (train_size is not None and train_size < 0) or test_size < 0:
+def train_test_split(*arrays: ArrayFrame, train_size: float | None = None, test_size: float | None = None, shuffle: bool = False, random_state: int = 0) -> list[ArrayFrame]:
+    """[train, test] of each array, cut at floor(rows * train_size) of one order that all arrays share.
+
+    A size that is not given is the rest; with neither, a quarter is for the test.
+    """
+    if (train_size or 0) < 0 or (test_size or 0) < 0:
         raise ValueError("sizes must not be negative")
+    if test_size is None:
+        test_size = 0.25 if train_size is None else 1 - train_size
     train_size = 1 - test_size if train_size is None else train_size
     heights = [a.height for a in arrays]
     if len(set(heights)) > 1:

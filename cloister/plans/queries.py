@@ -385,12 +385,12 @@ def describe(t):
 
 @query(
     """SELECT l_returnflag, round(kurtosis_pop(l_quantity), 4) AS kurt,
-    round((avg(l_quantity ** 3) - 3 * avg(l_quantity) * avg(l_quantity ** 2) + 2 * avg(l_quantity) ** 3) / stddev_pop(l_quantity) ** 3, 4) AS skew,
+    round((avg(l_quantity ** 3) - 3 * avg(l_quantity) * avg(l_quantity ** 2) + 2 * avg(l_quantity) ** 3) / stddev_pop(l_quantity) ** 3, 4) + 0.0 AS skew,
     round(sum(l_quantity * l_discount), 2) AS dotted FROM lineitem GROUP BY l_returnflag"""
 )
 def skew_kurt_dot(t):
     q = col("l_quantity")
-    return t("lineitem").groupby("l_returnflag").agg(r(q.kurtosis()).alias("kurt"), r(q.skew()).alias("skew"), r(q.dot(col("l_discount")), 2).alias("dotted"))
+    return t("lineitem").groupby("l_returnflag").agg(r(q.kurtosis()).alias("kurt"), (r(q.skew()) + 0.0).alias("skew"), r(q.dot(col("l_discount")), 2).alias("dotted"))
 
 
 @query("SELECT n_regionkey, product(1.0 + n_nationkey) AS prod FROM nation GROUP BY n_regionkey")
@@ -741,7 +741,7 @@ def arrays_stack(t):
     return to_array(df, [F.col("id")[0]]).df
 
 
-@query("SELECT CASE WHEN i < 1600 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(p_partkey) AS keys FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) GROUP BY 1")
+@query("SELECT CASE WHEN i < floor((SELECT count(*) FROM part) * 0.8 + 1e-9) THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(p_partkey) AS keys FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) GROUP BY 1")
 def split_fixed(t):
     from cloister.operators.arrays import to_array, train_test_split
 
