@@ -26,6 +26,8 @@ from .common import read_table, scratch_path
 TARGET_BYTES = 256 << 20
 #: Shards of a tier that are merged at once, at least; also the factor between tiers.
 FAN_IN = 4
+#: Merges in one job, and so in one commit: a plan of bounded size, and little to repeat after a conflict.
+MERGES_PER_JOB = 200
 
 
 @dataclass(frozen=True)
@@ -141,11 +143,11 @@ class ShardStore:
                 continue  # new shards depend on nothing that the other writer did
 
     def compact(self) -> int:
-        """Merge tiers until none has enough shards; each round is one job for each width of rows and one commit."""
+        """Merge tiers until none has enough shards; each round is one job and one commit."""
         while True:
             base = self.version()
             live = self.shards(base)
-            groups = plan_merges(live, self.target, self.fan_in)
+            groups = plan_merges(live, self.target, self.fan_in)[:MERGES_PER_JOB]
             if not groups:
                 return base
             merged = self._merge(groups)

@@ -225,7 +225,8 @@ def read_token_index(manifest: DataFrame, folder: str) -> DataFrame:
     store, root = file_system(folder)
     with store.open_input_stream(f"{root}/ranks.u32", compression=None) as src:
         id_of = np.frombuffer(src.read(), "<u4")
-    files = manifest.select("file", "start").repartition("file")
+    files = manifest.select("file", "start")
+    files = files.repartition(max(1, min(files.count(), 10_000)))  # files are read side by side
     return files.mapInPandas(_read(folder, id_of), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
