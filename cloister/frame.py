@@ -233,6 +233,14 @@ class GuardedFrame:
 
     distinct = unique
 
+    def sample(self, fraction: float, seed: int = 0) -> GuardedFrame:
+        """About this share of the rows, chosen by a hash of their values and the seed: the same on any cluster."""
+        pick = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in self.df.columns]), F.lit(1_000_000_007)) < fraction * 1_000_000_007
+        return self._with(self.df.where(pick), f"sample({fraction})")
+
+    def shuffle(self, seed: int = 0) -> GuardedFrame:
+        return self._with(self.df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in self.df.columns])), "shuffle()", order=())
+
     # Cleaning and reshaping.
 
     def fill_null(self, value) -> GuardedFrame:
@@ -532,7 +540,7 @@ class GuardedGroup:
         frame = self.frame
         exprs = frame._exprs(values)
         context = Compile("agg", frame._order_keys())
-        columns = [e.build(context) if e.aggregated else F.collect_list(e.build(context)) for e in exprs]
+        columns = [e.build(context) if e.aggregated or e.listed else F.collect_list(e.build(context)) for e in exprs]
         df = frame.df.groupBy(*self._key_columns()).agg(*[c.alias(e.name) for c, e in zip(columns, exprs, strict=True)])
         provenance = frame.provenance
         if all(e.aggregated for e in exprs):

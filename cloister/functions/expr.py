@@ -64,6 +64,7 @@ class Expr:
     roots: tuple[str, ...] = ()
     columns: Callable[[T.StructType], list[str]] | None = None  # of a selector of several columns
     suffix_: str = ""
+    listed: bool = False  # lists a group's values: one row for each group, though not an aggregate to the guard
 
     # Naming.
 
@@ -290,7 +291,34 @@ class Expr:
     def sort_by(self, by: Expr, reverse: bool = False):
         """The group's values as a list in the order of another expression."""
         pair = lambda c: F.struct(by.build(c).alias("k"), self.build(c).alias("v"))
-        return replace(self, build=lambda c: c.aggregate(F.transform(F.sort_array(F.collect_list(pair(Compile("agg", current=c.current))), not reverse), lambda s: s["v"])), aggregated=self.aggregated)
+        return replace(self, build=lambda c: c.aggregate(F.transform(F.sort_array(F.collect_list(pair(Compile("agg", current=c.current))), not reverse), lambda s: s["v"])), listed=True)
+
+    def _part_of_group(self, cut: Callable[[Column], Column]):
+        """A part of the group's values, in the frame's order, as a list."""
+
+        def build(c: Compile) -> Column:
+            if not c.order:
+                raise ValueError("this expression depends on the order of rows: give the frame an order (order_by=...)")
+            pairs = F.array_sort(F.collect_list(F.struct(F.struct(*c.order).alias("k"), self.build(Compile("agg", current=c.current)).alias("v"))))
+            return c.aggregate(F.transform(cut(pairs), lambda s: s["v"]))
+
+        return replace(self, build=build, listed=True)
+
+    def slice(self, offset: int, length: int):
+        return self._part_of_group(lambda a: F.slice(a, offset + 1 if offset >= 0 else offset, length))
+
+    def head(self, n: int = 5):
+        return self.slice(0, n)
+
+    def tail(self, n: int = 5):
+        return self._part_of_group(lambda a: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n)))
+
+    def take(self, indices: Sequence[int]):
+        return self._part_of_group(lambda a: F.array_compact(F.array(*[F.try_element_at(a, F.lit(i + 1 if i >= 0 else i)) for i in indices])))
+
+    def reverse(self):
+        return self._part_of_group(F.reverse)
+
 
     # Windows.
 
@@ -375,6 +403,10 @@ class Expr:
 
         return self.window(build)
 
+    def cumulative_eval(self, f: Callable[[Column], Column]):
+        """``f`` of the list of values so far, for partitions of moderate size."""
+        return self.window(lambda a, w: f(F.collect_list(a).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+
     def ewm_var(self, alpha: float):
         """Biased exponentially weighted variance: the weighted mean of squares less the squared weighted mean."""
         return (self * self).ewm_mean(alpha) - self.ewm_mean(alpha) ** 2
@@ -461,6 +493,13 @@ class Expr:
     def hash(self, seed: int = 0):
         return self.map(lambda a: F.xxhash64(F.lit(seed), a))
 
+    def reinterpret(self, signed: bool = False):
+        """The bits of a long as an unsigned number, or of such a number as a long."""
+        wrap = F.lit(2).cast("decimal(20,0)") * F.lit(2**63 - 1).cast("decimal(20,0)") + 2
+        if signed:
+            return self.map(lambda a: F.when(a > 2**63 - 1, a - wrap).otherwise(a).cast("long"))
+        return self.map(lambda a: F.when(a < 0, a.cast("decimal(20,0)") + wrap).otherwise(a.cast("decimal(20,0)")).cast("decimal(20,0)"))
+
     def explode(self):
         return self.map(F.explode_outer)
 

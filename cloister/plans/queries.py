@@ -408,6 +408,34 @@ def value_counts(t):
     return t("events").groupby("event_type").count()
 
 
+@query(
+    """SELECT user_id, list(event_id ORDER BY event_id)[1:3] AS head, list(event_id ORDER BY event_id)[-2:] AS tail, list(event_id ORDER BY event_id DESC)[1] AS newest,
+    [list(event_id ORDER BY event_id)[1], list(event_id ORDER BY event_id)[3]] AS taken, list(event_id ORDER BY value DESC)[1] AS top, round(avg((value - m) ** 3), 2) AS third
+    FROM events JOIN (SELECT user_id, avg(value) AS m FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id"""
+)
+def group_lists(t):
+    e = col("event_id")
+    return t("events", "event_id").groupby("user_id").agg(
+        e.head(3).alias("head"), e.tail(2).alias("tail"), e.reverse().arr.first().alias("newest"), e.take([0, 2]).alias("taken"), e.sort_by(col("value"), reverse=True).arr.first().alias("top"), r(_third(col("value")), 2).alias("third")
+    )
+
+
+def _third(v):
+    """The third central moment from raw ones, which one aggregation gives."""
+    m = v.mean()
+    return (v**3).mean() - 3 * m * (v**2).mean() + 2 * m**3
+
+
+@query("SELECT event_id, user_id FROM events")
+def shuffle_rows(t):
+    return t("events").select("event_id", "user_id").shuffle(3)
+
+
+@query()
+def sample_rows(t):
+    return t("events").select("event_id", "user_id").sample(0.1, seed=3)
+
+
 # Windows.
 
 
