@@ -3,7 +3,7 @@
 Every word (run of letters, of digits or of other signs) has a sparse random index vector given by its
 hash.  A word's vector is the sum of the index vectors of its neighbours over all documents, kept for
 hashed words in a table of fixed size.  A document is pooled to the mean and the deviation of its
-words' unit vectors.  A two-layer numpy network scores that; a temperature calibrates the score.
+words' unit vectors, and the cosines of neighbouring ones.  A two-layer numpy network scores that; a temperature calibrates the score.
 Gathering the word vectors and scoring each read the corpus once and shuffle only tables of fixed size.
 """
 
@@ -31,7 +31,7 @@ _BLOCK = 256  # words in a row of partial sums
 FIT_ROWS = 8000
 #: A document below this score is rejected.
 LEAST_SCORE = 0.7
-FEATURES = 2 * DIMENSIONS + 1
+FEATURES = 2 * DIMENSIONS + REACH + 1
 
 
 def byte_classes() -> np.ndarray:
@@ -101,7 +101,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def document_features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and deviation of the word vectors of each text, and its size; zeros for a text without words."""
+    """Mean and deviation of the word vectors of each text, mean cosines of words one and two apart (near one in text that
+    repeats itself), and its size; zeros for a text without words."""
     words = quality_words(data, offsets)
     counts = words.counts
     out = np.zeros((len(counts), FEATURES), np.float32)
@@ -112,6 +113,11 @@ def document_features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray
         square = np.add.reduceat(found * found, words.first[full], axis=0) / counts[full, None]
         out[full, :DIMENSIONS] = mean
         out[full, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        for reach in range(1, REACH + 1):
+            same = np.flatnonzero(owner[reach:] == owner[:-reach])
+            alike = np.einsum("nd,nd->n", found[same], found[same + reach])
+            out[:, 2 * DIMENSIONS + reach - 1] = np.bincount(owner[same], alike, len(counts)) / np.maximum(counts - reach, 1)
         out[full, -1] = np.log1p(counts[full]) / 10
     return out
 
