@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +69,10 @@ def unique(df: DataFrame, subset: Sequence[str] | None, keep: str, order: Sequen
     return df.groupBy(*subset).agg(pick(row, key).alias("__row")).select("__row.*")
 
 
+#: A group of rows with the same ``by`` values beyond this is cut into ranges of its key for an as-of join.
+ASOF_GROUP_ROWS = 1_000_000
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -83,8 +88,9 @@ def asof_join(
     or the first at or after it ("forward"); nulls where there is none, or none within ``tolerance``.
 
     Both sides are put in one table, sorted by key within ``by``, and each left row takes the last
-    right row seen.  Without ``by`` keys, buckets of the key's range take their place, so that no task holds all rows:
-    a left row looks in its bucket and, failing that, at the nearest non-empty bucket's edge row.
+    right row seen.  If a group of ``by`` is large (without ``by``, all rows are one), groups are cut into
+    ranges of the key, so that no task holds a whole group: a left row that finds nothing in its
+    range takes what the nearest range before it ends with.
     """
     if strategy not in ("backward", "forward"):
         raise ValueError("strategy must be backward or forward")
@@ -94,21 +100,33 @@ def asof_join(
     keys = [f"__by{i}" for i in range(len(by_left))]
     l_row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
     r_row = F.struct(F.col(f"`{right_on}`").alias("__k"), *[F.col(f"`{c}`").alias(f"__r_{c}") for c in payload])
-    r_type = right.select(r_row.alias("r")).schema["r"].dataType
-    a = left.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by_left, keys, strict=True)], F.col(f"`{left_on}`").alias("__key"), F.lit(1).alias("__side"), l_row.alias("__l"), F.lit(None).cast(r_type).alias("__r"))
-    b = right.where(F.col(f"`{right_on}`").isNotNull()).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by_right, keys, strict=True)], F.col(f"`{right_on}`").alias("__key"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(l_row.alias("l")).schema["l"].dataType).alias("__l"), r_row.alias("__r"))
-    both = a.unionByName(b)
-    edge = None
-    if not keys:
-        both, edge = _bucketed(both, forward)
-        keys = ["__bucket"]
+    l_type, r_type = left.select(l_row.alias("l")).schema["l"].dataType, right.select(r_row.alias("r")).schema["r"].dataType
+
+    def side(df: DataFrame, on: str, by: Sequence[str], number: int, l: Column, r: Column) -> DataFrame:  # noqa: E741
+        return df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col(f"`{on}`").alias("__key"), F.lit(number).alias("__side"), l.alias("__l"), r.alias("__r"))
+
+    both = side(left, left_on, by_left, 1, l_row, F.lit(None).cast(r_type)).unionByName(
+        side(right.where(F.col(f"`{right_on}`").isNotNull()), right_on, by_right, 0, F.lit(None).cast(l_type), r_row)
+    )
+    cuts = _cuts(both, keys)
+    number = _number(both)
+    range_ = functools.reduce(lambda acc, c: acc + F.coalesce((number > c).cast("int"), F.lit(0)), cuts, F.lit(0))
+    both = both.withColumn("__range", -range_ if forward else range_)
+    groups = [*keys, "__range"]
     order = [F.col("__key").desc() if forward else F.col("__key").asc(), F.col("__side").asc()]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("__near", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    if edge is not None:
-        found = found.join(edge, "__bucket", "left").withColumn("__near", F.coalesce("__near", "__edge"))
+    w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__near", F.last("__r", ignorenulls=True).over(w)).where("__side = 1").drop("__r")
+    if cuts:
+        last = both.groupBy(*groups).agg((F.min_by if forward else F.max_by)("__r", F.when(F.col("__side") == 0, F.col("__key"))).alias("__last"))
+        before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        edges = last.withColumn("__edge", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+        edges = edges.toDF(*[f"__e{c}" if c != "__edge" else c for c in edges.columns])
+        same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__e{c}")) for c in groups])
+        found = found.join(edges, same, "left").withColumn("__near", F.coalesce("__near", "__edge"))
     near = F.col("__near")
     within = F.col("__key").isNotNull()
+    for k in keys:
+        within = within & F.col(k).isNotNull()
     if tolerance is not None:
         gap = near["__k"] - F.col("__key") if forward else F.col("__key") - near["__k"]
         within = within & (gap <= (F.expr(tolerance) if isinstance(tolerance, str) else F.lit(tolerance)))
@@ -116,21 +134,16 @@ def asof_join(
     return found.select("__l.*", *[near[f"__r_{c}"].alias(rename[c]) for c in payload])
 
 
-def _bucketed(both: DataFrame, forward: bool) -> tuple[DataFrame, DataFrame]:
-    """A bucket for each key range, and for each bucket the right row that a left row finds when its own bucket has none."""
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = F.col("__key").cast("timestamp").cast("double") if dict(both.dtypes)["__key"].startswith(("timestamp", "date")) else F.col("__key").cast("double")
-    cuts = both.select(number.alias("n")).agg(F.percentile_approx("n", [i / parts for i in range(1, parts)], 1000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.aggregate(F.lit([float(c) for c in cuts]).cast("array<double>"), F.lit(0), lambda acc, x: acc + (number > x).cast("int")) if cuts else F.lit(0)
-    both = both.withColumn("__bucket", bucket)
-    pick = F.min_by if forward else F.max_by
-    ends = {r["__bucket"] for r in both.where("__side = 0").select("__bucket").distinct().collect()}  # at most one for each range
-    rows = both.where("__side = 0").groupBy("__bucket").agg(pick("__r", "__key").alias("__edge"))
-    source = {}
-    for i in range(len(cuts) + 1):
-        usable = [e for e in ends if (e > i if forward else e < i)]
-        if usable:
-            source.setdefault(min(usable) if forward else max(usable), []).append(i)
-    table = both.sparkSession.createDataFrame([(e, i) for e, to in source.items() for i in to], "__bucket int, __to int")
-    return both, rows.join(F.broadcast(table), "__bucket").select(F.col("__to").alias("__bucket"), "__edge")
+def _number(both: DataFrame) -> Column:
+    dated = dict(both.dtypes)["__key"].startswith(("timestamp", "date"))
+    return (F.col("__key").cast("timestamp") if dated else F.col("__key")).cast("double")
+
+
+def _cuts(both: DataFrame, keys: Sequence[str]) -> list[float]:
+    """Bounds of key ranges of about equal numbers of rows, as many as the largest group needs."""
+    largest = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ranges = min(1000, -(-largest // ASOF_GROUP_ROWS))
+    if ranges <= 1:
+        return []
+    found = both.agg(F.percentile_approx(_number(both), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    return sorted({float(x) for x in found or []})

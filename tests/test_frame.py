@@ -5,6 +5,7 @@ import pytest
 
 from cloister.functions.expr import all_columns, col, count, java_pattern, lit, when
 from cloister.functions.udf import ApplyAbs, ApplyBins
+from cloister.operators import ordered
 from cloister.plans.sql import sql
 from cloister.policy import Action, Aggregation, Policy, Stats, TrueRule
 from cloister.session import GuardSession, NotFound, RequestRejected, UnsupportedOperation
@@ -172,7 +173,9 @@ def test_asof_by_example(session, strategy, want, by):
 
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("forward", [False, True])
-def test_asof_against_brute_force(session, seed, forward):
+@pytest.mark.parametrize("group_rows", [10, 10**6])
+def test_asof_against_brute_force(session, monkeypatch, seed, forward, group_rows):
+    monkeypatch.setattr(ordered, "ASOF_GROUP_ROWS", group_rows)
     rng = random.Random(seed)
     left = [(i, rng.choice([None, rng.randrange(200)])) for i in range(150)]
     right = [(rng.choice([None, *range(0, 200, 7)]), j) for j in range(rng.randrange(40))]
@@ -185,6 +188,17 @@ def test_asof_against_brute_force(session, seed, forward):
     assert {r["i"]: r["j"] for r in out.df.collect()} == want
 
 
+@pytest.mark.parametrize("group_rows", [10, 10**6])
+def test_asof_by_keys_against_brute_force(session, monkeypatch, group_rows):
+    monkeypatch.setattr(ordered, "ASOF_GROUP_ROWS", group_rows)
+    rng = random.Random(5)
+    left = [(i, rng.choice([None, "a", "a", "a", "b"]), rng.randrange(500)) for i in range(200)]
+    right = [(rng.choice([None, "a", "b", "c"]), k, k) for k in rng.sample(range(500), 60)]
+    out = send(session, left, "i int, g string, t int").join_asof(send(session, right, "g string, t int, j int"), on="t", by="g")
+    want = {i: max((j for h, k, j in right if g is not None and h == g and k <= t), default=None) for i, g, t in left}
+    assert {r["i"]: r["j"] for r in out.df.collect()} == want
+
+
 def test_scalers_by_example(session):
     f = send(session, [(180000.0, 110), (360000.0, 905), (230000.0, 230), (60000.0, 450)], "a double, b int")
     z = [r[0] for r in rows(f.zscore_scale("a").select("a"))]
