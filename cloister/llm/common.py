@@ -1,64 +1,25 @@
-"""What the training-data operators share: reading tables and durable intermediate tables."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloister.sources.scratch import materialise, scratch_path
 
-_own_dir: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+#: At most so many ids are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (a local run, as in tests) is a temporary folder made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="cloister-")
-    return _own_dir[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; it is removed when the driver's Python ends or by ``release``."""
-    path = f"{shared_dir(spark)}/cloister/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the intermediate tables written so far."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            remove_path(spark, path)
-        except Exception:  # the session has ended; nothing can be deleted through it any more
-            continue
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """Rows whose id is ("left_semi") or is not ("left_anti") in ``ids``.  Ids are written and counted: few of them
+    go to the rows, which then stay where they are; many are joined by a shuffle of both."""
+    ids = materialise(ids.select(column).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
-atexit.register(release)
+__all__ = ["by_ids", "materialise", "read_table", "scratch_path"]

@@ -27,8 +27,9 @@ DIMENSIONS = 16
 #: Bounds of the fitted sample: rows for each language, characters of a row, languages.
 FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 700, 40_000, 300
 
-#: At most this share of the calibration texts that are identified correctly is rejected.
-CLEAN_REJECTED = 0.0005
+#: A text is rejected below this score, or below the score that this share of correctly identified calibration texts miss if
+#: that is less: texts that mix two languages stay, those of none of the languages go.
+LEAST_SCORE, CLEAN_REJECTED = 0.4, 0.0005
 
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 _CHARS = 1 << 18
@@ -132,7 +133,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     temperature = fit_temperature(logits, truth)
     sure = softmax(logits / temperature)
     right = sure.max(axis=1)[sure.argmax(axis=1) == truth] if len(truth) else np.ones(1)
-    least = min(0.5, float(np.quantile(right, CLEAN_REJECTED))) if len(right) else 0.0
+    least = min(LEAST_SCORE, float(np.quantile(right, CLEAN_REJECTED))) if len(right) else 0.0
     return LanguageModel(languages, (table / temperature).astype(np.float32), bias / temperature, least)
 
 

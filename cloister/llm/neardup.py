@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import by_ids, materialise, read_table
 from .components import connected_components
 from .wordhash import Words, find_words, lower_table, mix, shingle_hashes, space_table, text_slices
 
@@ -32,9 +32,6 @@ BANDS = 32
 ESTIMATE_SLACK = 0.2
 #: A task compares the members of two blocks of about so many members and shingles, so many shared shingles at a time.
 BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 4096
-#: At most so many ids are broadcast.
-BROADCAST_IDS = 1_000_000
-
 _FACTORS = np.random.default_rng(7).integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
 
@@ -137,12 +134,6 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents that share a bucket with another: few ids go to the texts, many (counted) are joined by a shuffle."""
-    ids = materialise(ids, "ids")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links; every filter before the last is exact or errs towards keeping."""
     side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -239,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     members = nodes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
     members = materialise(members.join(hubs, "band"), "members")  # of buckets with several members
-    texts = materialise(_texts_of(texts, members.select(F.col("node").alias("doc_id")).distinct()), "texts")
+    texts = materialise(by_ids(texts, members.select(F.col("node").alias("doc_id")), "left_semi"), "texts")
     pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = _linked(pairs, nodes, texts, words, percent)
     roots = connected_components(links)

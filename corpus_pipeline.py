@@ -9,12 +9,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cloister.llm.common import materialise, read_table
+from cloister.llm.common import by_ids, materialise, read_table
 from cloister.llm.decontaminate import find_contamination
 from cloister.llm.langid import fit_languages, identify_languages
 from cloister.llm.neardup import near_duplicates
 from cloister.llm.packing import pack_documents
 from cloister.llm.quality import fit_quality, score_quality
+from cloister.sources.ship import ship_package
 
 #: No SQL form: the classifiers are trained and the packing is a search.  Tests hold stages against brute force.
 ORACLE_SQL = None
@@ -22,7 +23,7 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``dropped``; rows without an id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
+    return by_ids(docs, dropped.where("doc_id is not null"), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near copies, and one row of it."""
     found = near_duplicates(docs, words=5, percent=80)
-    kept = _without(docs.where("doc_id is not null"), found.where("not kept"))
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    kept = _without(docs, found.where("not kept"))
+    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = by_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id"])  # only rows that repeat an id are shuffled
+    return by_ids(kept, repeated, "left_anti").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +70,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
