@@ -6,7 +6,6 @@ Statistics are small Spark jobs that run when a result is collected, not while i
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,5 +74,3 @@ def key_matches(left: DataFrame, right: DataFrame, left_keys: Sequence[Column],
 
     return run
 
-
-INFINITE = math.inf

@@ -78,11 +78,6 @@ def pie(df: DataFrame, parts: str, labels: str) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select(F.coalesce(F.col(labels).cast("string"), F.lit("null")).alias("label"), share.alias("percent"))
 
 
-def facet(df: DataFrame, col: str | None, row: str | None, table) -> DataFrame:
-    """``table(frame, keys)`` of all facets in one job: the facet columns are further keys."""
-    return table(df, known(df, col, row))
-
-
 def facet_counts(df: DataFrame, x: str, bins: float, col: str | None = None, row: str | None = None) -> DataFrame:
     keys = known(df, col, row)
     binned = df.where(F.col(x).isNotNull()).withColumn("bin", (F.floor(F.col(x) / bins) * bins).cast("double"))
