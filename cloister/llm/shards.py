@@ -164,13 +164,14 @@ class ShardStore:
             parts = [a.unionByName(b, allowMissingColumns=True) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
         return self._write(parts[0])
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """Rows of the live shards of a version, with the shard each is in as ``_shard``; None for an empty store."""
+    def read(self, version: int | None = None, shard_column: str = "_shard") -> DataFrame | None:
+        """Rows of the live shards of a version, with the shard each is in as ``shard_column`` unless the table has a column of
+        that name; None for an empty store."""
         live = self.shards(version)
         if not live:
             return None
         rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s.path}" for s in live))
-        return rows.withColumn("_shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        return rows if shard_column in rows.columns else rows.withColumn(shard_column, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
     def vacuum(self) -> int:
         """Delete data folders without a live shard; returns how many. Not while others read old versions or write."""

@@ -104,6 +104,9 @@ def test_arrivals_keep_every_row(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=2000)
     load_in_arrivals(store, table, "doc_id")
     assert sorted(map(str, store.read().select("doc_id", "text").collect())) == sorted(map(str, table.collect()))
+    clash = ShardStore(spark, f"file://{tmp_path}/c")
+    clash.append(table.selectExpr("doc_id", "text AS _shard"))
+    assert sorted(map(str, clash.read().select("_shard").collect())) == sorted(map(str, table.selectExpr("text AS _shard").collect()))
     other = ShardStore(spark, f"file://{tmp_path}/t")
     load_in_arrivals(other, table.where("doc_id is null"), "doc_id")
     assert other.read().count() == 2
