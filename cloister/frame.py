@@ -253,7 +253,8 @@ class GuardedFrame:
         return self._with(self.df.na.drop("any", subset=_names(subset) or None), "drop_nulls()")
 
     def interpolate(self) -> GuardedFrame:
-        return self.with_columns(*[col(f.name).interpolate() for f in self.df.schema if isinstance(f.dataType, T.NumericType) and f.name not in [o.lstrip("-") for o in self.order]])
+        numeric = [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType) and f.name not in [o.lstrip("-") for o in self.order]]
+        return self._with(ordered.interpolate_rows(self.df, self._need_order(), numeric), "interpolate()")
 
     def unnest(self, names: Names) -> GuardedFrame:
         names = _names(names)

@@ -233,6 +233,15 @@ def test_nulls_and_positions(session):
         f.select("nothing")
 
 
+@pytest.mark.parametrize("block", [3, 10**6])
+def test_interpolation_over_blocks(session, monkeypatch, block):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", block)
+    values = [None, 2.0, None, None, None, None, None, None, 10.0, None, 12.0, None, None]
+    f = send(session, list(enumerate(values)), "i int, v double", order=("i",))
+    got = [r[1] for r in rows(f.interpolate().sort("i"))]
+    assert got == [None, 2.0, *(pytest.approx(2 + 8 * k / 7) for k in range(1, 7)), 10.0, 11.0, 12.0, None, None]
+
+
 def test_quantiles(session):
     values = [(float(x),) for x in (1, 2, 3, 10)]
     f = send(session, values, "v double")
