@@ -22,60 +22,41 @@ _CUTS = f"[{_LETTERS}]+(?=[{_SIGNS}'{WHITE_SPACE}]|$)|[{_SIGNS}]+(?=[{_LETTERS}{
 _DROPPING = re.compile(_CUTS)
 _KEEPING = re.compile(f" ?(?:{_CUTS})|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
-#: Chunks in a worker's cache, the longest chunk that is kept there, and characters that are encoded together.
-CACHE_CHUNKS, CACHE_CHARS, BATCH_CHARS = 500_000, 40, 400_000
+#: Chunks in a worker's cache, and the longest chunk that is kept there.
+CACHE_CHUNKS, CACHE_CHARS = 250_000, 40
 
 
-class ChunkEncoder:
-    """Ids of texts as the bytes of little-endian unsigned 32-bit integers."""
+class ChunkEncoder(dict):
+    """Ids of texts as the bytes of little-endian unsigned 32-bit integers.  It is itself the cache: a chunk that is not
+    in it is encoded, and kept while there is room; frequent chunks come early."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern = _DROPPING if self.tokenizer.normalizer is not None else _KEEPING
-        self.cache: dict[str, bytes] = {}
         self.fold = self.tokenizer.normalizer is not None
-        self.one_word = re.compile(f" ?[{_LETTERS}]+").fullmatch if self.tokenizer.get_vocab_size() <= len(_ID) else lambda chunk: None
+        self.pattern = _DROPPING if self.fold else _KEEPING
+        self.model = self.tokenizer.model.tokenize
+        self.one_word = re.compile(f" ?[{_LETTERS}]+").fullmatch if self.vocabulary_size <= len(_ID) else lambda chunk: None
 
     @property
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_batch([text])[0]
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        start = held = 0
-        for end, text in enumerate(texts, 1):
-            held += len(text or "")
-            if held >= BATCH_CHARS or end == len(texts):
-                out += self._encode_some(texts[start:end])
-                start, held = end, 0
-        return out
-
-    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pattern.findall(text or "") for text in texts]
-        cache = self.cache
-        new = set().union(*cut).difference(cache)
-        room = CACHE_CHUNKS - len(cache)
-        cache.update(self._encode_chunks(list(new)))
-        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
-        for chunk in new if room < len(new) else [c for c in new if len(c) > CACHE_CHARS]:
-            del cache[chunk]  # frequent chunks come early and stay
-        return out
-
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk.  One of letters only (and a space before them) is a single word for the model, so it skips
-        the tokenizer's normaliser and pre-tokenizer, which leave such a word as it is but for its case."""
-        model, one_word, fold, found = self.tokenizer.model.tokenize, self.one_word, self.fold, {}
-        for chunk in chunks:
-            if one_word(chunk):
-                word = (chunk.lower() if fold else chunk).encode().decode("latin-1").translate(_BYTE_LEVEL)
-                found[chunk] = b"".join([_ID[t.id] for t in model(word)])
-            else:
-                found[chunk] = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        return found
+        return b"".join(map(self.__getitem__, self.pattern.findall(text or "")))
+
+    def __missing__(self, chunk: str) -> bytes:
+        """A chunk of letters only (and a space before them) is a single word for the model, so it skips the tokenizer's
+        normaliser and pre-tokenizer, which leave such a word as it is but for its case."""
+        if self.one_word(chunk):
+            word = (chunk.lower() if self.fold else chunk).encode().decode("latin-1").translate(_BYTE_LEVEL)
+            ids = b"".join([_ID[t.id] for t in self.model(word)])
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if len(chunk) <= CACHE_CHARS and len(self) < CACHE_CHUNKS:
+            self[chunk] = ids
+        return ids
 
 
 def byte_level() -> dict[int, str]:

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, texts
 
 #: Bytes of window text in one automaton.  A larger benchmark becomes several automata, of which a
 #: task holds one at a time; each then scans the task's current batch of documents.
@@ -162,7 +162,7 @@ def find_contamination(
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
     shards = [spark.sparkContext.broadcast(s) for s in window_shards(((r[0], r[1]) for r in items), width, automaton_bytes)]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scanner(shards), _RESULT)
+    return texts(docs, doc_id, text).mapInArrow(_scanner(shards), _RESULT)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibrate import fit_temperature, held_out, softmax
-from .common import read_table
+from .common import read_table, texts as text_rows
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
 DIMENSIONS = 16
 
 #: Bounds of the fitted sample: rows for each language, characters of a row, languages.
-FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 700, 40_000, 300
+FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 600, 40_000, 300
 
 #: A text is rejected below this score, or below the score that this share of correctly identified calibration texts miss if
 #: that is less: texts that mix two languages stay, those of none of the languages go.
@@ -95,7 +95,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    grams = [subwords([t])[0] for t in texts]
+    grams = [subwords([t])[0].astype(np.uint16) for t in texts]
     target = np.array([languages.index(x) for x in labels])
     held = rng.random(len(texts)) < 0.2
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(texts))
@@ -186,7 +186,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, doc_id: str
     was nothing to learn from.  Otherwise ``score`` is the calibrated probability of ``lang_pred``, and a text
     is rejected if it is below the model's bound.  Equal scores go to the language first in order.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = text_rows(docs, doc_id, text)
     return plain.mapInPandas(_predicted(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, materialise, read_table
+from .common import by_ids, materialise, read_table, texts as text_rows
 from .components import connected_components
 from .wordhash import Words, find_words, lower_table, mix, shingle_hashes, space_table, text_slices
 
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     and is linked with nothing.  Rows that repeat a doc_id count as one document.  A null doc_id
     is its own row with null ``component_id`` and ``kept`` true.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = text_rows(docs, doc_id, text)
     sketches = materialise(plain.mapInArrow(_sketches(words), _SKETCH), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(filled.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise, read_table
+from .common import materialise, read_table, texts
 
 CAPACITY = 1024
 END_ID = 2
@@ -78,12 +78,12 @@ def plan_bins(counts: np.ndarray, capacity: int) -> pd.DataFrame:
 
 def _tokenised(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode_batch, np.uint32(end_id).astype("<u4").tobytes()
+        encode, end = encoder(path).encode, np.uint32(end_id).astype("<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py()) + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for k in range(len(cuts) - 1):
@@ -133,7 +133,7 @@ def pack_documents(
     one id, and repeated rows are packed each.  Sequences are numbered from 0; pieces lie in them
     without gaps from offset 0.  An empty table has no sequences.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = texts(docs, doc_id, text)
     # The table fixes which task numbered which piece, so a lost executor changes no rank.
     pieces = materialise(plain.mapInArrow(_tokenised(tokenizer_path, capacity, end_id), _PIECES), "pieces")
     per_task = pieces.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("n"))

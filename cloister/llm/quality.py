@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibrate import fit_temperature, held_out, softmax
-from .common import read_table
+from .common import read_table, texts
 from .wordhash import Words, find_words, text_slices
 
 #: Hashed words, dimensions of a vector, signs set in an index vector, neighbours on each side.
@@ -81,7 +81,7 @@ def _neighbour_sums(words: Words, total: np.ndarray) -> None:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(WORDS * DIMENSIONS)
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column(0), 1 << 21):
+        for _, _, data, offsets in text_slices(batch.column(0)):
             _neighbour_sums(quality_words(data, offsets), total)
     rows = total.reshape(-1, _BLOCK * DIMENSIONS)
     used = np.flatnonzero(rows.any(axis=1))
@@ -91,7 +91,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit vectors (words, dimensions) from the neighbours in all texts; partial sums of fixed size are added up on the executors."""
-    partial = docs.select(F.col(text).cast("string")).mapInArrow(_gathered, "block int, sums array<double>")
+    partial = texts(docs, None, text).mapInArrow(_gathered, "block int, sums array<double>")
     summed = partial.select("block", array_to_vector("sums").alias("v")).groupBy("block").agg(Summarizer.sum(F.col("v")).alias("v"))
     out = np.zeros((WORDS // _BLOCK, _BLOCK * DIMENSIONS))
     for row in summed.select("block", vector_to_array("v").alias("v")).collect():
@@ -215,7 +215,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
     ``score`` is the calibrated probability of good quality.  A null, empty or wordless text is scored by
     its zero features like any other.  Repeated rows are scored each.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = texts(docs, doc_id, text)
     return plain.mapInArrow(_scored(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise, read_table, scratch_path
+from .common import materialise, read_table, scratch_path, texts
 
 END_ID = 2
 MAGIC = b"CLTK"
@@ -79,8 +79,8 @@ def _tokenised(path: str, end_id: int):
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             sizes, packed = [], []
-            for ids in own.encode_batch(batch.column(1).to_pylist()):
-                ids = np.frombuffer(ids + end, "<u4")
+            for text in batch.column(1):
+                ids = np.frombuffer(own.encode(text.as_py()) + end, "<u4")
                 sizes.append(len(ids))
                 packed.append(pack(ids.astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     with equal doc_ids are ordered by length and content.  An empty table has a manifest without rows.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = texts(docs, doc_id, text)
     tokens = materialise(plain.mapInArrow(_tokenised(tokenizer_path, end_id), "doc_id long, n long, ids binary"), "token-ids")
     seen = tokens.select("n", "ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = sorted(((-r["n"], r["id"]) for r in seen.collect()))  # at most a vocabulary
