@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import read_table, texts
 
-#: Bytes of window text in one automaton.  A larger benchmark becomes several automata, of which a
-#: task holds one at a time; each then scans the task's current batch of documents.
-AUTOMATON_BYTES = 64 << 20
+#: Bytes of window text in one automaton, which takes about 36 times that.  A larger benchmark becomes several
+#: automata, of which a task holds one at a time.
+AUTOMATON_BYTES = 12 << 20
+#: With several automata, each scans so many bytes of documents before the next is built.
+SCAN_BYTES = 48 << 20
 
 _RESULT = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
@@ -113,28 +115,47 @@ def _scanner(shards: list[Broadcast]):
             yield _built[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            merged: list = [None] * batch.num_rows
+        for group in _groups(batches, SCAN_BYTES if len(shards) > 1 else 0):
+            merged: list[list] = [[None] * batch.num_rows for batch in group]
             for automaton in automata() if shards else iter([ahocorasick.Automaton()]):
-                for i in range(batch.num_rows):
-                    text = texts[i].as_py() or ""
-                    found = scan(text, [automaton] if len(automaton) else [])
-                    merged[i] = found if merged[i] is None else _merge(merged[i], found, text)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([m[0] for m in merged], pa.int64()),
-                    pa.array([m[1] for m in merged], pa.int64()),
-                    pa.array([sorted(m[2]) for m in merged], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in m[3]] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
-            )
+                for batch, results in zip(group, merged, strict=True):
+                    for i, value in enumerate(batch.column(1)):
+                        text = value.as_py() or ""
+                        found = scan(text, [automaton] if len(automaton) else [])
+                        results[i] = found if results[i] is None else _merge(results[i], found, text)
+            for batch, results in zip(group, merged, strict=True):
+                yield _table(batch.column(0), results)
 
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of at least ``least`` bytes; single batches if that is 0."""
+    group, held = [], 0
+    for batch in batches:
+        group.append(batch)
+        held += batch.nbytes
+        if held >= least:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _table(doc_ids: pa.Array, results: list[tuple]) -> pa.RecordBatch:
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array([r[0] for r in results], pa.int64()),
+            pa.array([r[1] for r in results], pa.int64()),
+            pa.array([sorted(r[2]) for r in results], pa.list_(pa.string())),
+            pa.array([[{"start": a, "end": b} for a, b in r[3]] for r in results], pa.list_(span)),
+        ],
+        names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
+    )
+
+
 def _merge(one: tuple, two: tuple, text: str) -> tuple:
     """Results of two automata over the same text; words in both results count once."""
     if not two[3] or not one[3]:
