@@ -120,7 +120,7 @@ class GuardedFrame:
 
     def _rows(self, exprs: Sequence[Expr]) -> tuple[DataFrame, list[Column]]:
         """The frame, joined with the one-row table of the aggregates that ``exprs`` hold, and their columns."""
-        context = Compile("row", self._order())
+        context = Compile("row", self._order(), tuple(self._reverse_order()) if self.order else ())
         columns = [e.build(context) for e in exprs]
         df = self.df
         if context.aggregates:

@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Weights of an exponentially weighted mean below one in two to this power are left out.
+_WEIGHT_BITS = 60
+
+
 @dataclass
 class Compile:
     """How expressions become columns: ``mode`` is "row" or "agg"; ``aggregates`` collects what a row needs from the whole frame."""
 
     mode: str = "row"
     order: tuple[Column, ...] = ()
+    backward: tuple[Column, ...] = ()  # the same order from its end
     partition: tuple[Column, ...] = ()
     windowed: bool = False
     current: str = ""  # the column that a selector of several columns stands for just now
@@ -44,6 +49,11 @@ class Compile:
             raise ValueError("this expression depends on the order of rows: give the frame an order (order_by=...)")
         return Window.partitionBy(*self.partition).orderBy(*self.order)
 
+    def reversed(self) -> Window:
+        """The rows from the last to the first: what follows a row is a running frame here, which costs one pass."""
+        self.ordered()
+        return Window.partitionBy(*self.partition).orderBy(*(self.backward or [o.desc() for o in self.order]))
+
 
 Build = Callable[[Compile], Column]
 
@@ -389,19 +399,24 @@ class Expr:
         return self._rolling(lambda a: F.collect_list(a), size, min_periods).map(lambda values: quantile_of(F.array_sort(values), q, interpolation))
 
     def ewm_mean(self, alpha: float, adjust: bool = True):
-        """Exponentially weighted mean over the rows so far; a window of all earlier rows, so for partitions of moderate size."""
+        """Exponentially weighted mean over the known values so far, as far back as weights matter in double precision."""
+        if not 0 < alpha <= 1:
+            raise ValueError("alpha must be above 0 and at most 1")
         decay = 1 - alpha
+        reach = math.ceil(_WEIGHT_BITS * math.log(2) / -math.log(decay)) if decay else 1
 
-        def build(a: Column, w: Window) -> Column:
-            so_far = F.collect_list(a.cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        def build(c: Compile) -> Column:
+            a = self.build(c).cast("double")
+            known = F.count(a).over(c.ordered().rowsBetween(Window.unboundedPreceding, 0))
+            values = F.collect_list(a).over(Window.partitionBy(*c.partition).orderBy(known).rangeBetween(1 - reach, 0))
             zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
             if adjust:
                 step = lambda acc, x: F.struct((acc["s"] * decay + x).alias("s"), (acc["n"] * decay + 1.0).alias("n"))
             else:
                 step = lambda acc, x: F.struct(F.when(acc["n"] == 0, x).otherwise(acc["s"] * decay + x * alpha).alias("s"), F.lit(1.0).alias("n"))
-            return F.aggregate(so_far, zero, step, lambda acc: F.try_divide(acc["s"], acc["n"]))
+            return F.aggregate(values, zero, step, lambda acc: F.try_divide(acc["s"], acc["n"]))
 
-        return self.window(build)
+        return replace(self, build=build)
 
     def cumulative_eval(self, f: Callable[[Column], Column]):
         """``f`` of the list of values so far, for partitions of moderate size."""
@@ -444,13 +459,13 @@ class Expr:
         return ~self.is_unique()
 
     def interpolate(self):
-        return replace(self, build=lambda c: interpolated(self.build(c), c.ordered()))
+        return replace(self, build=lambda c: interpolated(self.build(c), c.ordered(), c.reversed()))
 
     def forward_fill(self):
         return self.window(lambda a, w: F.last(a, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def backward_fill(self):
-        return self.window(lambda a, w: F.first(a, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        return replace(self, build=lambda c: F.last(self.build(c), ignorenulls=True).over(c.reversed().rowsBetween(Window.unboundedPreceding, 0)))
 
     # Mathematics.
 
@@ -787,12 +802,12 @@ def quantile(value: Column, q: float, interpolation: str = "nearest") -> Column:
     return F.when(n > 0, F.try_element_at(F.array_sort(F.collect_list(value)), (ranks[interpolation] + 1).cast("int")).cast("double"))
 
 
-def interpolated(value: Column, w: Window) -> Column:
-    """Linear fill of nulls between known values, by position."""
+def interpolated(value: Column, w: Window, backward: Window) -> Column:
+    """Linear fill of nulls between known values, by position; ``backward`` is ``w`` from the last row to the first."""
     row = F.row_number().over(w)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, backward))
     at = F.when(value.isNotNull(), F.struct(row.alias("r"), value.cast("double").alias("v")))
-    a, b = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(after)
+    a, b = F.last(at, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(after)
     between = a["v"] + (b["v"] - a["v"]) * F.try_divide(row - a["r"], b["r"] - a["r"])
     return F.when(value.isNotNull(), value.cast("double")).otherwise(between)
 

@@ -66,16 +66,16 @@ def interpolate_rows(df: DataFrame, order: Sequence[Column], columns: Sequence[s
     rows = row_index(df, order, "__ord").withColumn("__block", F.floor(F.col("__ord") / BLOCK_ROWS))
     known = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col("__ord").alias("r"), F.col(f"`{c}`").cast("double").alias("v"))) for c in columns}
     ends = rows.groupBy("__block").agg(*[f(known[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("__min", F.min), ("__max", F.max))])
-    along = Window.orderBy("__block")  # one row for each block
-    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    # One row for each block.  What follows is a running frame from the end, as frames that end with the table cost a pass for each row.
+    before, after = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__block"), F.desc("__block")))
     carried = [F.last(f"__max{i}", ignorenulls=True).over(before).alias(f"__a{i}") for i in range(len(columns))]
-    carried += [F.first(f"__min{i}", ignorenulls=True).over(after).alias(f"__b{i}") for i in range(len(columns))]
+    carried += [F.last(f"__min{i}", ignorenulls=True).over(after).alias(f"__b{i}") for i in range(len(columns))]
     rows = rows.join(ends.select("__block", *carried), "__block")
-    inside = Window.partitionBy("__block").orderBy("__ord")
+    so_far, to_come = (Window.partitionBy("__block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("__ord"), F.desc("__ord")))
     filled = {}
     for i, c in enumerate(columns):
-        a = F.coalesce(F.last(known[c], ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"__a{i}"))
-        b = F.coalesce(F.first(known[c], ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"__b{i}"))
+        a = F.coalesce(F.last(known[c], ignorenulls=True).over(so_far), F.col(f"__a{i}"))
+        b = F.coalesce(F.last(known[c], ignorenulls=True).over(to_come), F.col(f"__b{i}"))
         between = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("__ord") - a["r"], b["r"] - a["r"])
         filled[c] = F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").cast("double")).otherwise(between)
     return rows.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])

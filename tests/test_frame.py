@@ -242,6 +242,31 @@ def test_interpolation_over_blocks(session, monkeypatch, block):
     assert got == [None, 2.0, *(pytest.approx(2 + 8 * k / 7) for k in range(1, 7)), 10.0, 11.0, 12.0, None, None]
 
 
+@pytest.mark.parametrize("order", ["i", "-i"])
+def test_fills_look_both_ways(session, order):
+    values = [(0, None, "a"), (1, 2.0, "a"), (2, None, "b"), (3, None, "a"), (4, 8.0, "a"), (5, 9.0, "b"), (6, None, "a")]
+    f = send(session, values, "i int, v double, g string", order=(order,))
+    back = [r[1] for r in rows(f.select("i", col("v").backward_fill().alias("b")).sort("i"))]
+    assert back == ([2.0, 2.0, 8.0, 8.0, 8.0, 9.0, None] if order == "i" else [None, 2.0, 2.0, 2.0, 8.0, 9.0, 9.0])
+    line = [r[1] for r in rows(f.select("i", col("v").interpolate().over("g").alias("w")).sort("i"))]
+    assert line == [None, 2.0, None, 5.0, 8.0, 9.0, None]
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+@pytest.mark.parametrize("alpha", [1.0, 0.5, 0.05])
+def test_exponential_weights(session, alpha, adjust):
+    values = [None if i % 7 in (0, 3) or 300 < i < 500 else math.sin(i) * 10 for i in range(1200)]
+    got = [r[1] for r in rows(send(session, list(enumerate(values)), "i int, v double", order=("i",)).select("i", col("v").ewm_mean(alpha, adjust).alias("e")).sort("i"))]
+    total, weight, expected = 0.0, 0.0, []
+    for v in values:
+        if v is not None and adjust:
+            total, weight = total * (1 - alpha) + v, weight * (1 - alpha) + 1
+        elif v is not None:
+            total, weight = (v if weight == 0 else total * (1 - alpha) + v * alpha), 1.0
+        expected.append(total / weight if weight else None)
+    assert got == [None if e is None else pytest.approx(e, rel=1e-9, abs=1e-9) for e in expected]
+
+
 def test_quantiles(session):
     values = [(float(x),) for x in (1, 2, 3, 10)]
     f = send(session, values, "v double")
