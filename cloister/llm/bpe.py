@@ -2,7 +2,8 @@
 
 The pre-tokenizers of the two files never join text across white space, so a text is cut there first
 and every distinct chunk is encoded once per worker by the ``tokenizers`` library; most of a text is
-then a table lookup.  The ids are those of ``encode`` over the whole text.
+then a table lookup.  The ids are those of ``encode`` over the whole text.  With ``added_tokens`` the strings of the
+file's added tokens in a text get those tokens' ids, as ``encode`` does by itself; without, they are ordinary text.
 """
 
 from __future__ import annotations
@@ -30,10 +31,15 @@ class ChunkEncoder(dict):
     """Ids of texts as the bytes of little-endian unsigned 32-bit integers.  It is itself the cache: a chunk that is not
     in it is encoded, and kept while there is room; frequent chunks come early."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError(f"{path} has added tokens that are not found by their exact string")
+        self.added = {t.content: np.uint32(i).astype("<u4").tobytes() for i, t in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.fold = self.tokenizer.normalizer is not None
         self.pattern = _DROPPING if self.fold else _KEEPING
         self.model = self.tokenizer.model.tokenize
@@ -44,7 +50,13 @@ class ChunkEncoder(dict):
         return self.tokenizer.get_vocab_size()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.pattern.findall(text or "")))
+        text = text or ""
+        if not any(content in text for content in self.added):
+            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        parts = self.split(text)  # ordinary text and added tokens by turns
+        parts[::2] = [b"".join(map(self.__getitem__, self.pattern.findall(part))) for part in parts[::2]]
+        parts[1::2] = [self.added[content] for content in parts[1::2]]
+        return b"".join(parts)
 
     def __missing__(self, chunk: str) -> bytes:
         """A chunk of letters only (and a space before them) is a single word for the model, so it skips the tokenizer's
@@ -70,11 +82,11 @@ _BYTE_LEVEL = byte_level()
 _ID = [np.uint32(i).astype("<u4").tobytes() for i in range(1 << 16)]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, added_tokens: bool = False) -> ChunkEncoder:
     """The worker's encoder of a tokenizer file; its path is the same on all machines."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = ChunkEncoder(path, added_tokens)
+    return _encoders[path, added_tokens]

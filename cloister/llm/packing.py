@@ -76,9 +76,9 @@ def plan_bins(counts: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "bin", "place"]).astype("int64")
 
 
-def _tokenised(path: str, capacity: int, end_id: int):
+def _tokenised(path: str, capacity: int, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.uint32(end_id).astype("<u4").tobytes()
+        encode, end = encoder(path, added_tokens).encode, np.uint32(end_id).astype("<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
@@ -124,18 +124,19 @@ def _placed(plan: pd.DataFrame):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", added_tokens: bool = False
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row for each piece.
 
-    A document's ids are the tokenizer's and ``end_id``.  Only a document of more than ``capacity``
+    A document's ids are the tokenizer's and ``end_id``; with ``added_tokens`` those of an unmodified ``encode``, which
+    finds the file's added tokens in texts.  Only a document of more than ``capacity``
     ids is cut: the last pieces are full, the first holds the rest.  A null or empty text is a piece of
     one id, and repeated rows are packed each.  Sequences are numbered from 0; pieces lie in them
     without gaps from offset 0.  An empty table has no sequences.
     """
     plain = texts(docs, doc_id, text)
     # The table fixes which task numbered which piece, so a lost executor changes no rank.
-    pieces = materialise(plain.mapInArrow(_tokenised(tokenizer_path, capacity, end_id), _PIECES), "pieces")
+    pieces = materialise(plain.mapInArrow(_tokenised(tokenizer_path, capacity, end_id, added_tokens), _PIECES), "pieces")
     per_task = pieces.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     per_task = materialise(per_task.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
@@ -151,4 +152,4 @@ def pack_documents(
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)

@@ -72,9 +72,9 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _tokenised(path: str, end_id: int):
+def _tokenised(path: str, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack = encoder(path), zstandard.ZstdCompressor(level=1).compress
+        own, pack = encoder(path, added_tokens), zstandard.ZstdCompressor(level=1).compress
         kind = np.uint16 if own.vocabulary_size <= 1 << 16 and end_id < 1 << 16 else np.uint32
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
@@ -176,16 +176,18 @@ def read_shard(path: str, id_of: np.ndarray) -> Iterator[tuple[int | None, np.nd
             raise ValueError(f"{path} is cut short")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", added_tokens: bool = False
+) -> DataFrame:
     """Write ``docs`` as token shards in ascending doc_id order below ``folder``; the manifest, one row per shard:
     ``file, part, first_doc, n_docs, n_values, start`` with ``start`` the values of all shards before it.
 
-    Ids are the tokenizer's and ``end_id``.  A null text is empty; a null doc_id comes first; rows
-    with equal doc_ids are ordered by length and content.  An empty table has a manifest without rows.
+    Ids are the tokenizer's and ``end_id``; with ``added_tokens`` those of an unmodified ``encode``, which finds the file's
+    added tokens in texts.  A null text is empty; a null doc_id comes first; rows with equal doc_ids are ordered by length and content.  An empty table has a manifest without rows.
     """
     spark = docs.sparkSession
     plain = texts(docs, doc_id, text)
-    tokens = materialise(plain.mapInArrow(_tokenised(tokenizer_path, end_id), "doc_id long, n long, ids binary"), "token-ids")
+    tokens = materialise(plain.mapInArrow(_tokenised(tokenizer_path, end_id, added_tokens), "doc_id long, n long, ids binary"), "token-ids")
     seen = tokens.select("n", "ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = sorted(((-r["n"], r["id"]) for r in seen.collect()))  # at most a vocabulary
     id_of = np.array([i for _, i in ranks], "<u4")
@@ -232,5 +234,5 @@ def read_token_index(manifest: DataFrame, folder: str) -> DataFrame:
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-shards")
-    manifest = write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    manifest = write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
     return read_token_index(manifest, folder)
