@@ -159,7 +159,8 @@ class ShardStore:
 
     def _merge(self, groups: list[list[Shard]]) -> list[Shard]:
         """All groups of a round in one job: a group's files are read and written by one task, without a shuffle."""
-        parts = [self.spark.read.parquet(*(f"{self.path}/{s.path}" for s in group)).coalesce(1) for group in groups]
+        schema = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s.path}" for g in groups for s in g)).schema
+        parts = [self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.path}" for s in group)).coalesce(1) for group in groups]
         while len(parts) > 1:
             parts = [a.unionByName(b, allowMissingColumns=True) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
         return self._write(parts[0])
