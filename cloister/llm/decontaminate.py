@@ -180,10 +180,17 @@ def find_contamination(
     Null and wordless texts have no words; null and wordless items no windows; repeated items count
     once and repeated rows each.  With an empty benchmark nothing is hit.
     """
-    spark = docs.sparkSession
+    scanner = contamination_scanner(docs.sparkSession, benchmark, width, item_id, item_text, automaton_bytes)
+    return texts(docs, doc_id, text).mapInArrow(scanner, _RESULT)
+
+
+def contamination_scanner(
+    spark: SparkSession, benchmark: DataFrame, width: int = 10, item_id: str = "item_id", item_text: str = "text", automaton_bytes: int = AUTOMATON_BYTES
+):
+    """The columns of ``find_contamination`` for batches of ids and texts, their rows in order."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
     shards = [spark.sparkContext.broadcast(s) for s in window_shards(((r[0], r[1]) for r in items), width, automaton_bytes)]
-    return texts(docs, doc_id, text).mapInArrow(_scanner(shards), _RESULT)
+    return _scanner(shards)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,9 @@ def fit_languages(docs: DataFrame, **columns: str) -> LanguageModel | None:
     return train([x[2] for x in sample], [x[0] for x in sample])
 
 
-def _predicted(model: LanguageModel | None):
+def language_scorer(model: LanguageModel | None):
+    """The columns of ``identify_languages`` for batches of ids and texts, their rows in order."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lengths = batch["text"].str.len().fillna(0).to_numpy(np.int64)
@@ -187,7 +189,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, doc_id: str
     is rejected if it is below the model's bound.  Equal scores go to the language first in order.
     """
     plain = text_rows(docs, doc_id, text)
-    return plain.mapInPandas(_predicted(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return plain.mapInPandas(language_scorer(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

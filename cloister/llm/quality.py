@@ -199,7 +199,9 @@ def fit_quality(
     return train(vectors, features[order], found["label"].to_numpy(np.int64)[order])
 
 
-def _scored(model: QualityModel):
+def quality_scorer(model: QualityModel):
+    """Id and score for batches of ids and texts, their rows in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(1)):
@@ -216,7 +218,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
     its zero features like any other.  Repeated rows are scored each.
     """
     plain = texts(docs, doc_id, text)
-    return plain.mapInArrow(_scored(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return plain.mapInArrow(quality_scorer(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,53 +6,75 @@ the last stage packs what is left into sequences and returns one row for each pi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cloister.llm.common import by_ids, materialise, read_table
-from cloister.llm.decontaminate import find_contamination
-from cloister.llm.langid import fit_languages, identify_languages
+from cloister.llm.common import by_ids, materialise, read_table, texts
+from cloister.llm.decontaminate import contamination_scanner
+from cloister.llm.langid import fit_languages, language_scorer
 from cloister.llm.neardup import near_duplicates
 from cloister.llm.packing import pack_documents
-from cloister.llm.quality import fit_quality, score_quality
+from cloister.llm.quality import LEAST_SCORE, fit_quality, quality_scorer
 from cloister.sources.ship import ship_package
 
 #: No SQL form: the classifiers are trained and the packing is a search.  Tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``dropped``; rows without an id stay."""
-    return by_ids(docs, dropped.where("doc_id is not null"), "left_anti")
+def _kept(docs: DataFrame, scorer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """Rows of ``docs`` that ``keep`` marks in what ``scorer`` says of their own texts, whatever their ids; no shuffle.
+    ``scorer`` takes batches of ids and texts and returns their rows in order."""
+
+    @F.arrow_udf("boolean")
+    def kept(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = (pa.RecordBatch.from_arrays([pa.nulls(len(v), pa.int64()), v], names=["doc_id", "text"]) for v in values)
+        for found in scorer(rows):
+            yield keep(found)
+
+    texts(docs, "doc_id", "text")  # sets the size of Arrow batches
+    return docs.where(kept("text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language model rejects."""
-    found = identify_languages(docs, fit_languages(docs))
-    return _without(docs, found.where("rejected"))
+    score = language_scorer(fit_languages(docs))
+
+    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in score(pd.DataFrame({"doc_id": 0, "text": b.column(1).to_pandas()}) for b in batches):
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    return _kept(docs, scorer, lambda found: pc.invert(found.column("rejected")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose predicted quality is 0."""
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return _without(docs, score_quality(docs, model).where("predicted = 0"))
+    return _kept(docs, quality_scorer(model), lambda found: pc.greater_equal(found.column("score"), LEAST_SCORE))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near copies, and one row of it."""
-    found = near_duplicates(docs, words=5, percent=80)
-    kept = _without(docs, found.where("not kept"))
-    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = by_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id"])  # only rows that repeat an id are shuffled
-    return by_ids(kept, repeated, "left_anti").unionByName(once)
+    """Keeps one row, of the smallest doc_id, of each group of rows with near copies of a text; null ids come last.
+    Texts without words have no copies, but of rows that also share their doc_id one is kept."""
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")  # rows are told apart by a key of their own
+    found = near_duplicates(keyed, words=5, percent=80, doc_id="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    found = materialise(found.join(keyed.select("_row", "doc_id"), "_row"), "copies")
+    wordless = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("doc_id"))]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("first"))
+    kept = found.groupBy(*(g.alias(f"_{k}") for k, g in enumerate(group))).agg(first.alias("first")).select("first._row")
+    return by_ids(keyed, found.select("_row").join(kept, "_row", "left_anti"), "left_anti", "_row").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0"))
+    scanner = contamination_scanner(spark, read_table(spark, sf_dir, "benchmark"))
+    return _kept(docs, scanner, lambda found: pc.equal(found.column("n_hit"), 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
