@@ -4,6 +4,8 @@ A text's subwords are the 2-, 3- and 4-grams of letters within words, word ends
 and hashed into a fixed number of buckets.  A text is the mean of its subwords' embeddings; a linear softmax over that
 mean is trained, embeddings included, by stochastic gradient descent in numpy on a bounded sample of
 labelled rows.  Scores are calibrated by a temperature, and texts below a calibrated score are rejected.
+A score only compares the learned languages, so a text is also rejected if its subwords are rarer than those of clean
+texts of its length: each counts with its log frequency in the language that uses it most.
 Since averaging and the last layer are both linear, scoring needs one small table of bucket logits.
 """
 
@@ -31,6 +33,9 @@ FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 600, 40_000, 300
 #: that is less: texts that mix two languages stay, those of none of the languages go.
 LEAST_SCORE, CLEAN_REJECTED = 0.4, 0.0005
 
+#: Runs of so many words of each fitted text, and fewest runs of a length, that calibrate how rare subwords may be.
+RUN_WORDS, LEAST_RUNS = (1, 2, 4, 8, 16, 32), 100
+
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 _CHARS = 1 << 18
 
@@ -80,13 +85,57 @@ class LanguageModel:
     table: np.ndarray
     bias: np.ndarray
     least: float  # texts that score lower are rejected
+    known: np.ndarray  # log frequency of each bucket in the language that uses it most
+    least_known: np.ndarray  # texts of 2^i subwords or more whose mean of ``known`` is below value i are rejected
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities, number of subwords) of each text."""
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, number of subwords, whether these are too rare for the learned languages) of each text."""
         buckets, owner = subwords(texts)
         n = np.bincount(owner, minlength=len(texts))
         logits = np.stack([np.bincount(owner, self.table[buckets, k], len(texts)) for k in range(len(self.languages))], axis=1)
-        return softmax(logits / np.maximum(n, 1)[:, None] + self.bias), n
+        known = np.bincount(owner, self.known[buckets], len(texts)) / np.maximum(n, 1)
+        return softmax(logits / np.maximum(n, 1)[:, None] + self.bias), n, known < self.least_known[_size(n)]
+
+
+def _size(n: np.ndarray) -> np.ndarray:
+    """The power of two of each number of subwords."""
+    return np.log2(np.maximum(n, 1)).astype(int)
+
+
+def familiarity(texts: list[str], grams: list[np.ndarray], target: np.ndarray, languages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``known`` and ``least_known`` of a model.  The bound of each length is the low quantile of runs of words of the texts,
+    each judged by the counts of all texts but its own, so that no run vouches for itself."""
+    buckets = 1 << BUCKET_BITS
+    counts = np.zeros((languages, buckets), np.int64)
+    for g, k in zip(grams, target, strict=True):
+        counts[k] += np.bincount(g, minlength=buckets)
+    totals = counts.sum(axis=1)
+    logs = np.log((counts + 1) / (totals + buckets)[:, None]).astype(np.float32)
+    best, at = logs.max(axis=0), logs.argmax(axis=0)
+    second = np.full(buckets, -np.inf, np.float32)
+    for k in range(languages):
+        second = np.where(at == k, second, np.maximum(second, logs[k]))
+    rng, found, value = np.random.default_rng(seed), [[] for _ in range(64)], np.zeros(buckets, np.float32)
+    for text, g, k in zip(texts, grams, target, strict=True):
+        if not len(g):
+            continue
+        own, times = np.unique(g, return_counts=True)
+        rest = np.log((counts[k, own] - times + 1) / (totals[k] - len(g) + buckets))
+        value[own] = np.maximum(rest, np.where(at[own] == k, second[own], best[own]))
+        words, runs = text.split(), []
+        for n in RUN_WORDS:
+            start = int(rng.integers(max(1, len(words) - n + 1)))
+            runs.append(subwords([" ".join(words[start : start + n])])[0])
+        for run in runs:
+            if len(run):
+                found[int(_size(np.array(len(run))))].append(float(value[run].mean()))
+    least = np.full(64, -np.inf)
+    for i, values in enumerate(found):
+        least[i] = np.quantile(values, CLEAN_REJECTED) if len(values) >= LEAST_RUNS else -np.inf
+    seen = np.flatnonzero(np.isfinite(least))
+    if len(seen):
+        least[seen[-1] + 1 :] = least[seen[-1]]  # longer ones as the longest run: kinds of text differ by as much, however long they are
+    return best, np.minimum.accumulate(least[::-1])[::-1]  # shorter texts are never judged more strictly
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.8, seed: int = 5) -> LanguageModel | None:
@@ -134,7 +183,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     sure = softmax(logits / temperature)
     right = sure.max(axis=1)[sure.argmax(axis=1) == truth] if len(truth) else np.ones(1)
     least = min(LEAST_SCORE, float(np.quantile(right, CLEAN_REJECTED))) if len(right) else 0.0
-    return LanguageModel(languages, (table / temperature).astype(np.float32), bias / temperature, least)
+    return LanguageModel(languages, (table / temperature).astype(np.float32), bias / temperature, least, *familiarity(texts, grams, target, len(languages), seed))
 
 
 def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -170,11 +219,11 @@ def language_scorer(model: LanguageModel | None):
                 language, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 rejected = np.ones(len(texts), bool)
                 if model is not None:
-                    p, n = model.scores(texts)
+                    p, n, foreign = model.scores(texts)
                     has = n > 0
                     language[has] = np.array(model.languages, object)[p.argmax(axis=1)][has]
                     score[has] = p.max(axis=1)[has]
-                    rejected = ~has | (score < model.least)
+                    rejected = ~has | (score < model.least) | foreign
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": language, "score": score, "rejected": rejected})
                 start = end
 
@@ -186,7 +235,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, doc_id: str
 
     A null text or one without letters is ``und`` with score 0 and rejected; so is every text if there
     was nothing to learn from.  Otherwise ``score`` is the calibrated probability of ``lang_pred``, and a text
-    is rejected if it is below the model's bound.  Equal scores go to the language first in order.
+    is rejected if it is below the model's bound, or if its subwords are too rare in all learned languages.  Equal scores go to the language first in order.
     """
     plain = text_rows(docs, doc_id, text)
     return plain.mapInPandas(language_scorer(model), "doc_id long, lang_pred string, score double, rejected boolean")
