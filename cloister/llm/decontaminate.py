@@ -8,7 +8,9 @@ Documents are not shuffled: the automaton goes to them.
 
 from __future__ import annotations
 
+import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import read_table, texts
 
 #: Bytes of window text in one automaton, which takes about 36 times that.  A larger benchmark becomes several
-#: automata, of which a task holds one at a time.
+#: automata, of which a task holds one at a time; of the others a worker holds their compressed windows only.
 AUTOMATON_BYTES = 12 << 20
 #: With several automata, each scans so many bytes of documents before the next is built.
 SCAN_BYTES = 48 << 20
@@ -45,16 +47,16 @@ def item_windows(text: str | None, width: int) -> list[str]:
     return [f" {b' '.join(run).decode('latin-1')} " for run in runs]
 
 
-def window_shards(items: Iterator[tuple[str, str | None]], width: int, most: int = AUTOMATON_BYTES) -> Iterator[dict[str, list[str]]]:
+def window_shards(items: Iterator[tuple[str | None, str | None]], width: int, most: int = AUTOMATON_BYTES) -> Iterator[dict[str, list[str | None]]]:
     """Maps window -> ids of its items, each of bounded size."""
-    shard: dict[str, list[str]] = {}
+    shard: dict[str, list[str | None]] = {}
     size = 0
     for item, text in items:
         for window in item_windows(text, width):
             owners = shard.setdefault(window, [])
             if item not in owners[-1:]:
                 owners.append(item)
-                size += len(window) + len(item)
+                size += len(window) + len(item or "")
         if size >= most:
             yield shard
             shard, size = {}, 0
@@ -62,7 +64,7 @@ def window_shards(items: Iterator[tuple[str, str | None]], width: int, most: int
         yield shard
 
 
-def build_automaton(shard: dict[str, list[str]]) -> ahocorasick.Automaton:
+def build_automaton(shard: dict[str, list[str | None]]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for window, owners in shard.items():
         automaton.add_word(window, (len(window), owners))
@@ -111,7 +113,7 @@ def _scanner(shards: list[Broadcast]):
             key = f"{name}-{k}"
             if key not in _built:  # a reused worker keeps the last automaton
                 _built.clear()
-                _built[key] = build_automaton(shard.value)
+                _built[key] = build_automaton(pickle.loads(zlib.decompress(shard.value)))
             yield _built[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,7 @@ def _table(doc_ids: pa.Array, results: list[tuple]) -> pa.RecordBatch:
             doc_ids,
             pa.array([r[0] for r in results], pa.int64()),
             pa.array([r[1] for r in results], pa.int64()),
-            pa.array([sorted(r[2]) for r in results], pa.list_(pa.string())),
+            pa.array([sorted(r[2], key=lambda item: (item is None, item)) for r in results], pa.list_(pa.string())),
             pa.array([[{"start": a, "end": b} for a, b in r[3]] for r in results], pa.list_(span)),
         ],
         names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
@@ -178,7 +180,8 @@ def find_contamination(
     counts the words inside any occurrence of a benchmark window, ``item_ids`` (sorted as strings) are
     the items with such windows and ``spans`` the byte ranges of hit runs in the original UTF-8 text.
     Null and wordless texts have no words; null and wordless items no windows; repeated items count
-    once and repeated rows each.  With an empty benchmark nothing is hit.
+    once and repeated rows each.  Items without an id hit like others and are one null, last in ``item_ids``.
+    With an empty benchmark nothing is hit.
     """
     scanner = contamination_scanner(docs.sparkSession, benchmark, width, item_id, item_text, automaton_bytes)
     return texts(docs, doc_id, text).mapInArrow(scanner, _RESULT)
@@ -188,9 +191,9 @@ def contamination_scanner(
     spark: SparkSession, benchmark: DataFrame, width: int = 10, item_id: str = "item_id", item_text: str = "text", automaton_bytes: int = AUTOMATON_BYTES
 ):
     """The columns of ``find_contamination`` for batches of ids and texts, their rows in order."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
-    shards = [spark.sparkContext.broadcast(s) for s in window_shards(((r[0], r[1]) for r in items), width, automaton_bytes)]
-    return _scanner(shards)
+    items = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
+    shards = window_shards(((r[0], r[1]) for r in items), width, automaton_bytes)
+    return _scanner([spark.sparkContext.broadcast(zlib.compress(pickle.dumps(shard))) for shard in shards])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,20 @@ def test_operator(spark, automaton_bytes):
     nothing = find_contamination(docs, bench.limit(0), width=3).collect()
     assert len(nothing) == len(rows) and not any(r["n_hit"] for r in nothing)
     assert find_contamination(docs.limit(0), bench).collect() == []
+
+
+def test_items_without_id_hit_as_the_sql_says(spark, tmp_path):
+    import duckdb
+
+    from cloister.llm.decontaminate import OP2_SQL, op2_decontaminate
+
+    bench = [(None, "a b c d e f g h i j"), (None, "go on"), (3, "go on"), (4, None)]
+    docs = [(1, "x A b c d e f g h i j y"), (2, "we go on, go on"), (3, None), (4, "a b c")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in op2_decontaminate(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(con.execute(OP2_SQL).fetchall())
+    assert [r[2:4] for r in got] == [(10, 1), (4, 2), (0, 0), (0, 0)]
