@@ -144,7 +144,8 @@ def pack_documents(
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         counts[row["length"]] = row["n"]
     plan = plan_bins(counts, capacity)
-    ranked = pieces.join(per_task, ["length", "_task"]).withColumn("_rank", F.col("_local") + F.col("_before"))
+    # One row for each length and task grows with the tasks, so it goes to the pieces by a shuffle, whatever its size.
+    ranked = pieces.join(per_task.hint("shuffle_hash"), ["length", "_task"]).withColumn("_rank", F.col("_local") + F.col("_before"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*columns, "_rank").mapInPandas(
         _placed(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
