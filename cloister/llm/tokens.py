@@ -228,7 +228,7 @@ def read_token_index(manifest: DataFrame, folder: str) -> DataFrame:
     with store.open_input_stream(f"{root}/ranks.u32", compression=None) as src:
         id_of = np.frombuffer(src.read(), "<u4")
     files = manifest.select("file", "start")
-    files = files.repartition(max(1, min(files.count(), 10_000)))  # files are read side by side
+    files = files.repartition(max(1, files.count()))  # each file is read by a task of its own
     return files.mapInPandas(_read(folder, id_of), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
