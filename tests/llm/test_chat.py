@@ -49,3 +49,17 @@ def test_hot_first_turn(spark):
     rows = [(i, 0, "user", "hello", "x") for i in range(3000)] + [(i, 1, "assistant", str(i % 7), "x") for i in range(1000)]
     got = _run(spark, rows)
     assert set(got) == set(range(7))
+
+
+def test_rows_without_conversation_are_their_own(spark):
+    rows = [(None, k, "user", "same", "x") for k in range(5)] + [(None, 1, "user", "lone", "x"), (None, 1, None, None, "x"), (None, 2, "user", "first", "x"), (4, 0, "user", "first", "x"), (4, 1, "user", "b", "x"), (9, 0, "user", "same", "x")]
+    found = [(r["conv_id"], r["n_turns"], r["rendered"]) for r in format_chats(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted((c, n, t.split("\n")[1][:-10]) for c, n, t in found if c is not None) == [(4, 2, "first"), (9, 1, "same")]
+    assert sorted(t.split("\n")[1][:-10] for c, n, t in found if c is None) == ["", "lone"]
+    conversations = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("conv_id", "turn", "role", "text"))})  # noqa: F841
+    assert sorted(map(str, found)) == sorted(str(r[:3]) for r in duckdb.sql(OP1_SQL).fetchall())
+
+
+def test_long_conversation(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k}", "x") for k in range(5000)] + [(2, k, "user" if k % 2 else "assistant", f"turn {k}", "x") for k in range(4999)]
+    assert _run(spark, rows).keys() == {1}
