@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lineage
-from .functions.expr import Compile, Expr, as_expr, col, count, duration_micros, expand, lit, quantile, split_duration
+from .functions.expr import ORDER, Compile, Expr, as_expr, col, count, duration_micros, expand, lit, quantile, split_duration
 from .operators import cleaning, ordered, plots
-from .session import GuardSession, UnsupportedOperation
+from .session import GuardSession, RequestRejected, UnsupportedOperation
 
 Names = str | Sequence[str]
 
@@ -26,6 +26,11 @@ def _flat(values: Sequence) -> list:
     return [x for v in values for x in (v if isinstance(v, (list, tuple)) else [v])]
 
 
+def _estimated(estimator: str, column: str | None) -> dict[str, str | None]:
+    """An estimate that is one of the column's values shows it."""
+    return {"value": column} if estimator in ("min", "max", "median") else {}
+
+
 class GuardedFrame:
     """A lazy table.  ``order`` names the columns that give its rows an order ("-name" for descending)."""
 
@@ -128,12 +133,14 @@ class GuardedFrame:
         return df, columns
 
     def _sensitive(self, exprs: Sequence[Expr], base: frozenset[str]) -> frozenset[str]:
-        """Columns that show a sensitive one, under whatever name; an aggregate does so only by its name."""
+        """Columns that show a sensitive one, under whatever name.  An aggregate that shows no value, such as a sum, is
+        sensitive only if it has the name of a sensitive column."""
         found = set(base)
         for e in exprs:
-            if (not e.aggregated and set(e.roots) & self.blacklist) or (e.aggregated and e.name in self.blacklist):
+            shown = {n for r in e.shown for n in ([o.lstrip("-") for o in self.order] if r == ORDER else [r])}
+            if shown & self.blacklist or (e.aggregated and e.name in self.blacklist):
                 found.add(e.name)
-            elif e.name in found and not set(e.roots) & self.blacklist:
+            else:
                 found.discard(e.name)
         return frozenset(found)
 
@@ -258,7 +265,8 @@ class GuardedFrame:
 
     def unnest(self, names: Names) -> GuardedFrame:
         names = _names(names)
-        return self._with(self.df.select(*[F.col(f"`{c}`.*") if c in names else F.col(f"`{c}`") for c in self.df.columns]), "unnest()")
+        fields = {f.name for n in names if n in self.blacklist for f in self.df.schema[n].dataType}
+        return self._with(self.df.select(*[F.col(f"`{c}`.*") if c in names else F.col(f"`{c}`") for c in self.df.columns]), "unnest()", blacklist=(self.blacklist - set(names)) | fields)
 
     def explode(self, columns: Names) -> GuardedFrame:
         """List elements as rows, several columns side by side; an empty or null list gives a row with nulls."""
@@ -274,6 +282,8 @@ class GuardedFrame:
         return self._with(cleaning.melt(self.df, _names(id_vars), values, variable_name, value_name), "melt()", blacklist=frozenset(sensitive))
 
     def to_dummies(self, column: str, values: Sequence | None = None) -> GuardedFrame:
+        if column in self.blacklist and values is None:
+            raise RequestRejected(f"the values of {column} must not become column names")
         df = cleaning.to_dummies(self.df, column, values)
         sensitive = self.blacklist | ({c for c in df.columns if c.startswith(f"{column}_")} if column in self.blacklist else set())
         return self._with(df, f"to_dummies({column})", blacklist=frozenset(sensitive))
@@ -368,6 +378,8 @@ class GuardedFrame:
 
     def partition_by(self, column: str) -> dict:
         """A frame for each value of a column of few values."""
+        if column in self.blacklist:
+            raise RequestRejected(f"the values of {column} must not be shown")
         values = [r[0] for r in self.df.select(column).distinct().orderBy(column).limit(1001).collect()]
         if len(values) > 1000:
             raise ValueError(f"{column} has more than 1000 values")
@@ -431,7 +443,9 @@ class GuardedFrame:
         out = [F.coalesce(*of[c]).alias(c) if c in of else F.col(f"`{c}`") for c in self.df.columns]
         out += [F.col(f"`{c + suffix if c in self.df.columns else c}`") for c in kept]
         provenance = lineage.merged(lineage.scaled(self.provenance, lambda: matches()[0]), lineage.scaled(other.provenance, lambda: matches()[1]))
-        return self._with(joined.select(*out), f"join({how})", provenance, self.blacklist | self._renamed(other, suffix, dropped))
+        # The keys of an outer join also show the right side's keys.
+        keys = {k.name for k, theirs in zip(left_keys, right_keys, strict=True) if k.name in of and set(theirs.shown) & other.blacklist}
+        return self._with(joined.select(*out), f"join({how})", provenance, self.blacklist | keys | self._renamed(other, suffix, dropped))
 
     def _renamed(self, other: GuardedFrame, suffix: str, dropped) -> frozenset[str]:
         return frozenset(c + suffix if c in self.df.columns else c for c in other.blacklist if c not in dropped)
@@ -472,19 +486,21 @@ class GuardedFrame:
 
     # Plot tables.
 
-    def _plot(self, df: DataFrame, step: str, keys: Sequence[Column] | None = None) -> GuardedFrame:
+    def _plot(self, df: DataFrame, step: str, keys: Sequence[Column] | None = None, shows: dict[str, str | None] | None = None) -> GuardedFrame:
+        """``shows``: the columns of the table that show values of a column of the frame under another name."""
+        sensitive = self.blacklist | {new for new, source in (shows or {}).items() if source in self.blacklist}
         if keys is None:
-            return self._with(df, step, order=())
+            return self._with(df, step, blacklist=sensitive, order=())
         size = (lambda: lineage.smallest_group(self.df, keys)) if keys else (lambda: math.inf)
-        return self._with(df, step, lineage.aggregated(self.provenance, size), order=())
+        return self._with(df, step, lineage.aggregated(self.provenance, size), sensitive, ())
 
     def histplot(self, x: str, y: str | None = None, bins: float = 10) -> GuardedFrame:
         keys = [F.floor(F.col(x) / bins), *([F.col(y)] if y else [])]
-        return self._plot(plots.histogram(self.df, x, bins, y), "histplot()", keys)
+        return self._plot(plots.histogram(self.df, x, bins, y), "histplot()", keys, {"bin": x})
 
     def barplot(self, x: str | None = None, y: str | None = None, hue: str | None = None, estimator: str = "mean") -> GuardedFrame:
         keys = [F.col(k) for k in ([x, *([hue] if hue else [])] if x and y else [])]
-        return self._plot(plots.bars(self.df, x, y, hue, estimator), "barplot()", keys)
+        return self._plot(plots.bars(self.df, x, y, hue, estimator), "barplot()", keys, _estimated(estimator, y or x))
 
     def lineplot(self, x: str, y: str, hue=None, size=None, style=None, units=None) -> GuardedFrame:
         return self._plot(plots.lines(self.df, x, y, hue, size, style, units), "lineplot()")
@@ -493,10 +509,10 @@ class GuardedFrame:
         return self._plot(plots.points(self.df, x, y, hue), "scatterplot()")
 
     def boxplot(self, y: str, x: str | None = None) -> GuardedFrame:
-        return self._plot(plots.boxes(self.df, y, x), "boxplot()", [F.col(x)] if x else [])
+        return self._plot(plots.boxes(self.df, y, x), "boxplot()", [F.col(x)] if x else [], dict.fromkeys(("min", "q25", "median", "q75", "max", "iqr"), y))
 
     def pieplot(self, parts: str, labels: str) -> GuardedFrame:
-        return self._plot(plots.pie(self.df, parts, labels), "pieplot()")
+        return self._plot(plots.pie(self.df, parts, labels), "pieplot()", shows={"label": labels, "percent": parts})
 
     def facet(self, col: str | None = None, row: str | None = None) -> Facet:
         plots.known(self.df, col, row)
@@ -517,11 +533,11 @@ class Facet:
 
     def histplot(self, x: str, bins: float = 10) -> GuardedFrame:
         df = plots.facet_counts(self.frame.df, x, bins, self.col, self.row)
-        return self.frame._plot(df, "facet.histplot()", [*self._keys(), F.floor(F.col(x) / bins)])
+        return self.frame._plot(df, "facet.histplot()", [*self._keys(), F.floor(F.col(x) / bins)], {"bin": x})
 
     def barplot(self, x: str, y: str, estimator: str = "mean") -> GuardedFrame:
         df = plots.facet_bars(self.frame.df, x, y, estimator, self.col, self.row)
-        return self.frame._plot(df, "facet.barplot()", [*self._keys(), F.col(x)])
+        return self.frame._plot(df, "facet.barplot()", [*self._keys(), F.col(x)], _estimated(estimator, y))
 
     def scatterplot(self, x: str, y: str, hue: str | None = None) -> GuardedFrame:
         return self.frame._plot(self.frame.df.select(*plots.known(self.frame.df, self.col, self.row, x, y, hue)), "facet.scatterplot()")

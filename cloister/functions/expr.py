@@ -3,7 +3,7 @@
 An expression compiles to a Spark ``Column`` in a context: an aggregate stays an aggregate in
 ``groupby().agg`` and in an all-aggregate ``select``, becomes a window aggregate under ``over``, and
 otherwise refers to a one-row table of aggregates that the frame joins to its rows.  Each expression
-knows whether it is aggregated, which the guard needs, and the columns it comes from.
+knows whether it is aggregated, which the guard needs, the columns it comes from, and those whose values it may show.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Stands for the frame's order columns among the columns that an expression shows, and for each selected column.
+ORDER, EACH = "<order>", "<each>"
+
 #: Weights of an exponentially weighted mean below one in two to this power are left out.
 _WEIGHT_BITS = 60
 
@@ -75,6 +78,7 @@ class Expr:
     columns: Callable[[T.StructType], list[str]] | None = None  # of a selector of several columns
     suffix_: str = ""
     listed: bool = False  # lists a group's values: one row for each group, though not an aggregate to the guard
+    shown: tuple[str, ...] = ()  # columns whose values the result may show; counts, sums, means and deviations show none
 
     # Naming.
 
@@ -99,6 +103,10 @@ class Expr:
 
         return replace(self, build=build, aggregated=True)
 
+    def summary(self, f: Callable[[Column], Column]) -> Expr:
+        """An aggregate that shows no value of its column."""
+        return replace(self.agg(f), shown=())
+
     def window(self, f: Callable[[Column, Window], Column]) -> Expr:
         """An order-dependent function of each row."""
         return replace(self, build=lambda c: f(self.build(c), c.ordered()))
@@ -106,7 +114,8 @@ class Expr:
     def _binary(self, other, f: Callable[[Column, Column], Column]) -> Expr:
         other = lift(other)
         named = self if self.roots else other
-        return Expr(lambda c: f(self.build(c), other.build(c)), named.name, self.aggregated and other.aggregated, (*self.roots, *other.roots), self.columns, self.suffix_)
+        shown = (*self.shown, *other.shown)
+        return Expr(lambda c: f(self.build(c), other.build(c)), named.name, self.aggregated and other.aggregated, (*self.roots, *other.roots), self.columns, self.suffix_, shown=shown)
 
     def __add__(self, o):
         return self._binary(o, lambda a, b: a + b)
@@ -215,7 +224,7 @@ class Expr:
     # Aggregates.
 
     def sum(self):
-        return self.agg(F.sum)
+        return self.summary(F.sum)
 
     def min(self):
         return self.agg(F.min)
@@ -224,33 +233,33 @@ class Expr:
         return self.agg(F.max)
 
     def mean(self):
-        return self.agg(F.avg)
+        return self.summary(F.avg)
 
     def median(self):
         return self.agg(F.median)
 
     def std(self, ddof: int = 1):
-        return self.agg(F.stddev_samp if ddof == 1 else F.stddev_pop)
+        return self.summary(F.stddev_samp if ddof == 1 else F.stddev_pop)
 
     def var(self, ddof: int = 1):
-        return self.agg(F.var_samp if ddof == 1 else F.var_pop)
+        return self.summary(F.var_samp if ddof == 1 else F.var_pop)
 
     def quantile(self, q: float, interpolation: str = "nearest"):
         return self.agg(lambda a: quantile(a, q, interpolation))
 
     def count(self):
         """Length of the group, nulls included."""
-        return self.agg(lambda a: F.count(F.lit(1)))
+        return self.summary(lambda a: F.count(F.lit(1)))
 
     def len(self):
         return self.count()
 
     def n_unique(self):
         """Distinct values; null is one of them."""
-        return self.agg(lambda a: F.count_distinct(a) + F.max(a.isNull().cast("int")))
+        return self.summary(lambda a: F.count_distinct(a) + F.max(a.isNull().cast("int")))
 
     def null_count(self):
-        return self.agg(lambda a: F.sum(a.isNull().cast("long")))
+        return self.summary(lambda a: F.sum(a.isNull().cast("long")))
 
     def list(self):
         return self.agg(F.collect_list)
@@ -277,26 +286,27 @@ class Expr:
         return self.agg(F.product)
 
     def skew(self):
-        return self.agg(F.skewness)
+        return self.summary(F.skewness)
 
     def kurtosis(self):
-        return self.agg(F.kurtosis)
+        return self.summary(F.kurtosis)
 
     def dot(self, other):
         return (self * other).sum()
 
     def arg_max(self):
+        """The value of the frame's first order column in the row of the largest value."""
         return self._arg(F.max_by)
 
     def arg_min(self):
         return self._arg(F.min_by)
 
     def _arg(self, pick):
-        return replace(self, build=lambda c: c.aggregate(pick(F.struct(*c.order)[0], self.build(Compile("agg", current=c.current)))), aggregated=True)
+        return replace(self, build=lambda c: c.aggregate(pick(c.order[0], self.build(Compile("agg", current=c.current)))), aggregated=True, shown=(*self.shown, ORDER))
 
     def filter(self, predicate: Expr):
         """Null where the predicate does not hold, so that an aggregate above skips the row."""
-        return replace(self, build=lambda c: F.when(predicate.build(c), self.build(c)), roots=(*self.roots, *predicate.roots))
+        return replace(self, build=lambda c: F.when(predicate.build(c), self.build(c)), roots=(*self.roots, *predicate.roots), shown=(*self.shown, *predicate.shown))
 
     def sort_by(self, by: Expr, reverse: bool = False):
         """The group's values as a list in the order of another expression."""
@@ -339,7 +349,9 @@ class Expr:
             inner = replace(c, windowed=True, partition=tuple(k.build(c) for k in keys))
             return self.build(inner)
 
-        return replace(self, build=build, roots=(*self.roots, *(r for k in keys for r in k.roots)))
+        # A partition may be one row, so whatever is aggregated over it may be shown.
+        roots = (*self.roots, *(r for k in keys for r in k.roots))
+        return replace(self, build=build, roots=roots, aggregated=False, shown=(*roots, *self.shown))
 
     def shift(self, n: int = 1, fill=None):
         return self.window(lambda a, w: (F.lag(a, n, fill) if n >= 0 else F.lead(a, -n, fill)).over(w))
@@ -813,11 +825,11 @@ def interpolated(value: Column, w: Window, backward: Window) -> Column:
 
 
 def col(name: str) -> Expr:
-    return Expr(lambda c: F.col(f"`{name}`"), name, False, (name,))
+    return Expr(lambda c: F.col(f"`{name}`"), name, False, (name,), shown=(name,))
 
 
 def _several(columns: Callable[[T.StructType], list[str]]) -> Expr:
-    return Expr(lambda c: F.col(f"`{c.current}`"), "*", False, (), columns)
+    return Expr(lambda c: F.col(f"`{c.current}`"), "*", False, (), columns, shown=(EACH,))
 
 
 def cols(*names: str) -> Expr:
@@ -868,7 +880,7 @@ class When:
             out = functools.reduce(lambda acc, case: acc.when(case[0].build(c), case[1].build(c)), self.cases[1:], F.when(self.cases[0][0].build(c), self.cases[0][1].build(c)))
             return out.otherwise(value.build(c))
 
-        return Expr(build, self.cases[0][1].name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots))
+        return Expr(build, self.cases[0][1].name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots), shown=tuple(r for p in parts for r in p.shown))
 
 
 def when(condition: Expr) -> When:
@@ -876,7 +888,7 @@ def when(condition: Expr) -> When:
 
 
 def _all(parts: Sequence[Expr], f: Callable[..., Column], name: str) -> Expr:
-    return Expr(lambda c: f(*[p.build(c) for p in parts]), name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots))
+    return Expr(lambda c: f(*[p.build(c) for p in parts]), name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots), shown=tuple(r for p in parts for r in p.shown))
 
 
 def concat_str(parts: Sequence, separator: str = "") -> Expr:
@@ -910,5 +922,5 @@ def expand(exprs: Sequence[Expr], schema: T.StructType) -> list[Expr]:
             out.append(e)
         for name in e.columns(schema) if e.columns else []:
             build = lambda c, e=e, name=name: e.build(replace(c, current=name))
-            out.append(replace(e, build=build, name=name + e.suffix_, roots=(name, *e.roots), columns=None))
+            out.append(replace(e, build=build, name=name + e.suffix_, roots=(name, *e.roots), shown=tuple(name if r == EACH else r for r in e.shown), columns=None))
     return out

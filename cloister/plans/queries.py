@@ -717,6 +717,23 @@ def sanitize_alias(t):
     return c.select("c_custkey", "c_name", col("c_name").alias("who"), "c_acctbal").fetch()
 
 
+@query("SELECT c_mktsegment, NULL::VARCHAR AS low, NULL::VARCHAR AS top, NULL::VARCHAR AS usual, NULL::INT AS longest, count(DISTINCT c_name) AS names, NULL::DOUBLE AS most, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_mktsegment")
+def sanitize_aggregates(t):
+    """Aggregates that show a value of a sensitive column are null under any name; counts and sums are not."""
+    n, b = col("c_name"), col("c_acctbal")
+    return t("customer", "c_custkey", sanitized=("c_name", "c_acctbal")).groupby("c_mktsegment").agg(
+        n.min().alias("low"), n.last().str.to_uppercase().alias("top"), n.mode().alias("usual"), n.str.n_chars().max().alias("longest"), n.n_unique().cast("long").alias("names"), b.max().alias("most"), r(b.sum(), 2).alias("total")
+    ).fetch()
+
+
+@query("SELECT NULL::VARCHAR AS who, NULL::VARCHAR AS big, c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def sanitize_sql(t):
+    from cloister.plans.sql import sql
+
+    c = t("customer", sanitized=("c_name",)).rename({"c_name": "person"})
+    return sql("WITH a AS (SELECT person AS p, c_mktsegment FROM {}) SELECT max(p) AS who, upper(min(p)) AS big, c_mktsegment, count(p) AS n FROM a GROUP BY c_mktsegment", c).fetch()
+
+
 @query("SELECT l_returnflag, round(avg(l_quantity), 4) AS mean_qty FROM lineitem GROUP BY l_returnflag")
 def guard_fetch_safe(t):
     f = t("lineitem", policy=Policy(Aggregation(10))).groupby("l_returnflag").agg(r(col("l_quantity").mean()).alias("mean_qty"))

@@ -48,7 +48,7 @@ def sql(text: str, *frames: GuardedFrame) -> GuardedFrame:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     provenance = lineage.once(lambda: _provenance(df, list(used.values()), session.strict))
-    sensitive = frozenset(c for c in df.columns if any(c in f.blacklist for f in used.values())) | _shown(df, used)
+    sensitive = _shown(df, frozenset(c for f in used.values() for c in f.blacklist))
     return GuardedFrame(session, df, provenance, sensitive, (), None, f"sql({text})")
 
 
@@ -68,8 +68,7 @@ def _check(spark, text: str, allowed: set[str]) -> None:
 
 
 def _nodes(plan) -> list:
-    children = plan.children()
-    return [children.apply(i) for i in range(children.size())]
+    return _sequence(plan.children())
 
 
 def _outputs(plan) -> dict[str, str]:
@@ -77,31 +76,75 @@ def _outputs(plan) -> dict[str, str]:
     return {str(out.apply(i).exprId().id()): out.apply(i).name() for i in range(out.size())}
 
 
-def _shown(df: DataFrame, used: dict[str, GuardedFrame]) -> frozenset[str]:
-    """Output columns that refer, under any name, to a sensitive column: attribute ids are followed through projections."""
+#: Aggregates that show no value of what they aggregate.
+SUMMARIES = {"count", "count_if", "approx_count_distinct", "sum", "try_sum", "avg", "try_avg", "mean", "std", "stddev", "stddev_samp", "stddev_pop", "variance", "var_samp", "var_pop", "skewness", "kurtosis", "corr", "covar_pop", "covar_samp"}
+
+
+def _sequence(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _shown(df: DataFrame, secret: frozenset[str]) -> frozenset[str]:
+    """Output columns that may show a sensitive column, under any name.
+
+    Attribute ids are followed from the leaves of the analysed plan up.  An expression over a hidden attribute is hidden, inside
+    aggregates too, unless it is within one of ``SUMMARIES`` that is not a window's.  Where a node makes
+    new attributes in another way than by named expressions, they are hidden if anything below it is.
+    """
+    if not secret:
+        return frozenset()
     hidden: set[str] = set()
-    secret = {c for f in used.values() for c in f.blacklist}
-    found: set[str] = set()
+    shared: dict[str, list[bool]] = {}  # columns of common table expressions
+
+    def shows(e) -> bool:
+        kind = e.getClass().getSimpleName()
+        if kind == "AttributeReference":
+            return str(e.exprId().id()) in hidden
+        if kind == "OuterReference":
+            return shows(e.e())
+        if kind == "AggregateExpression" and e.aggregateFunction().prettyName() in SUMMARIES:
+            return False
+        if kind == "WindowExpression":  # a partition may be one row
+            return any(map(any_attribute, _sequence(e.children())))
+        if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+            walk(e.plan())
+            return any(i in hidden for i in _outputs(e.plan()))
+        return any(map(shows, _sequence(e.children())))
+
+    def any_attribute(e) -> bool:
+        return str(e.exprId().id()) in hidden if e.getClass().getSimpleName() == "AttributeReference" else any(map(any_attribute, _sequence(e.children())))
 
     def walk(plan) -> None:
-        for child in _nodes(plan):
+        name = plan.nodeName()
+        if name == "WithCTE":
+            for definition in _sequence(plan.cteDefs()):
+                walk(definition.child())
+                shared[str(definition.id())] = [i in hidden for i in _outputs(definition.child())]
+            walk(plan.plan())
+        elif name == "CTERelationRef":
+            hidden.update(i for i, h in zip(_outputs(plan), shared.get(str(plan.cteId()), []), strict=False) if h)
+        below = [] if name == "WithCTE" else _nodes(plan)
+        for child in below:
             walk(child)
-        if not _nodes(plan):
-            hidden.update(i for i, n in _outputs(plan).items() if n in secret)
-            return
-        if plan.nodeName() == "Aggregate":
-            return  # an aggregate shows a sensitive column only by its name
-        expressions = plan.expressions()
-        for i in range(expressions.size()):
-            e = expressions.apply(i).toString()
-            m = re.match(r"(?s)(.*) AS .*#(\d+)L?$", e)
-            if m and any(f"#{h}" in re.findall(r"#\d+", m[1]) for h in hidden):
-                hidden.add(m[2])
+        outputs = _outputs(plan)
+        hidden.update(i for i, n in outputs.items() if n in secret)
+        named = {"Project": "projectList", "Aggregate": "aggregateExpressions", "Window": "windowExpressions"}.get(name)
+        if named:
+            for e in _sequence(getattr(plan, named)()):
+                if shows(e):
+                    hidden.add(str(e.exprId().id()))
+        elif name in ("Union", "Intersect", "Except"):
+            for position, i in enumerate(outputs):
+                if any(list(_outputs(child))[position] in hidden for child in below):
+                    hidden.add(i)
+        elif below:
+            known = {i for child in below for i in _outputs(child)}
+            if known & hidden:
+                hidden.update(i for i in outputs if i not in known)
 
     plan = df._jdf.queryExecution().analyzed()
     walk(plan)
-    found.update(n for i, n in _outputs(plan).items() if i in hidden)
-    return frozenset(found)
+    return frozenset(n for i, n in _outputs(plan).items() if i in hidden)
 
 
 def _provenance(df: DataFrame, frames: list[GuardedFrame], strict: bool) -> dict[str, Stats]:
