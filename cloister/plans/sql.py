@@ -159,7 +159,12 @@ def _provenance(df: DataFrame, frames: list[GuardedFrame], strict: bool) -> dict
         for k, s in f.provenance().items():
             base[k] = base[k].merge(s) if k in base else s
 
+    whole = df._jdf.queryExecution().analyzed()
+    common: dict[str, dict[str, Stats]] = {}  # of the query's common table expressions
+
     def frame(plan) -> DataFrame:
+        if whole.nodeName() == "WithCTE":
+            plan = spark._jvm.org.apache.spark.sql.catalyst.plans.logical.WithCTE(plan, whole.cteDefs())
         return DataFrame(dataset.ofRows(spark._jsparkSession, plan), spark)
 
     def combined(parts: list[dict[str, Stats]]) -> dict[str, Stats]:
@@ -176,8 +181,14 @@ def _provenance(df: DataFrame, frames: list[GuardedFrame], strict: bool) -> dict
         return {k: Stats(product(s.agg_size, size), product(s.join_scaling, scaling)) for k, s in stats.items()}
 
     def walk(plan) -> dict[str, Stats]:
-        children = _nodes(plan)
         name = plan.nodeName()
+        if name == "WithCTE":
+            for definition in _sequence(plan.cteDefs()):
+                common[str(definition.id())] = walk(definition.child())
+            return walk(plan.plan())
+        if name == "CTERelationRef":
+            return common.get(str(plan.cteId()), dict(base))
+        children = _nodes(plan)
         if not children:
             return dict(base)
         found = [walk(c) for c in children]
@@ -209,4 +220,4 @@ def _provenance(df: DataFrame, frames: list[GuardedFrame], strict: bool) -> dict
             return combined([times(found[0], scaling=more), times(found[1], scaling=less)])
         return combined(found)
 
-    return walk(df._jdf.queryExecution().analyzed())
+    return walk(whole)
