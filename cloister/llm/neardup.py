@@ -5,11 +5,11 @@ kept, so 64 hash evaluations give 128 signature values with less variance than 1
 32 bands of four values (two permutations) find candidates: a pair of similarity 0.8 is missed by all
 bands with probability (1 - 0.8^4)^32, about 5e-8.  Every candidate is confirmed on the full sets.
 
-Texts with equal word sequences are one node (its smallest doc_id).  In each band bucket all members
-are compared with one hub, which settles most groups with as many comparisons as members.  The members of a
-hub's buckets that are then still in different components are compared exactly with each
-other, by blocks of a 0/1 matrix product that return a spanning forest.  No member, bucket or
-partner is capped, and pairs within a group are not written out.
+Texts with equal word sequences are one node.  In each band bucket all members are compared with one hub, which settles most
+groups with as many comparisons as members.  What is still in different components is compared with a few leaders, members that
+are near most of a sample of their hub's group.  The rest is compared exactly with each other, in blocks: sketches first, then
+the texts of members that have a likely partner, by a 0/1 matrix product that returns a
+spanning forest.  No member, bucket or partner is capped, and pairs within a group are not written out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, materialise, read_table, texts as text_rows
@@ -31,7 +31,9 @@ BANDS = 32
 #: Pairs whose share of equal signature bytes is lower than similarity minus this are not looked at further (5.7 sigma).
 ESTIMATE_SLACK = 0.2
 #: A task compares the members of two blocks of about so many members and shingles, so many shared shingles at a time.
-BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 4096
+BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 512, 1_000_000, 4096
+#: Members of a hub's group from which its leaders are chosen, and leaders at most; the choice changes the work, not the result.
+LEADER_SAMPLE, LEADERS = 64, 8
 _FACTORS = np.random.default_rng(7).integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
 
@@ -134,32 +136,93 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _keyed(words: int):
+    """``doc_id, key, text`` of batches of ids and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in text_slices(batch.column(1)):
+                found = find_words(data, offsets, space_table(), lower_table())
+                keys = [_sequence_key(found.hashes[found.first[d] : found.first[d + 1]]) for d in range(end - start)]
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), part.column(1)], names=["doc_id", "key", "text"])
+
+    return run
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links; every filter before the last is exact or errs towards keeping."""
-    side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
     near = materialise(near.mapInArrow(_likely(percent), "a long, b long"), "pairs")
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}"))
+    text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
     full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
     return materialise(full.mapInArrow(_confirm(words, percent), "a long, b long"), "linked")
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``hub, node, component`` of the members of hubs whose members are in several components, hubs left out."""
+    placed = members.join(roots, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+    return materialise(placed.join(several, "hub", "left_semi"), "open-members")
+
+
+def _leaders(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``hub, leader``: members that are likely links of most of a bounded sample of the hub's members."""
+    order = Window.partitionBy("hub").orderBy(F.xxhash64("node"), "node")
+    sample = members.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LEADER_SAMPLE)
+    return sample.join(nodes.select("node", "sketch"), "node").select("hub", "node", "sketch").groupBy("hub").applyInArrow(_choose, "hub long, leader long")
+
+
+def _choose(table: pa.Table) -> pa.Table:
+    table = table.sort_by("node")
+    sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    near = (sketches[:, None] == sketches).mean(axis=2) >= 0.8
+    chosen, rest = [], np.ones(table.num_rows, bool)
+    while len(chosen) < LEADERS and rest.any():
+        best = int(near[:, rest].sum(axis=1).argmax())
+        if near[best, rest].sum() < 2:
+            break
+        chosen.append(best)
+        rest &= ~near[best]
+    return table.select(["hub", "node"]).take(pa.array(chosen, pa.int64())).rename_columns(["hub", "leader"])
+
+
 def _group_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of each hub's members: all their pairs are compared exactly, in blocks.
+    """Links (a, b) that join the components of each hub's members: all their pairs are compared, in blocks.
 
     Buckets of one hub overlap, so their members are taken together, each once.  A group beyond the block
-    size is cut into blocks by a hash, and each pair of blocks is a task's work; a task returns a
-    spanning forest of the links it finds, not the pairs.
+    size is cut into blocks by a hash, and each pair of blocks is a task's work.  Blocks of sketches tell which members have a
+    likely partner in another component; only their texts are compared, and a task returns a spanning forest of the links, not the pairs.
     """
-    several = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
-    rows = members.join(several, "hub", "left_semi").join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    rows = materialise(rows, "group-members")
+    rows = materialise(members.join(nodes.select("node", "n_shingles", "sketch"), "node"), "group-members")
     blocks = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = rows.join(blocks, "hub").withColumn("_own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("hub", "node", "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    return materialise(rows.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
+    rows = rows.select("hub", "node", "component", "n_shingles", "sketch", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    likely = rows.groupBy("hub", "_i", "_j").applyInArrow(_with_partner(percent), "hub long, _i int, _j int, node long, component long")
+    likely = materialise(likely, "likely-members")
+    return materialise(likely.join(texts, "node").groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
+
+
+def _with_partner(percent: int):
+    """The members of two blocks whose sketch does not rule out a link with a member of another component."""
+    least = percent / 100 - ESTIMATE_SLACK
+
+    def run(table: pa.Table) -> pa.Table:
+        component, size = table["component"].to_numpy(), table["n_shingles"].to_numpy()
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(size), -1)
+        keep = np.zeros(len(size), bool)
+        for start in range(0, len(size), 32):
+            own = slice(start, start + 32)
+            likely = (sketches[own, None] == sketches).mean(axis=2) >= least
+            likely &= component[own, None] != component
+            likely &= 100 * np.minimum(size[own, None], size) >= percent * np.maximum(size[own, None], size)
+            keep[own] = likely.any(axis=1)
+        return table.select(["hub", "_i", "_j", "node", "component"]).filter(pa.array(keep))
+
+    return run
 
 
 def _forest(words: int, percent: int):
@@ -217,38 +280,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     runs of ``words`` words, of a shorter text its whole sequence.  Documents with
     ``100 * intersection >= percent * union`` are linked; ``component_id`` is the smallest doc_id that
     links reach and ``kept`` marks the document that has it.  A null or wordless text has an empty set
-    and is linked with nothing.  Rows that repeat a doc_id count as one document.  A null doc_id
-    is its own row with null ``component_id`` and ``kept`` true.
+    and is linked with nothing.  Rows that repeat a doc_id count as one document: those with words are linked with each
+    other.  A null doc_id is its own row with null ``component_id`` and ``kept`` true.
     """
     plain = text_rows(docs, doc_id, text)
-    sketches = materialise(plain.mapInArrow(_sketches(words), _SKETCH), "sketches")
-    filled = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(filled.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = materialise(filled.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "nodes")
-    texts = plain.where("doc_id is not null")
-
-    members = nodes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
+    # A row's number is fixed by writing it; nodes are classes of equal word sequences, named by their least row.
+    numbered = plain.mapInArrow(_sketches(words), _SKETCH).withColumn("node", F.monotonically_increasing_id())
+    sketches = materialise(numbered, "sketches")
+    has_set = "n_shingles > 0 and doc_id is not null"
+    filled = sketches.where(has_set)
+    classes = filled.groupBy("key").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(classes, "classes")
+    nodes = materialise(filled.select("node", "key", "n_shingles", "bands", "sketch").join(classes.select("node", "least"), "node"), "nodes")
+    bridges, repeated = _repeated_ids(filled, classes)
+
+    members = nodes.select(F.explode("bands").alias("band"), "node")
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
-    members = materialise(members.join(hubs, "band"), "members")  # of buckets with several members
-    texts = materialise(by_ids(texts, members.select(F.col("node").alias("doc_id")), "left_semi"), "texts")
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _linked(pairs, nodes, texts, words, percent)
+    members = materialise(members.join(hubs, "band").select("hub", "node").distinct(), "members")  # of buckets with several members
+    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "least")
+    texts = by_ids(plain, chosen.select(F.col("least").alias("doc_id")), "left_semi").mapInArrow(_keyed(words), "doc_id long, key binary, text string")
+    texts = texts.join(chosen, "key").where("doc_id = least").select("node", "text")
+    texts = materialise(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
+
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = _linked(pairs, nodes, texts, words, percent).union(bridges)
     roots = connected_components(links)
-
-    # Exact rest: members of one bucket that are still in different components and not compared yet.
-    placed = members.join(roots, "node", "left").select("band", "node", "hub", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = placed.where("node <> hub").join(mixed, "band", "left_semi").select("hub", "node", "component").distinct()
-    more = _group_links(materialise(open_, "open-members"), nodes, texts, words, percent)
-    found = roots if more.isEmpty() else connected_components(links.union(more))
-
-    whole = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    return (
-        sketches.select("doc_id", "n_shingles", F.when(F.length("key") > 0, F.col("key")).alias("key"))
-        .join(whole, "key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    open_ = _open(members, roots)
+    if not open_.isEmpty():
+        pairs = open_.join(_leaders(open_, nodes), "hub").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        links = links.union(_linked(pairs, nodes, texts, words, percent))
+        roots = connected_components(links)
+        open_ = _open(members, roots)
+    if not open_.isEmpty():
+        more = _group_links(open_.where("node <> hub"), nodes, texts, words, percent)
+        roots = roots if more.isEmpty() else connected_components(links.union(more))
+
+    placed = classes.join(roots, "node", "left").where("n > 1 or component is not null").select("key", "least", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = placed.join(smallest, "component").select("key", "component_id")  # classes of one row without links are their own component
+    out = sketches.where(has_set).join(whole, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = sketches.where(f"not coalesce({has_set}, false)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _repeated_ids(filled: DataFrame, classes: DataFrame) -> tuple[DataFrame, bool]:
+    """(links (a, b) between the nodes of each doc_id that has several texts, whether any doc_id is repeated)."""
+    ids = filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    ids = materialise(ids, "repeated-ids")
+    own = filled.select("doc_id", "key").join(ids, "doc_id", "left_semi").join(classes.select("key", "node"), "key").select("doc_id", "node").distinct()
+    least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return materialise(own.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"), "bridges"), not ids.isEmpty()
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,16 +337,16 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT k, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
       ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS ss FROM w),
-e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS i
-      FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * u),
-r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
-SELECT s.doc_id, any_value(len(s.ss)) AS n_shingles, min(r.c) AS component_id, s.doc_id = min(r.c) AS kept
-FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+e AS (SELECT k, len(ss) AS n, unnest(ss) AS g FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS i
+      FROM e a JOIN e b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * u
+      UNION SELECT a.k, b.k FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.k <> b.k WHERE len(a.ss) > 0 AND len(b.ss) > 0),
+r AS (SELECT k, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.k)
+SELECT s.doc_id, len(s.ss) AS n_shingles, c AS component_id, coalesce(s.doc_id = c, true) AS kept
+FROM s JOIN (SELECT k, min(c) AS c FROM r GROUP BY k) USING (k)
 """

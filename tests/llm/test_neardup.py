@@ -85,3 +85,43 @@ def test_components(spark):
                 for x in lb:
                     want[x] = la
     assert got == {k: min(v) for k, v in want.items()}
+
+
+def test_repeated_ids_are_one_document(spark, tmp_path):
+    import duckdb
+
+    from cloister.llm.neardup import OP3_SQL, op3_near_duplicates
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a7 ", "z ")
+    rows = [(1, a), (3, a), (2, b), (3, b), (5, c), (5, c), (9, near), (9, None), (8, "lone words of their own"), (8, "other words than those"), (8, ""), (7, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in op3_near_duplicates(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(OP3_SQL).fetchall(), key=str)
+    assert {(d, c) for d, n, c, _ in got if n} == {(1, 1), (3, 1), (2, 1), (5, 5), (9, 1), (8, 8), (None, None)}
+
+
+def test_hot_id_with_many_texts(spark):
+    rows = [(1, f"hot text number {i} of this one doc {i}") for i in range(800)] + [(2, "hot text number 3 of this one doc 3"), (4, "quite another text than all those")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (4, 4)}
+
+
+@pytest.mark.parametrize("leaders", [0, 8])
+def test_group_around_a_centre(spark, monkeypatch, leaders):
+    """Copies of one text that are near it but often not near each other, found with and without leaders."""
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 30)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    rows = [(200, " ".join(base))]
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 2)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+        rows.append((i, " ".join(copy)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=80)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 4, 80)
