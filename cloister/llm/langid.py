@@ -3,7 +3,7 @@
 A text's subwords are the 2-, 3- and 4-grams of letters within words, word ends included, lower-cased
 and hashed into a fixed number of buckets.  A text is the mean of its subwords' embeddings; a linear softmax over that
 mean is trained, embeddings included, by stochastic gradient descent in numpy on a bounded sample of
-labelled rows.  Scores are calibrated by a temperature, and texts below a calibrated score are rejected.
+labelled rows, of which the driver gets counts of hashed subwords, not texts.  Scores are calibrated by a temperature, and texts below a calibrated score are rejected.
 A score only compares the learned languages, so a text is also rejected if its subwords are rarer than those of clean
 texts of its length: each counts with its log frequency in the language that uses it most.
 Since averaging and the last layer are both linear, scoring needs one small table of bucket logits.
@@ -16,22 +16,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .calibrate import fit_temperature, held_out, softmax
-from .common import read_table, texts as text_rows
+from .common import BROADCAST_IDS, materialise, read_table, texts as text_rows
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
 DIMENSIONS = 16
 
-#: Bounds of the fitted sample: rows for each language, characters of a row, languages.
-FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 600, 40_000, 300
+#: Bounds of the fitted sample, in expectation: rows of a language, rows of all languages, and bytes of their subword counts.
+#: Whole texts are taken, whatever their length, and languages are not limited.
+FIT_ROWS, FIT_TOTAL, FIT_BYTES = 600, 12_000, 256 << 20
 
-#: A text is rejected below this score, or below the score that this share of correctly identified calibration texts miss if
-#: that is less: texts that mix two languages stay, those of none of the languages go.
-LEAST_SCORE, CLEAN_REJECTED = 0.4, 0.0005
+#: Share of correctly identified calibration texts (whole texts, short runs and mixtures of two languages, not learned from) that
+#: the least score rejects, and of runs of words that the bounds of how rare subwords may be reject.
+CLEAN_REJECTED = 0.0005
 
 #: Runs of so many words of each fitted text, and fewest runs of a length, that calibrate how rare subwords may be.
 RUN_WORDS, LEAST_RUNS = (1, 2, 4, 8, 16, 32), 100
@@ -102,33 +104,42 @@ def _size(n: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(n, 1)).astype(int)
 
 
-def familiarity(texts: list[str], grams: list[np.ndarray], target: np.ndarray, languages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class FitText:
+    """A text to learn from: its distinct buckets, how often each occurs, and the buckets of some runs of its words."""
+
+    own: np.ndarray
+    times: np.ndarray
+    runs: list[np.ndarray]
+
+
+def fit_text(text: str, seed: int) -> FitText:
+    rng, words = np.random.default_rng(seed), text.split()
+    own, times = np.unique(subwords([text])[0], return_counts=True)
+    starts = [int(rng.integers(max(1, len(words) - n + 1))) for n in RUN_WORDS]
+    runs = [subwords([" ".join(words[at : at + n])])[0] for at, n in zip(starts, RUN_WORDS, strict=True)]
+    return FitText(own, times, [r for r in runs if len(r)])
+
+
+def familiarity(texts: list[FitText], target: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
     """``known`` and ``least_known`` of a model.  The bound of each length is the low quantile of runs of words of the texts,
     each judged by the counts of all texts but its own, so that no run vouches for itself."""
     buckets = 1 << BUCKET_BITS
     counts = np.zeros((languages, buckets), np.int64)
-    for g, k in zip(grams, target, strict=True):
-        counts[k] += np.bincount(g, minlength=buckets)
+    for t, k in zip(texts, target, strict=True):
+        counts[k, t.own] += t.times
     totals = counts.sum(axis=1)
     logs = np.log((counts + 1) / (totals + buckets)[:, None]).astype(np.float32)
     best, at = logs.max(axis=0), logs.argmax(axis=0)
     second = np.full(buckets, -np.inf, np.float32)
     for k in range(languages):
         second = np.where(at == k, second, np.maximum(second, logs[k]))
-    rng, found, value = np.random.default_rng(seed), [[] for _ in range(64)], np.zeros(buckets, np.float32)
-    for text, g, k in zip(texts, grams, target, strict=True):
-        if not len(g):
-            continue
-        own, times = np.unique(g, return_counts=True)
-        rest = np.log((counts[k, own] - times + 1) / (totals[k] - len(g) + buckets))
-        value[own] = np.maximum(rest, np.where(at[own] == k, second[own], best[own]))
-        words, runs = text.split(), []
-        for n in RUN_WORDS:
-            start = int(rng.integers(max(1, len(words) - n + 1)))
-            runs.append(subwords([" ".join(words[start : start + n])])[0])
-        for run in runs:
-            if len(run):
-                found[int(_size(np.array(len(run))))].append(float(value[run].mean()))
+    found, value = [[] for _ in range(64)], np.zeros(buckets, np.float32)
+    for t, k in zip(texts, target, strict=True):
+        rest = np.log((counts[k, t.own] - t.times + 1) / (totals[k] - t.times.sum() + buckets))
+        value[t.own] = np.maximum(rest, np.where(at[t.own] == k, second[t.own], best[t.own]))
+        for run in t.runs:
+            found[int(_size(np.array(len(run))))].append(float(value[run].mean()))
     least = np.full(64, -np.inf)
     for i, values in enumerate(found):
         least[i] = np.quantile(values, CLEAN_REJECTED) if len(values) >= LEAST_RUNS else -np.inf
@@ -138,71 +149,102 @@ def familiarity(texts: list[str], grams: list[np.ndarray], target: np.ndarray, l
     return best, np.minimum.accumulate(least[::-1])[::-1]  # shorter texts are never judged more strictly
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.8, seed: int = 5) -> LanguageModel | None:
+def loss_gradients(embedding: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, times: np.ndarray, target: int):
+    """Gradients of the log loss of one text by its buckets' embeddings, the weights and the bias."""
+    share = times / times.sum()
+    mean = share @ embedding[own]
+    error = softmax((mean @ weights + bias)[None])[0]
+    error[target] -= 1
+    return np.outer(share, weights @ error), np.outer(mean, error), error
+
+
+def train(texts: list[FitText], labels: list[str], epochs: int = 6, rate: float = 0.8, seed: int = 5) -> LanguageModel | None:
     """Fit on whole texts and, so that short texts are learned too, on short runs of their subwords."""
     languages = sorted(set(labels))
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    grams = [subwords([t])[0].astype(np.uint16) for t in texts]
-    target = np.array([languages.index(x) for x in labels])
+    place = {name: k for k, name in enumerate(languages)}
+    target = np.array([place[x] for x in labels])
     held = rng.random(len(texts)) < 0.2
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(texts))
     embedding = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
     steps, done = epochs * len(learn), 0
 
-    def piece(g: np.ndarray) -> np.ndarray:
-        if rng.random() < 0.4 or len(g) < 12:
-            return g
-        return rng.choice(g, int(rng.integers(6, 80)))
+    def piece(t: FitText) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(t.times)
+        if rng.random() < 0.4 or not len(ends) or ends[-1] < 12:
+            return t.own, t.times
+        drawn = np.searchsorted(ends, rng.integers(ends[-1], size=int(rng.integers(6, 80))), side="right")
+        at, times = np.unique(drawn, return_counts=True)
+        return t.own[at], times
 
     for _ in range(epochs):
         for i in rng.permutation(learn):
-            g = piece(grams[i])
+            own, times = piece(texts[i])
             step, done = rate * (1 - done / steps), done + 1
-            if not len(g):
+            if not len(own):
                 continue
-            mean = embedding[g].mean(axis=0)
-            error = softmax((mean @ weights + bias)[None])[0]
-            error[target[i]] -= 1
-            back = weights @ error
-            weights -= step * np.outer(mean, error)
-            bias -= step * 0.1 * error
-            np.subtract.at(embedding, g, step * back / len(g) * min(len(g), 20))
+            by_embedding, by_weights, by_bias = loss_gradients(embedding, weights, bias, own, times, int(target[i]))
+            weights -= step * by_weights
+            bias -= step * 0.1 * by_bias
+            embedding[own] -= step * min(int(times.sum()), 20) * by_embedding
     table = embedding @ weights
     held = np.flatnonzero(held) if held.any() else learn
     logits, truth = [], []
     for i in held:
-        for g in (grams[i], piece(grams[i])):
-            if len(g):
-                logits.append(table[g].mean(axis=0) + bias)
+        for own, times in ((texts[i].own, texts[i].times), piece(texts[i])):
+            if len(own):
+                logits.append(times @ table[own] / times.sum() + bias)
                 truth.append(target[i])
     logits, truth = np.array(logits).reshape(-1, len(languages)), np.array(truth, int)
     temperature = fit_temperature(logits, truth)
     sure = softmax(logits / temperature)
-    right = sure.max(axis=1)[sure.argmax(axis=1) == truth] if len(truth) else np.ones(1)
-    least = min(LEAST_SCORE, float(np.quantile(right, CLEAN_REJECTED))) if len(right) else 0.0
-    return LanguageModel(languages, (table / temperature).astype(np.float32), bias / temperature, least, *familiarity(texts, grams, target, len(languages), seed))
+    right = sure.max(axis=1)[sure.argmax(axis=1) == truth].tolist()
+    for _ in range(4 if len(languages) > 1 else 0):  # texts that mix two languages are clean too
+        for i, j in zip(held, rng.permutation(held), strict=True):
+            (one, n), (two, m) = piece(texts[i]), piece(texts[j])
+            if target[i] != target[j] and len(one) and len(two):
+                mixed = (n @ table[one] / n.sum() + m @ table[two] / m.sum()) / 2 + bias
+                chances = softmax(mixed[None] / temperature)[0]
+                if chances.argmax() in (target[i], target[j]):
+                    right.append(float(chances.max()))
+    least = float(np.quantile(right, CLEAN_REJECTED)) if right else 0.0
+    return LanguageModel(languages, (table / temperature).astype(np.float32), bias / temperature, least, *familiarity(texts, target, len(languages)))
+
+
+def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, total: int = FIT_TOTAL, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang, text, h``: about ``rows`` distinct texts of each language, of all languages about ``total`` and ``FIT_BYTES``, chosen
+    by a hash of the text; never held-out rows."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
+    size = F.avg(F.least(F.length("text") * 3, F.lit(1 << BUCKET_BITS)) * 8)  # bytes of a text's counts
+    found = materialise(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), size.alias("size")), "languages")
+    languages = found.count()
+    if not languages:
+        return known.limit(0)
+    share = F.least(F.lit(1.0), min(rows, total / languages) / F.col("n"), FIT_BYTES / languages / F.greatest(F.col("n") * F.col("size"), F.lit(1.0)))
+    shares = found.select("lang", share.alias("share"))
+    chosen = known.join(F.broadcast(shares) if languages <= BROADCAST_IDS else shares, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    return chosen.select("lang", "text", "h").dropDuplicates(["lang", "h"]).limit(2 * total)
 
 
-def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """At most about ``rows`` distinct texts of each language, chosen by a hash of the text; never held-out rows."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)) & (F.length(text) <= chars))
-    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(FIT_LANGUAGES + 1).collect()}
-    if len(counts) > FIT_LANGUAGES:
-        raise ValueError(f"more than {FIT_LANGUAGES} languages")
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, rows / max(n, 1)))).otherwise(share)
-    chosen = known.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["lang", "h"])
-    return chosen.limit(2 * rows * max(1, len(counts)))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [fit_text(text.as_py(), h & 0xFFFFFFFF) for text, h in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+        columns = [pa.array([getattr(t, name) for t in found], pa.list_(pa.int32())) for name in ("own", "times")]
+        runs = pa.array([[r.tolist() for r in t.runs] for t in found], pa.list_(pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, runs], names=["lang", "h", "own", "times", "runs"])
 
 
 def fit_languages(docs: DataFrame, **columns: str) -> LanguageModel | None:
-    sample = sorted((r["lang"], r["h"], r["text"]) for r in fit_sample(docs, **columns).collect())
-    return train([x[2] for x in sample], [x[0] for x in sample])
+    counted = fit_sample(docs, **columns).mapInArrow(_counted, "lang string, h long, own array<int>, times array<int>, runs array<array<int>>")
+    table = counted.toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])  # bounded by FIT_TOTAL and FIT_BYTES
+    numbers = lambda name: [v.values.to_numpy() for v in table[name]]
+    runs = [[np.array(r, np.int64) for r in v] for v in table["runs"].to_pylist()]
+    texts = [FitText(own, times, r) for own, times, r in zip(numbers("own"), numbers("times"), runs, strict=True)]
+    return train(texts, table["lang"].to_pylist())
 
 
 def language_scorer(model: LanguageModel | None):
