@@ -2,12 +2,13 @@
 
 A vector is quantised in two-dimensional pieces to 16 centres each, four bits a piece.  Centres and
 codes minimise a loss that weighs the part of the residual parallel to the vector more than the rest,
-as that part is what changes large inner products.  A query scans the codes by table look-up; candidates
-within a margin of the k-th best scanned score are scored exactly on the original vectors.
+as that part is what changes large inner products.  Vectors are dealt to cells by their direction.  A query scans the codes of
+the cells nearest to it by table look-up; candidates within a margin of the k-th best scanned score get their exact score by
+a join with the original vectors.
 
-The centres are fitted on a bounded sample; all rows are encoded and scanned.  Queries and vectors are
-both cut into blocks; a task takes one block of each, so nothing grows with the tables but the
-number of tasks.
+Centres and cells are fitted on a bounded sample, on which the number of cells that a query scans is also measured; all rows are
+encoded.  Cells and the queries of a cell are cut into blocks; a task takes one of each.  Only ids and codes are copied to
+blocks, and the vectors themselves move once for each join.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import materialise, read_table
 
 #: Vectors in the sample that the centres are fitted on.
 FIT_ROWS = 6000
-#: Vectors and queries of a block at most (on average), and at least if there are idle cores.
-VECTOR_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 32_768, 8_192, 4_096
+#: Vectors and queries of a block at most (on average), and vectors of a cell at least, on average.
+VECTOR_BLOCK, QUERY_BLOCK, LEAST_CELL = 262_144, 16_384, 8_192
+#: Cells at most, and the recall in the sample for which a query scans enough of them.
+MAX_CELLS, CELL_RECALL = 512, 0.998
 #: Inner products from this share of a vector's norm on matter; it sets the weight of the parallel error.
 THRESHOLD = 0.2
 #: Standard deviations of the scan's error below the k-th best that candidates reach.
@@ -119,53 +122,87 @@ def fit_quantiser(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4,
     return quantiser
 
 
+def fit_cells(x: np.ndarray, cells: int, k: int, recall: float = CELL_RECALL, seed: int = 2) -> tuple[np.ndarray, int]:
+    """(unit centres of cells, cells to scan): by k-means on directions, and by the recall of the sample's own nearest vectors,
+    which are farther away, and so in other cells more often, than those of the whole table."""
+    rng = np.random.default_rng(seed)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    centres = unit[rng.choice(len(unit), min(cells, len(unit)), replace=False)]
+    for _ in range(10):
+        own = (unit @ centres.T).argmax(axis=1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                total = unit[own == c].sum(axis=0)
+                centres[c] = total / max(np.linalg.norm(total), 1e-30)
+    own = (unit @ centres.T).argmax(axis=1)
+    some = rng.choice(len(x), min(300, len(x)), replace=False)
+    score = x[some] @ x.T
+    score[np.arange(len(some)), some] = -np.inf
+    near = np.argsort(-score, axis=1)[:, : min(k, max(len(x) - 1, 1))]
+    order = np.argsort(-(x[some] @ centres.T), axis=1)
+    place = np.empty_like(order)
+    place[np.arange(len(some))[:, None], order] = np.arange(len(centres))
+    needed = np.sort(place[np.arange(len(some))[:, None], own[near]].ravel())  # the number of cells before the one with each neighbour
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _encoded(quantiser: Quantiser):
+def _encoded(quantiser: Quantiser, cells: np.ndarray):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1)).astype(np.float64)
             packed = np.concatenate([quantiser.pack(quantiser.encode(x[i : i + 4096])) for i in range(0, len(x), 4096)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([row.tobytes() for row in packed], pa.binary())], names=["vec_id", "x", "codes"]
-            )
+            cell = (x @ cells.T).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in packed], pa.binary()), pa.array(cell)], names=["vec_id", "codes", "cell"])
+
+    return run
+
+
+def _probes(cells: np.ndarray, scan: int):
+    """Each query once for each of its ``scan`` nearest cells."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1)).astype(np.float64)
+                nearest = np.argsort(-(x @ cells.T), axis=1, kind="stable")[:, :scan]
+                rows = batch.take(pa.array(np.repeat(np.arange(len(x)), nearest.shape[1])))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(nearest.ravel().astype(np.int32))], names=["query_id", "q", "cell"])
 
     return run
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("scanned", pa.float32())])
 
 
-def _searched(quantiser: Quantiser, k: int):
+def _scanned(quantiser: Quantiser, k: int):
     margin = MARGIN * quantiser.error
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return _FOUND.empty_table()
-        ids, x = vectors["vec_id"].to_numpy(), _matrix(vectors["x"])
+        ids = vectors["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(vectors["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
-        query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["q"])
-        out: list[list[np.ndarray]] = [[], [], []]
+        query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["q"]).astype(np.float64)
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]]
         for start in range(0, len(q), 32):
             part = q[start : start + 32]
             scanned = np.zeros((len(part), len(ids)), np.float32)
             for table, code in zip(quantiser.tables(part), codes, strict=True):
                 scanned += table[:, code]
-            for i, query in enumerate(part):
-                row, own = scanned[i], query_ids[start + i]
+            for row, own in zip(scanned, query_ids[start : start + 32], strict=True):
                 least = np.partition(row, len(row) - k - 1)[len(row) - k - 1] - margin if len(row) > k + 1 else -np.inf
                 near = np.flatnonzero(row >= least)
                 near = near[ids[near] != own]
-                score = x[near] @ query
-                best = np.lexsort((ids[near], -score))[:k]
-                out[0].append(np.full(len(best), own))
-                out[1].append(ids[near][best])
-                out[2].append(score[best])
+                out[0].append(np.full(len(near), own))
+                out[1].append(ids[near])
+                out[2].append(row[near])
         return pa.table([np.concatenate(c) for c in out], schema=_FOUND)
 
     return run
@@ -183,7 +220,8 @@ def search(
     can be among the k nearest, so the others are left out before the scan, with the same result.
     """
     spark = vectors.sparkSession
-    x = F.col(embedding).cast("array<double>")
+    element = vectors.schema[embedding].dataType.elementType.simpleString()
+    x = F.col(embedding).cast("array<float>" if element == "float" else "array<double>")
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).where(good & F.col("vec_id").isNotNull())
     rows = materialise(rows.groupBy("vec_id").agg(F.min("x").alias("x")), "vectors")
@@ -193,22 +231,33 @@ def search(
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("x") == sizes["size"])
     n = sizes["count"]
-    copies = Window.partitionBy(F.xxhash64("x"), F.xxhash64(F.lit(5), "x")).orderBy("vec_id")
-    index = rows.withColumn("_copy", F.row_number().over(copies)).where(f"_copy <= {k + 1}").drop("_copy")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
     share = min(1.0, fit_rows / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).orderBy("vec_id").limit(2 * fit_rows)
-    quantiser = fit_quantiser(_matrix(sample.select("x").toArrow()["x"]))
-    index = materialise(index.select("vec_id", "x").mapInArrow(_encoded(quantiser), "vec_id long, x array<double>, codes binary"), "codes")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    n_queries = queries.count()
-    cores = spark.sparkContext.defaultParallelism
-    v_blocks = max(1, -(-n // VECTOR_BLOCK), min(cores, n // LEAST_BLOCK))
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    left = index.withColumn("_v", F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    found = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(_searched(quantiser, k), "query_id long, vec_id long, score double")
+    sample = _matrix(sample.select("x").toArrow()["x"]).astype(np.float64)
+    quantiser = fit_quantiser(sample)
+    cells, scan = fit_cells(sample, max(1, min(MAX_CELLS, n // LEAST_CELL, len(sample) // 8)), k)
+    copies = Window.partitionBy(F.xxhash64("x"), F.xxhash64(F.lit(5), "x")).orderBy("vec_id")
+    index = rows.withColumn("_copy", F.row_number().over(copies)).where(f"_copy <= {k + 1}").select("vec_id", "x")
+    index = materialise(index.mapInArrow(_encoded(quantiser, cells), "vec_id long, codes binary, cell int"), "codes")
+    probes = queries.mapInArrow(_probes(cells, scan), f"query_id long, q array<{element if element == 'float' else 'double'}>, cell int")
+    probes = materialise(probes, "probes")
+    held, asked = ({r["cell"]: r["n"] for r in t.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} for t in (index, probes))  # a row for each cell
+    blocks = lambda counts, size: F.element_at(F.array(*[F.lit(max(1, -(-counts.get(c, 0) // size))) for c in range(len(cells))]), F.col("cell") + 1)
+    v_blocks, q_blocks = blocks(held, VECTOR_BLOCK), blocks(asked, QUERY_BLOCK)
+    others = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    left = index.select("vec_id", "codes", "cell", F.pmod(F.xxhash64("vec_id"), v_blocks).cast("int").alias("_v"), others(q_blocks).alias("_q"))
+    right = probes.select("query_id", "q", "cell", F.pmod(F.xxhash64("query_id"), q_blocks).cast("int").alias("_q"), others(v_blocks).alias("_v"))
+    by = ("cell", "_v", "_q")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_scanned(quantiser, k), "query_id long, vec_id long, scanned float")
+    best = Window.partitionBy("query_id").orderBy(F.desc("scanned"))
+    found = found.withColumn("_n", F.row_number().over(best))
+    kth = F.max(F.when(F.col("_n") == k + 1, F.col("scanned"))).over(Window.partitionBy("query_id"))
+    found = found.withColumn("_kth", kth).where(f"_kth is null or scanned >= _kth - {MARGIN * quantiser.error!r}D").select("query_id", "vec_id")
+    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda total, v: total + v)
+    scored = found.join(rows, "vec_id").join(queries, "query_id").select("query_id", "vec_id", exact.alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(nearest)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import os
 import numpy as np
 import pytest
 
-from cloister.llm.ann import fit_quantiser, search
+from cloister.llm import ann
+from cloister.llm.ann import fit_cells, fit_quantiser, search
 from cloister.llm.shards import ManifestConflict, Shard, ShardStore, load_in_arrivals, plan_merges, tier
 
 
@@ -110,3 +111,32 @@ def test_arrivals_keep_every_row(spark, tmp_path):
     other = ShardStore(spark, f"file://{tmp_path}/t")
     load_in_arrivals(other, table.where("doc_id is null"), "doc_id")
     assert other.read().count() == 2
+
+
+def test_cells_prune_clusters_only():
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(40, 32))
+    clustered = middle[rng.integers(0, 40, 4000)] + rng.normal(scale=0.1, size=(4000, 32))
+    _, few = fit_cells(clustered, 64, 10)
+    _, many = fit_cells(rng.normal(size=(4000, 32)), 64, 10)
+    assert few <= 12 < many <= 64
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_over_cells_and_blocks(spark, monkeypatch, clustered):
+    for name, value in (("LEAST_CELL", 100), ("VECTOR_BLOCK", 200), ("QUERY_BLOCK", 20)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    if clustered:
+        x = rng.normal(size=(30, 32))[rng.integers(0, 30, 3000)] + 0.2 * x
+    x[1000:1900] = x[5] + rng.normal(scale=1e-3, size=(900, 32))  # a cell with a third of the rows
+    found = {}
+    for r in search(_vectors(spark, list(enumerate(x.astype(np.float32)))), "vec_id % 20 = 0", k=10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact, hit = x.astype(np.float32).astype(np.float64), 0
+    for q in range(0, 3000, 20):
+        score = exact @ exact[q]
+        score[q] = -np.inf
+        hit += len(found[q] & set(np.lexsort((np.arange(3000), -score))[:10].tolist()))
+    assert hit >= 0.97 * 1500
