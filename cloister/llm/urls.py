@@ -21,8 +21,9 @@ from .common import materialise, read_table
 #: (action, host, path) of the rules that the query applies.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: A cascade takes at most so many listed keys; its levels are literals, about 1.5 bits * log2(corpus keys) for each key.
-MAX_LISTED = 200_000
+#: A cascade takes at most so many listed keys; its levels are literals, about 1.5 bits * log2(corpus keys) for each key, four
+#: bits to a byte.  ``judge_urls`` joins longer lists.
+MAX_LISTED = 1_000_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -52,17 +53,20 @@ class BloomLevel:
     bits: int
     hashes: int
     salt: int
-    words: list[int]
+    data: bytes  # four bits in a byte: one literal, in which a byte is found by its place
 
     def has(self, key: Column) -> Column:
-        words = F.lit(self.words)
         found = F.lit(True)
         for place in bloom_places(key, self.bits, self.hashes, self.salt):
-            word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
-            found = found & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+            byte = F.ascii(F.substring(F.lit(self.data), (F.shiftright(place, 2) + 1).cast("int"), F.lit(1)).cast("string"))
+            found = found & (F.getbit(byte, F.pmod(place, F.lit(4)).cast("int")) == 1)
         return found
 
 
+#: Hexadecimal digits to the bytes 0 to 15.
+_NIBBLES = bytes(int(chr(c), 16) if chr(c) in "0123456789abcdef" else 0 for c in range(256))
+
+
 @dataclass
 class BloomCascade:
     """Levels 1, 3, 5 ... encode listed keys, levels 2, 4 ... others; exact for every key of the universe it was built over."""
@@ -89,8 +93,8 @@ def _level(keys: DataFrame, n: int, rate: float, salt: int) -> BloomLevel:
     set_bits = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(place, 64) as int))")).alias("value"))
     words = [0] * (bits // 64)
     for row in set_bits.collect():
-        words[row["word"]] = row["value"]
-    return BloomLevel(bits, hashes, salt, words)
+        words[row["word"]] = row["value"] % 2**64
+    return BloomLevel(bits, hashes, salt, "".join(f"{w:016x}"[::-1] for w in words).encode().translate(_NIBBLES))
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 60) -> BloomCascade:
@@ -132,9 +136,12 @@ def judge_urls(
     """``page_id, host, path, rule, verdict`` of every row; the longest fitting rule decides, ``default`` where none fits.
 
     A null or malformed url has an empty host and path and so no rule.  Repeated rows are judged each.
-    Rules of equal length are told apart by their text; one text given with both actions blocks.
+    Rules of equal length are told apart by their text; one text given with both actions blocks.  More than ``MAX_LISTED``
+    rules are joined, with the same result.
     """
     spark = pages.sparkSession
+    if len(rules) > MAX_LISTED:
+        return judge_by_join(pages, spark.createDataFrame(list(rules), "action string, host string, path string"), page_id, url, default)
     lengths = sorted({len(p) for _, _, p in rules})
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -144,14 +151,15 @@ def judge_urls(
     universe = materialise(parts.select(F.explode(keys).alias("key")).distinct(), "url-keys")
     table = spark.createDataFrame([(h + p, a) for a, h, p in rules], "key string, action string")
     any_rule = build_cascade(table, universe)
-    blocking = build_cascade(table.where("action = 'block'"), universe)
+    # A url's rule is a listed key, so those are the universe of the question which of them block.
+    blocking = build_cascade(table.where("action = 'block'"), table)
     judged = parts.withColumn("rule", F.try_element_at(F.filter(keys, any_rule.listed), F.lit(1)))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocking.listed(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """The way beyond ``MAX_LISTED``: rules as a table (action, host, path), candidate keys joined with it by a shuffle."""
+    """The way of ``judge_urls`` beyond ``MAX_LISTED``: rules as a table (action, host, path), candidate keys joined with it by a shuffle."""
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # at most as many as a path has characters
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())

@@ -58,3 +58,19 @@ def test_list_beyond_bound(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_LISTED", 2)
     with pytest.raises(ValueError, match="judge_by_join"):
         build_cascade(spark.range(3).selectExpr("string(id) as key"), spark.range(9).selectExpr("string(id) as key"))
+
+
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_many_rules(spark, monkeypatch, most):
+    """Thousands of rules by the cascade, and by the join beyond its bound."""
+    monkeypatch.setattr(urls, "MAX_LISTED", most)
+    rng = random.Random(8)
+    rules = tuple({(h, p): (rng.choice(["block", "allow"]), h, p) for h, p in ((f"h{rng.randrange(3000)}.com", rng.choice(["/", "/a/", "/b/c/"])) for _ in range(3000))}.values())
+    found = [f"http://{rng.choice(['', 'www.'])}h{rng.randrange(6000)}.com{rng.choice(['', '/', '/a/x', '/b/c/d?e', '/b'])}" for _ in range(2000)]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(_pages(spark, found), rules).collect()}
+    listed: dict[str, list] = {}
+    for a, h, p in rules:
+        listed.setdefault(h, []).append((a, h, p))
+    for i, u in enumerate(found):
+        host = u.split("/")[2]
+        assert got[i] == brute(u, tuple(listed.get(host.removeprefix("www."), ())))
