@@ -6,8 +6,9 @@ each other, and a tier with enough shards is merged into larger ones, up to file
 rewritten.  Each document is so rewritten about log(target / arrival size) times.
 
 What a reader sees is decided by manifests alone.  A manifest is an immutable, numbered file that
-lists the live shards; it is written under another name and renamed to its number, which fails if
-the number is taken, so of two writers one commits and the other starts again from the newer version.  Files that
+holds the schema and lists the live shards; it is written under another name and renamed to its number, which fails if
+the number is taken, so of two writers one commits and the other starts again from the newer version.  That needs a store whose
+rename is atomic (HDFS, local and POSIX file systems); object stores that copy on rename need one with such a layer.  Files that
 no manifest lists (of lost executors or failed commits) are invisible, and are deleted by ``vacuum``.
 """
 
@@ -20,6 +21,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import read_table, scratch_path
 
@@ -69,8 +71,18 @@ def plan_merges(shards: list[Shard], target: int, fan_in: int = FAN_IN) -> list[
     return [g for g in groups if len(g) > 1]
 
 
+def united(one: StructType | None, two: StructType) -> StructType:
+    """The fields of both schemas, all nullable; a name with two types is an error."""
+    fields = {f.name: f for f in (one or ())}
+    for f in two:
+        if f.name in fields and fields[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()} in the store and {f.dataType.simpleString()} in the arrival")
+        fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+    return StructType([StructField(f.name, f.dataType, True) for f in fields.values()])
+
+
 class ShardStore:
-    """A folder of immutable parquet shards and numbered manifests, in any store that Spark can write."""
+    """A folder of immutable parquet shards and numbered manifests."""
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target_bytes, fan_in
@@ -89,18 +101,26 @@ class ShardStore:
         names = [f.getPath().getName() for f in system.listStatus(folder)]
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
+    def manifest(self, version: int | None = None) -> tuple[list[Shard], StructType | None]:
+        """Live shards and schema of a version; nothing for an empty store."""
         version = self.version() if version is None else version
         if version == 0:
-            return []
-        lines = self.spark.read.text(f"{self.path}/_manifests/v{version:010d}.json").collect()  # one line for each file
-        return [Shard(**json.loads(line["value"])) for line in lines]
+            return [], None
+        lines = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.path}/_manifests/v{version:010d}.json").collect()]  # one line for each file
+        schema = next((StructType.fromJson(x["schema"]) for x in lines if "schema" in x), None)
+        return [Shard(**x) for x in lines if "schema" not in x], schema
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return self.manifest(version)[0]
 
-    def commit(self, shards: list[Shard], base: int) -> int:
-        """Make ``shards`` the live ones as version ``base + 1``; raises ``ManifestConflict`` if that exists."""
+    def commit(self, shards: list[Shard], base: int, schema: StructType | None = None) -> int:
+        """Make ``shards`` the live ones as version ``base + 1``, under the schema of version ``base`` if none is given; raises
+        ``ManifestConflict`` if that version exists."""
+        schema = schema or self.manifest(base)[1]
         system, folder = self._hadoop(f"{self.path}/_manifests")
         system.mkdirs(folder)
-        body = "".join(json.dumps(asdict(s)) + "\n" for s in sorted(shards, key=lambda s: s.path))
+        lines = ([{"schema": schema.jsonValue()}] if schema else []) + [asdict(s) for s in sorted(shards, key=lambda s: s.path)]
+        body = "".join(json.dumps(x) + "\n" for x in lines)
         _, draft = self._hadoop(f"{self.path}/_manifests/.draft-{uuid.uuid4().hex}")
         out = system.create(draft, False)
         out.write(bytearray(body.encode()))
@@ -126,19 +146,23 @@ class ShardStore:
         return self._described([folder])
 
     def _described(self, folders: list[str]) -> list[Shard]:
-        files = self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)).select("_metadata.file_path", "_metadata.file_size")
+        files = self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders))
+        about = files.metadataColumn("_metadata")  # the reader's, also if the table has a column of that name
+        files = files.select(about["file_path"].alias("file_path"), about["file_size"].alias("file_size"))
         found = files.groupBy("file_path").agg(F.max("file_size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
         return [Shard("/".join(r["file_path"].split("/")[-3:]), r["bytes"], r["rows"]) for r in found]
 
     def append(self, arrivals: DataFrame) -> int:
         """Add rows as new shards, as they are partitioned; an arrival without rows changes nothing."""
+        united(self.manifest()[1], arrivals.schema)  # a clash is noticed before anything is written
         new = self._write(arrivals)
         if not new:
             return self.version()
         while True:
             base = self.version()
+            live, schema = self.manifest(base)
             try:
-                return self.commit([*self.shards(base), *new], base)
+                return self.commit([*live, *new], base, united(schema, arrivals.schema))
             except ManifestConflict:
                 continue  # new shards depend on nothing that the other writer did
 
@@ -146,20 +170,19 @@ class ShardStore:
         """Merge tiers until none has enough shards; each round is one job and one commit."""
         while True:
             base = self.version()
-            live = self.shards(base)
+            live, schema = self.manifest(base)
             groups = plan_merges(live, self.target, self.fan_in)[:MERGES_PER_JOB]
             if not groups:
                 return base
-            merged = self._merge(groups)
+            merged = self._merge(groups, schema)
             gone = {s.path for g in groups for s in g}
             try:
                 self.commit([*(s for s in live if s.path not in gone), *merged], base)
             except ManifestConflict:
                 continue  # the merged files stay unlisted; start again from the newer version
 
-    def _merge(self, groups: list[list[Shard]]) -> list[Shard]:
+    def _merge(self, groups: list[list[Shard]], schema: StructType) -> list[Shard]:
         """All groups of a round in one job: a group's files are read and written by one task, without a shuffle."""
-        schema = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s.path}" for g in groups for s in g)).schema
         parts = [self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.path}" for s in group)).coalesce(1) for group in groups]
         while len(parts) > 1:
             parts = [a.unionByName(b, allowMissingColumns=True) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
@@ -168,16 +191,18 @@ class ShardStore:
     def read(self, version: int | None = None, shard_column: str = "_shard") -> DataFrame | None:
         """Rows of the live shards of a version, with the shard each is in as ``shard_column`` unless the table has a column of
         that name; None for an empty store."""
-        live = self.shards(version)
+        live, schema = self.manifest(version)
         if not live:
             return None
-        rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{s.path}" for s in live))
-        return rows if shard_column in rows.columns else rows.withColumn(shard_column, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.path}" for s in live))
+        return rows if shard_column in rows.columns else rows.withColumn(shard_column, F.element_at(F.split(rows.metadataColumn("_metadata")["file_path"], "/"), -1))
 
-    def vacuum(self) -> int:
-        """Delete data folders without a live shard; returns how many. Not while others read old versions or write."""
+    def vacuum(self, versions: int = 1) -> int:
+        """Delete data folders without a shard that is live in one of the newest ``versions``; returns how many.  Not while others
+        read older versions or write."""
         system, folder = self._hadoop(f"{self.path}/data")
-        live = {s.path.split("/")[1] for s in self.shards()}
+        newest = self.version()
+        live = {s.path.split("/")[1] for v in range(newest, max(newest - versions, 0), -1) for s in self.shards(v)}
         dead = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName() not in live] if system.exists(folder) else []
         for path in dead:
             system.delete(path, True)
@@ -198,7 +223,7 @@ def load_in_arrivals(store: ShardStore, table: DataFrame, order: str, arrivals:
         chosen = chosen if end is None else chosen & (column < end)
         store.append(table.where(chosen | column.isNull() if k == 0 else chosen))
         store.compact()
-        store.vacuum()
+        store.vacuum(versions=2)  # the version before stays readable
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
