@@ -40,6 +40,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def extend_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component`` after further ``edges`` (a, b): only the components that these join are worked on again."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joins = materialise(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "component-links")
+    if joins.isEmpty():
+        return roots
+    joined = connected_components(joins)
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    old = roots.join(moved, "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+    return materialise(old.union(joined.join(roots.select("node"), "node", "left_anti")), "components")
+
+
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(7), "u"))).first()
     return tuple(row)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, materialise, read_table, texts as text_rows
-from .components import connected_components
+from .components import connected_components, extend_components
 from .wordhash import Words, find_words, lower_table, mix, shingle_hashes, space_table, text_slices
 
 PERMUTATIONS = 64
@@ -163,9 +163,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, pe
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``hub, node, component`` of the members of hubs whose members are in several components, hubs left out."""
-    placed = members.join(roots, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    placed = materialise(members.join(roots, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "placed")
     several = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
-    return materialise(placed.join(several, "hub", "left_semi"), "open-members")
+    return materialise(by_ids(placed, several, "left_semi", "hub"), "open-members")
 
 
 def _leaders(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     members = nodes.select(F.explode("bands").alias("band"), "node")
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
     members = materialise(members.join(hubs, "band").select("hub", "node").distinct(), "members")  # of buckets with several members
-    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "least")
+    chosen = materialise(nodes.select("node", "key", "least").join(members.select("node").distinct(), "node", "left_semi"), "chosen")
     texts = by_ids(plain, chosen.select(F.col("least").alias("doc_id")), "left_semi").mapInArrow(_keyed(words), "doc_id long, key binary, text string")
     texts = texts.join(chosen, "key").where("doc_id = least").select("node", "text")
     texts = materialise(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
@@ -308,12 +308,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     open_ = _open(members, roots)
     if not open_.isEmpty():
         pairs = open_.join(_leaders(open_, nodes), "hub").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        links = links.union(_linked(pairs, nodes, texts, words, percent))
-        roots = connected_components(links)
+        roots = extend_components(roots, _linked(pairs, nodes, texts, words, percent))
         open_ = _open(members, roots)
     if not open_.isEmpty():
-        more = _group_links(open_.where("node <> hub"), nodes, texts, words, percent)
-        roots = roots if more.isEmpty() else connected_components(links.union(more))
+        roots = extend_components(roots, _group_links(open_.where("node <> hub"), nodes, texts, words, percent))
 
     placed = classes.join(roots, "node", "left").where("n > 1 or component is not null").select("key", "least", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
