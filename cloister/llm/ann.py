@@ -3,12 +3,12 @@
 A vector is quantised in two-dimensional pieces to 16 centres each, four bits a piece.  Centres and
 codes minimise a loss that weighs the part of the residual parallel to the vector more than the rest,
 as that part is what changes large inner products.  Vectors are dealt to cells by their direction.  A query scans the codes of
-the cells nearest to it by table look-up; candidates within a margin of the k-th best scanned score get their exact score by
-a join with the original vectors.
+the cells nearest to it by table look-up; candidates within a margin of the k-th best scanned score are scored again on one
+byte a component, and those within the much smaller margin of that get their exact score by a join with the original vectors.
 
 Centres and cells are fitted on a bounded sample, on which the number of cells that a query scans is also measured; all rows are
 encoded.  Cells and the queries of a cell are cut into blocks; a task takes one of each.  Only ids and codes are copied to
-blocks, and the vectors themselves move once for each join.
+blocks; the vectors themselves are not.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ VECTOR_BLOCK, QUERY_BLOCK, LEAST_CELL = 262_144, 16_384, 8_192
 MAX_CELLS, CELL_RECALL = 512, 0.998
 #: Inner products from this share of a vector's norm on matter; it sets the weight of the parallel error.
 THRESHOLD = 0.2
-#: Standard deviations of the scan's error below the k-th best that candidates reach.
-MARGIN = 3.0
+#: Standard deviations of the scan's error below the k-th best that candidates reach, by the four-bit codes and by bytes.
+MARGIN, FINE_MARGIN = 3.0, 6.0
 _CENTRES, _WIDTH = 16, 2
 
 
@@ -159,7 +159,10 @@ def _encoded(quantiser: Quantiser, cells: np.ndarray):
             x = _matrix(batch.column(1)).astype(np.float64)
             packed = np.concatenate([quantiser.pack(quantiser.encode(x[i : i + 4096])) for i in range(0, len(x), 4096)])
             cell = (x @ cells.T).argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in packed], pa.binary()), pa.array(cell)], names=["vec_id", "codes", "cell"])
+            step = np.abs(x).max(axis=1) / 127
+            fine = np.rint(x / step[:, None]).astype(np.int8)
+            columns = [pa.array([row.tobytes() for row in part], pa.binary()) for part in (packed, fine)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(step.astype(np.float32)), pa.array(cell)], names=["vec_id", "codes", "fine", "step", "cell"])
 
     return run
 
@@ -178,7 +181,7 @@ def _probes(cells: np.ndarray, scan: int):
     return run
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("scanned", pa.float32())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("scanned", pa.float32()), ("slack", pa.float32())])
 
 
 def _scanned(quantiser: Quantiser, k: int):
@@ -189,25 +192,33 @@ def _scanned(quantiser: Quantiser, k: int):
             return _FOUND.empty_table()
         ids = vectors["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(vectors["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
+        fine = np.frombuffer(b"".join(vectors["fine"].to_pylist()), np.int8).reshape(len(ids), -1)
+        step = vectors["step"].to_numpy()
         query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["q"]).astype(np.float64)
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)], [np.empty(0, np.float32)]]
         for start in range(0, len(q), 32):
             part = q[start : start + 32]
             scanned = np.zeros((len(part), len(ids)), np.float32)
             for table, code in zip(quantiser.tables(part), codes, strict=True):
                 scanned += table[:, code]
-            for row, own in zip(scanned, query_ids[start : start + 32], strict=True):
-                least = np.partition(row, len(row) - k - 1)[len(row) - k - 1] - margin if len(row) > k + 1 else -np.inf
-                near = np.flatnonzero(row >= least)
+            for row, own, query in zip(scanned, query_ids[start : start + 32], part, strict=True):
+                near = np.flatnonzero(row >= _kth(row, k + 1) - margin)
                 near = near[ids[near] != own]
-                out[0].append(np.full(len(near), own))
-                out[1].append(ids[near])
-                out[2].append(row[near])
+                score = fine[near].astype(np.float32) @ query.astype(np.float32) * step[near]
+                slack = FINE_MARGIN * float(step[near].max(initial=0)) / 12**0.5 * float(np.linalg.norm(query))
+                best = score >= _kth(score, k) - slack
+                for column, values in zip(out, (np.full(best.sum(), own), ids[near[best]], score[best], np.full(best.sum(), slack, np.float32)), strict=True):
+                    column.append(values)
         return pa.table([np.concatenate(c) for c in out], schema=_FOUND)
 
     return run
 
 
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest value; below all if there are fewer."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
+
+
 def search(
     vectors: DataFrame, is_query: str, k: int = 20, fit_rows: int = FIT_ROWS, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -239,21 +250,22 @@ def search(
     cells, scan = fit_cells(sample, max(1, min(MAX_CELLS, n // LEAST_CELL, len(sample) // 8)), k)
     copies = Window.partitionBy(F.xxhash64("x"), F.xxhash64(F.lit(5), "x")).orderBy("vec_id")
     index = rows.withColumn("_copy", F.row_number().over(copies)).where(f"_copy <= {k + 1}").select("vec_id", "x")
-    index = materialise(index.mapInArrow(_encoded(quantiser, cells), "vec_id long, codes binary, cell int"), "codes")
+    index = materialise(index.mapInArrow(_encoded(quantiser, cells), "vec_id long, codes binary, fine binary, step float, cell int"), "codes")
     probes = queries.mapInArrow(_probes(cells, scan), f"query_id long, q array<{element if element == 'float' else 'double'}>, cell int")
     probes = materialise(probes, "probes")
     held, asked = ({r["cell"]: r["n"] for r in t.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} for t in (index, probes))  # a row for each cell
     blocks = lambda counts, size: F.element_at(F.array(*[F.lit(max(1, -(-counts.get(c, 0) // size))) for c in range(len(cells))]), F.col("cell") + 1)
     v_blocks, q_blocks = blocks(held, VECTOR_BLOCK), blocks(asked, QUERY_BLOCK)
     others = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    left = index.select("vec_id", "codes", "cell", F.pmod(F.xxhash64("vec_id"), v_blocks).cast("int").alias("_v"), others(q_blocks).alias("_q"))
+    left = index.select("vec_id", "codes", "fine", "step", "cell", F.pmod(F.xxhash64("vec_id"), v_blocks).cast("int").alias("_v"), others(q_blocks).alias("_q"))
     right = probes.select("query_id", "q", "cell", F.pmod(F.xxhash64("query_id"), q_blocks).cast("int").alias("_q"), others(v_blocks).alias("_v"))
     by = ("cell", "_v", "_q")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_scanned(quantiser, k), "query_id long, vec_id long, scanned float")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_scanned(quantiser, k), "query_id long, vec_id long, scanned float, slack float")
     best = Window.partitionBy("query_id").orderBy(F.desc("scanned"))
     found = found.withColumn("_n", F.row_number().over(best))
-    kth = F.max(F.when(F.col("_n") == k + 1, F.col("scanned"))).over(Window.partitionBy("query_id"))
-    found = found.withColumn("_kth", kth).where(f"_kth is null or scanned >= _kth - {MARGIN * quantiser.error!r}D").select("query_id", "vec_id")
+    whole = Window.partitionBy("query_id")
+    found = found.withColumn("_kth", F.max(F.when(F.col("_n") == k, F.col("scanned"))).over(whole)).withColumn("slack", F.max("slack").over(whole))
+    found = found.where("_kth is null or scanned >= _kth - slack").select("query_id", "vec_id")
     exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda total, v: total + v)
     scored = found.join(rows, "vec_id").join(queries, "query_id").select("query_id", "vec_id", exact.alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
