@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lineage
-from .functions.expr import ORDER, Compile, Expr, as_expr, col, count, duration_micros, expand, lit, quantile, split_duration
-from .operators import cleaning, ordered, plots
+from .functions.expr import HALO, ORDER, PLACE, Compile, Expr, Whole, as_expr, col, count, duration_micros, expand, lit
+from .operators import cleaning, ordered, plots, windows
 from .session import GuardSession, RequestRejected, UnsupportedOperation
 
 Names = str | Sequence[str]
@@ -124,12 +124,23 @@ class GuardedFrame:
         return found
 
     def _rows(self, exprs: Sequence[Expr]) -> tuple[DataFrame, list[Column]]:
-        """The frame, joined with the one-row table of the aggregates that ``exprs`` hold, and their columns."""
-        context = Compile("row", self._order(), tuple(self._reverse_order()) if self.order else ())
+        """The frame, joined with the one-row table of the aggregates that ``exprs`` hold, and their columns.  Where they depend
+        on the order of the whole frame, rows are dealt to blocks and the columns are computed there."""
+        context = Compile("row", self._order(), tuple(self._reverse_order()) if self.order else (), whole=Whole(), sides=[])
         columns = [e.build(context) for e in exprs]
-        df = self.df
+        df, whole = self.df, context.whole
+        if whole.used:
+            df = ordered.row_index(df, self._order(), PLACE)
         if context.aggregates:
-            df = df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in context.aggregates])))  # one row
+            source = ordered.with_sides(self.df, [], context.sides)
+            df = df.crossJoin(F.broadcast(source.agg(*[c.alias(n) for n, c in context.aggregates])))  # one row
+        if whole.used:
+            df = ordered.in_blocks(df, whole, context.prepared)
+            names = [f"__c{i}" for i in range(len(columns))]
+            df = df.select("*", *[c.alias(n) for c, n in zip(columns, names, strict=True)]).where(~F.col(HALO))
+            return df, [F.col(n) for n in names]
+        for name, column in context.prepared:
+            df = df.withColumn(name, column)
         return df, columns
 
     def _sensitive(self, exprs: Sequence[Expr], base: frozenset[str]) -> frozenset[str]:
@@ -146,11 +157,16 @@ class GuardedFrame:
 
     def select(self, *values) -> GuardedFrame:
         exprs = self._exprs(values)
+        if any(e.table for e in exprs):
+            if len(exprs) > 1:
+                raise ValueError(f"{exprs[0].name} makes a table of its own and must be selected alone")
+            return exprs[0].table(self)
         step = f"select({', '.join(e.name for e in exprs)})"
         sensitive = self._sensitive(exprs, frozenset())
         if exprs and all(e.aggregated for e in exprs):
-            context = Compile("agg", self._order_keys())
-            df = self.df.agg(*[e.build(context).alias(e.name) for e in exprs])
+            context = Compile("agg", self._order_keys(), sides=[])
+            columns = [e.build(context).alias(e.name) for e in exprs]
+            df = ordered.with_sides(self.df, [], context.sides).agg(*columns)
             size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
             return self._with(df, step, lineage.aggregated(self.provenance, size), sensitive, ())
         df, columns = self._rows(exprs)
@@ -180,6 +196,57 @@ class GuardedFrame:
         order = tuple(("-" if o.startswith("-") else "") + mapping.get(o.lstrip("-"), o.lstrip("-")) for o in self.order)
         return self._with(self.df.withColumnsRenamed(mapping), "rename()", blacklist=frozenset(mapping.get(b, b) for b in self.blacklist), order=order)
 
+    def _unique_counts(self, value: Expr) -> GuardedFrame:
+        rows = self.with_columns(value.alias("__value"))
+        counts = rows.df.groupBy("__value").agg(F.count(F.lit(1)).alias("counts"))
+        if self.order:
+            up = [not o.startswith("-") for o in self.order]
+            pick = F.min if all(up) else F.max
+            counts = rows.df.groupBy("__value").agg(F.count(F.lit(1)).alias("counts"), pick(F.struct(*self._order_keys())).alias("__first"))
+            counts = counts.orderBy(F.col("__first").asc() if all(up) else F.col("__first").desc())
+        size = lambda: lineage.smallest_group(rows.df, [F.col("__value")])
+        return self._with(counts.select(F.col("counts").alias(value.name)), f"unique_counts({value.name})", lineage.aggregated(self.provenance, size), frozenset(), ())
+
+    def _arg_where(self, predicate: Expr) -> GuardedFrame:
+        rows = self.with_columns(predicate.alias("__holds"))
+        found = ordered.row_index(rows.df, self._need_order(), PLACE).where("__holds").select(F.col(PLACE).alias(predicate.name))
+        return self._with(found, f"arg_where({predicate.name})", blacklist=rows._sensitive([predicate], frozenset()), order=(predicate.name,))
+
+    def rows(self, places: Sequence[int]) -> GuardedFrame:
+        """The rows at these places, from 0 in the frame's order; negative ones count from the end."""
+        df = ordered.row_index(self.df, self._need_order(), PLACE)
+        if any(p < 0 for p in places):
+            total = self.df.count()
+            places = [p + total if p < 0 else p for p in places]
+        return self._with(df.where(F.col(PLACE).isin([int(p) for p in places])).drop(PLACE), f"rows({list(places)})")
+
+    # Arithmetic of whole frames.
+
+    def _arithmetic(self, other, f: Callable[[Column, Column], Column], sign: str) -> GuardedFrame:
+        """Numeric columns with a number, or with the columns of another frame at the same place in order of rows and columns."""
+        numeric = [c.name for c in self.df.schema if isinstance(c.dataType, T.NumericType)]
+        if not isinstance(other, GuardedFrame):
+            return self._with(self.df.select(*[f(F.col(f"`{c}`"), F.lit(other)).alias(c) if c in numeric else F.col(f"`{c}`") for c in self.df.columns]), f"{sign} {other}")
+        if len(other.df.columns) != len(self.df.columns):
+            raise ValueError("frames of different numbers of columns")
+        a = ordered.row_index(self.df, self._need_order(), PLACE)
+        b = ordered.row_index(other.df, other._need_order(), PLACE).toDF(PLACE, *[f"__b{i}" for i in range(len(other.df.columns))])
+        out = [f(F.col(f"`{c}`"), F.col(f"__b{i}")).alias(c) if c in numeric else F.col(f"`{c}`") for i, c in enumerate(self.df.columns)]
+        theirs = {mine for mine, c in zip(self.df.columns, other.df.columns, strict=True) if c in other.blacklist}
+        return self._with(a.join(b, PLACE, "left").select(PLACE, *out).drop(PLACE), f"{sign} frame", lineage.merged(self.provenance, other.provenance), self.blacklist | theirs)
+
+    def __add__(self, other) -> GuardedFrame:
+        return self._arithmetic(other, lambda a, b: a + b, "+")
+
+    def __sub__(self, other) -> GuardedFrame:
+        return self._arithmetic(other, lambda a, b: a - b, "-")
+
+    def __mul__(self, other) -> GuardedFrame:
+        return self._arithmetic(other, lambda a, b: a * b, "*")
+
+    def __truediv__(self, other) -> GuardedFrame:
+        return self._arithmetic(other, lambda a, b: F.try_divide(a.cast("double"), b.cast("double")), "/")
+
     # Order and limits.
 
     def sort(self, by, reverse: bool | Sequence[bool] = False, nulls_last: bool = False) -> GuardedFrame:
@@ -354,22 +421,27 @@ class GuardedFrame:
         return self._over_all(F.var_samp if ddof == 1 else F.var_pop, (T.NumericType,), "var")
 
     def quantile(self, q: float, interpolation: str = "nearest"):
-        return self._over_all(lambda c: quantile(c, q, interpolation), (T.NumericType,), "quantile")
+        numeric = [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType)]
+        found = self.select(*[col(c).quantile(q, interpolation).cast(self.df.schema[c].dataType if interpolation in ("nearest", "lower", "higher") else "double").alias(c) for c in numeric]) if numeric else self.select(count())
+        out = [F.col(f"`{c}`") if c in numeric else F.lit(None).cast(self.df.schema[c].dataType).alias(c) for c in self.df.columns]
+        return self._with(found.df.select(*out), "quantile()", found.provenance, order=())
 
     def null_count(self):
         return self._over_all(lambda c: F.sum(c.isNull().cast("long")), (T.DataType,), "null_count")
 
     def describe(self) -> GuardedFrame:
-        """``describe`` and a double column for each column: count (with nulls), null_count, mean, std, min, max, median,
-        from one aggregation; columns that are not numeric have counts only."""
+        """``describe`` and a column for each column: count (with nulls), null_count, mean, std, min, max, median,
+        from one aggregation.  Numeric columns give doubles; others give text, with their counts, min and max."""
         rows = ("count", "null_count", "mean", "std", "min", "max", "median")
         of = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": F.median}
         aggs = []
         for f in self.df.schema:
             c = F.col(f"`{f.name}`")
             numeric = isinstance(f.dataType, T.NumericType)
-            values = [F.count(F.lit(1)).cast("double"), F.sum(c.isNull().cast("long")).cast("double")]
-            values += [of[r](c).cast("double") if numeric else F.lit(None).cast("double") for r in rows[2:]]
+            kind = "double" if numeric else "string"
+            values = [F.count(F.lit(1)).cast(kind), F.sum(c.isNull().cast("long")).cast(kind)]
+            ordered_ = not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+            values += [of[r](c).cast(kind) if numeric or (ordered_ and r in ("min", "max")) else F.lit(None).cast(kind) for r in rows[2:]]
             aggs.append(F.array(*values).alias(f.name))
         one = self.df.agg(*aggs).select(F.posexplode(F.array(*[F.lit(r) for r in rows])).alias("__i", "describe"), "*")
         df = one.select("describe", *[F.element_at(F.col(f"`{c}`"), F.col("__i") + 1).alias(c) for c in self.df.columns])
@@ -391,23 +463,19 @@ class GuardedFrame:
         return GuardedRolling(self, index_column, period, offset, closed, _names(by))
 
     def groupby_dynamic(self, index_column: str, every: str, period: str | None = None, offset: str | None = None, truncate: bool = True, include_boundaries: bool = False, closed: str = "left", by: Names | None = None) -> GuardedGroup:
-        """Groups by time windows of length ``period`` that start every ``every``; the window's start replaces the index."""
-        if closed != "left":
-            raise UnsupportedOperation("windows are closed on the left")
-        micros = lambda d: f"{duration_micros(d)} microseconds"
-        if split_duration(every)[1] in ("mo", "q", "y"):
-            start = as_expr(index_column).dt.truncate(every).alias(index_column)
-            return GuardedGroup(self, [*self._exprs(_names(by)), start])
-        w = F.window(F.col(f"`{index_column}`"), micros(period or every), micros(every), micros(offset or "0s"))
-        frame = self._with(self.df.withColumn("__w", w), "dynamic()")
-        keys = [*self._exprs(_names(by))]
-        bounds = [("_lower_boundary", "start"), ("_upper_boundary", "end")] if include_boundaries else []
-        keys += [Expr(lambda c, p=p: F.col("__w")[p], n) for n, p in bounds]
-        keys.append(Expr(lambda c: F.col("__w")["start"], index_column))
-        return GuardedGroup(frame, keys)
+        """Groups by time windows of length ``period`` (``every`` if not given) that start every ``every``, moved by ``offset``;
+        ``closed`` names the ends that belong to a window, months and years follow the calendar.  The window's start replaces
+        the index, or with ``truncate=False`` its first row's time; ``include_boundaries`` adds both ends."""
+        if closed not in ("left", "right", "both", "none"):
+            raise ValueError("closed must be left, right, both or none")
+        return GuardedDynamic(self, index_column, windows.Steps.of(every, period, offset), closed, truncate, include_boundaries, self._exprs(_names(by)))
 
     # Joins.
 
+    def _first_times(self, index: str) -> GuardedFrame:
+        columns = [F.col("__first").alias(c) if c == index else F.col(f"`{c}`") for c in self.df.columns if c != "__first"]
+        return self._with(self.df.select(*columns), "first times", blacklist=self.blacklist - {"__first"} | ({index} if "__first" in self.blacklist else set()))
+
     def join(self, other: GuardedFrame, left_on=None, right_on=None, on=None, how: str = "inner", suffix: str = "_right", allow_parallel: bool = True, force_parallel: bool = False, join_nulls: bool = False) -> GuardedFrame:
         """Equi-join on names or expressions.  Right key columns are dropped, other clashing names get ``suffix``;
         an outer join's keys are coalesced."""
@@ -509,7 +577,7 @@ class GuardedFrame:
         return self._plot(plots.points(self.df, x, y, hue), "scatterplot()")
 
     def boxplot(self, y: str, x: str | None = None) -> GuardedFrame:
-        return self._plot(plots.boxes(self.df, y, x), "boxplot()", [F.col(x)] if x else [], dict.fromkeys(("min", "q25", "median", "q75", "max", "iqr"), y))
+        return self._plot(plots.boxes(self, y, x), "boxplot()", [F.col(x)] if x else [], dict.fromkeys(("min", "q25", "median", "q75", "max", "iqr"), y))
 
     def pieplot(self, parts: str, labels: str) -> GuardedFrame:
         return self._plot(plots.pie(self.df, parts, labels), "pieplot()", shows={"label": labels, "percent": parts})
@@ -556,9 +624,11 @@ class GuardedGroup:
     def agg(self, *values) -> GuardedFrame:
         frame = self.frame
         exprs = frame._exprs(values)
-        context = Compile("agg", frame._order_keys())
+        if any(e.placed for e in exprs):
+            frame = frame._with(ordered.row_index(frame.df, frame._need_order(), PLACE), "places")
+        context = Compile("agg", frame._order_keys(), sides=[])
         columns = [e.build(context) if e.aggregated or e.listed else F.collect_list(e.build(context)) for e in exprs]
-        df = frame.df.groupBy(*self._key_columns()).agg(*[c.alias(e.name) for c, e in zip(columns, exprs, strict=True)])
+        df = ordered.with_sides(frame.df, self._key_columns(), context.sides).groupBy(*self._key_columns()).agg(*[c.alias(e.name) for c, e in zip(columns, exprs, strict=True)])
         provenance = frame.provenance
         if all(e.aggregated for e in exprs):
             provenance = lineage.aggregated(provenance, lambda: lineage.smallest_group(frame.df, self._key_columns()))
@@ -580,6 +650,23 @@ class GuardedGroup:
         return self._picked(n, self.frame._reverse_order(), f"groupby().tail({n})")
 
 
+class GuardedDynamic(GuardedGroup):
+    """Rows dealt to every time window that they are in."""
+
+    def __init__(self, frame: GuardedFrame, index: str, steps: windows.Steps, closed: str, truncate: bool, boundaries: bool, by: list[Expr]):
+        kind = frame.df.schema[index].dataType
+        time = lambda c: F.timestamp_micros(c).cast(kind)
+        dealt = frame._with(windows.dealt(frame.df, index, steps, closed), "dynamic()")
+        self.index, self.truncate = index, truncate
+        keys = [Expr(lambda c, n=n: time(F.col(n)), name) for n, name in (("__start", "_lower_boundary"), ("__end", "_upper_boundary")) if boundaries]
+        super().__init__(dealt, [*by, *keys, Expr(lambda c: time(F.col("__start")), index, shown=(index,))])
+
+    def agg(self, *values) -> GuardedFrame:
+        if self.truncate:
+            return super().agg(*values)
+        return super().agg(*values, col(self.index).min().alias("__first"))._first_times(self.index)
+
+
 class GuardedRolling:
     """Aggregates over the rows of a trailing time window of each row (index in microseconds; ``closed`` names the ends that count)."""
 
@@ -593,11 +680,17 @@ class GuardedRolling:
         self.high = start + length - (0 if closed in ("right", "both") else 1)
 
     def _window(self) -> Window:
-        key = F.unix_micros(F.col(f"`{self.index}`").cast("timestamp"))
-        return Window.partitionBy(*self.by).orderBy(key).rangeBetween(self.low, self.high)
+        return Window.partitionBy(*self.by).orderBy(self._key()).rangeBetween(self.low, self.high)
+
+    def _key(self) -> Column:
+        return F.unix_micros(F.col(f"`{self.index}`").cast("timestamp"))
 
     def agg(self, *values) -> GuardedFrame:
         frame, w = self.frame, self._window()
+        rows = frame.df
+        if not self.by:
+            rows = ordered.in_ranges(rows, self._key(), self.low, self.high)
+            w = Window.partitionBy("__range").orderBy(self._key()).rangeBetween(self.low, self.high)
         exprs = frame._exprs(values)
         if not all(e.aggregated for e in exprs):
             raise ValueError("rolling groups take aggregates")
@@ -607,13 +700,15 @@ class GuardedRolling:
                 return column.over(w)
 
         columns = [e.build(Rolling("agg", frame._order_keys())).alias(e.name) for e in exprs]
-        df = frame.df.select(*self.by, self.index, *columns)
+        own = F.lit(True) if self.by else ~F.col(HALO)
+        df = rows.select(*self.by, self.index, *columns, own.alias("__own")).where("__own").drop("__own")
 
         def size() -> int:
-            return frame.df.select(F.count(F.lit(1)).over(w).alias("n")).agg(F.min("n")).first()[0] or 0
+            counts = rows.select(F.count(F.lit(1)).over(w).alias("n"), own.alias("__own"))
+            return counts.where("__own").agg(F.min("n")).first()[0] or 0
 
         sensitive = frame._sensitive([*map(col, self.by), *exprs], frozenset())
         return frame._with(df, "groupby_rolling().agg()", lineage.aggregated(frame.provenance, size), sensitive, ())
 
 
-__all__ = ["Facet", "GuardedFrame", "GuardedGroup", "GuardedRolling"]
+__all__ = ["Facet", "GuardedDynamic", "GuardedFrame", "GuardedGroup", "GuardedRolling"]

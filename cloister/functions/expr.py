@@ -22,8 +22,11 @@ from pyspark.sql import types as T
 #: Stands for the frame's order columns among the columns that an expression shows, and for each selected column.
 ORDER, EACH = "<order>", "<each>"
 
-#: Weights of an exponentially weighted mean below one in two to this power are left out.
-_WEIGHT_BITS = 60
+#: Columns of a row's place in the frame's order, of its block, and of whether it is a copy from another block.
+PLACE, BLOCK, HALO = "__ord", "__block", "__halo"
+
+#: An exponentially weighted mean sums runs of values within which weights differ by two to this power at most.
+_WEIGHT_BITS = 500
 
 
 @dataclass
@@ -37,6 +40,30 @@ class Compile:
     windowed: bool = False
     current: str = ""  # the column that a selector of several columns stands for just now
     aggregates: list[tuple[str, Column]] = field(default_factory=list)
+    prepared: list[tuple[str, Column]] = field(default_factory=list)  # columns that others are built on
+    whole: Whole | None = None  # where windows over the whole frame go by blocks of rows
+    sides: list[tuple[str, Callable]] | None = None  # tables by group that an aggregation is joined with
+
+    def side(self, make: Callable) -> Column | None:
+        """One value for each group from a table that ``make(df, keys)`` computes apart, with the keys and a column ``value``; None
+        where aggregates can't be joined with one."""
+        if self.sides is None or self.windowed:
+            return None
+        name = f"__side{len(self.sides)}"
+        self.sides.append((name, make))
+        return self.aggregate(F.any_value(F.col(name)))
+
+    def prepare(self, column: Column) -> Column:
+        name = f"__w{len(self.prepared)}"
+        self.prepared.append((name, column))
+        return F.col(name)
+
+    @property
+    def by_blocks(self) -> bool:
+        return self.whole is not None and not self.partition
+
+    def groups(self) -> tuple[Column, ...]:
+        return (F.col(BLOCK),) if self.by_blocks else self.partition
 
     def aggregate(self, column: Column) -> Column:
         if self.windowed:
@@ -50,13 +77,61 @@ class Compile:
     def ordered(self) -> Window:
         if not self.order:
             raise ValueError("this expression depends on the order of rows: give the frame an order (order_by=...)")
+        if self.by_blocks:
+            self.whole.used = True
+            return Window.partitionBy(BLOCK).orderBy(PLACE)
         return Window.partitionBy(*self.partition).orderBy(*self.order)
 
     def reversed(self) -> Window:
         """The rows from the last to the first: what follows a row is a running frame here, which costs one pass."""
         self.ordered()
+        if self.by_blocks:
+            return Window.partitionBy(BLOCK).orderBy(F.desc(PLACE))
         return Window.partitionBy(*self.partition).orderBy(*(self.backward or [o.desc() for o in self.order]))
 
+    def own(self, column: Column) -> Column:
+        """The column in a block's own rows, null in those copied from its neighbours."""
+        return F.when(~F.col(HALO), column) if self.by_blocks else column
+
+
+@dataclass
+class Whole:
+    """What expressions over a whole frame need of a block of rows: copies of rows ``before`` and ``after`` it, values folded over
+    the blocks before (or after) it, and ranks.  No task holds more than a block and what is copied to it."""
+
+    used: bool = False
+    before: int = 0
+    after: int = 0
+    carries: list[tuple[str, Column, Callable, bool]] = field(default_factory=list)
+    ranks: list[tuple[str, Column, bool]] = field(default_factory=list)
+    places: list[tuple[str, list[Column]]] = field(default_factory=list)
+
+    def carry(self, of_block: Column, fold: Callable, backward: bool = False) -> Column:
+        """``fold(state, value)`` of a block aggregate over the blocks before this one; null before the first."""
+        self.carries.append((f"__carry{len(self.carries)}", of_block, fold, backward))
+        return F.col(self.carries[-1][0])
+
+    def rank(self, value: Column, reverse: bool) -> tuple[Column, Column, Column]:
+        """(rows with an earlier value, rows with this value, distinct earlier values)."""
+        self.used = True
+        self.ranks.append((f"__rank{len(self.ranks)}", value, reverse))
+        return tuple(F.col(f"{self.ranks[-1][0]}_{part}") for part in ("start", "n", "dense"))
+
+    def place(self, keys: list[Column]) -> Column:
+        """The place, from 0, in another order."""
+        self.used = True
+        self.places.append((f"__place{len(self.places)}", keys))
+        return F.col(self.places[-1][0])
+
+
+def latest(state, value):
+    return state if value is None else value
+
+
+def known(f: Callable) -> Callable:
+    """A fold that skips nulls."""
+    return lambda state, value: latest(state, value) if state is None or value is None else f(state, value)
+
 
 Build = Callable[[Compile], Column]
 
@@ -78,6 +153,8 @@ class Expr:
     columns: Callable[[T.StructType], list[str]] | None = None  # of a selector of several columns
     suffix_: str = ""
     listed: bool = False  # lists a group's values: one row for each group, though not an aggregate to the guard
+    placed: bool = False  # needs the places of rows
+    table: Callable | None = None  # a function of the frame, for what is a table of its own
     shown: tuple[str, ...] = ()  # columns whose values the result may show; counts, sums, means and deviations show none
 
     # Naming.
@@ -107,9 +184,16 @@ class Expr:
         """An aggregate that shows no value of its column."""
         return replace(self.agg(f), shown=())
 
-    def window(self, f: Callable[[Column, Window], Column]) -> Expr:
-        """An order-dependent function of each row."""
-        return replace(self, build=lambda c: f(self.build(c), c.ordered()))
+    def window(self, f: Callable[[Column, Window], Column], before: int = 0, after: int = 0) -> Expr:
+        """An order-dependent function of each row and so many rows before and after it."""
+
+        def build(c: Compile) -> Column:
+            w = c.ordered()
+            if c.by_blocks:
+                c.whole.before, c.whole.after = max(c.whole.before, before), max(c.whole.after, after)
+            return f(self.build(c), w)
+
+        return replace(self, build=build)
 
     def _binary(self, other, f: Callable[[Column, Column], Column]) -> Expr:
         other = lift(other)
@@ -212,6 +296,28 @@ class Expr:
     def cast(self, dtype, strict: bool = True):
         return self.map(lambda a: a.cast(dtype) if strict else a.try_cast(dtype))
 
+    def zip_with(self, mask: Expr, other):
+        """The value where ``mask`` holds, that of ``other`` elsewhere."""
+        return when(mask).then(self).otherwise(other).alias(self.name)
+
+    # Tables of their own, the only expression of a ``select``.
+
+    def value_counts(self):
+        """A row ``{value, counts}`` for each distinct value."""
+        return replace(self, table=lambda frame: frame.select(self.alias("value")).groupby("value").agg(count().alias("counts")).select(struct("value", "counts").alias(self.name)))
+
+    def unique_counts(self):
+        """How often each distinct value occurs, ordered by first appearance if the frame has an order."""
+        return replace(self, table=lambda frame: frame._unique_counts(self))
+
+    def arg_where(self):
+        """The places, from 0 in the frame's order, of the rows where the expression holds."""
+        return replace(self, table=lambda frame: frame._arg_where(self))
+
+    def groups(self):
+        """The places, from 0 in the frame's order, of a group's rows, as a list; for ``groupby().agg``."""
+        return replace(self, build=lambda c: c.aggregate(F.array_sort(F.collect_list(F.col(PLACE)))), listed=True, shown=(), placed=True)
+
     def is_in(self, values):
         return self.map(lambda a: a.isin(list(values)))
 
@@ -245,7 +351,15 @@ class Expr:
         return self.summary(F.var_samp if ddof == 1 else F.var_pop)
 
     def quantile(self, q: float, interpolation: str = "nearest"):
-        return self.agg(lambda a: quantile(a, q, interpolation))
+        """Exact; a group's values are never gathered, but counted near the rank that is asked for."""
+        ranks_of(q, interpolation)
+
+        def build(c: Compile) -> Column:
+            value = self.build(Compile("agg", c.order, current=c.current))
+            found = None if interpolation == "linear" else c.side(lambda df, keys: ordered().group_quantiles(df, keys, value, q, interpolation))
+            return c.aggregate(quantile(value, q, interpolation)) if found is None else found
+
+        return replace(self, build=build, aggregated=True)
 
     def count(self):
         """Length of the group, nulls included."""
@@ -313,6 +427,22 @@ class Expr:
         pair = lambda c: F.struct(by.build(c).alias("k"), self.build(c).alias("v"))
         return replace(self, build=lambda c: c.aggregate(F.transform(F.sort_array(F.collect_list(pair(Compile("agg", current=c.current))), not reverse), lambda s: s["v"])), listed=True)
 
+    def _places_of_group(self, low: int, high: int, backward: bool, cut: Callable[[Column], Column], pick: Callable[[Column], Column] | None = None):
+        """The group's values at places ``low`` to ``high`` in the frame's order (from its end if ``backward``), as a list: only
+        those rows are gathered, but for windows, where ``cut`` does it."""
+        whole = self._part_of_group(cut)
+
+        def build(c: Compile) -> Column:
+            if not c.order:
+                return whole.build(c)
+            value = self.build(Compile("agg", current=c.current))
+            found = c.side(lambda df, keys: ordered().group_places(df, keys, value, c.order, low, high, backward))
+            if found is None:
+                return whole.build(c)
+            return F.coalesce(F.transform(found if pick is None else pick(found), lambda s: s["v"]), F.array())  # no row at these places
+
+        return replace(self, build=build, listed=True)
+
     def _part_of_group(self, cut: Callable[[Column], Column]):
         """A part of the group's values, in the frame's order, as a list."""
 
@@ -325,16 +455,23 @@ class Expr:
         return replace(self, build=build, listed=True)
 
     def slice(self, offset: int, length: int):
-        return self._part_of_group(lambda a: F.slice(a, offset + 1 if offset >= 0 else offset, length))
+        if offset >= 0:
+            return self._places_of_group(offset + 1, offset + length, False, lambda a: F.slice(a, offset + 1, length))
+        last = lambda a: F.slice(a, F.greatest(F.size(a) + offset + 1, F.lit(1)), F.lit(length))
+        return self._places_of_group(1, -offset, True, last, last)
 
     def head(self, n: int = 5):
         return self.slice(0, n)
 
     def tail(self, n: int = 5):
-        return self._part_of_group(lambda a: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n)))
+        return self._places_of_group(1, n, True, lambda a: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n)))
 
     def take(self, indices: Sequence[int]):
-        return self._part_of_group(lambda a: F.array_compact(F.array(*[F.try_element_at(a, F.lit(i + 1 if i >= 0 else i)) for i in indices])))
+        cut = lambda a: F.array_compact(F.array(*[F.try_element_at(a, F.lit(i + 1 if i >= 0 else i)) for i in indices]))
+        if not indices or min(indices) < 0:
+            return self._part_of_group(cut)
+        at = lambda found, i: F.try_element_at(F.filter(found, lambda s: s["n"] == i + 1), F.lit(1))
+        return self._places_of_group(min(indices) + 1, max(indices) + 1, False, cut, lambda found: F.array_compact(F.array(*[at(found, i) for i in indices])))
 
     def reverse(self):
         return self._part_of_group(F.reverse)
@@ -354,28 +491,38 @@ class Expr:
         return replace(self, build=build, roots=roots, aggregated=False, shown=(*roots, *self.shown))
 
     def shift(self, n: int = 1, fill=None):
-        return self.window(lambda a, w: (F.lag(a, n, fill) if n >= 0 else F.lead(a, -n, fill)).over(w))
+        return self.window(lambda a, w: (F.lag(a, n, fill) if n >= 0 else F.lead(a, -n, fill)).over(w), max(n, 0), max(-n, 0))
 
     def diff(self, n: int = 1):
-        return self.window(lambda a, w: a - F.lag(a, n).over(w))
+        return self.window(lambda a, w: a - F.lag(a, n).over(w), max(n, 0), max(-n, 0))
+
+    def _running(self, f, fold: Callable, join: Callable[[Column, Column], Column]):
+        """``f`` of the values so far; ``fold`` does the same to results of blocks, as ``join`` does to two columns."""
 
-    def _running(self, f):
-        return self.window(lambda a, w: F.when(a.isNotNull(), f(a).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+        def build(c: Compile) -> Column:
+            a, w = self.build(c), c.ordered()
+            so_far = f(c.own(a)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+            if c.by_blocks:
+                carried = c.whole.carry(f(c.own(a)), known(fold))
+                so_far = F.coalesce(join(carried, so_far), so_far, carried)
+            return F.when(a.isNotNull(), so_far)
+
+        return replace(self, build=build)
 
     def cumsum(self):
-        return self._running(F.sum)
+        return self._running(F.sum, lambda a, b: a + b, lambda a, b: a + b)
 
     def cummin(self):
-        return self._running(F.min)
+        return self._running(F.min, min, F.least)
 
     def cummax(self):
-        return self._running(F.max)
+        return self._running(F.max, max, F.greatest)
 
     def cumprod(self):
-        return self._running(F.product)
+        return self._running(F.product, lambda a, b: a * b, lambda a, b: a * b)
 
     def cumcount(self):
-        return self.window(lambda a, w: F.row_number().over(w) - 1)
+        return replace(self, build=lambda c: (c.ordered(), F.col(PLACE))[1] if c.by_blocks else F.row_number().over(c.ordered()) - 1)
 
     def _rolling(self, f, size: int, least: int | None):
         least = size if least is None else least
@@ -384,7 +531,7 @@ class Expr:
             frame = w.rowsBetween(-(size - 1), 0)
             return F.when(F.count(a).over(frame) >= least, f(a).over(frame))
 
-        return self.window(build)
+        return self.window(build, size - 1)
 
     def rolling_sum(self, size, min_periods=None):
         return self._rolling(F.sum, size, min_periods)
@@ -411,28 +558,45 @@ class Expr:
         return self._rolling(lambda a: F.collect_list(a), size, min_periods).map(lambda values: quantile_of(F.array_sort(values), q, interpolation))
 
     def ewm_mean(self, alpha: float, adjust: bool = True):
-        """Exponentially weighted mean over the known values so far, as far back as weights matter in double precision."""
+        """Exponentially weighted mean over the known values so far."""
         if not 0 < alpha <= 1:
             raise ValueError("alpha must be above 0 and at most 1")
         decay = 1 - alpha
-        reach = math.ceil(_WEIGHT_BITS * math.log(2) / -math.log(decay)) if decay else 1
+        if not decay:
+            return self.forward_fill().cast("double")
+        length = max(1, int(_WEIGHT_BITS * math.log(2) / -math.log(decay)))  # known values of a run
 
         def build(c: Compile) -> Column:
-            a = self.build(c).cast("double")
-            known = F.count(a).over(c.ordered().rowsBetween(Window.unboundedPreceding, 0))
-            values = F.collect_list(a).over(Window.partitionBy(*c.partition).orderBy(known).rangeBetween(1 - reach, 0))
-            zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+            w, groups = c.ordered(), c.groups()
+            so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+            a = c.prepare(c.own(self.build(c).cast("double")))
+            n = c.prepare(F.count(a).over(so_far))
+            run = c.prepare(F.floor((F.greatest(n, F.lit(1)) - 1) / length))
+            place = F.greatest(n, F.lit(1)) - 1 - run * length
+            # Within a run, a value's weight is taken from the run's start; the run before adds what is left of its sum.
+            weighed = a * F.pow(F.lit(decay), -place)
+            order = [F.col(PLACE)] if c.by_blocks else list(c.order)
+            here = F.sum(weighed).over(Window.partitionBy(*groups, run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+            past = F.sum(weighed).over(Window.partitionBy(*groups).orderBy(run).rangeBetween(-1, -1))
+            total = F.pow(F.lit(decay), place) * (F.coalesce(here, F.lit(0.0)) + F.coalesce(past, F.lit(0.0)) * decay**length)
+            first = F.first(a, ignorenulls=True).over(so_far)
+            if c.by_blocks:
+                total, first = c.prepare(total), c.prepare(first)
+                last = lambda v: F.max_by(v, F.when(~F.col(HALO), F.col(PLACE)))
+                state = c.whole.carry(F.struct(last(total).alias("s"), last(n).alias("n"), last(first).alias("x")), lambda old, new: _ewm_state(old, new, decay))
+                total = total + F.coalesce(F.pow(F.lit(decay), n) * state["s"], F.lit(0.0))
+                first, n = F.coalesce(state["x"], first), n + F.coalesce(state["n"], F.lit(0))
             if adjust:
-                step = lambda acc, x: F.struct((acc["s"] * decay + x).alias("s"), (acc["n"] * decay + 1.0).alias("n"))
+                mean = total * alpha / (1 - F.pow(F.lit(decay), n))
             else:
-                step = lambda acc, x: F.struct(F.when(acc["n"] == 0, x).otherwise(acc["s"] * decay + x * alpha).alias("s"), F.lit(1.0).alias("n"))
-            return F.aggregate(values, zero, step, lambda acc: F.try_divide(acc["s"], acc["n"]))
+                mean = total * alpha + F.pow(F.lit(decay), n) * first
+            return F.when(n > 0, mean)
 
         return replace(self, build=build)
 
     def cumulative_eval(self, f: Callable[[Column], Column]):
         """``f`` of the list of values so far, for partitions of moderate size."""
-        return self.window(lambda a, w: f(F.collect_list(a).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+        return replace(self, build=lambda c: f(F.collect_list(self.build(c)).over(replace(c, whole=None).ordered().rowsBetween(Window.unboundedPreceding, 0))))
 
     def ewm_var(self, alpha: float):
         """Biased exponentially weighted variance: the weighted mean of squares less the squared weighted mean."""
@@ -445,6 +609,12 @@ class Expr:
         def build(c: Compile) -> Column:
             value = self.build(replace(c, windowed=False))
             key = value.desc_nulls_last() if reverse else value.asc_nulls_last()
+            if c.by_blocks and method in ("ordinal", "random"):
+                tie = [F.xxhash64(F.lit(seed), *c.order)] if method == "random" else []
+                return F.when(value.isNotNull(), c.whole.place([key, *tie]) + 1)
+            if c.by_blocks and method in ("min", "max", "average", "dense"):
+                start, n, dense = c.whole.rank(value, reverse)
+                return F.when(value.isNotNull(), {"min": start + 1, "max": start + n, "average": start + (n + 1) / 2, "dense": dense + 1}[method])
             w = Window.partitionBy(*c.partition).orderBy(key)
             peers = F.count(F.lit(1)).over(Window.partitionBy(*c.partition, value))
             ranks = {
@@ -471,13 +641,19 @@ class Expr:
         return ~self.is_unique()
 
     def interpolate(self):
-        return replace(self, build=lambda c: interpolated(self.build(c), c.ordered(), c.reversed()))
+        def build(c: Compile) -> Column:
+            value, w = self.build(c), c.ordered()
+            row = F.col(PLACE) if c.by_blocks else F.row_number().over(w)
+            at = F.when(value.isNotNull(), F.struct(row.alias("r"), value.cast("double").alias("v")))
+            return between_known(value, row, _nearest_known(c, at, False), _nearest_known(c, at, True))
+
+        return replace(self, build=build)
 
     def forward_fill(self):
-        return self.window(lambda a, w: F.last(a, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return replace(self, build=lambda c: _nearest_known(c, self.build(c), False))
 
     def backward_fill(self):
-        return replace(self, build=lambda c: F.last(self.build(c), ignorenulls=True).over(c.reversed().rowsBetween(Window.unboundedPreceding, 0)))
+        return replace(self, build=lambda c: _nearest_known(c, self.build(c), True))
 
     # Mathematics.
 
@@ -800,26 +976,52 @@ def quantile_of(sorted_values: Column, q: float, interpolation: str) -> Column:
 
 
 def quantile(value: Column, q: float, interpolation: str = "nearest") -> Column:
-    """Exact quantile as an aggregate.  The rank a quantile needs is read off Spark's exact percentile, which keeps
-    distinct values with counts; ``nearest`` rounds the rank half up."""
+    """Exact quantile as one aggregate, for windows and small groups: ``linear`` keeps distinct values with counts, others a list."""
+    ranks = ranks_of(q, interpolation)
     if interpolation == "linear":
         return F.percentile(value.cast("double"), q)
     n = F.count(value)
-    place = (n - 1) * F.lit(float(q))
-    ranks = {"nearest": F.floor(place + 0.5), "lower": F.floor(place), "higher": F.ceil(place)}
-    if interpolation == "midpoint":
-        return (quantile(value, q, "lower") + quantile(value, q, "higher")) / 2
+    found = [F.try_element_at(F.array_sort(F.collect_list(value)), (rank(n) + 1).cast("int")).cast("double") for rank in ranks]
+    return F.when(n > 0, functools.reduce(lambda a, b: a + b, found) / len(found))
+
+
+def ranks_of(q: float, interpolation: str) -> list[Callable[[Column], Column]]:
+    """The ranks, from 0, whose values' mean is the quantile of n values; ``nearest`` rounds half up."""
+    place = lambda n: (n - 1) * F.lit(float(q))
+    low, high = (lambda n: F.floor(place(n))), (lambda n: F.ceil(place(n)))
+    ranks = {"nearest": [lambda n: F.floor(place(n) + 0.5)], "lower": [low], "higher": [high], "midpoint": [low, high], "linear": [low, high]}
     if interpolation not in ranks:
-        raise ValueError("interpolation must be one of nearest, lower, higher, midpoint, linear")
-    return F.when(n > 0, F.try_element_at(F.array_sort(F.collect_list(value)), (ranks[interpolation] + 1).cast("int")).cast("double"))
+        raise ValueError(f"interpolation must be one of {', '.join(ranks)}")
+    return ranks[interpolation]
+
+
+def ordered():
+    """The module of order-dependent operators, which itself needs this one."""
+    from cloister.operators import ordered as module
+
+    return module
+
+
+def _ewm_state(old, new, decay: float):
+    """(weighted sum, known values, first known value) after another block."""
+    if old is None:
+        return new
+    return (old[0] * decay ** new[1] + new[0], old[1] + new[1], new[2] if old[2] is None else old[2])
+
+
+def _nearest_known(c: Compile, value: Column, backward: bool) -> Column:
+    """The last value so far that is not null, or the first to come."""
+    w = c.reversed() if backward else c.ordered()
+    found = F.last(c.own(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if not c.by_blocks:
+        return found
+    pick = F.min_by if backward else F.max_by
+    own = c.own(value)
+    return F.coalesce(found, c.whole.carry(pick(own, F.when(own.isNotNull(), F.col(PLACE))), latest, backward))
 
 
-def interpolated(value: Column, w: Window, backward: Window) -> Column:
-    """Linear fill of nulls between known values, by position; ``backward`` is ``w`` from the last row to the first."""
-    row = F.row_number().over(w)
-    before, after = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, backward))
-    at = F.when(value.isNotNull(), F.struct(row.alias("r"), value.cast("double").alias("v")))
-    a, b = F.last(at, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(after)
+def between_known(value: Column, row: Column, a: Column, b: Column) -> Column:
+    """Linear fill of nulls between known values, by position; ``a`` and ``b`` are the known ``{r, v}`` before and after."""
     between = a["v"] + (b["v"] - a["v"]) * F.try_divide(row - a["r"], b["r"] - a["r"])
     return F.when(value.isNotNull(), value.cast("double")).otherwise(between)
 

@@ -1,12 +1,13 @@
 """Provenance of results: how many source rows stand behind an output row, and how far joins multiplied them.
 
-Statistics are small Spark jobs that run when a result is collected, not while it is described.
+Statistics are small Spark jobs that run when a result is collected, not while it is described.  A provenance also has
+``sources``, the names of its tables, which need no job.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ Provenance = Callable[[], dict[str, Stats]]
 
 
 def source(name: str) -> Provenance:
-    return lambda: {name: Stats()}
+    return once(lambda: {name: Stats()}, [name])
 
 
-def once(f: Provenance) -> Provenance:
-    return functools.cache(f)
+def once(f: Provenance, sources: Iterable[str] | None = None) -> Provenance:
+    known = f.sources if sources is None else frozenset(sources)
+    cached = functools.cache(f)
+    cached.sources = known
+    return cached
 
 
 def merged(one: Provenance, two: Provenance) -> Provenance:
@@ -29,7 +33,7 @@ def merged(one: Provenance, two: Provenance) -> Provenance:
         a, b = one(), two()
         return {k: a[k].merge(b[k]) if k in a and k in b else a.get(k) or b[k] for k in {**a, **b}}
 
-    return once(run)
+    return once(run, one.sources | two.sources)
 
 
 def aggregated(inner: Provenance, size: Callable[[], float]) -> Provenance:
@@ -39,7 +43,7 @@ def aggregated(inner: Provenance, size: Callable[[], float]) -> Provenance:
         n = size()
         return {k: Stats(times(s.agg_size, n), s.join_scaling) for k, s in inner().items()}
 
-    return once(run)
+    return once(run, inner.sources)
 
 
 def scaled(inner: Provenance, factor: Callable[[], float]) -> Provenance:
@@ -47,7 +51,7 @@ def scaled(inner: Provenance, factor: Callable[[], float]) -> Provenance:
         n = factor()
         return {k: Stats(s.agg_size, times(s.join_scaling, n)) for k, s in inner().items()}
 
-    return once(run)
+    return once(run, inner.sources)
 
 
 def smallest_group(df: DataFrame, keys: Sequence[Column]) -> int:

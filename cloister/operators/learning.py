@@ -7,18 +7,23 @@ reach the driver, where the noise is added.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloister.operators.privacy import Guarded, PrivacyContext, noise, sigma, step_cost, step_epsilon
-from cloister.sources.scratch import materialise
+from cloister.sources.scratch import materialise, remove_path, scratch_path
+
+#: Folders that an epoch's batches are dealt to, at most; a step reads one of them.
+BATCH_FOLDERS = 1000
 
 
 @dataclass
@@ -40,11 +45,23 @@ class Dataset:
     def n(self) -> int:
         return self.context.n
 
-    def batches(self, size: int, epoch: int, seed: int) -> list[DataFrame]:
-        """Shuffled batches of about ``size``; which rows are in one is a hash of their id, so no sort is needed."""
+    @contextlib.contextmanager
+    def batches(self, size: int, epoch: int, seed: int) -> Iterator[Iterator[DataFrame]]:
+        """Shuffled batches of about ``size``; which rows are in one is a hash of their id.  One pass deals an epoch's rows
+        to a folder for each batch, so that a step reads its own rows only."""
         count = max(1, self.n // size)
+        if count == 1:
+            yield iter([self.df])
+            return
         place = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(epoch)), F.lit(count))
-        return [self.df.where(place == b) for b in range(count)]
+        dealt = self.df.withColumn("batch", place).withColumn("folder", F.col("batch") % BATCH_FOLDERS)
+        spark, path = self.df.sparkSession, scratch_path(self.df.sparkSession, "batches")
+        dealt.repartition("folder").write.partitionBy("folder").parquet(path)
+        try:
+            table = spark.read.schema(dealt.schema).parquet(path)
+            yield (table.where((F.col("folder") == b % BATCH_FOLDERS) & (F.col("batch") == b)) for b in range(count))
+        finally:
+            remove_path(spark, path)
 
 
 @dataclass
@@ -171,13 +188,13 @@ class Learner:
     max_batch_size: int = 64
     max_grad_norm: float = 1.0
     metric_eps: float = 0.01
-    seed: int = 0
+    seed: int = field(default_factory=lambda: secrets.randbits(62))  # of the batches; noise has no seed
     steps: int = 0
     runs: list[Run] = field(default_factory=list)
 
     def fit(self, nb_epochs: int, eps: float | None, batch_size: int | None = None, per_n_steps_checkpoint: int = 0, per_n_epochs_checkpoint: int = 0, resume: bool = False) -> Run:
         """Train with a total of ``eps`` (None: without privacy, which only an unlimited data set allows)."""
-        run, rng = Run(), np.random.default_rng(self.seed)
+        run, rng = Run(), self.dataset.context.rng
         self.runs.append(run)
         if not resume:
             self.steps = 0
@@ -186,15 +203,16 @@ class Learner:
         own = None if eps is None else step_epsilon(eps, rate, nb_epochs)
         try:
             for epoch in range(nb_epochs):
-                for batch in self.dataset.batches(size, epoch, self.seed):
-                    context.spend(math.inf if own is None else step_cost(own, rate, self.steps))
-                    total, n = gradient_sum(batch, self.model, None if own is None else self.max_grad_norm)
-                    if own is not None:  # one sample moves the sum of clipped gradients by twice the bound at most, in L2
-                        total = total + noise(total.shape, sigma(own, context.delta, self.max_grad_norm), rng)
-                    self.model.weights = self.optimizer.step(self.model.weights, total / (size if own is not None else max(n, 1)))
-                    self.steps += 1
-                    if per_n_steps_checkpoint and self.steps % per_n_steps_checkpoint == 0:
-                        run.checkpoints.append(self.model.weights.copy())
+                with self.dataset.batches(size, epoch, self.seed) as batches:
+                    for batch in batches:
+                        context.spend(math.inf if own is None else step_cost(own, rate, self.steps))
+                        total, n = gradient_sum(batch, self.model, None if own is None else self.max_grad_norm)
+                        if own is not None:  # a sample more or less moves the sum of clipped gradients by the bound at most, in L2
+                            total = total + noise(total.shape, sigma(own, context.delta, self.max_grad_norm), rng)
+                        self.model.weights = self.optimizer.step(self.model.weights, total / (size if own is not None else max(n, 1)))
+                        self.steps += 1
+                        if per_n_steps_checkpoint and self.steps % per_n_steps_checkpoint == 0:
+                            run.checkpoints.append(self.model.weights.copy())
                 if per_n_epochs_checkpoint and (epoch + 1) % per_n_epochs_checkpoint == 0:
                     run.checkpoints.append(self.model.weights.copy())
             if not run.checkpoints:
@@ -209,7 +227,7 @@ class Learner:
         """(private mean of the metric over all samples, two deviations of its noise)."""
         sums = metric_sum(dataset.df, self.model, metric)
         bound = 1.0 if metric == "accuracy" else 10.0
-        guarded = Guarded(np.array(sums[0]), dataset.context, bound, frozenset([0]), np.random.default_rng(self.seed)) / max(sums[1], 1)
+        guarded = Guarded(np.array(sums[0]), dataset.context, bound, frozenset([0])) / max(sums[1], 1)
         value = float(guarded.release(eps))
         value = min(max(value, 0.0), bound)
         return (1 - value if metric == "accuracy" else value), 0.0 if eps is None else 2 * sigma(eps, dataset.context.delta, guarded.linf)
@@ -234,20 +252,58 @@ def metric_sum(df: DataFrame, model: Model, metric: str) -> tuple[float, int]:
 
 @dataclass
 class Registry:
-    """Models and data sets by name."""
+    """Models and data sets by name; with a session and a folder ``store`` they are kept there and found again."""
 
+    spark: SparkSession | None = None
+    store: str | None = None
     models: dict[str, str] = field(default_factory=dict)
     datasets: dict[str, Dataset] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for name in self._names("models"):
+            self.models[name] = self._text(f"models/{name}")
+        for name in self._names("datasets"):
+            about = json.loads(self._text(f"datasets/{name}/about"))
+            context = PrivacyContext(about["limit"], about["n"], about["spent"], about["poisoned"])
+            self.datasets[name] = Dataset(self.spark.read.parquet(f"{self.store}/datasets/{name}/rows"), context, about["features"])
+
+    def _names(self, kind: str) -> list[str]:
+        if not self.store:
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{kind}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+    def _text(self, path: str) -> str:
+        return self.spark.read.text(f"{self.store}/{path}").first()["value"]
+
+    def _write(self, path: str, text: str) -> None:
+        if self.store:
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.store}/{path}")
+
     def send_model(self, name: str, model: Model) -> None:
         self.models[name] = model.to_json()
+        self._write(f"models/{name}", self.models[name])
 
     def fetch_model(self, name: str) -> Model:
         return Model.from_json(self.models[name])
 
+    def send_dataset(self, name: str, dataset: Dataset) -> None:
+        self.datasets[name] = dataset
+        if self.store:
+            dataset.df.write.mode("overwrite").parquet(f"{self.store}/datasets/{name}/rows")
+        self.save_budget(name)
+
+    def save_budget(self, name: str) -> None:
+        """Keep what has been spent of a data set's budget; to be called after each use."""
+        d = self.datasets[name]
+        c = d.context
+        self._write(f"datasets/{name}/about", json.dumps({"limit": c.limit, "n": c.n, "spent": c.spent, "poisoned": c.poisoned, "features": d.features}))
+
     def delete(self, name: str) -> None:
-        self.models.pop(name, None)
-        self.datasets.pop(name, None)
+        for kind, known in (("models", self.models), ("datasets", self.datasets)):
+            if known.pop(name, None) is not None and self.store:
+                remove_path(self.spark, f"{self.store}/{kind}/{name}")
 
     def available(self) -> dict[str, list[str]]:
         return {"models": sorted(self.models), "datasets": sorted(self.datasets), "devices": ["cpu"], "optimizers": ["SGD", "Adam"]}

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cloister.functions.expr import BLOCK, HALO, PLACE, Whole, ranks_of
 from cloister.sources.scratch import materialise
 
 
@@ -60,27 +62,88 @@ def every_nth(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 BLOCK_ROWS = 1_000_000
 
 
+def in_blocks(df: DataFrame, whole: Whole, prepared: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+    """The rows of an indexed frame in blocks, with the copies, carried values and ranks that ``whole`` asks for.
+
+    A fold over blocks takes one row of a block to the driver; ranks are joins with a table of distinct values.
+    """
+    for name, value, reverse in whole.ranks:
+        df = _ranked(df, name, value, reverse)
+    for name, keys in whole.places:
+        placed = row_index(df, [*keys, F.col(PLACE)], name)
+        df = df.join(placed.select(name, PLACE), PLACE)
+    block = lambda shift: F.floor((F.col(PLACE) + shift) / BLOCK_ROWS)
+    own = block(0)
+    if whole.before or whole.after:
+        df = df.withColumn(BLOCK, F.explode(F.sequence(F.greatest(block(-whole.after), F.lit(0)), block(whole.before))))
+    else:
+        df = df.withColumn(BLOCK, own)
+    df = df.withColumn(HALO, F.col(BLOCK) != own)
+    for name, column in prepared:
+        df = df.withColumn(name, column)
+    if whole.carries:
+        ends = df.where(~F.col(HALO)).groupBy(BLOCK).agg(*[of_block.alias(name) for name, of_block, _, _ in whole.carries])
+        rows = sorted(ends.collect(), key=lambda r: r[BLOCK])  # one row for each block
+        out = {r[BLOCK]: [r[BLOCK]] for r in rows}
+        for name, _, fold, backward in whole.carries:
+            state = None
+            for r in reversed(rows) if backward else rows:
+                out[r[BLOCK]].append(state)
+                state = fold(state, r[name])
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in ends.schema])
+        df = df.join(F.broadcast(df.sparkSession.createDataFrame(list(map(tuple, out.values())), schema)), BLOCK, "left")
+    return df
+
+
+def _ranked(df: DataFrame, name: str, value: Column, reverse: bool) -> DataFrame:
+    counts = df.select(value.alias("__v")).where("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    placed = row_index(counts, [F.desc("__v") if reverse else F.asc("__v")], "__dense").withColumn("__b", F.floor(F.col("__dense") / BLOCK_ROWS))
+    sums = sorted(placed.groupBy("__b").agg(F.sum("__n").alias("n")).collect(), key=lambda r: r["__b"])  # one row for each block of values
+    starts, total = [], 0
+    for r in sums:
+        starts.append((r["__b"], total))
+        total += r["n"]
+    so_far = Window.partitionBy("__b").orderBy("__dense").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__b long, __s long")), "__b")
+    start = F.col("__s") + F.coalesce(F.sum("__n").over(so_far), F.lit(0))
+    table = placed.select(F.col("__v").alias(f"{name}_v"), start.alias(f"{name}_start"), F.col("__n").alias(f"{name}_n"), F.col("__dense").alias(f"{name}_dense"))
+    return df.join(table, value == F.col(f"{name}_v"), "left")
+
+
 def interpolate_rows(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """Linear fill of nulls between known values, by position, in blocks of rows: a block looks up the known values
-    nearest to it in a table of one row for each block."""
-    rows = row_index(df, order, "__ord").withColumn("__block", F.floor(F.col("__ord") / BLOCK_ROWS))
-    known = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col("__ord").alias("r"), F.col(f"`{c}`").cast("double").alias("v"))) for c in columns}
-    ends = rows.groupBy("__block").agg(*[f(known[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("__min", F.min), ("__max", F.max))])
-    # One row for each block.  What follows is a running frame from the end, as frames that end with the table cost a pass for each row.
-    before, after = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__block"), F.desc("__block")))
-    carried = [F.last(f"__max{i}", ignorenulls=True).over(before).alias(f"__a{i}") for i in range(len(columns))]
-    carried += [F.last(f"__min{i}", ignorenulls=True).over(after).alias(f"__b{i}") for i in range(len(columns))]
-    rows = rows.join(ends.select("__block", *carried), "__block")
-    so_far, to_come = (Window.partitionBy("__block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("__ord"), F.desc("__ord")))
-    filled = {}
-    for i, c in enumerate(columns):
-        a = F.coalesce(F.last(known[c], ignorenulls=True).over(so_far), F.col(f"__a{i}"))
-        b = F.coalesce(F.last(known[c], ignorenulls=True).over(to_come), F.col(f"__b{i}"))
-        between = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("__ord") - a["r"], b["r"] - a["r"])
-        filled[c] = F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").cast("double")).otherwise(between)
+    """Linear fill of nulls between known values, by position, in blocks of rows."""
+    from cloister.functions.expr import Compile, col
+
+    context = Compile("row", tuple(order), whole=Whole())
+    filled = {c: col(c).interpolate().build(context) for c in columns}
+    context.whole.used = True
+    rows = in_blocks(row_index(df, order, PLACE), context.whole, context.prepared)
     return rows.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
+#: Time ranges at most that a frame is cut into.
+MOST_RANGES = 1000
+
+
+def in_ranges(df: DataFrame, key: Column, low: int, high: int) -> DataFrame:
+    """Each row in the range of its ``key`` (microseconds), and copied (``__halo``) to those whose rows have it in their window from
+    ``low`` to ``high``.  Ranges hold about equal numbers of rows and are no shorter than a window, so a row has few copies."""
+    n = df.count()
+    ranges = min(MOST_RANGES, -(-n // BLOCK_ROWS))
+    cuts: list[int] = []
+    if ranges > 1:
+        found = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+        for cut in sorted(set(found)):
+            if not cuts or cut - cuts[-1] >= high - low:
+                cuts.append(int(cut))
+    of = lambda k: F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= k))
+    if not cuts:
+        return df.withColumn("__range", F.lit(0)).withColumn(HALO, F.lit(False))
+    targets = F.sequence(F.least(of(key - high), of(key)), F.greatest(of(key - low), of(key)))
+    dealt = df.withColumn("__range", F.explode(F.when(key.isNotNull(), targets).otherwise(F.array(F.lit(0)))))
+    return dealt.withColumn(HALO, F.coalesce(F.col("__range") != of(key), F.lit(False)))
+
+
 def unique(df: DataFrame, subset: Sequence[str] | None, keep: str, order: Sequence[Column]) -> DataFrame:
     """Distinct rows, or the first or last row of each value of ``subset`` in ``order``."""
     if subset is None or set(subset) == set(df.columns):
@@ -94,6 +157,68 @@ def unique(df: DataFrame, subset: Sequence[str] | None, keep: str, order: Sequen
     return df.groupBy(*subset).agg(pick(row, key).alias("__row")).select("__row.*")
 
 
+def with_sides(df: DataFrame, keys: Sequence[Column], sides: Sequence[tuple[str, Callable]]) -> DataFrame:
+    """The rows with the value of their group in each side table; a table is written, so that its size decides how it is joined."""
+    base, own = df, [f"__k{i}" for i in range(len(keys))]
+    for name, make in sides:
+        table = materialise(make(base, keys), "side")
+        if not keys:
+            df = df.crossJoin(F.broadcast(table.select(F.col("value").alias(name))))  # one row
+            continue
+        table = table.select(*[F.col(k).alias(f"{name}{k}") for k in own], F.col("value").alias(name))
+        same = functools.reduce(lambda a, b: a & b, [key.eqNullSafe(F.col(f"{name}{k}")) for key, k in zip(keys, own, strict=True)])
+        df = df.join(table, same, "left")
+    return df
+
+
+#: A quantile's rank is looked for among values whose ranks are this share of a group apart, or among all of a group of so many times as few.
+QUANTILE_SHARE, WHOLE_GROUP = 10_000, 40_000
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[Column], value: Column, q: float, interpolation: str) -> DataFrame:
+    """``__k0, ..., value``: the exact quantile of each group.
+
+    An approximate percentile, which is summed up before the shuffle, gives bounds that surely hold the rank; the values
+    between them are counted, also before the shuffle, and the rank is found by adding up these counts: of a group of n
+    rows about 4 n / ``QUANTILE_SHARE`` values are looked at in order.
+    """
+    own = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, own, strict=True)], value.alias("__v")).where("__v is not null")
+    margin = 2 / QUANTILE_SHARE
+    bounds = F.percentile_approx("__v", [max(q - margin, 0.0), min(q + margin, 1.0)], QUANTILE_SHARE)
+    stats = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), bounds.alias("__b"))
+    few = F.col("__n") < WHOLE_GROUP
+    low = F.when(few | F.lit(q <= margin), F.col("__min")).otherwise(F.col("__b")[0])
+    high = F.when(few | F.lit(q >= 1 - margin), F.col("__max")).otherwise(F.col("__b")[1])
+    stats = materialise(stats.select(*own, "__n", low.alias("__low"), high.alias("__high")), "quantile-bounds")
+    if own:
+        theirs = stats.toDF(*[f"__s{c}" if c in own else c for c in stats.columns])
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__s{k}")) for k in own])
+        near = rows.join(theirs, same)
+    else:
+        near = rows.crossJoin(F.broadcast(stats))  # one row
+    near = near.where("__v <= __high").withColumn("__w", F.when(F.col("__v") >= F.col("__low"), F.col("__v")))
+    counts = near.groupBy(*own, "__n", "__w").agg(F.count(F.lit(1)).alias("__c"))  # null counts the values below the bounds
+    so_far = Window.partitionBy(*own, "__n").orderBy(F.col("__w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("__upto", F.sum("__c").over(so_far))
+    ranks = ranks_of(q, interpolation)
+    found = [F.min(F.when(F.col("__upto") > rank(F.col("__n")), F.col("__w"))).cast("double") for rank in ranks]
+    found = functools.reduce(lambda a, b: a + b, found) / len(found)
+    return counts.groupBy(*own).agg(found.alias("value"))
+
+
+def group_places(df: DataFrame, keys: Sequence[Column], value: Column, order: Sequence[Column], low: int, high: int, backward: bool) -> DataFrame:
+    """``__k0, ..., value``: the values at places ``low`` to ``high`` (from 1) of each group as a list of ``{n, v}`` in order; only rows up to
+    ``high`` leave a task."""
+    own = [f"__k{i}" for i in range(len(keys))]
+    names = [f"__o{i}" for i in range(len(order))]
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, own, strict=True)], *[o.alias(n) for o, n in zip(order, names, strict=True)], value.alias("__v"))
+    w = Window.partitionBy(*own).orderBy(*[F.desc(n) if backward else F.asc(n) for n in names])
+    rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= high).where(F.col("__n") >= low)
+    place = -F.col("__n") if backward else F.col("__n")
+    return rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(place.alias("n"), F.col("__v").alias("v")))).alias("value"))
+
+
 #: A group of rows with the same ``by`` values beyond this is cut into ranges of its key for an as-of join.
 ASOF_GROUP_ROWS = 1_000_000
 

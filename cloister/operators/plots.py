@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloister.functions.expr import quantile
+from cloister.functions.expr import col
 
 ESTIMATORS = ("mean", "count", "max", "min", "std", "sum", "median")
 
@@ -59,13 +59,13 @@ def points(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     return df.select(*known(df, x, y, hue))
 
 
-def boxes(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
-    """``(x,) min, q25, median, q75, max, iqr``; no outliers, for they would show single rows."""
-    known(df, x, y)
-    v = F.col(y)
-    out = df.where(v.isNotNull()).groupBy(*([x] if x else [])).agg(
-        F.min(v).alias("min"), quantile(v, 0.25).alias("q25"), F.median(v).alias("median"), quantile(v, 0.75).alias("q75"), F.max(v).alias("max")
-    )
+def boxes(frame, y: str, x: str | None = None) -> DataFrame:
+    """``(x,) min, q25, median, q75, max, iqr`` of a guarded frame; no outliers, for they would show single rows."""
+    known(frame.df, x, y)
+    v = col(y)
+    rows = frame.filter(v.is_not_null())
+    aggregates = [v.min().alias("min"), v.quantile(0.25).alias("q25"), v.median().alias("median"), v.quantile(0.75).alias("q75"), v.max().alias("max")]
+    out = (rows.groupby(x).agg(*aggregates) if x else rows.select(*aggregates)).df
     out = out.withColumn("iqr", F.col("q75") - F.col("q25"))
     return out.orderBy(x) if x else out
 

@@ -1,11 +1,18 @@
-"""Differential privacy: budgets, the Gaussian mechanism, and values that know their sensitivity."""
+"""Differential privacy: budgets, the Gaussian mechanism, and values that know their sensitivity.
+
+Data sets are neighbours if one has one sample more than the other, so a sum of values of norm c at most has sensitivity c.
+Noise is drawn from the system's entropy, by one generator for each data set; a seed is for tests only.
+"""
 
 from __future__ import annotations
 
 import math
+import secrets
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class BudgetExceeded(PermissionError):
@@ -20,6 +27,7 @@ class PrivacyContext:
     n: int
     spent: float = 0.0
     poisoned: bool = False  # something was released without any guarantee
+    rng: np.random.Generator = field(default_factory=np.random.default_rng, repr=False, compare=False)
 
     @property
     def delta(self) -> float:
@@ -56,7 +64,6 @@ class Guarded:
     context: PrivacyContext
     linf: float | None = None
     batches: frozenset[int] | None = None
-    rng: np.random.Generator = field(default_factory=np.random.default_rng)
 
     def _join(self, other: Guarded, value: np.ndarray) -> Guarded:
         apart = self.batches is not None and other.batches is not None and not self.batches & other.batches
@@ -100,7 +107,18 @@ class Guarded:
         if self.linf is None:
             raise ValueError("the sensitivity is unknown: clamp the value first")
         self.context.spend(epsilon)
-        return self.value + noise(self.value.shape, sigma(epsilon, self.context.delta, math.sqrt(self.value.size) * self.linf), self.rng)
+        return self.value + noise(self.value.shape, sigma(epsilon, self.context.delta, math.sqrt(self.value.size) * self.linf), self.context.rng)
+
+
+def release_column(df: DataFrame, column: str, context: PrivacyContext, linf: float, epsilon: float | None) -> DataFrame:
+    """A table of sums or counts, each sample in one of its rows, with noise on ``column``, drawn where the rows are: nothing passes
+    the driver.  ``linf`` bounds what one sample adds to its row, which is also the sensitivity of the whole column."""
+    if epsilon is None:
+        context.spend(math.inf)
+        return df
+    context.spend(epsilon)
+    draws = sum((F.randn(secrets.randbits(62)) for _ in range(3)), F.randn(secrets.randbits(62)))
+    return df.withColumn(column, F.col(f"`{column}`").cast("double") + draws / 2 * sigma(epsilon, context.delta, linf))
 
 
 def step_epsilon(epsilon: float, rate: float, epochs: int) -> float:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloister.frame import GuardedFrame
-from cloister.functions.expr import all_columns, col, concat_str, count, lit, of_types, when
-from cloister.policy import Aggregation, Policy, TrueRule
+from cloister.functions.expr import all_columns, col, cols, concat_str, count, lit, of_types, when
+from cloister.policy import Action, Aggregation, AtLeastNOf, FalseRule, Policy, TrueRule, UserId
 from cloister.session import GuardSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ class Tables:
         return self.session.send_df(df, policy or self.policy, sanitized, name=f"{name}-{len(self.session.catalogue)}", order_by=order)
 
 
+def _released(out: GuardedFrame | DataFrame) -> DataFrame:
+    """A frame's rows as an analyst gets them: collected, judged by the policies of its tables, sanitised and fetched."""
+    return out.session.release(out.collect().identifier) if isinstance(out, GuardedFrame) else out
+
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -35,7 +40,7 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     def register(f):
         name = f.__name__
-        QUERIES[name] = lambda spark, sf_dir: (lambda out: out.df if isinstance(out, GuardedFrame) else out)(f(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: _released(f(Tables(spark, sf_dir)))
         if sql:
             SQL[name] = sql
         return f
@@ -220,10 +225,10 @@ def join_left(t):
     return t("orders").select("o_orderkey", "o_custkey").join(_rich(t), left_on="o_custkey", right_on="c_custkey", how="left")
 
 
-@query(f"SELECT coalesce(o_custkey, c_custkey) AS k, o_orderkey, c_name FROM (SELECT * FROM orders WHERE o_custkey % 3 = 0) FULL JOIN {_RICH} c ON o_custkey = c_custkey")
+@query("SELECT coalesce(s_nationkey, k) AS s_nationkey, s_name, n, total FROM supplier FULL JOIN (SELECT o_custkey % 40 AS k, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON s_nationkey = k")
 def join_outer(t):
-    a = t("orders").filter(col("o_custkey") % 3 == 0).select(col("o_custkey").alias("k"), "o_orderkey")
-    return a.join(_rich(t), left_on="k", right_on="c_custkey", how="outer")
+    o = t("orders").groupby((col("o_custkey") % 40).alias("k")).agg(count().alias("n"), r(col("o_totalprice").sum(), 2).alias("total"))
+    return t("supplier").select("s_nationkey", "s_name").join(o, left_on="s_nationkey", right_on="k", how="outer")
 
 
 @query(f"SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM {_RICH})")
@@ -247,10 +252,9 @@ def join_suffix(t):
     return a.join(t("nation").select("n_name", "n_regionkey"), on="n_regionkey")
 
 
-@query("SELECT e.event_id, s.s_name FROM events e JOIN supplier s ON e.user_id % 10 = s.s_suppkey % 10 AND s.s_suppkey <= 10")
+@query("SELECT e.event_id, s.s_name FROM events e JOIN supplier s ON e.user_id + 1 = s.s_suppkey * 2 - 1")
 def join_on_expressions(t):
-    s = t("supplier").filter(col("s_suppkey") <= 10)
-    return t("events").join(s, left_on=(col("user_id") % 10), right_on=(col("s_suppkey") % 10)).select("event_id", "s_name")
+    return t("events").join(t("supplier"), left_on=(col("user_id") + 1), right_on=(col("s_suppkey") * 2 - 1)).select("event_id", "s_name")
 
 
 @query(
@@ -373,16 +377,99 @@ def frame_sum(t):
 
 
 @query(
-    """WITH s AS (SELECT 'count' AS "describe", count(*)::DOUBLE AS p_size, count(*)::DOUBLE AS p_retailprice, count(*)::DOUBLE AS p_brand FROM part
-    UNION ALL SELECT 'null_count', 0, 0, 0 UNION ALL SELECT 'mean', avg(p_size), avg(p_retailprice), NULL FROM part
-    UNION ALL SELECT 'std', stddev_samp(p_size), stddev_samp(p_retailprice), NULL FROM part UNION ALL SELECT 'min', min(p_size), min(p_retailprice), NULL FROM part
-    UNION ALL SELECT 'max', max(p_size), max(p_retailprice), NULL FROM part UNION ALL SELECT 'median', median(p_size), median(p_retailprice), NULL FROM part)
+    """WITH s AS (SELECT 'count' AS "describe", count(*)::DOUBLE AS p_size, count(*)::DOUBLE AS p_retailprice, count(*)::VARCHAR AS p_brand FROM part
+    UNION ALL SELECT 'null_count', 0, 0, '0' UNION ALL SELECT 'mean', avg(p_size), avg(p_retailprice), NULL FROM part
+    UNION ALL SELECT 'std', stddev_samp(p_size), stddev_samp(p_retailprice), NULL FROM part UNION ALL SELECT 'min', min(p_size), min(p_retailprice), min(p_brand) FROM part
+    UNION ALL SELECT 'max', max(p_size), max(p_retailprice), max(p_brand) FROM part UNION ALL SELECT 'median', median(p_size), median(p_retailprice), NULL FROM part)
     SELECT "describe", round(p_size, 4) AS p_size, round(p_retailprice, 4) AS p_retailprice, p_brand FROM s"""
 )
 def describe(t):
+    """Three columns of ``part``, text among them."""
     return t("part").select("p_size", "p_retailprice", "p_brand").describe().with_columns(r(col("p_size")), r(col("p_retailprice")))
 
 
+def _over_frame(t):
+    return t("orders", "o_orderkey").select("o_totalprice", col("o_custkey").cast("double"))
+
+
+_PAIR = "round({f}(o_totalprice{a}), 4) AS o_totalprice, round({f}(o_custkey::DOUBLE{a}), 4) AS o_custkey FROM orders"
+_FRAME = {"min": "min", "max": "max", "mean": "avg", "median": "median", "std": "stddev_samp", "var": "var_samp"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, {_PAIR.format(f=f, a='')}" for n, f in _FRAME.items()) + " UNION ALL SELECT 'quantile', " + _PAIR.format(f="quantile_cont", a=", 0.3"))
+def frame_aggregates(t):
+    """Aggregates of all columns of a frame."""
+    f = _over_frame(t)
+    found = [(n, getattr(f, n)()) for n in _FRAME] + [("quantile", f.quantile(0.3, "linear"))]
+    parts = [x.select(lit(n).alias("name"), r(col("o_totalprice")), r(col("o_custkey"))) for n, x in found]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.vstack(p)
+    return out
+
+
+@query(f"WITH {_GAPS} SELECT 0 AS o_orderkey, count(*) - count(price) AS price, count(*) - count(status) AS status FROM g")
+def frame_null_count(t):
+    return _gaps(t).null_count()
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1) UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1)")
+def frame_first_last(t):
+    f = t("orders", "o_orderkey").select("o_orderkey", "o_totalprice").order_by("o_orderkey")
+    return f.first().vstack(f.last())
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
+def partition_by(t):
+    """One frame for each status, aggregated each and put together."""
+    parts = t("orders").partition_by("o_orderstatus")
+    found = [f.select(lit(k).alias("o_orderstatus"), count().alias("n"), r(col("o_totalprice").sum(), 2).alias("total")) for k, f in sorted(parts.items())]
+    out = found[0]
+    for p in found[1:]:
+        out = out.vstack(p)
+    return out
+
+
+@query("SELECT event_type AS value, count(*) AS counts FROM events GROUP BY event_type")
+def value_counts_expr(t):
+    return t("events").select(col("event_type").value_counts()).unnest("event_type")
+
+
+@query("SELECT count(*) AS user_id FROM events GROUP BY events.user_id")
+def unique_counts(t):
+    return t("events", "event_id").select(col("user_id").unique_counts())
+
+
+@query("SELECT i AS value FROM (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE value > 90")
+def arg_where(t):
+    return t("events", "event_id").select((col("value") > 90).arg_where())
+
+
+@query("SELECT event_type, list(i ORDER BY i) AS places FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY event_type")
+def group_places(t):
+    return t("events", "event_id").groupby("event_type").agg(col("event_id").groups().alias("places"))
+
+
+@query("SELECT * FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS i, row_number() OVER (ORDER BY event_id DESC) AS j FROM events) WHERE i IN (0, 7, 70) OR j = 2")
+def frame_rows(t):
+    e = t("events", "event_id").select("event_id", "user_id").order_by("event_id")
+    n = e.with_row_count("i").rows([0, 7, 70, -2])
+    back = e.sort("event_id", reverse=True).with_row_count("j").select("event_id", (col("j") + 1).alias("j"))
+    return n.join(back, on="event_id")
+
+
+@query("SELECT p_partkey * 2 + p_partkey AS p_partkey, p_size * 2 + p_size AS p_size, p_retailprice * 2 + p_retailprice AS p_retailprice, p_brand FROM part")
+def frame_arithmetic(t):
+    """A frame times a number, and its sum with another frame, by place."""
+    p = t("part", "p_partkey").select("p_partkey", "p_size", "p_retailprice", "p_brand").order_by("p_partkey")
+    return p * 2 + p
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END AS o_totalprice FROM orders")
+def zip_with(t):
+    return t("orders").select("o_orderkey", col("o_totalprice").zip_with(col("o_orderstatus") == "F", -col("o_totalprice")))
+
+
 @query(
     """SELECT l_returnflag, round(kurtosis_pop(l_quantity), 4) AS kurt,
     round((avg(l_quantity ** 3) - 3 * avg(l_quantity) * avg(l_quantity ** 2) + 2 * avg(l_quantity) ** 3) / stddev_pop(l_quantity) ** 3, 4) + 0.0 AS skew,
@@ -488,6 +575,76 @@ def ewm_mean(t):
     return t("events", "event_id").select("event_id", r(col("value").ewm_mean(0.5).over("user_id")).alias("ewm"))
 
 
+@query(
+    """WITH o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    w AS (SELECT a.event_id, sum(b.value * 0.5 ** (a.i - b.i)) / sum(0.5 ** (a.i - b.i)) AS m, sum(b.value * b.value * 0.5 ** (a.i - b.i)) / sum(0.5 ** (a.i - b.i)) AS q
+      FROM o a JOIN o b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id)
+    SELECT event_id, round(greatest(q - m * m, 0), 2) + 0.0 AS va, round(sqrt(greatest(q - m * m, 0)), 2) + 0.0 AS sd FROM w"""
+)
+def ewm_var_std(t):
+    v = col("value")
+    return t("events", "event_id").select("event_id", (v.ewm_var(0.5).over("user_id").map(lambda x: F.greatest(x, F.lit(0.0))).round(2) + 0.0).alias("va"), (v.ewm_std(0.5).over("user_id").round(2) + 0.0).alias("sd"))
+
+
+@query("SELECT event_id, round(exp(sum(ln(1 + value / 1e6)) OVER (PARTITION BY user_id ORDER BY event_id)), 6) AS grown FROM events")
+def cumprod(t):
+    grown = (col("value") / 1e6 + 1).cumprod().over("user_id")
+    return t("events", "event_id").select("event_id", grown.round(6).alias("grown"))
+
+
+@query("SELECT event_id, max(value) OVER w - min(value) OVER w AS spread FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def cumulative_eval(t):
+    return t("events", "event_id").select("event_id", col("value").cumulative_eval(lambda a: F.array_max(a) - F.array_min(a)).over("user_id").alias("spread"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 2, 6)) AS twice FROM embeddings")
+def list_eval(t):
+    return t("embeddings").select("vec_id", col("embedding").arr.eval(lambda x: F.round(x.cast("double") * 2, 6)).alias("twice"))
+
+
+_W = "(ORDER BY event_id)"
+
+
+@query(
+    f"""SELECT event_id, round(value - lag(value, 2) OVER {_W}, 4) AS d2, lead(value) OVER {_W} AS nxt, round(sum(value) OVER {_W}, 2) AS cs, min(value) OVER {_W} AS cmin, max(value) OVER {_W} AS cmax,
+    row_number() OVER {_W} - 1 AS cc, CASE WHEN row_number() OVER {_W} >= 7 THEN round(avg(value) OVER r7, 4) END AS mean7, max(value) OVER r7 AS max7, CASE WHEN row_number() OVER {_W} >= 7 THEN median(value) OVER r7 END AS med7
+    FROM events WINDOW r7 AS (ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""
+)
+def frame_windows(t):
+    """Order-dependent functions over the whole frame, without ``over``."""
+    v = col("value")
+    return t("events", "event_id").select(
+        "event_id", r(v.diff(2)).alias("d2"), v.shift(-1).alias("nxt"), r(v.cumsum(), 2).alias("cs"), v.cummin().alias("cmin"), v.cummax().alias("cmax"), v.cumcount().alias("cc"),
+        r(v.rolling_mean(7)).alias("mean7"), v.rolling_max(7, 1).alias("max7"), v.rolling_median(7).alias("med7"),
+    )
+
+
+@query(
+    """SELECT event_id, rank() OVER (ORDER BY user_id) AS low, dense_rank() OVER (ORDER BY user_id) AS dense, rank() OVER (ORDER BY user_id) + count(*) OVER (PARTITION BY user_id) - 1 AS high,
+    rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0 AS mean, row_number() OVER (ORDER BY user_id, event_id) AS ordinal, rank() OVER (ORDER BY user_id DESC) AS down FROM events"""
+)
+def frame_rank(t):
+    """Ranks over the whole frame."""
+    ranks = {"low": "min", "dense": "dense", "mean": "average", "high": "max", "ordinal": "ordinal"}
+    u = col("user_id")
+    return t("events", "event_id").select("event_id", *[u.rank(m).alias(n) for n, m in ranks.items()], u.rank("min", reverse=True).alias("down"))
+
+
+@query(
+    """WITH g AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN value END AS v FROM events)
+    SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id) AS fwd, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bwd FROM g"""
+)
+def frame_fills(t):
+    e = t("events", "event_id").select("event_id", when(col("event_id") % 5 == 0).then(col("value")).otherwise(None).alias("v"))
+    return e.order_by("event_id").select("event_id", col("v").forward_fill().alias("fwd"), col("v").backward_fill().alias("bwd"))
+
+
+@query("SELECT ts, round(sum(value) OVER w, 3) AS total, count(*) OVER w AS n FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '21599.999999 seconds' PRECEDING AND CURRENT ROW)")
+def rolling_time_frame(t):
+    """Time windows over the whole frame, without ``by``."""
+    return t("events").groupby_rolling("ts", "6h").agg(r(col("value").sum(), 3).alias("total"), count().alias("n"))
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) = 1 AS is_first FROM events")
 def is_first(t):
     return t("events", "event_id").select("event_id", col("event_type").is_first().alias("is_first"))
@@ -516,6 +673,55 @@ def dynamic_month(t):
     return t("events").groupby_dynamic("ts", "1mo").agg(count().alias("n"))
 
 
+_DAY = "INTERVAL 1 DAY"
+
+
+def _closed(low: str, high: str) -> str:
+    return f"""WITH b AS (SELECT unnest(generate_series(date_trunc('day', min(ts)) - INTERVAL 3 DAY, max(ts) + {_DAY}, {_DAY})) + INTERVAL 6 HOUR AS s FROM events)
+    SELECT s AS ts, user_id, count(*) AS n, round(sum(value), 3) AS total FROM b JOIN (SELECT date_trunc('hour', ts) AS ts, user_id, value FROM events) e ON e.ts {low} s AND e.ts {high} s + INTERVAL 2 DAY GROUP BY ALL"""
+
+
+def _dynamic(t, closed):
+    hours = t("events").with_columns(col("ts").dt.truncate("1h").cast("timestamp_ntz").alias("ts"))
+    return hours.groupby_dynamic("ts", "1d", "2d", "6h", closed=closed, by="user_id").agg(count().alias("n"), r(col("value").sum(), 3).alias("total"))
+
+
+@query(_closed(">=", "<"))
+def dynamic_left(t):
+    """Windows of two days that start each day at six, closed on the left."""
+    return _dynamic(t, "left")
+
+
+@query(_closed(">", "<="))
+def dynamic_right(t):
+    return _dynamic(t, "right")
+
+
+@query(_closed(">=", "<="))
+def dynamic_both(t):
+    return _dynamic(t, "both")
+
+
+@query(_closed(">", "<"))
+def dynamic_none(t):
+    return _dynamic(t, "none")
+
+
+@query(
+    """WITH b AS (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)) - INTERVAL 4 MONTH, max(o_orderdate) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) + INTERVAL 5 DAY AS s FROM orders)
+    SELECT s AS o_orderdate, s AS _lower_boundary, s + INTERVAL 3 MONTH AS _upper_boundary, count(*) AS n, round(sum(o_totalprice), 2) AS total
+    FROM b JOIN orders o ON o.o_orderdate >= s AND o.o_orderdate < s + INTERVAL 3 MONTH GROUP BY s"""
+)
+def dynamic_calendar(t):
+    """Quarters that start on the sixth of each month."""
+    return t("orders").groupby_dynamic("o_orderdate", "1mo", "3mo", "5d", include_boundaries=True).agg(count().alias("n"), r(col("o_totalprice").sum(), 2).alias("total"))
+
+
+@query("SELECT min(ts) AS ts, count(*) AS n FROM events GROUP BY time_bucket(INTERVAL 12 HOUR, ts)")
+def dynamic_first_times(t):
+    return t("events").groupby_dynamic("ts", "12h", truncate=False).agg(count().alias("n"))
+
+
 # Sort, limit, set operations.
 
 
@@ -676,6 +882,16 @@ def scatter_hue(t):
     return t("orders").scatterplot("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
+@query("SELECT o_orderdate, o_totalprice, o_orderstatus, o_orderpriority FROM orders")
+def lineplot(t):
+    return t("orders").lineplot("o_orderdate", "o_totalprice", hue="o_orderstatus", style="o_orderpriority")
+
+
+@query("SELECT DISTINCT p_brand FROM part")
+def unique_values(t):
+    return t("part")._get_unique_values("p_brand")
+
+
 # User functions.
 
 
@@ -740,6 +956,84 @@ def guard_fetch_safe(t):
     return f.collect().fetch()
 
 
+def _outcomes(t, cases):
+    """What becomes of requests: their name, whether rows were released, and what the session logged."""
+    rows = []
+    for name, frame, session in cases:
+        session.events.clear()
+        found = frame.collect().fetch()
+        rows.append((name, found is not None, [e["event"] for e in session.events if e["event"] in ("reject", "review", "warning")]))
+    return t.session.spark.createDataFrame(rows, "name string, released boolean, log array<string>")
+
+
+_FINE = "(SELECT min(n) >= {k} FROM (SELECT count(*) AS n FROM lineitem GROUP BY {by}))"
+
+
+@query(
+    f"""SELECT 'coarse' AS name, {_FINE.format(k=10, by='l_returnflag')} AS released, []::VARCHAR[] AS log UNION ALL SELECT 'fine', {_FINE.format(k=10, by='l_orderkey')}, ['reject']
+    UNION ALL SELECT 'global', true, [] UNION ALL SELECT 'rows', false, ['reject'] UNION ALL SELECT 'reviewed', true, ['review'] UNION ALL SELECT 'denied', false, ['review'] UNION ALL SELECT 'logged', true, ['warning']
+    UNION ALL SELECT 'user', true, [] UNION ALL SELECT 'other', false, ['reject'] UNION ALL SELECT 'two of three', true, [] UNION ALL SELECT 'three of three', false, ['reject']"""
+)
+def policy_outcomes(t):
+    """Every rule and every action, on aggregations of ``lineitem``."""
+    spark, cases = t.session.spark, []
+    any_two = AtLeastNOf(2, (TrueRule(), UserId("ann"), FalseRule()))
+    for name, policy, request, reviewer in (
+        ("coarse", Policy(Aggregation(10), Action.REJECT), "flag", None), ("fine", Policy(Aggregation(10), Action.REJECT), "order", None), ("global", Policy(Aggregation(10), Action.REJECT), "all", None),
+        ("rows", Policy(Aggregation(10), Action.REJECT), "rows", None), ("reviewed", Policy(Aggregation(10), Action.REVIEW), "rows", True), ("denied", Policy(Aggregation(10), Action.REVIEW), "rows", False),
+        ("logged", Policy(Aggregation(10), Action.LOG), "rows", None), ("user", Policy(UserId("ann"), Action.REJECT), "rows", None), ("other", Policy(UserId("bob"), Action.REJECT), "rows", None),
+        ("two of three", Policy(any_two, Action.REJECT), "rows", None), ("three of three", Policy(AtLeastNOf(3, any_two.of), Action.REJECT), "rows", None),
+    ):
+        session = GuardSession(spark, user="ann", reviewer=lambda request, answer=reviewer: bool(answer))
+        f = session.send_df(spark.read.parquet(f"{t.sf_dir}/lineitem.parquet"), policy)
+        q = col("l_quantity").mean().alias("q")
+        frame = {"flag": lambda f=f: f.groupby("l_returnflag").agg(q), "order": lambda f=f: f.groupby("l_orderkey").agg(q), "all": lambda f=f: f.select(q), "rows": lambda f=f: f.select("l_tax")}[request]()
+        cases.append((name, frame, session))
+    return _outcomes(t, cases)
+
+
+@query("SELECT 'union' AS name, (SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus))::DOUBLE AS agg_size, 1.0::DOUBLE AS join_scaling UNION ALL SELECT 'filter', 1, 1 UNION ALL SELECT 'global', 'Infinity'::DOUBLE, 1")
+def guard_merged_stats(t):
+    """Statistics of a union are the weaker of both sides'; row-wise operators leave them; a global aggregate is unbounded."""
+    f = t("lineitem")
+    coarse, fine = (f.groupby(*keys).agg(col("l_tax").mean().alias("m")).select("m") for keys in (["l_returnflag"], ["l_returnflag", "l_linestatus"]))
+    found = [("union", coarse.vstack(fine)), ("filter", f.filter(col("l_tax") > 0.01).sort("l_tax").limit(9)), ("global", f.select(col("l_tax").mean()))]
+    rows = [(n, float(s.agg_size), float(s.join_scaling)) for n, x in found for s in x.provenance().values()]
+    return t.session.spark.createDataFrame(rows, "name string, agg_size double, join_scaling double")
+
+
+@query("SELECT 'a' AS name, (SELECT count(*) FROM part WHERE p_size > 20) AS rows, true AS listed UNION ALL SELECT 'b', (SELECT count(*) FROM nation), false")
+def session_store(t):
+    """Saved results are found by a new session; deleted ones are gone."""
+    from cloister.sources.scratch import scratch_path
+
+    spark, store = t.session.spark, scratch_path(t.session.spark, "store")
+    first = GuardSession(spark, store=store)
+    a = first.send_df(spark.read.parquet(f"{t.sf_dir}/part.parquet"), OPEN).filter(col("p_size") > 20).collect()
+    b = first.send_df(spark.read.parquet(f"{t.sf_dir}/nation.parquet"), OPEN).select("n_name").collect()
+    for x in (a, b):
+        x.save()
+    rows_b = b.fetch().count()
+    again = GuardSession(spark, store=store)
+    again.delete(b.identifier)
+    names = {x["name"] for x in GuardSession(spark, store=store).list_dfs().collect()}
+    rows = [("a", GuardSession(spark, store=store).get_df(a.identifier).fetch().count(), a.identifier in names), ("b", rows_b, b.identifier in names)]
+    return spark.createDataFrame(rows, "name string, rows long, listed boolean")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_and_arrow_sources(t):
+    """Half a table from CSV files, half from an Arrow table, put together."""
+    from cloister.sources.scratch import scratch_path
+
+    spark, path = t.session.spark, scratch_path(t.session.spark, "csv")
+    nation = spark.read.parquet(f"{t.sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    nation.where("n_regionkey < 2").write.option("header", True).csv(path)
+    read = t.session.read(path, "csv", OPEN, schema=nation.schema, header=True)
+    sent = t.session.send_df(nation.where("n_regionkey >= 2").toArrow(), OPEN)
+    return read.vstack(sent).cache()
+
+
 # SQL.
 
 
@@ -778,14 +1072,40 @@ def arrays_flat(t):
     return indexed.df.select("row", F.slice("value", 1, 2).alias("value"))
 
 
-@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, [embedding, [vec_id::FLOAT]] AS value FROM (SELECT vec_id, embedding[1:1] AS embedding FROM embeddings)")
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, [embedding, list_transform(embedding, lambda x: vec_id::FLOAT)] AS value FROM embeddings")
 def arrays_stack(t):
+    """Whole vectors, each beside a vector of its number."""
     from cloister.operators.arrays import to_array
 
-    df = t("embeddings").df.select(F.slice("embedding", 1, 1).alias("embedding"), F.array(F.col("vec_id").cast("float")).alias("id"))
+    df = t("embeddings").df.select("embedding", F.transform("embedding", lambda x: F.col("vec_id").cast("float")).alias("id"))
     return to_array(df, [F.col("id")[0]]).df
 
 
+@query(
+    """WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, [p_partkey::DOUBLE, p_retailprice] AS v FROM part), n AS (SELECT count(*) AS n FROM part)
+    SELECT row, v AS value, 'append' AS kind FROM a UNION ALL SELECT row + n, v, 'append' FROM a, n UNION ALL SELECT row, list_transform(v, lambda x: x::FLOAT::DOUBLE), 'float' FROM a"""
+)
+def arrays_append_cast(t):
+    """An array appended to itself, and cast to single precision; with the shape that the operators report."""
+    from cloister.operators.arrays import to_array
+
+    a = to_array(t("part").df.select(F.col("p_partkey").cast("double"), "p_retailprice"), [F.col("p_partkey")])
+    both, single = a.append(a), a.to("float")
+    if both.shape != (2 * a.height, 2) or single.dtype != "float":
+        raise AssertionError(f"shape {both.shape}, type {single.dtype}")
+    return both.df.withColumn("kind", F.lit("append")).union(single.to("double").df.withColumn("kind", F.lit("float")))
+
+
+@query("SELECT [p_partkey, p_size] AS value, 'shuffle' AS kind FROM part UNION ALL SELECT [p_partkey, p_size], 'split' FROM part")
+def arrays_shuffle(t):
+    """All rows of a shuffled array and of a shuffled split, once each."""
+    from cloister.operators.arrays import to_array, train_test_split
+
+    a = to_array(t("part").df.select("p_partkey", F.col("p_size").cast("long")), [F.col("p_partkey")])
+    train, test = train_test_split(a, test_size=0.25, shuffle=True, random_state=3)
+    return a.shuffle(5).df.select("value", F.lit("shuffle").alias("kind")).union(train.df.union(test.df).select("value", F.lit("split")))
+
+
 @query("SELECT CASE WHEN i < floor((SELECT count(*) FROM part) * 0.8 + 1e-9) THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(p_partkey) AS keys FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) GROUP BY 1")
 def split_fixed(t):
     from cloister.operators.arrays import to_array, train_test_split
@@ -806,17 +1126,15 @@ def tokenise(t):
     return encode(t("benchmark").df.select("text"), config)
 
 
-@query()
+@query("SELECT o_orderpriority, true AS near FROM orders GROUP BY o_orderpriority")
 def dp_release(t):
-    """The number of orders of each priority with Gaussian noise, half of a budget of 1 spent on it."""
-    import numpy as np
+    """The number of orders of each priority with Gaussian noise, half of a budget of 1 spent on it; near the exact count by ten deviations."""
+    from cloister.operators.privacy import PrivacyContext, release_column, sigma
 
-    from cloister.operators.privacy import Guarded, PrivacyContext
-
-    rows = t("orders").groupby("o_orderpriority").count().sort("o_orderpriority").df.collect()
-    context = PrivacyContext(1.0, sum(x["count"] for x in rows))
-    noisy = Guarded(np.array([float(x["count"]) for x in rows]), context, 1.0, None, np.random.default_rng(1)).release(0.5)
-    return t.session.spark.createDataFrame([(x["o_orderpriority"], float(v)) for x, v in zip(rows, noisy, strict=True)], "priority string, noisy double")
+    counts = t("orders").groupby("o_orderpriority").count().df
+    context = PrivacyContext(1.0, t("orders").df.count())
+    noisy = release_column(counts.withColumn("noisy", F.col("count")), "noisy", context, 1.0, 0.5)
+    return noisy.select("o_orderpriority", (F.abs(F.col("noisy") - F.col("count")) < 10 * sigma(0.5, context.delta, 1.0)).alias("near"))
 
 
 @query()
@@ -833,6 +1151,59 @@ def dp_sgd(t):
     return t.session.spark.createDataFrame([(float(w[0]), float(w[1]), float(w[2]), loss, spread, data.context.spent)], "w0 double, w1 double, bias double, loss double, spread double, spent double")
 
 
+@query(
+    """WITH z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS x, l_extendedprice / 1000 AS y FROM lineitem), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS m FROM z)
+    SELECT round(any_value(s), 4) AS slope, round(any_value(m), 4) AS bias, round(avg(least((y - m - s * x) ** 2, 10)), 3) AS loss FROM z, f"""
+)
+def sgd_least_squares(t):
+    """Linear regression without noise: on a scaled input, steps of one half over all rows end at the least squares."""
+    from cloister.operators.learning import SGD, Dataset, Learner, Model
+
+    q = col("l_quantity")
+    f = t("lineitem").select(((q - q.mean()) / q.std(0)).alias("x"), (col("l_extendedprice") / 1000).alias("y"))
+    data = Dataset.build(f.df, ["x"], "y", None)
+    learner = Learner(Model.zeros(1), data, SGD(0.5), max_batch_size=1 << 40)
+    learner.fit(nb_epochs=2, eps=None)
+    loss, _ = learner.test(data, "l2")
+    slope, bias = learner.model.weights[0]
+    return t.session.spark.createDataFrame([(round(float(slope), 4), round(float(bias), 4), round(loss, 3))], "slope double, bias double, loss double")
+
+
+@query("SELECT 'accuracy' AS metric, round(avg(CAST(l_returnflag = 'N' AS INT)), 6) AS value FROM lineitem UNION ALL SELECT 'l2', round(avg(least((l_quantity / 10 - 1) ** 2, 10)), 6) FROM lineitem")
+def clipped_metrics(t):
+    """Metrics of fixed models: the share that a constant class gets right, and the clipped squared error of a constant."""
+    import numpy as np
+
+    from cloister.operators.learning import Dataset, Learner, Model
+
+    df = t("lineitem").df.select((F.col("l_returnflag") == "N").cast("double").alias("c"), (F.col("l_quantity") / 10).alias("q"), F.lit(0.0).alias("x"))
+    classes, values = Dataset.build(df, ["x"], "c", None), Dataset.build(df, ["x"], "q", None)
+    one = Learner(Model(np.array([[0.0, 0.0], [0.0, 1.0]]), "cross_entropy"), classes).test(classes, "accuracy")[0]
+    two = Learner(Model(np.array([[0.0, 1.0]])), values).test(values, "l2")[0]
+    return t.session.spark.createDataFrame([("accuracy", round(one, 6)), ("l2", round(two, 6))], "metric string, value double")
+
+
+@query("SELECT 'model' AS name, 2.5::DOUBLE AS value UNION ALL SELECT 'rows', (SELECT count(*) FROM nation)::DOUBLE UNION ALL SELECT 'spent', 0.25")
+def registry_store(t):
+    """A model, a data set and what is spent of its budget, found again by another registry."""
+    import numpy as np
+
+    from cloister.operators.learning import Dataset, Model, Registry
+    from cloister.sources.scratch import scratch_path
+
+    spark, store = t.session.spark, scratch_path(t.session.spark, "registry")
+    first = Registry(spark, store)
+    data = Dataset.build(t("nation").df, ["n_nationkey"], "n_regionkey", 1.0)
+    first.send_model("m", Model(np.array([[2.5, 0.0]])))
+    first.send_dataset("d", data)
+    data.context.spend(0.25)
+    first.save_budget("d")
+    again = Registry(spark, store)
+    found = again.datasets["d"]
+    rows = [("model", float(again.fetch_model("m").weights[0, 0])), ("rows", float(found.df.count())), ("spent", found.context.spent)]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS ts, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_tumble(t):
     """Closed windows of a stream of files, emitted once the watermark has passed them."""

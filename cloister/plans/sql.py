@@ -47,7 +47,7 @@ def sql(text: str, *frames: GuardedFrame) -> GuardedFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    provenance = lineage.once(lambda: _provenance(df, list(used.values()), session.strict))
+    provenance = lineage.once(lambda: _provenance(df, list(used.values()), session.strict), {n for f in used.values() for n in f.provenance.sources})
     sensitive = _shown(df, frozenset(c for f in used.values() for c in f.blacklist))
     return GuardedFrame(session, df, provenance, sensitive, (), None, f"sql({text})")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lineage
-from .policy import DEFAULT, Action, Policy, Verdict, judge
+from .policy import DEFAULT, Action, Policy, TrueRule, Verdict, judge
 
 
 class RequestRejected(PermissionError):
@@ -75,7 +75,8 @@ class GuardSession:
     # Catalogue.
 
     def send_df(self, df, policy: Policy = DEFAULT, sanitized_columns: tuple[str, ...] | list[str] = (), name: str | None = None, order_by: tuple[str, ...] = ()):
-        """Register a Spark, pandas or Arrow table; the table itself may never be fetched, whatever its policy."""
+        """Register a Spark, pandas or Arrow table (owners only); the table itself may never be fetched, whatever its policy."""
+        self._owned("register tables")
         if not isinstance(df, DataFrame):
             df = self.spark.createDataFrame(df)
         name = name or uuid.uuid4().hex
@@ -85,9 +86,14 @@ class GuardSession:
 
     def read(self, path: str, format: str = "parquet", policy: Policy = DEFAULT, sanitized_columns: tuple[str, ...] = (), schema=None, name: str | None = None, order_by: tuple[str, ...] = (), **options):
         """Register files of any format that Spark reads (owners only)."""
+        self._owned("register tables")
         reader = self.spark.read.format(format).options(**options)
         return self.send_df((reader.schema(schema) if schema else reader).load(path), policy, sanitized_columns, name, order_by)
 
+    def _owned(self, action: str) -> None:
+        if not self.is_owner:
+            raise RequestRejected(f"only the owner may {action}")
+
     def artifact(self, name: str) -> Artifact:
         if name not in self.catalogue:
             raise NotFound(name)
@@ -108,8 +114,7 @@ class GuardSession:
 
     def delete(self, name: str) -> None:
         """Owners only."""
-        if not self.is_owner:
-            raise RequestRejected("only the owner may delete")
+        self._owned("delete")
         self.artifact(name)
         del self.catalogue[name]
         if self.store:
@@ -122,10 +127,11 @@ class GuardSession:
 
     def collect(self, frame):
         """Judge a frame's result and register it; its rows are still computed lazily."""
-        sources = {}
-        for name, stats in frame.provenance().items():
-            sources[name] = (self.artifact(name).policy, stats)
-        verdict, policy = judge(sources, self.user)
+        names = getattr(frame.provenance, "sources", None)
+        if names is not None and all(self.artifact(n).policy.safe_zone == TrueRule() for n in names):
+            verdict, policy = judge({}, self.user)  # nothing is asked of the rows, so they need not be counted
+        else:
+            verdict, policy = judge({n: (self.artifact(n).policy, stats) for n, stats in frame.provenance().items()}, self.user)
         name = uuid.uuid4().hex
         self.catalogue[name] = Artifact(frame.df, policy, verdict, frame.blacklist, frame.query, self.user, frame.order)
         self.log("collect", name=name, query=frame.query, action=None if verdict.safe else verdict.action.name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -42,6 +43,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def transient():
+    """Deletes the intermediate tables that are written within, once what they were for is done."""
+    start = len(_written)
+    yield
+    mine = _written[start:]
+    del _written[start:]
+    for owner, path in mine:
+        remove_path(owner, path)
+
+
 def release() -> None:
     """Delete the intermediate tables written so far."""
     while _written:

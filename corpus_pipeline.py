@@ -15,12 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloister.llm.common import by_ids, materialise, read_table, texts
+from cloister.llm.common import by_ids, materialise, read_table, scratch_path, texts
 from cloister.llm.decontaminate import contamination_scanner
 from cloister.llm.langid import fit_languages, language_scorer
 from cloister.llm.neardup import near_duplicates
 from cloister.llm.packing import pack_documents
 from cloister.llm.quality import LEAST_SCORE, fit_quality, quality_scorer
+from cloister.sources.scratch import remove_path, transient
 from cloister.sources.ship import ship_package
 
 #: No SQL form: the classifiers are trained and the packing is a search.  Tests hold stages against brute force.
@@ -42,7 +43,8 @@ def _kept(docs: DataFrame, scorer: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects."""
+    """Drops rows whose text the language model rejects; null, empty and letterless texts are rejected.  Each row is judged by its
+    own text, so a null or repeated doc_id changes nothing."""
     score = language_scorer(fit_languages(docs))
 
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +55,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose predicted quality is 0."""
+    """Drops rows whose text has a predicted quality of 0, each by its own text; without labels nothing is learned and the
+    network's first weights decide."""
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
     return _kept(docs, quality_scorer(model), lambda found: pc.greater_equal(found.column("score"), LEAST_SCORE))
 
@@ -72,13 +75,13 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops rows whose text holds a window of a benchmark item, with or without an id; each row by its own text."""
     scanner = contamination_scanner(spark, read_table(spark, sf_dir, "benchmark"))
     return _kept(docs, scanner, lambda found: pc.equal(found.column("n_hit"), 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 1024 tokens."""
+    """Packs the documents into sequences of at most 1024 tokens; a null or empty text is a piece of one, repeated rows are packed each."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
@@ -92,8 +95,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage wrote besides its result, and the result before it, are deleted once it is done."""
     ship_package(spark)
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with transient():
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if last:
+            remove_path(spark, last)
+        last = path
     return docs

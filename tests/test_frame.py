@@ -141,6 +141,10 @@ def test_save_reload_delete(spark, tmp_path):
     again.is_owner = False
     with pytest.raises(RequestRejected):
         again.delete(f.identifier)
+    with pytest.raises(RequestRejected):
+        send(again, [(1,)], "a int")
+    with pytest.raises(RequestRejected):
+        again.read(f"{tmp_path}/store")
     again.is_owner = True
     again.delete(f.identifier)
     assert GuardSession(spark, store=store).catalogue == {}
@@ -279,7 +283,8 @@ def test_quantiles(session):
 def test_describe_and_frame_aggregates(session):
     f = send(session, [(1, 2.0, "a"), (2, None, "b"), (6, 4.0, None)], "i int, v double, s string")
     got = {r[0]: r[1:] for r in rows(f.describe())}
-    assert got["count"] == (3, 3, 3) and got["null_count"] == (0, 1, 1) and got["mean"] == (3, 3, None) and got["median"] == (2, 3, None)
+    assert got["count"] == (3, 3, "3") and got["null_count"] == (0, 1, "1") and got["mean"] == (3, 3, None) and got["median"] == (2, 3, None)
+    assert (got["min"][2], got["max"][2]) == ("a", "b")
     assert rows(f.max()) == [(6, 4.0, "b")] and rows(f.sum()) == [(9, 6.0, None)]
 
 
@@ -356,3 +361,38 @@ def test_date_patterns():
     assert java_pattern("%m/%d/%Y") == "MM/dd/yyyy" and java_pattern("%Y-%m-%dT%H:%M:%S") == "yyyy-MM-dd'T'HH:mm:ss"
     with pytest.raises(ValueError):
         java_pattern("%Q")
+
+
+def test_trusted_sources_need_no_counts(session, monkeypatch):
+    """A result of tables whose policies ask nothing is released without jobs that count rows; one of other tables is not."""
+    from cloister import lineage
+
+    open_, closed = (send(session, [(1, 2), (1, 3)], "k int, v int", p) for p in (Policy(TrueRule()), Policy(Aggregation(2), Action.REJECT)))
+    counted = []
+    monkeypatch.setattr(lineage, "smallest_group", lambda df, keys: counted.append(1) or 2)
+    assert len(rows(open_.groupby("k").agg(count()).collect().fetch())) == 1 and not counted
+    assert len(rows(closed.groupby("k").agg(count()).collect().fetch())) == 1 and counted
+    both = open_.groupby("k").agg(count()).vstack(closed.groupby("k").agg(count()))
+    assert both.provenance.sources == set(open_.provenance.sources) | set(closed.provenance.sources)
+
+
+def test_dynamic_windows_by_hand(session):
+    import datetime
+
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    f = send(session, [(day(1),), (day(2),), (day(2, 12),), (day(4),), (None,)], "t timestamp_ntz")
+    seen = lambda **k: {r[0]: r[1] for r in rows(f.groupby_dynamic("t", "1d", **k).agg(count().alias("n")))}
+    assert seen() == {day(1): 1, day(2): 2, day(4): 1}
+    assert seen(closed="right") == {day(1) - datetime.timedelta(1): 1, day(1): 1, day(2): 1, day(3): 1}
+    assert seen(closed="both") == {day(1) - datetime.timedelta(1): 1, day(1): 2, day(2): 2, day(3): 1, day(4): 1}
+    assert seen(closed="none") == {day(2): 1}
+    assert seen(period="6h") == {day(1): 1, day(2): 1, day(4): 1}
+    assert seen(offset="12h") == {day(1) - datetime.timedelta(hours=12): 1, day(1, 12): 1, day(2, 12): 1, day(3, 12): 1}
+    assert seen(truncate=False) == {day(1): 1, day(2): 2, day(4): 1}
+    months = {r[0]: r[1] for r in rows(f.groupby_dynamic("t", "1mo", period="2mo").agg(count().alias("n")))}
+    assert months == {datetime.datetime(2023, 12, 1): 4, datetime.datetime(2024, 1, 1): 4}
+    both = rows(f.groupby_dynamic("t", "1y", include_boundaries=True).agg(count().alias("n")))
+    assert [tuple(r) for r in both] == [(datetime.datetime(2024, 1, 1), datetime.datetime(2025, 1, 1), datetime.datetime(2024, 1, 1), 4)]
+    for wrong in ({"closed": "up"}, {"period": "-1d"}):
+        with pytest.raises(ValueError):
+            f.groupby_dynamic("t", "1d", **wrong)

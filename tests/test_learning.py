@@ -141,3 +141,57 @@ def test_streams(spark, tmp_path):
     assert spark.read.schema("ts timestamp, n long").parquet(f"{tmp_path}/out2").count() == 0
     batch = sessions(events.where("id % 100 < 10") if "id" in events.columns else events, "ts", "5m", count().alias("n"))
     assert batch.count() == 1
+
+
+def test_noise_is_fresh(spark):
+    """Trainings and tests with equal seeds differ in their noise, and so do those of one another."""
+    found = []
+    for _ in range(2):
+        data = _line(spark, 100.0)
+        learner = Learner(Model.zeros(1), data, SGD(0.1), max_batch_size=200, seed=1)
+        learner.fit(nb_epochs=1, eps=5.0)
+        found.append(tuple(learner.model.weights[0]))
+    assert found[0][0] != found[1][0] and found[0][1] != found[1][1]
+    context = PrivacyContext(10.0, 100)
+    draws = [Guarded(np.zeros(1), context, 1.0).release(0.5)[0] for _ in range(2)]
+    assert draws[0] != draws[1]
+    seeded = [PrivacyContext(10.0, 100, rng=np.random.default_rng(3)) for _ in range(2)]
+    assert len({float(Guarded(np.zeros(1), c, 1.0).release(0.5)[0]) for c in seeded}) == 1
+
+
+def test_batches_hold_every_row_once(spark):
+    data = _line(spark, None)
+    with data.batches(30, 0, 7) as batches:
+        parts = [{r["id"] for r in b.collect()} for b in batches]
+    assert len(parts) == 6 and sorted(i for p in parts for i in p) == list(range(200))
+    with data.batches(30, 1, 7) as batches:
+        assert [{r["id"] for r in b.collect()} for b in batches] != parts
+
+
+def test_released_column(spark):
+    from cloister.operators.privacy import release_column
+
+    df = spark.range(20_000).selectExpr("id", "0L AS n")
+    context = PrivacyContext(1.0, 1000)
+    row = release_column(df, "n", context, 2.0, 0.9).agg(F.stddev("n").alias("sd"), F.avg("n").alias("m")).first()
+    assert row["sd"] == pytest.approx(sigma(0.9, context.delta, 2.0), rel=0.05) and abs(row["m"]) < 1
+    with pytest.raises(BudgetExceeded):
+        release_column(df, "n", context, 2.0, 0.5)
+    with pytest.raises(BudgetExceeded):
+        release_column(df, "n", context, 2.0, None)
+
+
+def test_registry_is_found_again(spark, tmp_path):
+    store = f"file://{tmp_path}/registry"
+    first = Registry(spark, store)
+    first.send_model("m", Model(np.array([[1.5, 2.0]])))
+    first.send_dataset("d", _line(spark, 2.0))
+    first.datasets["d"].context.spend(0.5)
+    first.save_budget("d")
+    again = Registry(spark, store)
+    assert again.available()["models"] == ["m"] and again.available()["datasets"] == ["d"]
+    found = again.datasets["d"]
+    assert (found.context.limit, found.context.spent, found.n, found.df.count()) == (2.0, 0.5, 200, 200)
+    again.delete("d")
+    again.delete("m")
+    assert Registry(spark, store).available()["datasets"] == []
