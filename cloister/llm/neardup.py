@@ -198,12 +198,13 @@ def _group_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, words:
     """
     rows = materialise(members.join(nodes.select("node", "n_shingles", "sketch"), "node"), "group-members")
     blocks = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "hub").withColumn("_own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.join(materialise(blocks, "blocks"), "hub").withColumn("_own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("hub", "node", "component", "n_shingles", "sketch", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    rows = rows.repartition("hub", "_i", "_j")  # else a join on the hub leaves all blocks of a hub in one task
     likely = rows.groupBy("hub", "_i", "_j").applyInArrow(_with_partner(percent), "hub long, _i int, _j int, node long, component long")
-    likely = materialise(likely, "likely-members")
-    return materialise(likely.join(texts, "node").groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
+    likely = materialise(likely, "likely-members").join(texts, "node").repartition("hub", "_i", "_j")
+    return materialise(likely.groupBy("hub", "_i", "_j").applyInArrow(_forest(words, percent), "a long, b long"), "linked")
 
 
 def _with_partner(percent: int):
