@@ -153,27 +153,34 @@ def _written(folder: str, rank_of: np.ndarray):
 
 
 def read_shard(path: str, id_of: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of the documents of a shard file, a block at a time."""
+    """(doc_id, ids) of the documents of a shard file, a block at a time; a file that is no shard, or not whole, is a ``ValueError``."""
     store, name = file_system(path)
     with store.open_input_stream(name, compression=None) as src:
-        if src.read(4) != MAGIC:
+
+        def take(n: int) -> bytes:
+            data = src.read(n)
+            if len(data) < n:
+                raise ValueError(f"{path} is cut short")
+            return data
+
+        if take(4) != MAGIC:
             raise ValueError(f"{path} is not a token shard")
         seen = [0, 0]
         while True:
-            (n,) = struct.unpack("<Q", src.read(8))
+            (n,) = struct.unpack("<Q", take(8))
             if n == _FOOTER:
                 break
-            n_values, n_control, n_data = struct.unpack("<3Q", src.read(24))
-            valid = np.frombuffer(src.read(n), np.uint8)
-            docs = np.frombuffer(src.read(8 * n), "<i8")
-            sizes = np.frombuffer(src.read(8 * n), "<u8").astype(np.int64)
-            ids = id_of[decode_values(np.frombuffer(src.read(n_control), np.uint8), np.frombuffer(src.read(n_data), np.uint8), n_values)]
+            n_values, n_control, n_data = struct.unpack("<3Q", take(24))
+            valid = np.frombuffer(take(n), np.uint8)
+            docs = np.frombuffer(take(8 * n), "<i8")
+            sizes = np.frombuffer(take(8 * n), "<u8").astype(np.int64)
+            ids = id_of[decode_values(np.frombuffer(take(n_control), np.uint8), np.frombuffer(take(n_data), np.uint8), n_values)]
             seen = [seen[0] + n, seen[1] + n_values]
             ends = np.cumsum(sizes)
             for d in range(n):
                 yield int(docs[d]) if valid[d] else None, ids[ends[d] - sizes[d] : ends[d]]
-        if tuple(seen) != struct.unpack("<2Q", src.read(16)):
-            raise ValueError(f"{path} is cut short")
+        if tuple(seen) != struct.unpack("<2Q", take(16)):
+            raise ValueError(f"{path} holds other numbers of documents or values than its end says")
 
 
 def write_tokens(
