@@ -51,3 +51,44 @@ def test_run_on_empty_tables(spark, docs, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_superseded_tables_are_deleted(spark, monkeypatch, tmp_path):
+    from cloister.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda session: f"file://{tmp_path}")
+    got = cp.run(spark, DIR)
+    left = [p.name.rsplit("-", 1)[0] for p in (tmp_path / "cloister").iterdir() if p.is_dir()]
+    assert left == ["pipeline-packing"]
+    assert got.count() > 0
+
+
+def test_language_and_quality_stages_against_plain_scoring(spark, docs):
+    """The stages keep what plain Python computes from their models."""
+    import numpy as np
+
+    from cloister.llm import quality
+    from tests.llm.test_classifiers import naive_grams
+
+    model = fit_languages(docs)
+    kept = {r["doc_id"] for r in cp.language_id(spark, docs, DIR).collect()}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    for doc, text in rows:
+        grams = naive_grams(text)
+        if not grams:
+            assert doc not in kept
+            continue
+        z = model.table[grams].astype(float).sum(axis=0) / len(grams) + model.bias
+        odds = np.exp(z - z.max())
+        score, rare = odds.max() / odds.sum(), model.known[grams].astype(float).mean() - model.least_known[len(grams).bit_length() - 1]
+        if min(abs(score - model.least), abs(rare)) > 1e-4:
+            assert (doc in kept) == (score >= model.least and rare >= 0)
+    fitted = fit_quality(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    good = {r["doc_id"] for r in cp.quality(spark, docs, DIR).collect()}
+    for doc, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        x = (quality.document_features(data, np.array([0, len(data)]), fitted.vectors)[0] - fitted.mean) / fitted.scale
+        z = np.maximum(x @ fitted.first[0] + fitted.first[1], 0) @ fitted.second[0] + fitted.second[1]
+        score = 1 / (1 + np.exp((z[0] - z[1]) / fitted.temperature))
+        if abs(score - quality.LEAST_SCORE) > 1e-4:
+            assert (doc in good) == (score >= quality.LEAST_SCORE)
