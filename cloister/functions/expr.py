@@ -42,15 +42,21 @@ class Compile:
     aggregates: list[tuple[str, Column]] = field(default_factory=list)
     prepared: list[tuple[str, Column]] = field(default_factory=list)  # columns that others are built on
     whole: Whole | None = None  # where windows over the whole frame go by blocks of rows
-    sides: list[tuple[str, Callable]] | None = None  # tables by group that an aggregation is joined with
+    sides: list[Side] | None = None  # tables by group that an aggregation is joined with
 
-    def side(self, make: Callable) -> Column | None:
-        """One value for each group from a table that ``make(df, keys)`` computes apart, with the keys and a column ``value``; None
-        where aggregates can't be joined with one."""
+    def side(self, make: Callable, of: str, *request) -> Column | None:
+        """One value for each group from a table that is computed apart: ``make(df, keys, {column: request, ...})`` has a column for each
+        request on the same thing ``of``.  None where aggregates can't be joined with a table."""
         if self.sides is None or self.windowed:
             return None
-        name = f"__side{len(self.sides)}"
-        self.sides.append((name, make))
+        name = f"__side{sum(len(s.requests) for s in self.sides)}"
+        for side in self.sides:
+            if side.of == of:
+                break
+        else:
+            side = Side(make, of, {})
+            self.sides.append(side)
+        side.requests[name] = request
         return self.aggregate(F.any_value(F.col(name)))
 
     def prepare(self, column: Column) -> Column:
@@ -94,6 +100,13 @@ class Compile:
         return F.when(~F.col(HALO), column) if self.by_blocks else column
 
 
+@dataclass
+class Side:
+    make: Callable
+    of: str
+    requests: dict[str, tuple]
+
+
 @dataclass
 class Whole:
     """What expressions over a whole frame need of a block of rows: copies of rows ``before`` and ``after`` it, values folded over
@@ -356,7 +369,7 @@ class Expr:
 
         def build(c: Compile) -> Column:
             value = self.build(Compile("agg", c.order, current=c.current))
-            found = None if interpolation == "linear" else c.side(lambda df, keys: ordered().group_quantiles(df, keys, value, q, interpolation))
+            found = None if interpolation == "linear" else c.side(lambda df, keys, asked: ordered().group_quantiles(df, keys, value, asked), f"quantiles of {value}", q, interpolation)
             return c.aggregate(quantile(value, q, interpolation)) if found is None else found
 
         return replace(self, build=build, aggregated=True)
@@ -436,7 +449,7 @@ class Expr:
             if not c.order:
                 return whole.build(c)
             value = self.build(Compile("agg", current=c.current))
-            found = c.side(lambda df, keys: ordered().group_places(df, keys, value, c.order, low, high, backward))
+            found = c.side(lambda df, keys, asked: ordered().group_places(df, keys, value, c.order, low, high, backward, list(asked)), f"places {low} {high} {backward} of {value}")
             if found is None:
                 return whole.build(c)
             return F.coalesce(F.transform(found if pick is None else pick(found), lambda s: s["v"]), F.array())  # no row at these places

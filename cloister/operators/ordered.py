@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloister.functions.expr import BLOCK, HALO, PLACE, Whole, ranks_of
+from cloister.functions.expr import BLOCK, HALO, PLACE, Side, Whole, ranks_of
 from cloister.sources.scratch import materialise
 
 
@@ -157,16 +157,16 @@ def unique(df: DataFrame, subset: Sequence[str] | None, keep: str, order: Sequen
     return df.groupBy(*subset).agg(pick(row, key).alias("__row")).select("__row.*")
 
 
-def with_sides(df: DataFrame, keys: Sequence[Column], sides: Sequence[tuple[str, Callable]]) -> DataFrame:
-    """The rows with the value of their group in each side table; a table is written, so that its size decides how it is joined."""
+def with_sides(df: DataFrame, keys: Sequence[Column], sides: Sequence[Side]) -> DataFrame:
+    """The rows with the values of their group in each side table; a table is written, so that its size decides how it is joined."""
     base, own = df, [f"__k{i}" for i in range(len(keys))]
-    for name, make in sides:
-        table = materialise(make(base, keys), "side")
+    for number, side in enumerate(sides):
+        table = materialise(side.make(base, keys, side.requests), "side")
         if not keys:
-            df = df.crossJoin(F.broadcast(table.select(F.col("value").alias(name))))  # one row
+            df = df.crossJoin(F.broadcast(table))  # one row
             continue
-        table = table.select(*[F.col(k).alias(f"{name}{k}") for k in own], F.col("value").alias(name))
-        same = functools.reduce(lambda a, b: a & b, [key.eqNullSafe(F.col(f"{name}{k}")) for key, k in zip(keys, own, strict=True)])
+        table = table.toDF(*[f"__s{number}{c}" if c in own else c for c in table.columns])
+        same = functools.reduce(lambda a, b: a & b, [key.eqNullSafe(F.col(f"__s{number}{k}")) for key, k in zip(keys, own, strict=True)])
         df = df.join(table, same, "left")
     return df
 
@@ -175,48 +175,53 @@ def with_sides(df: DataFrame, keys: Sequence[Column], sides: Sequence[tuple[str,
 QUANTILE_SHARE, WHOLE_GROUP = 10_000, 40_000
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[Column], value: Column, q: float, interpolation: str) -> DataFrame:
-    """``__k0, ..., value``: the exact quantile of each group.
+def group_quantiles(df: DataFrame, keys: Sequence[Column], value: Column, asked: dict[str, tuple[float, str]]) -> DataFrame:
+    """``__k0, ...`` and a column for each quantile (q, interpolation) in ``asked``, exact for each group.
 
-    An approximate percentile, which is summed up before the shuffle, gives bounds that surely hold the rank; the values
-    between them are counted, also before the shuffle, and the rank is found by adding up these counts: of a group of n
-    rows about 4 n / ``QUANTILE_SHARE`` values are looked at in order.
+    Approximate percentiles, which are summed up before the shuffle, give bounds that surely hold the ranks; the values
+    between them are counted, also before the shuffle, and the ranks are found by adding up these counts: of a group of n
+    rows about 4 n / ``QUANTILE_SHARE`` values are looked at in order for each quantile.
     """
     own = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(*[k.alias(n) for k, n in zip(keys, own, strict=True)], value.alias("__v")).where("__v is not null")
-    margin = 2 / QUANTILE_SHARE
-    bounds = F.percentile_approx("__v", [max(q - margin, 0.0), min(q + margin, 1.0)], QUANTILE_SHARE)
+    margin, places = 2 / QUANTILE_SHARE, sorted({q for q, _ in asked.values()})
+    bounds = F.percentile_approx("__v", [p for q in places for p in (max(q - margin, 0.0), min(q + margin, 1.0))], QUANTILE_SHARE)
     stats = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), bounds.alias("__b"))
     few = F.col("__n") < WHOLE_GROUP
-    low = F.when(few | F.lit(q <= margin), F.col("__min")).otherwise(F.col("__b")[0])
-    high = F.when(few | F.lit(q >= 1 - margin), F.col("__max")).otherwise(F.col("__b")[1])
-    stats = materialise(stats.select(*own, "__n", low.alias("__low"), high.alias("__high")), "quantile-bounds")
+    low = [F.when(few | F.lit(q <= margin), F.col("__min")).otherwise(F.col("__b")[2 * i]).alias(f"__low{i}") for i, q in enumerate(places)]
+    high = [F.when(few | F.lit(q >= 1 - margin), F.col("__max")).otherwise(F.col("__b")[2 * i + 1]).alias(f"__high{i}") for i, q in enumerate(places)]
+    stats = materialise(stats.select(*own, "__n", *low, *high), "quantile-bounds")
     if own:
         theirs = stats.toDF(*[f"__s{c}" if c in own else c for c in stats.columns])
         same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__s{k}")) for k in own])
         near = rows.join(theirs, same)
     else:
         near = rows.crossJoin(F.broadcast(stats))  # one row
-    near = near.where("__v <= __high").withColumn("__w", F.when(F.col("__v") >= F.col("__low"), F.col("__v")))
-    counts = near.groupBy(*own, "__n", "__w").agg(F.count(F.lit(1)).alias("__c"))  # null counts the values below the bounds
-    so_far = Window.partitionBy(*own, "__n").orderBy(F.col("__w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A value between two bounds counts as the next lower bound, which changes no sum of counts within bounds.
+    v = F.col("__v")
+    counted = functools.reduce(lambda rest, i: F.when(v < F.col(f"__low{i}"), F.col(f"__low{i}")).when(v <= F.col(f"__high{i}"), v).otherwise(rest), reversed(range(len(places))), F.lit(None))
+    near = near.withColumn("__w", counted).where("__w is not null")
+    counts = near.groupBy(*own, "__n", "__w").agg(F.count(F.lit(1)).alias("__c"))
+    so_far = Window.partitionBy(*own, "__n").orderBy("__w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("__upto", F.sum("__c").over(so_far))
-    ranks = ranks_of(q, interpolation)
-    found = [F.min(F.when(F.col("__upto") > rank(F.col("__n")), F.col("__w"))).cast("double") for rank in ranks]
-    found = functools.reduce(lambda a, b: a + b, found) / len(found)
-    return counts.groupBy(*own).agg(found.alias("value"))
+    out = []
+    for name, (q, interpolation) in asked.items():
+        found = [F.min(F.when(F.col("__upto") > rank(F.col("__n")), F.col("__w"))).cast("double") for rank in ranks_of(q, interpolation)]
+        out.append((functools.reduce(lambda a, b: a + b, found) / len(found)).alias(name))
+    return counts.groupBy(*own).agg(*out)
 
 
-def group_places(df: DataFrame, keys: Sequence[Column], value: Column, order: Sequence[Column], low: int, high: int, backward: bool) -> DataFrame:
-    """``__k0, ..., value``: the values at places ``low`` to ``high`` (from 1) of each group as a list of ``{n, v}`` in order; only rows up to
+def group_places(df: DataFrame, keys: Sequence[Column], value: Column, order: Sequence[Column], low: int, high: int, backward: bool, names: Sequence[str]) -> DataFrame:
+    """``__k0, ...`` and, under each of ``names``, the values at places ``low`` to ``high`` (from 1) of each group as a list of ``{n, v}`` in order; only rows up to
     ``high`` leave a task."""
     own = [f"__k{i}" for i in range(len(keys))]
-    names = [f"__o{i}" for i in range(len(order))]
-    rows = df.select(*[k.alias(n) for k, n in zip(keys, own, strict=True)], *[o.alias(n) for o, n in zip(order, names, strict=True)], value.alias("__v"))
-    w = Window.partitionBy(*own).orderBy(*[F.desc(n) if backward else F.asc(n) for n in names])
+    by = [f"__o{i}" for i in range(len(order))]
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, own, strict=True)], *[o.alias(n) for o, n in zip(order, by, strict=True)], value.alias("__v"))
+    w = Window.partitionBy(*own).orderBy(*[F.desc(n) if backward else F.asc(n) for n in by])
     rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= high).where(F.col("__n") >= low)
     place = -F.col("__n") if backward else F.col("__n")
-    return rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(place.alias("n"), F.col("__v").alias("v")))).alias("value"))
+    found = F.array_sort(F.collect_list(F.struct(place.alias("n"), F.col("__v").alias("v"))))
+    return rows.groupBy(*own).agg(*[found.alias(n) for n in names])
 
 
 #: A group of rows with the same ``by`` values beyond this is cut into ranges of its key for an as-of join.

@@ -188,7 +188,12 @@ def test_quantiles_of_groups(spark, monkeypatch, interpolation, q):
         low, high = int(at), -int(-at // 1)
         return {"nearest": found[int(at + 0.5)], "lower": found[low], "higher": found[high], "midpoint": (found[low] + found[high]) / 2}[interpolation]
 
-    got = {r["k"]: (r["x"], r["y"]) for r in f.groupby("k").agg(x.alias("x"), (x - x + 1).alias("y")).fetch().collect()}
+    far = col("v").quantile(0.35, "lower")  # found in the same pass
+    got = {r["k"]: (r["x"], r["y"]) for r in f.groupby("k").agg(x.alias("x"), (far - far + 1).alias("y")).fetch().collect()}
+    lower = {r["k"]: r["f"] for r in f.groupby("k").agg(x.alias("x"), far.alias("f"), col("v").quantile(0.9).alias("z")).fetch().collect()}
+    for k in ("a", "b"):
+        own = sorted(v for j, v in rows if j == k and v is not None)
+        assert lower[k] == own[int((len(own) - 1) * 0.35)]
     for k in ("a", "b", "c", "d", None):
         w = want([v for j, v in rows if j == k and v is not None])
         assert got[k] == (w, None if w is None else 1.0)
