@@ -233,18 +233,17 @@ def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, total: int = FIT_TOTAL, do
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fit_text(text.as_py(), h & 0xFFFFFFFF) for text, h in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
-        columns = [pa.array([getattr(t, name) for t in found], pa.list_(pa.int32())) for name in ("own", "times")]
-        runs = pa.array([[r.tolist() for r in t.runs] for t in found], pa.list_(pa.list_(pa.int32())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, runs], names=["lang", "h", "own", "times", "runs"])
+        packed = [(t.own.astype("<u2").tobytes(), t.times.astype("<u4").tobytes(), [r.astype("<u2").tobytes() for r in t.runs]) for t in found]
+        columns = [pa.array([p[i] for p in packed], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.list_(pa.binary())))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["lang", "h", "own", "times", "runs"])
 
 
 def fit_languages(docs: DataFrame, **columns: str) -> LanguageModel | None:
-    counted = fit_sample(docs, **columns).mapInArrow(_counted, "lang string, h long, own array<int>, times array<int>, runs array<array<int>>")
-    table = counted.toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])  # bounded by FIT_TOTAL and FIT_BYTES
-    numbers = lambda name: [v.values.to_numpy() for v in table[name]]
-    runs = [[np.array(r, np.int64) for r in v] for v in table["runs"].to_pylist()]
-    texts = [FitText(own, times, r) for own, times, r in zip(numbers("own"), numbers("times"), runs, strict=True)]
-    return train(texts, table["lang"].to_pylist())
+    counted = fit_sample(docs, **columns).mapInArrow(_counted, "lang string, h long, own binary, times binary, runs array<binary>")
+    rows = sorted(counted.toLocalIterator(), key=lambda r: (r["lang"], r["h"]))  # bounded by FIT_TOTAL and FIT_BYTES
+    buckets = lambda data: np.frombuffer(data, "<u2")
+    texts = [FitText(buckets(r["own"]), np.frombuffer(r["times"], "<u4").astype(np.int64), [buckets(x) for x in r["runs"]]) for r in rows]
+    return train(texts, [r["lang"] for r in rows])
 
 
 def language_scorer(model: LanguageModel | None):
