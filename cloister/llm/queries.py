@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, langid, neardup, packing, quality, shards, tokens, urls
+from . import ann, audit, bytebpe, chat, codebooks, decontaminate, langid, neardup, packing, quality, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_nearest": ann.op8_nearest,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_token_output": tokens.op10_token_output,
+        "op11_byte_bpe": bytebpe.op11_byte_bpe,
+        "op12_vector_codes": codebooks.op12_vector_codes,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_duplicates": neardup.OP3_SQL,
         "op5_sharding": shards.OP5_SQL,
         "op7_url_filter": urls.OP7_SQL,
+        "op12_vector_codes": codebooks.OP12_SQL,
+        "op13_filter_audit": audit.OP13_SQL,
     }
