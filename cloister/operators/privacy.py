@@ -11,23 +11,58 @@ import secrets
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloister.sources.commits import Journal
+
 
 class BudgetExceeded(PermissionError):
     """A release would spend more than the data set's limit."""
 
 
+class BudgetLedger:
+    """What has been spent of a budget, as a journal in a store: one entry for each spending, with the total so far.
+
+    An entry is committed before what it pays for is released, so a crash leaves it spent.  Of several writers who add the
+    same entry one succeeds; the others read the new total and are judged by that.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.journal = Journal(spark, folder)
+
+    def read(self) -> tuple[int, float, bool]:
+        """(number of the last entry, total spent, whether something was released without any guarantee)."""
+        number, entry = self.journal.last()
+        return (number, entry["spent"], entry["poisoned"]) if entry else (0, 0.0, False)
+
+    def add(self, epsilon: float, after: int, spent: float, poisoned: bool) -> bool:
+        """Commit an entry after number ``after``, whose totals are given; False if another writer has added one."""
+        finite = math.isfinite(epsilon)
+        return self.journal.append({"epsilon": epsilon if finite else None, "spent": spent + (epsilon if finite else 0.0), "poisoned": poisoned or not finite}, after)
+
+    def carry(self, spent: float, poisoned: bool) -> None:
+        """Add what was spent elsewhere."""
+        while spent or poisoned:
+            number, total, before = self.read()
+            if self.journal.append({"epsilon": spent, "spent": total + spent, "poisoned": before or poisoned}, number):
+                return
+
+
 @dataclass
 class PrivacyContext:
-    """The budget of a data set of ``n`` samples; ``limit`` None means that nothing is private."""
+    """The budget of a data set of ``n`` samples; ``limit`` None means that nothing is private.  With a ``ledger`` what is spent is kept there."""
 
     limit: float | None
     n: int
     spent: float = 0.0
     poisoned: bool = False  # something was released without any guarantee
     rng: np.random.Generator = field(default_factory=np.random.default_rng, repr=False, compare=False)
+    ledger: BudgetLedger | None = field(default=None, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        if self.ledger:
+            _, self.spent, self.poisoned = self.ledger.read()
 
     @property
     def delta(self) -> float:
@@ -37,8 +72,13 @@ class PrivacyContext:
         return self.limit is None or (not self.poisoned and math.isfinite(epsilon) and self.spent + epsilon < self.limit)
 
     def spend(self, epsilon: float) -> None:
-        if not self.allows(epsilon):
-            raise BudgetExceeded(f"{epsilon:g} on top of {self.spent:g} is not below the limit of {self.limit:g}")
+        while True:
+            if self.ledger:
+                number, self.spent, self.poisoned = self.ledger.read()
+            if not self.allows(epsilon):
+                raise BudgetExceeded(f"{epsilon:g} on top of {self.spent:g} is not below the limit of {self.limit:g}")
+            if self.ledger is None or self.ledger.add(epsilon, number, self.spent, self.poisoned):
+                break
         if math.isinf(epsilon):
             self.poisoned = True
         else:

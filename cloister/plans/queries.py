@@ -1197,7 +1197,6 @@ def registry_store(t):
     first.send_model("m", Model(np.array([[2.5, 0.0]])))
     first.send_dataset("d", data)
     data.context.spend(0.25)
-    first.save_budget("d")
     again = Registry(spark, store)
     found = again.datasets["d"]
     rows = [("model", float(again.fetch_model("m").weights[0, 0])), ("rows", float(found.df.count())), ("spent", found.context.spent)]
