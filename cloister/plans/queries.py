@@ -992,6 +992,26 @@ def policy_outcomes(t):
     return _outcomes(t, cases)
 
 
+@query("SELECT 'waiting' AS name, 'pending' AS state, NULL::BIGINT AS rows UNION ALL SELECT 'allowed', 'allowed', (SELECT count(*) FROM orders WHERE o_totalprice > 100000) UNION ALL SELECT 'denied', 'denied', NULL")
+def review_queue(t):
+    """An analyst's results that wait for review; an owner in another session allows one and denies one, and the analyst fetches again."""
+    from cloister.sources.scratch import scratch_path
+
+    spark, folder = t.session.spark, scratch_path(t.session.spark, "reviews")
+    analyst = GuardSession(spark, user="ann", reviews=folder)
+    orders = analyst.send_df(spark.read.parquet(f"{t.sf_dir}/orders.parquet"), Policy(Aggregation(10), Action.REVIEW))
+    frames = {name: orders.filter(col("o_totalprice") > least).collect() for name, least in (("waiting", 0), ("allowed", 100_000), ("denied", 200_000))}
+    if any(f.fetch() is not None for f in frames.values()):
+        raise AssertionError("released without an answer")
+    owner = GuardSession(spark, user="olga", reviews=folder)
+    asked = {r["name"] for r in owner.review_queue.requests()}
+    for name, allow in (("allowed", True), ("denied", False)):
+        if frames[name].identifier in asked:
+            owner.answer(frames[name].identifier, allow)
+    rows = [(name, owner.review_queue.state(f.identifier), None if (found := f.fetch()) is None else found.count()) for name, f in frames.items()]
+    return spark.createDataFrame(rows, "name string, state string, rows long")
+
+
 @query("SELECT 'union' AS name, (SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus))::DOUBLE AS agg_size, 1.0::DOUBLE AS join_scaling UNION ALL SELECT 'filter', 1, 1 UNION ALL SELECT 'global', 'Infinity'::DOUBLE, 1")
 def guard_merged_stats(t):
     """Statistics of a union are the weaker of both sides'; row-wise operators leave them; a global aggregate is unbounded."""
@@ -1126,15 +1146,41 @@ def tokenise(t):
     return encode(t("benchmark").df.select("text"), config)
 
 
-@query("SELECT o_orderpriority, true AS near FROM orders GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority, true AS near, true AS noised FROM orders GROUP BY o_orderpriority")
 def dp_release(t):
-    """The number of orders of each priority with Gaussian noise, half of a budget of 1 spent on it; near the exact count by ten deviations."""
+    """The number of orders of each priority with Gaussian noise, half of a budget of 1 spent on it: near the exact count by ten deviations, but not equal to it."""
     from cloister.operators.privacy import PrivacyContext, release_column, sigma
 
     counts = t("orders").groupby("o_orderpriority").count().df
     context = PrivacyContext(1.0, t("orders").df.count())
     noisy = release_column(counts.withColumn("noisy", F.col("count")), "noisy", context, 1.0, 0.5)
-    return noisy.select("o_orderpriority", (F.abs(F.col("noisy") - F.col("count")) < 10 * sigma(0.5, context.delta, 1.0)).alias("near"))
+    off = F.abs(F.col("noisy") - F.col("count"))
+    return noisy.select("o_orderpriority", (off < 10 * sigma(0.5, context.delta, 1.0)).alias("near"), (off > 0).alias("noised"))
+
+
+@query(
+    """WITH k AS (SELECT 0.8 AS epsilon, 1 / (10.0 * count(*)) AS delta FROM lineitem), f AS (SELECT sqrt(3) * sqrt(2 * ln(1.25 / delta)) / (epsilon + 1e-8) AS one FROM k)
+    SELECT l_returnflag, l_linestatus, round(one * (40 * 1.5 + 3), 6) AS revenue_sigma, round(one, 6) AS n_sigma, round(one * 5, 6) AS gap_sigma, true AS near, true AS noised FROM lineitem, f GROUP BY l_returnflag, l_linestatus, one"""
+)
+def private_group_sums(t):
+    """Sums of clamped and scaled columns for each group, with noise for what one row can move: of (clamped quantity x 1.5 + clamped discount x 10) 63, of a count
+    1, and of a difference between sums over disjoint rows, not over the same, 5."""
+    from cloister.operators.privacy import PrivacyContext
+    from cloister.operators.sensitivity import PrivateTable
+
+    df = t("lineitem").df
+    table = PrivateTable.of(df, PrivacyContext(1.0, df.count()))
+    cheap, dear = table.split(F.col("l_extendedprice") < 30000)
+    revenue = table.sum(table.col("l_quantity").clamp(0, 40) * 1.5 + table.col("l_discount").clamp(-0.3, 0.3) * 10)
+    tax = table.col("l_tax").clamp(0, 0.05) * 100
+    found = table.release(0.8, ["l_returnflag", "l_linestatus"], revenue=revenue, n=table.count(), gap=cheap.sum(tax) - dear.sum(tax))
+    q, sign = F.least(F.greatest(F.col("l_quantity"), F.lit(0)), F.lit(40)), F.when(F.col("l_extendedprice") < 30000, 1).otherwise(-1)
+    exact = df.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum(q * 1.5 + F.greatest(F.lit(-0.3), F.least(F.lit(0.3), F.col("l_discount"))) * 10).alias("e_revenue"), F.count(F.lit(1)).alias("e_n"), F.sum(sign * F.least(F.col("l_tax"), F.lit(0.05)) * 100).alias("e_gap")
+    )
+    off = [F.abs(F.col(c) - F.col(f"e_{c}")) / F.col(f"{c}_sigma") for c in ("revenue", "n", "gap")]
+    both = found.join(exact, ["l_returnflag", "l_linestatus"])
+    return both.select("l_returnflag", "l_linestatus", *[F.round(f"{c}_sigma", 6).alias(f"{c}_sigma") for c in ("revenue", "n", "gap")], (F.greatest(*off) < 10).alias("near"), (F.least(*off) > 0).alias("noised"))
 
 
 @query()
@@ -1169,6 +1215,141 @@ def sgd_least_squares(t):
     return t.session.spark.createDataFrame([(round(float(slope), 4), round(float(bias), 4), round(loss, 3))], "slope double, bias double, loss double")
 
 
+_LEAST_SQUARES = """WITH z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS x, l_extendedprice / 1000 AS y FROM lineitem)
+    SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS bias{more} FROM z"""
+
+
+def _scaled_line(t, limit=None):
+    """The price of lineitem by its scaled quantity, as samples."""
+    from cloister.operators.learning import Dataset
+
+    q = col("l_quantity")
+    f = t("lineitem").select((q * 0 + col("l_orderkey") * 8 + col("l_linenumber")).cast("long").alias("id"), ((q - q.mean()) / q.std(0)).alias("x"), (col("l_extendedprice") / 1000).alias("y"))
+    return Dataset.build(f.df, ["x"], "y", limit, F.col("id"))
+
+
+@query(_LEAST_SQUARES.format(more=", 2 AS steps"))
+def train_resumed(t):
+    """A training that stops after its first epoch; another learner finds the checkpoint in the store and ends at the least squares."""
+    from cloister.operators.learning import SGD, Checkpoints, Learner, Model
+    from cloister.sources.scratch import scratch_path
+
+    spark, data = t.session.spark, _scaled_line(t)
+    kept = Checkpoints(spark, scratch_path(spark, "checkpoints"))
+    Learner(Model.zeros(1), data, SGD(0.5), max_batch_size=1 << 40).fit(1, None, keep=kept)
+    learner = Learner(Model(kept.last().weights * 0), data, SGD(123.0), max_batch_size=1 << 40)
+    learner.fit(2, None, resume=True, keep=kept)
+    slope, bias = learner.model.weights[0]
+    return spark.createDataFrame([(round(float(slope), 4), round(float(bias), 4), learner.steps)], "slope double, bias double, steps int")
+
+
+@query(_LEAST_SQUARES.format(more=", 'ok' AS status, 2 AS steps, round((SELECT avg(least((w.y - q.m - q.s * w.x) ** 2, 10)) FROM z w, (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS m FROM z) q), 3) AS loss"))
+def registry_runs(t):
+    """A training and a test in the background, polled through the store: the least squares of lineitem and their clipped loss."""
+    from cloister.operators.learning import Model, Registry, TrainConfig
+    from cloister.sources.scratch import scratch_path
+
+    spark = t.session.spark
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    registry.send_dataset("line", _scaled_line(t))
+    registry.send_model("price", Model.zeros(1))
+    trained = registry.wait(registry.train(TrainConfig("price", "line", 2, None, 1 << 40, optimizer="SGD", options={"lr": 0.5})), 600)
+    tested = registry.wait(registry.test("price", "line", "l2"), 600)
+    slope, bias = registry.fetch_model("price").weights[0]
+    row = (round(float(slope), 4), round(float(bias), 4), trained["status"], trained.get("step"), round(tested.get("value", -1.0), 3))
+    return spark.createDataFrame([row], "slope double, bias double, status string, steps int, loss double")
+
+
+@query(
+    """WITH z AS (SELECT l_quantity / 50 AS x, l_discount * 10 AS y FROM lineitem), g AS (SELECT -2 * y * x AS gx, -2 * y AS gb FROM z), c AS (SELECT *, least(1, 0.8 / (sqrt(gx * gx + gb * gb) + 1e-6)) AS f FROM g)
+    SELECT 'SGD' AS optimizer, round(-0.5 * sum(f * gx) / count(*), 9) AS slope, round(-0.5 * sum(f * gb) / count(*), 9) AS bias FROM c
+    UNION ALL SELECT 'Adam', round(-0.5 * (sum(f * gx) / count(*)) / (abs(sum(f * gx) / count(*)) + 1e-8), 9), round(-0.5 * (sum(f * gb) / count(*)) / (abs(sum(f * gb) / count(*)) + 1e-8), 9) FROM c"""
+)
+def clipped_step(t):
+    """One step of the private training with its noise left out: per-sample gradients clipped to norm 0.8, for both optimisers."""
+    from cloister.operators.learning import SGD, Adam, Dataset, Model, gradient_sum
+
+    f = t("lineitem").select((col("l_orderkey") * 8 + col("l_linenumber")).alias("id"), (col("l_quantity") / 50).alias("x"), (col("l_discount") * 10).alias("y"))
+    data = Dataset.build(f.df, ["x"], "y", 1.0, F.col("id"))
+    rows = []
+    for optimizer in (SGD(0.5), Adam(0.5)):
+        model = Model.zeros(1)
+        total, n = gradient_sum(data.df, model, 0.8)
+        w = optimizer.step(model.weights, total / n)[0]
+        rows.append((type(optimizer).__name__, round(float(w[0]), 9), round(float(w[1]), 9)))
+    return t.session.spark.createDataFrame(rows, "optimizer string, slope double, bias double")
+
+
+def _permuted_sql(size: int, seed: int, epoch: int) -> str:
+    """The batches of lineitem by the arithmetic that ``cloister.operators.permute`` states, with walks as a recursion."""
+    from cloister.operators.permute import PRIME, Permutation
+
+    step = "SELECT i, y // s AS l, y % s AS r, s, n FROM {}"
+    for a, b, c in Permutation.of(1, seed, epoch).keys:  # keys do not depend on the number of rows
+        step = f"SELECT i, r AS l, (l + t * ((t + {c}) % {PRIME}) % {PRIME}) % s AS r, s, n FROM (SELECT *, (r % {PRIME} * {a} + {b}) % {PRIME} AS t FROM ({step}))"
+    once = lambda source: f"SELECT i, l * s + r AS y, s, n FROM ({step.format(source)})"
+    return f"""WITH RECURSIVE rows AS (SELECT row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber) - 1 AS i, l_orderkey, l_linenumber FROM lineitem),
+    size AS (SELECT count(*) AS n, CASE WHEN floor(sqrt(count(*) - 1))::BIGINT ** 2 > count(*) - 1 THEN floor(sqrt(count(*) - 1))::BIGINT ELSE floor(sqrt(count(*) - 1))::BIGINT + 1 END AS s FROM lineitem),
+    start AS (SELECT i, i AS y, s, n FROM rows, size),
+    walk AS ({once('start')} UNION ALL {once('(SELECT * FROM walk WHERE y >= n)')})
+    SELECT y // {size} AS batch, count(*) AS n, sum(l_orderkey)::BIGINT AS keys, sum(l_linenumber)::BIGINT AS lines FROM walk JOIN rows USING (i) WHERE y < n AND y // {size} < n // {size} GROUP BY 1"""
+
+
+@query(_permuted_sql(700, 11, 3))
+def permuted_batches(t):
+    """Batches of exactly 700 rows of lineitem for the fourth epoch of seed 11; the rows left over are in none."""
+    from cloister.operators.ordered import row_index
+    from cloister.operators.permute import Permutation
+
+    rows = row_index(t("lineitem").df.select("l_orderkey", "l_linenumber"), [F.col("l_orderkey") * 8 + F.col("l_linenumber")])
+    n = rows.count()
+    batch = F.call_function("div", Permutation.of(n, 11, 3).column(F.col("index")), F.lit(700).cast("long"))
+    dealt = rows.select(batch.alias("batch"), "l_orderkey", "l_linenumber").where(F.col("batch") < n // 700)
+    return dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"), F.sum("l_linenumber").alias("lines"))
+
+
+@query(
+    """WITH c AS (SELECT o_orderpriority, count(*) / (SELECT count(*) FROM orders) AS epsilon FROM orders GROUP BY 1), s AS (SELECT *, sum(epsilon) OVER (ORDER BY epsilon, o_orderpriority) AS total FROM c)
+    SELECT o_orderpriority, total < 0.7 AS allowed, round(CASE WHEN total < 0.7 THEN total ELSE (SELECT max(total) FROM s WHERE total < 0.7) END, 6) AS spent FROM s"""
+)
+def budget_ledger(t):
+    """Two sessions take turns to spend from one stored budget of 0.7, for each priority its share of all orders, smallest first; each sees what the other spent."""
+    from cloister.operators.privacy import BudgetExceeded, BudgetLedger, PrivacyContext
+    from cloister.sources.scratch import scratch_path
+
+    spark, f = t.session.spark, t("orders")
+    n, folder = f.df.count(), scratch_path(t.session.spark, "budget")
+    shares = f.groupby("o_orderpriority").count().df.orderBy("count", "o_orderpriority").collect()  # a row for each priority
+    writers = [PrivacyContext(0.7, n, ledger=BudgetLedger(spark, folder)) for _ in range(2)]
+    rows = []
+    for k, r in enumerate(shares):
+        context, allowed = writers[k % 2], True
+        try:
+            context.spend(r["count"] / n)
+        except BudgetExceeded:
+            allowed = False
+        rows.append((r["o_orderpriority"], allowed, round(PrivacyContext(0.7, n, ledger=BudgetLedger(spark, folder)).spent, 6)))
+    return spark.createDataFrame(rows, "o_orderpriority string, allowed boolean, spent double")
+
+
+@query()
+def embedding_classifier(t):
+    """A network on whole texts of ``documents``, trained without noise to tell whether a text is English: hashed words looked up in a table,
+    normalised, averaged, and a softmax; returns the clipped loss and the accuracy before and after."""
+    from cloister.operators.layers import Embedding, LayerNorm, Linear, MeanPool, Network
+    from cloister.operators.learning import Adam, Dataset, Learner
+
+    words = F.filter(F.split(F.lower("text"), "[^a-z\u00e0-\u00ff]+"), lambda w: w != "")
+    tokens = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2048)).cast("int"))
+    docs = t("documents").df.select("doc_id", tokens.alias("tokens"), (F.col("lang") == "en").cast("int").alias("y"))
+    data = Dataset.build(docs, ["tokens"], "y", None, F.col("doc_id"))
+    learner = Learner(Network([Embedding(2048, 8), LayerNorm(8), MeanPool(), Linear(8, 2)], seed=1), data, Adam(0.02), max_batch_size=max(data.n // 4, 1), seed=1)
+    before = [learner.test(data, metric)[0] for metric in ("cross_entropy", "accuracy")]
+    learner.fit(3, None)
+    after = [learner.test(data, metric)[0] for metric in ("cross_entropy", "accuracy")]
+    return t.session.spark.createDataFrame([("before", *before), ("after", *after)], "at string, loss double, accuracy double")
+
+
 @query("SELECT 'accuracy' AS metric, round(avg(CAST(l_returnflag = 'N' AS INT)), 6) AS value FROM lineitem UNION ALL SELECT 'l2', round(avg(least((l_quantity / 10 - 1) ** 2, 10)), 6) FROM lineitem")
 def clipped_metrics(t):
     """Metrics of fixed models: the share that a constant class gets right, and the clipped squared error of a constant."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -13,12 +14,17 @@ from pyspark.sql import functions as F
 
 from . import lineage
 from .policy import DEFAULT, Action, Policy, TrueRule, Verdict, judge
+from .reviews import ALLOWED, PENDING, ReviewQueue, ReviewRequest
 
 
 class RequestRejected(PermissionError):
     """The policy of a source does not allow the release."""
 
 
+class ReviewPending(RequestRejected):
+    """The owner has not answered yet."""
+
+
 class NotFound(KeyError):
     """No table of that name is in the catalogue."""
 
@@ -40,19 +46,10 @@ class Artifact:
     order: tuple[str, ...] = ()
 
 
-@dataclass
-class ReviewRequest:
-    """What the owner sees of a result that waits for review."""
-
-    query: str
-    reason: str
-    user: str | None
-    schema: str
-
-
 @dataclass
 class GuardSession:
-    """Entry point.  ``reviewer`` answers review requests and denies by default; ``store`` is the folder of saved tables."""
+    """Entry point.  ``reviewer`` answers review requests at once and denies by default; with a folder ``reviews`` they wait there instead for
+    an owner's answer, from any session.  ``store`` is the folder of saved tables."""
 
     spark: SparkSession
     user: str | None = None
@@ -60,6 +57,7 @@ class GuardSession:
     reviewer: Callable[[ReviewRequest], bool] = lambda request: False
     store: str | None = None
     strict: bool = False
+    reviews: str | None = None
     catalogue: dict[str, Artifact] = field(default_factory=dict)
     events: list[dict] = field(default_factory=list)
 
@@ -147,20 +145,53 @@ class GuardSession:
                 raise RequestRejected(verdict.reason)
             if verdict.action is Action.REVIEW:
                 request = ReviewRequest(found.query, verdict.reason, self.user, found.df.schema.simpleString())
-                allowed = self.reviewer(request)
-                self.log("review", name=name, reason=verdict.reason, allowed=allowed)
-                if not allowed:
-                    raise RequestRejected(verdict.reason)
+                if self.reviews:
+                    self._reviewed(name, request)
+                else:
+                    allowed = self.reviewer(request)
+                    self.log("review", name=name, reason=verdict.reason, allowed=allowed)
+                    if not allowed:
+                        raise RequestRejected(verdict.reason)
             else:
                 self.log("warning", name=name, reason=verdict.reason)
         return sanitise(found.df, found.blacklist)
 
-    def fetch(self, name: str) -> DataFrame | None:
-        """As ``release``, but None for a rejected request."""
-        try:
-            return self.release(name)
-        except RequestRejected:
-            return None
+    @property
+    def review_queue(self) -> ReviewQueue:
+        if not self.reviews:
+            raise ValueError("the session has no folder of reviews")
+        return ReviewQueue(self.spark, self.reviews)
+
+    def _reviewed(self, name: str, request: ReviewRequest) -> None:
+        """Raises unless the request was allowed; files it if there is none."""
+        queue = self.review_queue
+        if queue.ask(name, request):
+            self.log("review asked", name=name, reason=request.reason)
+        state = queue.state(name)
+        if state == PENDING:
+            raise ReviewPending(f"{name} waits for review: {request.reason}")
+        self.log("review", name=name, reason=request.reason, allowed=state == ALLOWED)
+        if state != ALLOWED:
+            raise RequestRejected(request.reason)
+
+    def answer(self, name: str, allow: bool, note: str = "") -> None:
+        """Allow or deny a request for review (owners only)."""
+        self._owned("answer requests")
+        self.review_queue.answer(name, allow, self.user, note)
+        self.log("answer", name=name, allow=allow)
+
+    def fetch(self, name: str, timeout: float = 0.0, delay: float = 0.2) -> DataFrame | None:
+        """As ``release``, but None for a rejected request, or for one that still waits for review after ``timeout`` seconds."""
+        until = time.monotonic() + timeout
+        while True:
+            try:
+                return self.release(name)
+            except ReviewPending:
+                if time.monotonic() >= until:
+                    return None
+                time.sleep(delay)
+            except RequestRejected:
+                return None
 
     # Persistence.
 
