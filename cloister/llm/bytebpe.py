@@ -34,7 +34,9 @@ LEAF = 8
 #: Characters that are split into pieces at once, and ids that are decoded at once.
 SPLIT_CHARS, DECODE_IDS = 1 << 16, 1 << 14
 #: Pieces in a worker's cache with the longest of them, and pairs of tokens known to be stable or not.
-CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 250_000, 40, 250_000
+CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 500_000, 40, 250_000
+#: Bytes up to which pairs are looked through instead of kept in a heap, and the rank of pairs without one.
+SHORT, _NONE = 48, 1 << 62
 
 
 class RankEncoder(dict):
@@ -56,6 +58,22 @@ class RankEncoder(dict):
 
     def merge(self, data: bytes) -> list[bytes]:
         """The encoding of some bytes from their definition: the pair of least rank, the first of equals, is merged until none has a rank."""
+        if len(data) > SHORT:
+            return self._merge_long(data)
+        parts, rank = [data[i : i + 1] for i in range(len(data))], self.ranks.get
+        ranks = [rank(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], _NONE)
+        return parts
+
+    def _merge_long(self, data: bytes) -> list[bytes]:
+        """The same by a heap of pairs."""
         parts, after, before = [data[i : i + 1] for i in range(len(data))], list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
         rank, end = self.ranks.get, len(data)
         heap = [(r, i, 2) for i in range(end - 1) if (r := rank(data[i : i + 2])) is not None]
