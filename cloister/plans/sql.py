@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -20,8 +21,9 @@ _SETTINGS = {"spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.runSQL
 def sql(text: str, *frames: GuardedFrame) -> GuardedFrame:
     """A query in which the i-th ``{}`` stands for the i-th frame; the result is lazy.
 
-    Only SELECT queries (WITH included) over the given frames are accepted: other tables, views and
-    paths, and statements that change anything, are rejected.  Double quotes are for identifiers.
+    Only SELECT queries (WITH included) over the given frames are accepted, with built-in functions that depend on their arguments
+    alone: other tables, views and paths, statements that change anything, scripts, calls of Java methods, user-defined
+    functions and facts about the session are rejected.  Double quotes are for identifiers.
     """
     if not frames:
         raise ValueError("a query needs at least one frame")
@@ -44,6 +46,7 @@ def sql(text: str, *frames: GuardedFrame) -> GuardedFrame:
             spark.conf.set(k, v)
         _check(spark, "".join(p + (names[id(frames[i])] if i < len(frames) else "") for i, p in enumerate(parts)), set(used))
         df = spark.sql(body, **{n: f.df for n, f in used.items()})
+        _check_resolved(df)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
@@ -52,19 +55,106 @@ def sql(text: str, *frames: GuardedFrame) -> GuardedFrame:
     return GuardedFrame(session, df, provenance, sensitive, (), None, f"sql({text})")
 
 
+#: What a parsed query is made of.  Anything else (commands, scripts, table functions, other versions of a table, names made by expressions) is rejected.
+NODES = {
+    "Aggregate", "Deduplicate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator",
+    "Pivot", "Project", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Tail", "Union", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
+}
+#: Groups of Spark's function registry whose functions depend on their arguments alone; and such functions of the group for others, which also
+#: holds calls of Java methods, errors that show their text, and facts about the session.
+GROUPS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs",
+    "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs",
+}
+MORE_FUNCTIONS = {"bitmap_bit_position", "bitmap_bucket_number", "bitmap_count", "hll_sketch_estimate", "hll_union", "typeof"}
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+#: Expressions that name a function, table or value by another expression.
+_INDIRECT = {"ExpressionWithUnresolvedIdentifier", "NamedParameter", "PosParameter", "FunctionTableSubqueryArgumentExpression"}
+#: Functions that are not Spark's own.
+_FOREIGN = {"ScalaUDF", "ScalaUDAF", "ScalaAggregator", "PythonUDF", "PythonUDAF", "PythonUDTF", "UnresolvedPythonUDTF", "HiveSimpleUDF", "HiveGenericUDF", "HiveGenericUDTF", "HiveUDAFFunction", "TypedScalaUDF"}
+
+
+@functools.cache
+def _functions(spark) -> tuple[frozenset[str], frozenset[str]]:
+    """(names of the functions that queries may use; classes of all other built-in ones)."""
+    registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    names, others, kinds = set(), set(), set()
+    for f in _sequence(registry.listFunction().toSeq()):
+        info, name = registry.lookupFunction(f).get(), f.funcName()
+        allowed = info.getGroup() in GROUPS or name in MORE_FUNCTIONS
+        (names if allowed else others).add(name)
+        (kinds if allowed else set()).add(info.getClassName())
+    blocked = {c for f in _sequence(registry.listFunction().toSeq()) if f.funcName() in others and (c := registry.lookupFunction(f).get().getClassName()) not in kinds}
+    return frozenset(names), frozenset(c.rpartition(".")[2] for c in blocked)
+
+
 def _check(spark, text: str, allowed: set[str]) -> None:
-    """Every relation that the parsed query names is a placeholder or one of its own common table expressions."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    kinds = set(re.findall(r"'?\b([A-Z]\w*(?:Statement|Command|IntoTable|Table|Namespace))\b", plan))
-    named = {n.strip().strip("`") for group in re.findall(r"'?CTE \[([^\]]*)\]", plan) for n in group.split(",")}
-    for relation in re.findall(r"'?UnresolvedRelation \[([^\]]*)\]", plan):
-        if relation.strip() not in allowed | named:
-            raise RequestRejected(f"{relation} is not one of the query's frames")
-    functions = re.findall(r"'?UnresolvedTableValuedFunction \[([^\]]*)\]", plan)
-    if functions or kinds & {"InsertIntoStatement", "CreateTable", "DropTable", "DeleteFromTable", "UpdateTable", "MergeIntoTable", "SetCommand", "AddJarsCommand"}:
-        raise RequestRejected("only SELECT queries over the given frames are accepted")
-    if not re.match(r"\s*(\(\s*)*(select|with|from|values)\b", text, re.IGNORECASE):
-        raise RequestRejected("only SELECT queries over the given frames are accepted")
+    """The parsed query, with all that is nested in it, holds nothing but ``NODES``, functions that depend on their arguments alone, and the
+    placeholders and its own common table expressions, each where it is in scope."""
+    names, _ = _functions(spark)
+
+    def plan(node, known: frozenset[str]) -> None:
+        kind = node.nodeName()
+        if kind not in NODES:
+            raise RequestRejected(f"only SELECT queries over the given frames are accepted, without {kind}")
+        if kind == "UnresolvedRelation":
+            parts = _sequence(node.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in known:
+                raise RequestRejected(f"{'.'.join(parts)} is not one of the query's frames")
+        if kind == "UnresolvedWith":
+            for definition in _sequence(node.innerChildren()):
+                plan(definition, known)
+                known = known | {definition.alias().lower()}
+        if kind == "WithWindowDefinition":
+            for window in _sequence(node.windowDefinitions().values().toSeq()):
+                expression(window, known)
+        for child in _nodes(node):
+            plan(child, known)
+        for e in _sequence(node.expressions()):
+            expression(e, known)
+
+    def expression(e, known: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind in _INDIRECT:
+            raise RequestRejected("names and values must be written out")
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            parts = _sequence(e.nameParts()) if kind == "UnresolvedFunction" else [x for x in (e.name().funcName(),) if x]
+            if len(parts) != 1 or parts[0].lower() not in names or (kind == "UnresolvedGenerator" and e.name().database().isDefined()):
+                raise RequestRejected(f"the function {'.'.join(parts)} is not accepted")
+        if kind in _SUBQUERIES:
+            plan(e.plan(), known)
+        for child in _sequence(e.children()):
+            expression(child, known)
+
+    plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(text), frozenset(n.lower() for n in allowed))
+
+
+def _check_resolved(df: DataFrame) -> None:
+    """The resolved query reads the frames alone, and no function of another kind has taken the name of a built-in one."""
+    _, blocked = _functions(df.sparkSession)
+
+    def plan(node) -> None:
+        if node.nodeName() == "View":  # a frame
+            return
+        children = [d.child() for d in _sequence(node.cteDefs())] + [node.plan()] if node.nodeName() == "WithCTE" else _nodes(node)
+        if not children and node.nodeName() not in ("OneRowRelation", "LocalRelation", "CTERelationRef"):
+            raise RequestRejected(f"{node.nodeName()} is not one of the query's frames")
+        for child in children:
+            plan(child)
+        for e in _sequence(node.expressions()):
+            expression(e)
+
+    def expression(e) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind in blocked or kind in _FOREIGN:
+            raise RequestRejected(f"the function {e.prettyName()} is not accepted")
+        if kind in _SUBQUERIES:
+            plan(e.plan())
+        for child in _sequence(e.children()):
+            expression(child)
+
+    plan(df._jdf.queryExecution().analyzed())
 
 
 def _nodes(plan) -> list:
