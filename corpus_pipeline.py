@@ -64,14 +64,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, of the smallest doc_id, of each group of rows with near copies of a text; null ids come last.
     Texts without words have no copies, but of rows that also share their doc_id one is kept."""
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")  # rows are told apart by a key of their own
-    found = near_duplicates(keyed, words=5, percent=80, doc_id="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    found = materialise(found.join(keyed.select("_row", "doc_id"), "_row"), "copies")
+    row = "_row"  # rows are told apart by a key of their own
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    plain = keyed.select(F.col(row).alias("_row"), "doc_id", "text")
+    found = near_duplicates(plain, words=5, percent=80, doc_id="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    found = materialise(found.join(plain.select("_row", "doc_id"), "_row"), "copies")
     wordless = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
     group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("doc_id"))]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("first"))
     kept = found.groupBy(*(g.alias(f"_{k}") for k, g in enumerate(group))).agg(first.alias("first")).select("first._row")
-    return by_ids(keyed, found.select("_row").join(kept, "_row", "left_anti"), "left_anti", "_row").select(docs.columns)
+    gone = found.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(row))
+    return by_ids(keyed, gone, "left_anti", row).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
