@@ -3,7 +3,9 @@
 Only the number of pieces of each length matters for the packing, so it is planned on a histogram of
 at most ``capacity`` counts.  For each bin, a subset-sum over the available lengths, held as bits of
 one integer, finds the fullest feasible combination that holds the largest remaining length; the
-combination is taken out as often as the counts allow.  Pieces then find their place from their
+combination is taken out as often as the counts allow.  Lengths join the sum from the largest down, and a bin that is full but
+for an allowed slack takes no shorter ones, which are then left for bins that nothing else fills.  The histogram is
+planned under each of a few slacks and the plan with the fewest bins is taken.  Pieces then find their place from their
 length and their rank among the pieces of that length, in a narrow pass over a table.
 """
 
@@ -25,12 +27,15 @@ from .common import materialise, read_table, texts
 
 CAPACITY = 1024
 END_ID = 2
+#: Slacks under which the bins are planned.
+SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _local long"
 
 
-def fullest(counts: np.ndarray, capacity: int) -> list[int]:
+def fullest(counts: np.ndarray, capacity: int, slack: int = 0) -> list[int]:
     """Lengths, with repeats, whose sum is the largest that fits in ``capacity``; the largest available length is one of them.
+    Lengths shorter than those that leave ``slack`` at most are not looked at.
 
     ``counts[l]`` pieces of length l are available.  Bit s of ``sums`` is set if some combination of
     the lengths so far has sum s; ``steps`` keeps the bits that each added piece made new.
@@ -38,8 +43,9 @@ def fullest(counts: np.ndarray, capacity: int) -> list[int]:
     largest = int(np.flatnonzero(counts)[-1])
     room = capacity - largest
     mask = (1 << (room + 1)) - 1
+    enough = max(room - slack, 0)
     sums, steps = 1, []
-    for length in np.flatnonzero(counts[: room + 1])[::-1].tolist():
+    for length in [] if not enough else np.flatnonzero(counts[: room + 1])[::-1].tolist():
         left = int(counts[length]) - (length == largest)
         for _ in range(min(left, room // length)):
             new = (sums << length) & mask & ~sums
@@ -47,7 +53,7 @@ def fullest(counts: np.ndarray, capacity: int) -> list[int]:
                 break
             sums |= new
             steps.append((length, new))
-        if sums >> room & 1:
+        if sums >> enough:
             break
     best = sums.bit_length() - 1
     chosen = [largest]
@@ -58,20 +64,32 @@ def fullest(counts: np.ndarray, capacity: int) -> list[int]:
     return chosen
 
 
-def plan_bins(counts: np.ndarray, capacity: int) -> pd.DataFrame:
-    """Segments ``length, rank, bin, times, place``: pieces of ``length`` from rank ``rank`` on go to bins
-    ``bin, bin + 1, ...``, one for each, at ``place``, until the next segment of that length."""
-    counts, used, bins, rows = counts.copy(), np.zeros_like(counts), 0, []
+def combinations(counts: np.ndarray, capacity: int, slack: int) -> list[tuple[list[int], int]]:
+    """(lengths of a bin, number of such bins) until no piece is left."""
+    counts, out = counts.copy(), []
     while counts.any():
-        chosen = fullest(counts, capacity)
+        chosen = fullest(counts, capacity, slack)
         lengths, need = np.unique(chosen, return_counts=True)
         times = int((counts[lengths] // need).min())
+        counts[lengths] -= times * need
+        out.append((chosen, times))
+    return out
+
+
+def plan_bins(counts: np.ndarray, capacity: int) -> pd.DataFrame:
+    """Segments ``length, rank, bin, times, place``: pieces of ``length`` from rank ``rank`` on go to bins
+    ``bin, bin + 1, ...``, one for each, at ``place``, until the next segment of that length.
+
+    Of the plans under ``SLACKS`` it is that of the fewest bins, and of the least slack among those.
+    """
+    plans = [combinations(counts, capacity, slack) for slack in SLACKS]
+    used, bins, rows = np.zeros_like(counts), 0, []
+    for chosen, times in min(plans, key=lambda plan: sum(times for _, times in plan)):
         place = 0
         for length in chosen:
             rows.append((length, int(used[length]), bins, place))
             used[length] += times
             place += length
-        counts[lengths] -= times * need
         bins += times
     return pd.DataFrame(rows, columns=["length", "rank", "bin", "place"]).astype("int64")
 
