@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lineage
-from .functions.expr import HALO, ORDER, PLACE, Compile, Expr, Whole, as_expr, col, count, duration_micros, expand, lit
+from .functions.expr import BLOCK, HALO, ORDER, PLACE, Compile, Expr, Whole, as_expr, col, count, duration_micros, expand, lit
 from .operators import cleaning, ordered, plots, windows
 from .session import GuardSession, RequestRejected, UnsupportedOperation
 
@@ -126,13 +126,24 @@ class GuardedFrame:
     def _rows(self, exprs: Sequence[Expr]) -> tuple[DataFrame, list[Column]]:
         """The frame, joined with the one-row table of the aggregates that ``exprs`` hold, and their columns.  Where they depend
         on the order of the whole frame, rows are dealt to blocks and the columns are computed there."""
-        context = Compile("row", self._order(), tuple(self._reverse_order()) if self.order else (), whole=Whole(), sides=[])
+        sizes: dict[str, int] = {}
+
+        def is_large(keys: tuple[Column, ...]) -> bool:
+            name = ", ".join(map(str, keys))
+            if name not in sizes:
+                sizes[name] = ordered.largest_group(self.df, keys)
+            return sizes[name] > ordered.BLOCK_ROWS
+
+        backward = tuple(self._reverse_order()) if self.order else ()
+        context = Compile("row", self._order(), backward, whole=Whole(), sides=[], passes=[], large=is_large)
         columns = [e.build(context) for e in exprs]
         df, whole = self.df, context.whole
+        for own in context.passes:
+            df = ordered.in_segments(df, own, self._order())
         if whole.used:
             df = ordered.row_index(df, self._order(), PLACE)
         if context.aggregates:
-            source = ordered.with_sides(self.df, [], context.sides)
+            source = ordered.with_sides(df, [], context.sides)
             df = df.crossJoin(F.broadcast(source.agg(*[c.alias(n) for n, c in context.aggregates])))  # one row
         if whole.used:
             df = ordered.in_blocks(df, whole, context.prepared)
@@ -679,18 +690,13 @@ class GuardedRolling:
         self.low = start + (0 if closed in ("left", "both") else 1)
         self.high = start + length - (0 if closed in ("right", "both") else 1)
 
-    def _window(self) -> Window:
-        return Window.partitionBy(*self.by).orderBy(self._key()).rangeBetween(self.low, self.high)
-
     def _key(self) -> Column:
         return F.unix_micros(F.col(f"`{self.index}`").cast("timestamp"))
 
     def agg(self, *values) -> GuardedFrame:
-        frame, w = self.frame, self._window()
-        rows = frame.df
-        if not self.by:
-            rows = ordered.in_ranges(rows, self._key(), self.low, self.high)
-            w = Window.partitionBy("__range").orderBy(self._key()).rangeBetween(self.low, self.high)
+        frame = self.frame
+        rows = ordered.in_time_blocks(frame.df, self.by, self._key(), self.low, self.high)
+        w = Window.partitionBy(BLOCK, *self.by).orderBy(self._key()).rangeBetween(self.low, self.high)
         exprs = frame._exprs(values)
         if not all(e.aggregated for e in exprs):
             raise ValueError("rolling groups take aggregates")
@@ -700,7 +706,7 @@ class GuardedRolling:
                 return column.over(w)
 
         columns = [e.build(Rolling("agg", frame._order_keys())).alias(e.name) for e in exprs]
-        own = F.lit(True) if self.by else ~F.col(HALO)
+        own = ~F.col(HALO)
         df = rows.select(*self.by, self.index, *columns, own.alias("__own")).where("__own").drop("__own")
 
         def size() -> int:

@@ -43,6 +43,9 @@ class Compile:
     prepared: list[tuple[str, Column]] = field(default_factory=list)  # columns that others are built on
     whole: Whole | None = None  # where windows over the whole frame go by blocks of rows
     sides: list[Side] | None = None  # tables by group that an aggregation is joined with
+    passes: list[Pass] | None = None  # windows over groups too large for a task, which are computed before the others
+    large: Callable[[tuple[Column, ...]], bool] = lambda keys: False  # whether some group of these keys is
+    inside: Pass | None = None  # the pass that is being built
 
     def side(self, make: Callable, of: str, *request) -> Column | None:
         """One value for each group from a table that is computed apart: ``make(df, keys, {column: request, ...})`` has a column for each
@@ -60,18 +63,31 @@ class Compile:
         return self.aggregate(F.any_value(F.col(name)))
 
     def prepare(self, column: Column) -> Column:
-        name = f"__w{len(self.prepared)}"
+        name = f"__{'p' if self.inside else 'w'}{len(self.prepared)}"
         self.prepared.append((name, column))
         return F.col(name)
 
     @property
     def by_blocks(self) -> bool:
-        return self.whole is not None and not self.partition
+        return self.whole is not None and (self.inside is not None or not self.partition)
 
     def groups(self) -> tuple[Column, ...]:
-        return (F.col(BLOCK),) if self.by_blocks else self.partition
+        return (F.col(BLOCK), *self.partition) if self.by_blocks else self.partition
+
+    def pass_of(self, keys: tuple[Column, ...]) -> Pass | None:
+        """The pass for windows over groups of these keys; None where a window of Spark's will do."""
+        if self.passes is None or self.inside is not None or not self.large(keys):
+            return None
+        found = next((p for p in self.passes if list(map(str, p.keys)) == list(map(str, keys))), None)
+        if found is None:
+            found = Pass(len(self.passes), keys)
+            self.passes.append(found)
+        return found
 
     def aggregate(self, column: Column) -> Column:
+        if self.inside is not None:
+            self.inside.aggregates.append((f"__ga{len(self.inside.aggregates)}", column))
+            return F.col(self.inside.aggregates[-1][0])
         if self.windowed:
             return column.over(Window.partitionBy(*self.partition))
         if self.mode == "agg":
@@ -85,14 +101,14 @@ class Compile:
             raise ValueError("this expression depends on the order of rows: give the frame an order (order_by=...)")
         if self.by_blocks:
             self.whole.used = True
-            return Window.partitionBy(BLOCK).orderBy(PLACE)
+            return Window.partitionBy(*self.groups()).orderBy(PLACE)
         return Window.partitionBy(*self.partition).orderBy(*self.order)
 
     def reversed(self) -> Window:
         """The rows from the last to the first: what follows a row is a running frame here, which costs one pass."""
         self.ordered()
         if self.by_blocks:
-            return Window.partitionBy(BLOCK).orderBy(F.desc(PLACE))
+            return Window.partitionBy(*self.groups()).orderBy(F.desc(PLACE))
         return Window.partitionBy(*self.partition).orderBy(*(self.backward or [o.desc() for o in self.order]))
 
     def own(self, column: Column) -> Column:
@@ -137,6 +153,23 @@ class Whole:
         return F.col(self.places[-1][0])
 
 
+@dataclass
+class Pass:
+    """Windows over groups of ``keys``, of which some are large: rows are sorted by group and order and cut into blocks, so that a group
+    may go on from one block to the next; aggregates of groups are joined to their rows."""
+
+    number: int
+    keys: tuple[Column, ...]
+    whole: Whole = field(default_factory=Whole)
+    prepared: list[tuple[str, Column]] = field(default_factory=list)
+    aggregates: list[tuple[str, Column]] = field(default_factory=list)
+    outputs: list[tuple[str, Column]] = field(default_factory=list)
+
+    @property
+    def names(self) -> list[str]:
+        return [f"__g{i}" for i in range(len(self.keys))]
+
+
 def latest(state, value):
     return state if value is None else value
 
@@ -496,8 +529,13 @@ class Expr:
         keys = [as_expr(b) for group in by for b in (group if isinstance(group, (list, tuple)) else [group])]
 
         def build(c: Compile) -> Column:
-            inner = replace(c, windowed=True, partition=tuple(k.build(c) for k in keys))
-            return self.build(inner)
+            by = tuple(k.build(c) for k in keys)
+            own = c.pass_of(by)
+            if own is None:
+                return self.build(replace(c, windowed=True, partition=by))
+            inner = replace(c, windowed=True, partition=tuple(map(F.col, own.names)), whole=own.whole, prepared=own.prepared, inside=own)
+            own.outputs.append((f"__over{own.number}_{len(own.outputs)}", self.build(inner)))
+            return F.col(own.outputs[-1][0])
 
         # A partition may be one row, so whatever is aggregated over it may be shown.
         roots = (*self.roots, *(r for k in keys for r in k.roots))
@@ -535,7 +573,16 @@ class Expr:
         return self._running(F.product, lambda a, b: a * b, lambda a, b: a * b)
 
     def cumcount(self):
-        return replace(self, build=lambda c: (c.ordered(), F.col(PLACE))[1] if c.by_blocks else F.row_number().over(c.ordered()) - 1)
+        def build(c: Compile) -> Column:
+            w = c.ordered()
+            if not c.by_blocks:
+                return F.row_number().over(w) - 1
+            if c.inside is None:
+                return F.col(PLACE)
+            before = c.whole.carry(F.count(c.own(F.lit(1))), known(lambda a, b: a + b))
+            return F.count(c.own(F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(before, F.lit(0)) - 1
+
+        return replace(self, build=build)
 
     def _rolling(self, f, size: int, least: int | None):
         least = size if least is None else least
@@ -622,10 +669,10 @@ class Expr:
         def build(c: Compile) -> Column:
             value = self.build(replace(c, windowed=False))
             key = value.desc_nulls_last() if reverse else value.asc_nulls_last()
-            if c.by_blocks and method in ("ordinal", "random"):
+            if c.by_blocks and c.inside is None and method in ("ordinal", "random"):
                 tie = [F.xxhash64(F.lit(seed), *c.order)] if method == "random" else []
                 return F.when(value.isNotNull(), c.whole.place([key, *tie]) + 1)
-            if c.by_blocks and method in ("min", "max", "average", "dense"):
+            if c.by_blocks and c.inside is None and method in ("min", "max", "average", "dense"):
                 start, n, dense = c.whole.rank(value, reverse)
                 return F.when(value.isNotNull(), {"min": start + 1, "max": start + n, "average": start + (n + 1) / 2, "dense": dense + 1}[method])
             w = Window.partitionBy(*c.partition).orderBy(key)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloister.functions.expr import BLOCK, HALO, PLACE, Side, Whole, ranks_of
+from cloister.functions.expr import BLOCK, HALO, PLACE, Pass, Side, Whole, ranks_of
 from cloister.sources.scratch import materialise
 
 
@@ -62,10 +62,11 @@ def every_nth(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 BLOCK_ROWS = 1_000_000
 
 
-def in_blocks(df: DataFrame, whole: Whole, prepared: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+def in_blocks(df: DataFrame, whole: Whole, prepared: Sequence[tuple[str, Column]] = (), by: Sequence[str] = ()) -> DataFrame:
     """The rows of an indexed frame in blocks, with the copies, carried values and ranks that ``whole`` asks for.
 
-    A fold over blocks takes one row of a block to the driver; ranks are joins with a table of distinct values.
+    A fold over blocks takes one row of a block to the driver; ranks are joins with a table of distinct values.  With ``by`` the
+    index goes by group first, and values are carried within groups only.
     """
     for name, value, reverse in whole.ranks:
         df = _ranked(df, name, value, reverse)
@@ -81,18 +82,63 @@ def in_blocks(df: DataFrame, whole: Whole, prepared: Sequence[tuple[str, Column]
     df = df.withColumn(HALO, F.col(BLOCK) != own)
     for name, column in prepared:
         df = df.withColumn(name, column)
-    if whole.carries:
-        ends = df.where(~F.col(HALO)).groupBy(BLOCK).agg(*[of_block.alias(name) for name, of_block, _, _ in whole.carries])
-        rows = sorted(ends.collect(), key=lambda r: r[BLOCK])  # one row for each block
-        out = {r[BLOCK]: [r[BLOCK]] for r in rows}
-        for name, _, fold, backward in whole.carries:
-            state = None
-            for r in reversed(rows) if backward else rows:
-                out[r[BLOCK]].append(state)
-                state = fold(state, r[name])
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in ends.schema])
-        df = df.join(F.broadcast(df.sparkSession.createDataFrame(list(map(tuple, out.values())), schema)), BLOCK, "left")
-    return df
+    return df if not whole.carries else _carried(df, whole, by)
+
+
+def _hashes(by: Sequence[str]) -> list[Column]:
+    """Two hashes that tell groups apart; null differs from other values."""
+    parts = [c for k in by for c in (F.col(k).isNull(), F.col(k))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def _carried(df: DataFrame, whole: Whole, by: Sequence[str]) -> DataFrame:
+    """The carries of ``whole`` joined to the rows.  As groups are in order, only a block's first group can go on from the block
+    before it, and only its last one in the block after it, so the driver folds one row of a block."""
+    names, kinds = [name for name, *_ in whole.carries], ["__h0", "__h1"]
+    df = df.withColumns(dict(zip(kinds, _hashes(by), strict=True)))
+    groups = df.where(~F.col(HALO)).groupBy(BLOCK, *kinds).agg(F.min(PLACE).alias("__from"), *[c.alias(n) for n, c, _, _ in whole.carries])
+    edge = F.struct(*kinds, *names)
+    found = groups.groupBy(BLOCK).agg(F.min_by(edge, "__from").alias("first"), F.max_by(edge, "__from").alias("last")).orderBy(BLOCK).collect()  # one row for each block
+    out: dict[tuple, dict] = {}
+    for name, _, fold, backward in whole.carries:
+        state, group = None, None
+        for row in reversed(found) if backward else found:
+            enters, leaves = (row["last"], row["first"]) if backward else (row["first"], row["last"])
+            key = (enters["__h0"], enters["__h1"])
+            carried = state if key == group else None
+            out.setdefault((row[BLOCK], *key), {})[name] = carried
+            group = (leaves["__h0"], leaves["__h1"])
+            state = fold(carried if group == key else None, leaves[name])
+    types = {f.name: f.dataType for f in groups.schema}
+    schema = T.StructType([T.StructField(n, types[n]) for n in (BLOCK, *kinds, *names)])
+    table = df.sparkSession.createDataFrame([(*key, *[values.get(n) for n in names]) for key, values in out.items()], schema)
+    return df.join(F.broadcast(table), [BLOCK, *kinds], "left")
+
+
+def largest_group(df: DataFrame, keys: Sequence[Column]) -> int:
+    """Rows of the largest group, from counts that are summed up before they are shuffled."""
+    counts = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def in_segments(df: DataFrame, own: Pass, order: Sequence[Column]) -> DataFrame:
+    """The frame with the outputs of a pass: windows over groups, of which no task holds more than a block.
+
+    Aggregates of groups are joined to their rows from a table with a row for each group, which is written, so that its size decides how."""
+    kept, names = df.columns, own.names
+    df = df.withColumns(dict(zip(names, own.keys, strict=True)))
+    if own.aggregates:
+        table = materialise(df.groupBy(*names).agg(*[c.alias(n) for n, c in own.aggregates]), "groups")
+        table = table.withColumnsRenamed({n: f"__of{n}" for n in names})
+        df = df.join(table, functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__of{n}")) for n in names]), "left")
+    if own.whole.used:
+        df = in_blocks(row_index(df, [*map(F.col, names), *order], PLACE), own.whole, own.prepared, names)
+    else:
+        df = df.withColumn(HALO, F.lit(False))
+        for name, column in own.prepared:
+            df = df.withColumn(name, column)
+    outputs = [c.alias(n) for n, c in own.outputs]
+    return df.select(*[F.col(f"`{c}`") for c in kept], HALO, *outputs).where(~F.col(HALO)).drop(HALO)
 
 
 def _ranked(df: DataFrame, name: str, value: Column, reverse: bool) -> DataFrame:
@@ -121,27 +167,44 @@ def interpolate_rows(df: DataFrame, order: Sequence[Column], columns: Sequence[s
     return rows.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
-#: Time ranges at most that a frame is cut into.
-MOST_RANGES = 1000
+def in_time_blocks(df: DataFrame, by: Sequence[str], key: Column, low: int, high: int) -> DataFrame:
+    """Each row in a block, and copied (``__halo``) to the other blocks of its ``by`` group whose rows have it in their window, from ``low``
+    to ``high`` around their ``key`` (microseconds).
 
-
-def in_ranges(df: DataFrame, key: Column, low: int, high: int) -> DataFrame:
-    """Each row in the range of its ``key`` (microseconds), and copied (``__halo``) to those whose rows have it in their window from
-    ``low`` to ``high``.  Ranges hold about equal numbers of rows and are no shorter than a window, so a row has few copies."""
-    n = df.count()
-    ranges = min(MOST_RANGES, -(-n // BLOCK_ROWS))
-    cuts: list[int] = []
-    if ranges > 1:
-        found = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-        for cut in sorted(set(found)):
-            if not cuts or cut - cuts[-1] >= high - low:
-                cuts.append(int(cut))
-    of = lambda k: F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= k))
-    if not cuts:
-        return df.withColumn("__range", F.lit(0)).withColumn(HALO, F.lit(False))
-    targets = F.sequence(F.least(of(key - high), of(key)), F.greatest(of(key - low), of(key)))
-    dealt = df.withColumn("__range", F.explode(F.when(key.isNotNull(), targets).otherwise(F.array(F.lit(0)))))
-    return dealt.withColumn(HALO, F.coalesce(F.col("__range") != of(key), F.lit(False)))
+    If a group is large, rows are sorted by group and key and cut into blocks.  A group's blocks follow each other,
+    so the driver tells from the ends of blocks, one row of each, which are within a window's reach.  Else a group is a block.
+    """
+    if largest_group(df, [F.col(f"`{c}`") for c in by]) <= BLOCK_ROWS:
+        return df.withColumn(BLOCK, F.lit(0).cast("long")).withColumn(HALO, F.lit(False))
+    names = [f"__g{i}" for i in range(len(by))]
+    placed = df.withColumns({n: F.col(f"`{c}`") for n, c in zip(names, by, strict=True)}).withColumn("__t", key)
+    placed = row_index(placed, [*map(F.col, names), F.col("__t")], PLACE).withColumn(HALO, F.lit(False))
+    placed = placed.withColumns(dict(zip(["__h0", "__h1"], _hashes(names), strict=True)))
+    # Rows without a time are each other's window: they stay together.
+    placed = placed.withColumn(BLOCK, F.when(F.col("__t").isNotNull(), F.floor(F.col(PLACE) / BLOCK_ROWS)).otherwise(-1))
+    groups = placed.where(F.col(BLOCK) >= 0).groupBy(BLOCK, "__h0", "__h1").agg(F.min(PLACE).alias("__from"), F.min("__t").alias("low"), F.max("__t").alias("high"))
+    edge = F.struct("__h0", "__h1", "low", "high")
+    ends = groups.groupBy(BLOCK).agg(F.min_by(edge, "__from").alias("first"), F.max_by(edge, "__from").alias("last")).orderBy(BLOCK).collect()  # one row for each block
+    group = lambda e: (e["__h0"], e["__h1"])
+    copies = []
+    for at, end in enumerate(ends):
+        for step, mine, theirs in ((-1, "first", "last"), (1, "last", "first")):
+            own, other = end[mine], at + step
+            while 0 <= other < len(ends) and group(ends[other][theirs]) == group(own):
+                far = ends[other][theirs]
+                before, after = far["high"] < own["low"] + low, far["low"] > own["high"] + high
+                if before if step < 0 else after:
+                    break  # blocks farther off are out of reach, too
+                if not (before or after):
+                    copies.append((ends[other][BLOCK], end[BLOCK], *group(own), own["low"] + low, own["high"] + high))
+                if group(ends[other]["first"]) != group(ends[other]["last"]):
+                    break
+                other += step
+    table = df.sparkSession.createDataFrame(copies, f"{BLOCK} long, __to long, __h0 long, __h1 long, __low long, __high long")
+    reached = F.col("__t").between(F.col("__low"), F.col("__high"))
+    halo = placed.join(F.broadcast(table), [BLOCK, "__h0", "__h1"]).where(reached).withColumns({BLOCK: F.col("__to"), HALO: F.lit(True)})
+    columns = [*[F.col(f"`{c}`") for c in df.columns], F.col(BLOCK), F.col(HALO)]
+    return placed.select(*columns).unionAll(halo.select(*columns))
 
 
 def unique(df: DataFrame, subset: Sequence[str] | None, keep: str, order: Sequence[Column]) -> DataFrame:
@@ -224,7 +287,7 @@ def group_places(df: DataFrame, keys: Sequence[Column], value: Column, order: Se
     return rows.groupBy(*own).agg(*[found.alias(n) for n in names])
 
 
-#: A group of rows with the same ``by`` values beyond this is cut into ranges of its key for an as-of join.
+#: A group of rows with the same ``by`` values beyond this is cut into blocks for an as-of join.
 ASOF_GROUP_ROWS = 1_000_000
 
 
@@ -243,9 +306,9 @@ def asof_join(
     or the first at or after it ("forward"); nulls where there is none, or none within ``tolerance``.
 
     Both sides are put in one table, sorted by key within ``by``, and each left row takes the last
-    right row seen.  If a group of ``by`` is large (without ``by``, all rows are one), groups are cut into
-    ranges of the key, so that no task holds a whole group: a left row that finds nothing in its
-    range takes what the nearest range before it ends with.
+    right row seen.  If a group of ``by`` is large (without ``by``, all rows are one), the sorted table is cut into
+    blocks of rows, so that no task holds a whole group however close its keys are: a left row that finds nothing in its
+    block takes what the group's blocks before it end with.
     """
     if strategy not in ("backward", "forward"):
         raise ValueError("strategy must be backward or forward")
@@ -263,18 +326,19 @@ def asof_join(
     both = side(left, left_on, by_left, 1, l_row, F.lit(None).cast(r_type)).unionByName(
         side(right.where(F.col(f"`{right_on}`").isNotNull()), right_on, by_right, 0, F.lit(None).cast(l_type), r_row)
     )
-    cuts = _cuts(both, keys)
-    number = _number(both)
-    range_ = functools.reduce(lambda acc, c: acc + F.coalesce((number > c).cast("int"), F.lit(0)), cuts, F.lit(0))
-    both = both.withColumn("__range", -range_ if forward else range_)
-    groups = [*keys, "__range"]
     order = [F.col("__key").desc() if forward else F.col("__key").asc(), F.col("__side").asc()]
+    large = largest_group(both, [F.col(k) for k in keys]) > ASOF_GROUP_ROWS
+    if large:
+        both = row_index(both, [*map(F.col, keys), *order], PLACE).withColumn(BLOCK, F.floor(F.col(PLACE) / ASOF_GROUP_ROWS))
+        order = [F.col(PLACE)]
+    groups = [*keys, BLOCK] if large else keys
     w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("__near", F.last("__r", ignorenulls=True).over(w)).where("__side = 1").drop("__r")
-    if cuts:
-        last = both.groupBy(*groups).agg((F.min_by if forward else F.max_by)("__r", F.when(F.col("__side") == 0, F.col("__key"))).alias("__last"))
-        before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-        edges = last.withColumn("__edge", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+    if large:
+        last = both.groupBy(*groups).agg(F.max_by("__r", F.when(F.col("__side") == 0, F.col(PLACE))).alias("__last"))
+        before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a group
+        edges = last.withColumn("__edge", F.last("__last", ignorenulls=True).over(before)).drop("__last").where("__edge is not null")
+        edges = materialise(edges, "asof-edges")  # a block has one group at most that goes on from another
         edges = edges.toDF(*[f"__e{c}" if c != "__edge" else c for c in edges.columns])
         same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__e{c}")) for c in groups])
         found = found.join(edges, same, "left").withColumn("__near", F.coalesce("__near", "__edge"))
@@ -287,18 +351,3 @@ def asof_join(
         within = within & (gap <= (F.expr(tolerance) if isinstance(tolerance, str) else F.lit(tolerance)))
     near = F.when(within, near)
     return found.select("__l.*", *[near[f"__r_{c}"].alias(rename[c]) for c in payload])
-
-
-def _number(both: DataFrame) -> Column:
-    dated = dict(both.dtypes)["__key"].startswith(("timestamp", "date"))
-    return (F.col("__key").cast("timestamp") if dated else F.col("__key")).cast("double")
-
-
-def _cuts(both: DataFrame, keys: Sequence[str]) -> list[float]:
-    """Bounds of key ranges of about equal numbers of rows, as many as the largest group needs."""
-    largest = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    ranges = min(1000, -(-largest // ASOF_GROUP_ROWS))
-    if ranges <= 1:
-        return []
-    found = both.agg(F.percentile_approx(_number(both), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    return sorted({float(x) for x in found or []})

@@ -212,3 +212,97 @@ def test_places_of_groups(spark):
         assert (got[k]["h"], got[k]["t"], got[k]["s"], got[k]["b"]) == (own[:3], own[-2:], own[1:5], own[-3:][:2])
         assert got[k]["x"] == [own[j] for j in (0, 5) if j < len(own)]
         assert got[k]["y"] == own[-1:]
+
+
+GROUPS = [("a", 40), ("b", 3), (None, 9), ("c", 1), ("d", 7)]
+
+
+@pytest.fixture
+def grouped(spark, monkeypatch):
+    """Groups of which some go on over several blocks of seven rows, and their rows in order."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 7)
+    rng, rows = random.Random(4), []
+    for k, n in GROUPS:
+        rows += [(len(rows) + i, k, None if rng.random() < 0.3 else float(rng.randrange(1, 9))) for i in range(n)]
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    ids = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: rng.random()))}  # ids do not follow the groups
+    mixed = [(ids[i], k, v) for i, k, v in mixed]
+    df = spark.createDataFrame(mixed, "id long, k string, v double").repartition(3)
+    groups = {k: sorted((i, v) for i, g, v in mixed if g == k) for k, _ in GROUPS}
+    return GuardSession(spark).send_df(df, Policy(TrueRule()), order_by=("id",)), groups
+
+
+def _by_group(grouped, e, want):
+    frame, groups = grouped
+    got = {r["id"]: r["x"] for r in frame.select("id", e.alias("x")).fetch().collect()}
+    assert len(got) == sum(map(len, groups.values()))
+    for rows in groups.values():
+        assert _close([got[i] for i, _ in rows], want([v for _, v in rows]))
+
+
+SEGMENTED = {
+    "cumsum": (v.cumsum(), lambda x: _so_far(x, sum)),
+    "cummax": (v.cummax(), lambda x: _so_far(x, max)),
+    "cumprod": (v.cumprod(), lambda x: _so_far(x, _product)),
+    "cumcount": (v.cumcount(), lambda x: list(range(len(x)))),
+    "shift": (v.shift(3), lambda x: [None] * min(3, len(x)) + x[:-3]),
+    "lead": (v.shift(-2), lambda x: (x[2:] + [None, None])[: len(x)]),
+    "rolling": (v.rolling_sum(4, 1), lambda x: [sum(w) if (w := [y for y in x[max(0, i - 3) : i + 1] if y is not None]) else None for i in range(len(x))]),
+    "forward": (v.forward_fill(), lambda x: [next((y for y in reversed(x[: i + 1]) if y is not None), None) for i in range(len(x))]),
+    "backward": (v.backward_fill(), lambda x: [next((y for y in x[i:] if y is not None), None) for i in range(len(x))]),
+    "ewm": (v.ewm_mean(0.3), lambda x: _ewm(x, 0.3, True)),
+    "sum": (v.sum(), lambda x: [sum(y for y in x if y is not None) if any(y is not None for y in x) else None] * len(x)),
+    "centred": (v - v.max(), lambda x: [None if y is None else y - max(z for z in x if z is not None) for y in x]),
+    "share of the sum so far": (v.cumsum() / v.sum(), lambda x: [None if s is None else s / sum(y for y in x if y is not None) for s in _so_far(x, sum)]),
+    "rank": (v.rank("min"), lambda x: [None if y is None else 1 + sum(z is not None and z < y for z in x) for y in x]),
+}
+
+
+@pytest.mark.parametrize("name", SEGMENTED)
+def test_large_groups(grouped, name):
+    e, want = SEGMENTED[name]
+    _by_group(grouped, e.over("k"), want)
+
+
+def test_several_passes_in_one_frame(grouped):
+    frame, groups = grouped
+    found = frame.select("id", v.cumsum().over("k").alias("a"), (v.cumsum().over(col("id") % 1) - v.sum().over("k")).alias("b"), v.cumcount().over("k").alias("c"), v.cumsum().alias("d"), v.mean().alias("m")).fetch().collect()
+    got = {r["id"]: r for r in found}
+    everything = [x for _, x in sorted(y for rows in groups.values() for y in rows)]
+    assert _close([got[i]["d"] for i in sorted(got)], _so_far(everything, sum))
+    for rows in groups.values():
+        total = sum(x for _, x in rows if x is not None)
+        assert _close([got[i]["a"] for i, _ in rows], _so_far([x for _, x in rows], sum)) and [got[i]["c"] for i, _ in rows] == list(range(len(rows)))
+        known = [(got[i]["b"], got[i]["d"]) for i, x in rows if x is not None]
+        assert all(abs(b - (d - total)) < 1e-9 for b, d in known)
+    kept = frame.filter(v.cumcount().over("k") < 2).fetch().collect()
+    assert sorted(r["id"] for r in kept) == sorted(i for rows in groups.values() for i, _ in rows[:2])
+
+
+def test_a_hot_group_is_spread(grouped):
+    """No window of the plan goes by the group alone, and the largest share of a task is a block and what is copied to it."""
+    frame, _ = grouped
+    plan = frame.select("id", v.cumsum().over("k").alias("x")).df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__block" in line for line in windows)
+
+
+@pytest.mark.parametrize("closed", ["right", "left", "both", "none"])
+@pytest.mark.parametrize("seconds", [1, 5, 60])
+def test_rolling_time_of_large_groups(spark, monkeypatch, closed, seconds):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(i, "hot" if rng.random() < 0.7 else rng.choice("ab"), None if rng.random() < 0.05 else rng.randrange(40), float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, v double").selectExpr("id", "k", "timestamp_seconds(s) AS ts", "v").repartition(3)
+    f = GuardSession(spark).send_df(df, Policy(TrueRule()), order_by=("id",))
+    got = f.groupby_rolling("ts", f"{seconds}s", closed=closed, by="k").agg(v.sum().alias("x"), count().alias("n")).fetch().collect()
+    left, right = closed in ("left", "both"), closed in ("right", "both")
+    want = []
+    for _, k, s, _ in rows:
+        if s is None:
+            inside = [x for _, g, t, x in rows if g == k and t is None]
+        else:
+            inside = [x for _, g, t, x in rows if g == k and t is not None and (s - seconds <= t if left else s - seconds < t) and (t <= s if right else t < s)]
+        want.append((k, s, sum(inside) if inside else None, len(inside)))
+    assert sorted(((r["k"], None if r["ts"] is None else int(r["ts"].timestamp()), r["x"], r["n"]) for r in got), key=repr) == sorted(want, key=repr)
