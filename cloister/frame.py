@@ -423,7 +423,7 @@ class GuardedFrame:
         return self._over_all(F.avg, (T.NumericType,), "mean")
 
     def median(self):
-        return self._over_all(F.median, (T.NumericType,), "median")
+        return self.quantile(0.5, "linear")
 
     def std(self, ddof: int = 1):
         return self._over_all(F.stddev_samp if ddof == 1 else F.stddev_pop, (T.NumericType,), "std")
@@ -432,19 +432,24 @@ class GuardedFrame:
         return self._over_all(F.var_samp if ddof == 1 else F.var_pop, (T.NumericType,), "var")
 
     def quantile(self, q: float, interpolation: str = "nearest"):
+        """Exact; ``nearest``, ``lower`` and ``higher`` keep the columns' types, other interpolations give doubles."""
         numeric = [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType)]
-        found = self.select(*[col(c).quantile(q, interpolation).cast(self.df.schema[c].dataType if interpolation in ("nearest", "lower", "higher") else "double").alias(c) for c in numeric]) if numeric else self.select(count())
-        out = [F.col(f"`{c}`") if c in numeric else F.lit(None).cast(self.df.schema[c].dataType).alias(c) for c in self.df.columns]
-        return self._with(found.df.select(*out), "quantile()", found.provenance, order=())
+        found = ordered.column_quantiles(self.df, numeric, q, interpolation)
+        keeps = interpolation in ("nearest", "lower", "higher")
+        out = [(F.col(f"`{f.name}`").cast(f.dataType) if keeps else F.col(f"`{f.name}`")).alias(f.name) if f.name in numeric else F.lit(None).cast(f.dataType).alias(f.name) for f in self.df.schema]
+        size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
+        return self._with(found.select(*out), "quantile()", lineage.aggregated(self.provenance, size), order=())
 
     def null_count(self):
         return self._over_all(lambda c: F.sum(c.isNull().cast("long")), (T.DataType,), "null_count")
 
     def describe(self) -> GuardedFrame:
-        """``describe`` and a column for each column: count (with nulls), null_count, mean, std, min, max, median,
-        from one aggregation.  Numeric columns give doubles; others give text, with their counts, min and max."""
+        """``describe`` and a column for each column: count (with nulls), null_count, mean, std, min, max from one
+        aggregation, and the median by rank, of all columns together.  Numeric columns give doubles; others give text, with their counts, min and max."""
         rows = ("count", "null_count", "mean", "std", "min", "max", "median")
-        of = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": F.median}
+        of = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        numbers = [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType)]
+        medians = ordered.column_quantiles(self.df, numbers, 0.5, "linear").toDF(*[f"__m{i}" for i in range(len(numbers))])
         aggs = []
         for f in self.df.schema:
             c = F.col(f"`{f.name}`")
@@ -452,9 +457,11 @@ class GuardedFrame:
             kind = "double" if numeric else "string"
             values = [F.count(F.lit(1)).cast(kind), F.sum(c.isNull().cast("long")).cast(kind)]
             ordered_ = not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-            values += [of[r](c).cast(kind) if numeric or (ordered_ and r in ("min", "max")) else F.lit(None).cast(kind) for r in rows[2:]]
+            values += [of[r](c).cast(kind) if numeric or (ordered_ and r in ("min", "max")) else F.lit(None).cast(kind) for r in rows[2:6]]
             aggs.append(F.array(*values).alias(f.name))
-        one = self.df.agg(*aggs).select(F.posexplode(F.array(*[F.lit(r) for r in rows])).alias("__i", "describe"), "*")
+        one = self.df.agg(*aggs).crossJoin(F.broadcast(medians))  # one row each
+        all_ = [F.concat(F.col(f"`{f.name}`"), F.array(F.col(f"__m{numbers.index(f.name)}") if f.name in numbers else F.lit(None).cast("string"))).alias(f.name) for f in self.df.schema]
+        one = one.select(*all_).select(F.posexplode(F.array(*[F.lit(r) for r in rows])).alias("__i", "describe"), "*")
         df = one.select("describe", *[F.element_at(F.col(f"`{c}`"), F.col("__i") + 1).alias(c) for c in self.df.columns])
         size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
         return self._with(df, "describe()", lineage.aggregated(self.provenance, size), order=())

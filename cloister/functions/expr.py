@@ -388,7 +388,7 @@ class Expr:
         return self.summary(F.avg)
 
     def median(self):
-        return self.agg(F.median)
+        return self.quantile(0.5, "linear")
 
     def std(self, ddof: int = 1):
         return self.summary(F.stddev_samp if ddof == 1 else F.stddev_pop)
@@ -402,7 +402,7 @@ class Expr:
 
         def build(c: Compile) -> Column:
             value = self.build(Compile("agg", c.order, current=c.current))
-            found = None if interpolation == "linear" else c.side(lambda df, keys, asked: ordered().group_quantiles(df, keys, value, asked), f"quantiles of {value}", q, interpolation)
+            found = c.side(lambda df, keys, asked: ordered().group_quantiles(df, keys, value, asked), f"quantiles of {value}", q, interpolation)
             return c.aggregate(quantile(value, q, interpolation)) if found is None else found
 
         return replace(self, build=build, aggregated=True)

@@ -270,10 +270,24 @@ def group_quantiles(df: DataFrame, keys: Sequence[Column], value: Column, asked:
     out = []
     for name, (q, interpolation) in asked.items():
         found = [F.min(F.when(F.col("__upto") > rank(F.col("__n")), F.col("__w"))).cast("double") for rank in ranks_of(q, interpolation)]
-        out.append((functools.reduce(lambda a, b: a + b, found) / len(found)).alias(name))
+        if interpolation == "linear":
+            place = (F.max("__n") - 1) * F.lit(float(q))
+            out.append((found[0] + (found[1] - found[0]) * (place - F.floor(place))).alias(name))
+        else:
+            out.append((functools.reduce(lambda a, b: a + b, found) / len(found)).alias(name))
     return counts.groupBy(*own).agg(*out)
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], q: float, interpolation: str) -> DataFrame:
+    """One row with the quantile of each column (numbers), all found in the same passes, as of groups."""
+    if not columns:
+        return df.sparkSession.range(1).select()
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])
+    rows = df.select(F.explode(pairs).alias("p")).select("p.i", "p.v")
+    found = group_quantiles(rows, [F.col("i")], F.col("v"), {"__q": (q, interpolation)})
+    return found.agg(*[F.max(F.when(F.col("__k0") == i, F.col("__q"))).alias(c) for i, c in enumerate(columns)])
+
+
 def group_places(df: DataFrame, keys: Sequence[Column], value: Column, order: Sequence[Column], low: int, high: int, backward: bool, names: Sequence[str]) -> DataFrame:
     """``__k0, ...`` and, under each of ``names``, the values at places ``low`` to ``high`` (from 1) of each group as a list of ``{n, v}`` in order; only rows up to
     ``high`` leave a task."""

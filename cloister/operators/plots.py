@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloister.functions.expr import col
+from cloister.operators.ordered import group_quantiles
 
 ESTIMATORS = ("mean", "count", "max", "min", "std", "sum", "median")
 
 
-def estimate(name: str, column: str):
-    found = {"mean": F.avg, "count": lambda c: F.count(F.lit(1)), "max": F.max, "min": F.min, "std": F.stddev_samp, "sum": F.sum, "median": F.median}
-    if name not in found:
+def estimates(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """``keys, value``: one estimate for each group, of all rows without keys."""
+    found = {"mean": F.avg, "count": lambda c: F.count(F.lit(1)), "max": F.max, "min": F.min, "std": F.stddev_samp, "sum": F.sum}
+    if name not in ESTIMATORS:
         raise ValueError(f"estimator must be one of {', '.join(ESTIMATORS)}")
-    return found[name](F.col(column))
+    if name != "median":
+        return df.groupBy(*keys).agg(found[name](F.col(column)).cast("double").alias("value"))
+    medians = group_quantiles(df, [F.col(k) for k in keys], F.col(column), {"value": (0.5, "linear")})
+    if not keys:
+        return df.limit(0).agg(F.count(F.lit(1))).select().join(medians, F.lit(True), "left")  # one row, also without values
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(medians, same, "left").select(*keys, "value")
 
 
 def known(df: DataFrame, *names: str | None) -> list[str]:
@@ -46,9 +55,9 @@ def bars(df: DataFrame, x: str | None = None, y: str | None = None, hue: str | N
     known(df, x, y, hue)
     if x is None or y is None:
         name = x or y
-        return df.where(F.col(name).isNotNull()).agg(estimate(estimator, name).cast("double").alias("value"))
+        return estimates(df.where(F.col(name).isNotNull()), [], name, estimator)
     keys = [x, *([hue] if hue else [])]
-    return df.groupBy(*keys).agg(estimate(estimator, y).cast("double").alias("value")).orderBy(*keys)
+    return estimates(df, keys, y, estimator).orderBy(*keys)
 
 
 def lines(df: DataFrame, x: str, y: str, hue: str | None = None, size: str | None = None, style: str | None = None, units: str | None = None) -> DataFrame:
@@ -86,7 +95,7 @@ def facet_counts(df: DataFrame, x: str, bins: float, col: str | None = None, row
 
 def facet_bars(df: DataFrame, x: str, y: str, estimator: str = "mean", col: str | None = None, row: str | None = None) -> DataFrame:
     keys = [*known(df, col, row), x]
-    return df.groupBy(*keys).agg(estimate(estimator, y).cast("double").alias("value")).orderBy(*keys)
+    return estimates(df, keys, y, estimator).orderBy(*keys)
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from cloister.functions.expr import all_columns, col, count, java_pattern, lit, when
@@ -396,3 +397,28 @@ def test_dynamic_windows_by_hand(session):
     for wrong in ({"closed": "up"}, {"period": "-1d"}):
         with pytest.raises(ValueError):
             f.groupby_dynamic("t", "1d", **wrong)
+
+
+def test_medians_by_rank(spark):
+    """Medians and linear quantiles of groups, columns and plots, without any task that holds a group's values."""
+    import statistics
+
+    rows = [(i % 3, float((i * 37) % 101) if i % 5 else None, i if i % 7 else None, "x") for i in range(100)] + [(7, None, None, "y")]
+    f = GuardSession(spark).send_df(spark.createDataFrame(rows, "k int, a double, b int, s string"), Policy(TrueRule()))
+    of = lambda column, k=None: [r[column] for r in rows if r[column] is not None and k in (None, r[0])]
+    got = f.median().fetch().first()
+    assert (got["a"], got["b"], got["s"]) == (statistics.median(of(1)), statistics.median(of(2)), None)
+    assert f.quantile(0.3, "linear").fetch().first()["a"] == pytest.approx(np.quantile(of(1), 0.3))
+    assert f.quantile(0.3, "higher").fetch().first()["b"] == np.quantile(of(2), 0.3, method="higher")
+    described = {r["describe"]: r for r in f.describe().fetch().collect()}
+    assert described["median"]["a"] == statistics.median(of(1)) and described["median"]["s"] is None and described["max"]["s"] == "y"
+    by = {r["k"]: (r["m"], r["q"]) for r in f.groupby("k").agg(col("a").median().alias("m"), col("a").quantile(0.9, "linear").alias("q")).fetch().collect()}
+    assert by[7] == (None, None) and all(by[k] == (statistics.median(of(1, k)), pytest.approx(np.quantile(of(1, k), 0.9))) for k in range(3))
+    bars = {r["k"]: r["value"] for r in f.barplot("k", "a", estimator="median").fetch().collect()}
+    assert bars == {k: m for k, (m, _) in by.items()}
+    assert f.barplot(y="a", estimator="median").fetch().first()["value"] == statistics.median(of(1))
+    none = f.filter(col("k") > 99)
+    assert none.median().fetch().first()["a"] is None and none.barplot(y="a", estimator="median").fetch().first()["value"] is None
+    for frame in (f.median(), f.describe(), f.groupby("k").agg(col("a").median()), f.barplot("k", "a", estimator="median")):
+        plan = frame.df._jdf.queryExecution().optimizedPlan().toString()
+        assert "median(" not in plan and "percentile(" not in plan
