@@ -178,11 +178,18 @@ class GuardedFrame:
             context = Compile("agg", self._order_keys(), sides=[])
             columns = [e.build(context).alias(e.name) for e in exprs]
             df = ordered.with_sides(self.df, [], context.sides).agg(*columns)
-            size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
-            return self._with(df, step, lineage.aggregated(self.provenance, size), sensitive, ())
+            return self._with(df, step, self._credited(exprs, self._all_rows()), sensitive, ())
         df, columns = self._rows(exprs)
         return self._with(df.select(*[c.alias(e.name) for c, e in zip(columns, exprs, strict=True)]), step, blacklist=sensitive)
 
+    def _all_rows(self) -> Callable[[], float]:
+        """What an aggregate of all rows stands for: their number, or without ``strict`` any number."""
+        return (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
+
+    def _credited(self, exprs: Sequence[Expr], size: Callable[[], float]) -> lineage.Provenance:
+        """Provenance of aggregates over groups of ``size()`` rows; in a ``strict`` session values of single rows make it that of rows."""
+        return self.provenance if self.session.strict and any(e.raw for e in exprs) else lineage.aggregated(self.provenance, size)
+
     def with_columns(self, *values) -> GuardedFrame:
         exprs = self._exprs(values)
         df, columns = self._rows(exprs)
@@ -407,8 +414,7 @@ class GuardedFrame:
 
     def _over_all(self, f: Callable[[Column], Column], kinds: tuple[type, ...], step: str) -> GuardedFrame:
         out = [f(F.col(f"`{c.name}`")).alias(c.name) if isinstance(c.dataType, kinds) else F.lit(None).cast(c.dataType).alias(c.name) for c in self.df.schema]
-        size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
-        return self._with(self.df.agg(*out), f"{step}()", lineage.aggregated(self.provenance, size), order=())
+        return self._with(self.df.agg(*out), f"{step}()", lineage.aggregated(self.provenance, self._all_rows()), order=())
 
     def sum(self):
         return self._over_all(F.sum, (T.NumericType,), "sum")
@@ -437,8 +443,7 @@ class GuardedFrame:
         found = ordered.column_quantiles(self.df, numeric, q, interpolation)
         keeps = interpolation in ("nearest", "lower", "higher")
         out = [(F.col(f"`{f.name}`").cast(f.dataType) if keeps else F.col(f"`{f.name}`")).alias(f.name) if f.name in numeric else F.lit(None).cast(f.dataType).alias(f.name) for f in self.df.schema]
-        size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
-        return self._with(found.select(*out), "quantile()", lineage.aggregated(self.provenance, size), order=())
+        return self._with(found.select(*out), "quantile()", lineage.aggregated(self.provenance, self._all_rows()), order=())
 
     def null_count(self):
         return self._over_all(lambda c: F.sum(c.isNull().cast("long")), (T.DataType,), "null_count")
@@ -463,8 +468,7 @@ class GuardedFrame:
         all_ = [F.concat(F.col(f"`{f.name}`"), F.array(F.col(f"__m{numbers.index(f.name)}") if f.name in numbers else F.lit(None).cast("string"))).alias(f.name) for f in self.df.schema]
         one = one.select(*all_).select(F.posexplode(F.array(*[F.lit(r) for r in rows])).alias("__i", "describe"), "*")
         df = one.select("describe", *[F.element_at(F.col(f"`{c}`"), F.col("__i") + 1).alias(c) for c in self.df.columns])
-        size = (lambda: self.df.count()) if self.session.strict else (lambda: math.inf)
-        return self._with(df, "describe()", lineage.aggregated(self.provenance, size), order=())
+        return self._with(df, "describe()", lineage.aggregated(self.provenance, self._all_rows()), order=())
 
     def partition_by(self, column: str) -> dict:
         """A frame for each value of a column of few values."""
@@ -577,7 +581,7 @@ class GuardedFrame:
         sensitive = self.blacklist | {new for new, source in (shows or {}).items() if source in self.blacklist}
         if keys is None:
             return self._with(df, step, blacklist=sensitive, order=())
-        size = (lambda: lineage.smallest_group(self.df, keys)) if keys else (lambda: math.inf)
+        size = (lambda: lineage.smallest_group(self.df, keys)) if keys else self._all_rows()
         return self._with(df, step, lineage.aggregated(self.provenance, size), sensitive, ())
 
     def histplot(self, x: str, y: str | None = None, bins: float = 10) -> GuardedFrame:
@@ -649,7 +653,7 @@ class GuardedGroup:
         df = ordered.with_sides(frame.df, self._key_columns(), context.sides).groupBy(*self._key_columns()).agg(*[c.alias(e.name) for c, e in zip(columns, exprs, strict=True)])
         provenance = frame.provenance
         if all(e.aggregated for e in exprs):
-            provenance = lineage.aggregated(provenance, lambda: lineage.smallest_group(frame.df, self._key_columns()))
+            provenance = frame._credited(exprs, lambda: lineage.smallest_group(frame.df, self._key_columns()))
         sensitive = frame._sensitive([*self.keys, *exprs], frozenset())
         return frame._with(df, f"groupby({', '.join(k.name for k in self.keys)}).agg({', '.join(e.name for e in exprs)})", provenance, sensitive, ())
 
@@ -721,7 +725,7 @@ class GuardedRolling:
             return counts.where("__own").agg(F.min("n")).first()[0] or 0
 
         sensitive = frame._sensitive([*map(col, self.by), *exprs], frozenset())
-        return frame._with(df, "groupby_rolling().agg()", lineage.aggregated(frame.provenance, size), sensitive, ())
+        return frame._with(df, "groupby_rolling().agg()", frame._credited(exprs, size), sensitive, ())
 
 
 __all__ = ["Facet", "GuardedDynamic", "GuardedFrame", "GuardedGroup", "GuardedRolling"]

@@ -202,6 +202,7 @@ class Expr:
     placed: bool = False  # needs the places of rows
     table: Callable | None = None  # a function of the frame, for what is a table of its own
     shown: tuple[str, ...] = ()  # columns whose values the result may show; counts, sums, means and deviations show none
+    raw: bool = False  # an aggregate that holds the value of a single row
 
     # Naming.
 
@@ -245,7 +246,7 @@ class Expr:
         other = lift(other)
         named = self if self.roots else other
         shown = (*self.shown, *other.shown)
-        return Expr(lambda c: f(self.build(c), other.build(c)), named.name, self.aggregated and other.aggregated, (*self.roots, *other.roots), self.columns, self.suffix_, shown=shown)
+        return Expr(lambda c: f(self.build(c), other.build(c)), named.name, self.aggregated and other.aggregated, (*self.roots, *other.roots), self.columns, self.suffix_, shown=shown, raw=self.raw or other.raw)
 
     def __add__(self, o):
         return self._binary(o, lambda a, b: a + b)
@@ -422,7 +423,7 @@ class Expr:
         return self.summary(lambda a: F.sum(a.isNull().cast("long")))
 
     def list(self):
-        return self.agg(F.collect_list)
+        return replace(self.agg(F.collect_list), raw=True)
 
     def _ordered_pick(self, pick):
         def build(c: Compile) -> Column:
@@ -430,7 +431,7 @@ class Expr:
                 raise ValueError("first and last need an order of rows: give the frame an order (order_by=...)")
             return c.aggregate(pick(F.struct(self.build(Compile("agg", current=c.current)).alias("v")), F.struct(*c.order))["v"])
 
-        return replace(self, build=build, aggregated=True)
+        return replace(self, build=build, aggregated=True, raw=True)
 
     def first(self):
         return self._ordered_pick(F.min_by)
@@ -462,7 +463,7 @@ class Expr:
         return self._arg(F.min_by)
 
     def _arg(self, pick):
-        return replace(self, build=lambda c: c.aggregate(pick(c.order[0], self.build(Compile("agg", current=c.current)))), aggregated=True, shown=(*self.shown, ORDER))
+        return replace(self, build=lambda c: c.aggregate(pick(c.order[0], self.build(Compile("agg", current=c.current)))), aggregated=True, shown=(*self.shown, ORDER), raw=True)
 
     def filter(self, predicate: Expr):
         """Null where the predicate does not hold, so that an aggregate above skips the row."""
@@ -847,6 +848,7 @@ class StringNamespace:
             self.e,
             build=lambda c: c.aggregate(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c.order, self.e.build(Compile("agg", current=c.current)).alias("__v")))), lambda s: s["__v"]), delimiter)),
             aggregated=True,
+            raw=True,
         )
 
     def ljust(self, width: int, fill: str = " "):
@@ -1142,7 +1144,7 @@ class When:
             out = functools.reduce(lambda acc, case: acc.when(case[0].build(c), case[1].build(c)), self.cases[1:], F.when(self.cases[0][0].build(c), self.cases[0][1].build(c)))
             return out.otherwise(value.build(c))
 
-        return Expr(build, self.cases[0][1].name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots), shown=tuple(r for p in parts for r in p.shown))
+        return Expr(build, self.cases[0][1].name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots), shown=tuple(r for p in parts for r in p.shown), raw=any(p.raw for p in parts))
 
 
 def when(condition: Expr) -> When:
@@ -1150,7 +1152,7 @@ def when(condition: Expr) -> When:
 
 
 def _all(parts: Sequence[Expr], f: Callable[..., Column], name: str) -> Expr:
-    return Expr(lambda c: f(*[p.build(c) for p in parts]), name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots), shown=tuple(r for p in parts for r in p.shown))
+    return Expr(lambda c: f(*[p.build(c) for p in parts]), name, all(p.aggregated for p in parts), tuple(r for p in parts for r in p.roots), shown=tuple(r for p in parts for r in p.shown), raw=any(p.raw for p in parts))
 
 
 def concat_str(parts: Sequence, separator: str = "") -> Expr:

@@ -1012,14 +1012,33 @@ def review_queue(t):
     return spark.createDataFrame(rows, "name string, state string, rows long")
 
 
-@query("SELECT 'union' AS name, (SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus))::DOUBLE AS agg_size, 1.0::DOUBLE AS join_scaling UNION ALL SELECT 'filter', 1, 1 UNION ALL SELECT 'global', 'Infinity'::DOUBLE, 1")
+_SMALLEST = "(SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus))::DOUBLE"
+_ROWS = "(SELECT count(*) FROM lineitem)::DOUBLE"
+
+
+@query(
+    f"""SELECT mode, name, CASE name WHEN 'union' THEN {_SMALLEST} WHEN 'filter' THEN 1 WHEN 'global' THEN CASE mode WHEN 'strict' THEN {_ROWS} ELSE 'Infinity'::DOUBLE END WHEN 'one row' THEN CASE mode WHEN 'strict' THEN 1 ELSE 'Infinity'::DOUBLE END
+        ELSE CASE mode WHEN 'strict' THEN 1 ELSE {_SMALLEST} END END AS agg_size, 1.0::DOUBLE AS join_scaling
+    FROM (SELECT unnest(['strict', 'compatible']) AS mode), (SELECT unnest(['union', 'filter', 'global', 'one row', 'list', 'first', 'sql list']) AS name)"""
+)
 def guard_merged_stats(t):
-    """Statistics of a union are the weaker of both sides'; row-wise operators leave them; a global aggregate is unbounded."""
-    f = t("lineitem")
-    coarse, fine = (f.groupby(*keys).agg(col("l_tax").mean().alias("m")).select("m") for keys in (["l_returnflag"], ["l_returnflag", "l_linestatus"]))
-    found = [("union", coarse.vstack(fine)), ("filter", f.filter(col("l_tax") > 0.01).sort("l_tax").limit(9)), ("global", f.select(col("l_tax").mean()))]
-    rows = [(n, float(s.agg_size), float(s.join_scaling)) for n, x in found for s in x.provenance().values()]
-    return t.session.spark.createDataFrame(rows, "name string, agg_size double, join_scaling double")
+    """Statistics of a union are the weaker of both sides'; row-wise operators leave them. A global aggregate stands for the rows that it reads, and
+    lists and first values for one row; in the compatible mode the former is unbounded and the latter stand for their group."""
+    from cloister.plans.sql import sql
+
+    spark, rows = t.session.spark, []
+    for mode in ("strict", "compatible"):
+        session = GuardSession(spark, strict=mode == "strict")
+        f = session.send_df(spark.read.parquet(f"{t.sf_dir}/lineitem.parquet"), OPEN, order_by=("l_orderkey",))
+        coarse, fine = (f.groupby(*keys).agg(col("l_tax").mean().alias("m")).select("m") for keys in (["l_returnflag"], ["l_returnflag", "l_linestatus"]))
+        groups = f.groupby("l_returnflag", "l_linestatus")
+        found = {
+            "union": coarse.vstack(fine), "filter": f.filter(col("l_tax") > 0.01).sort("l_tax").limit(9), "global": f.select(col("l_tax").mean()), "one row": f.limit(1).select(col("l_tax").mean()),
+            "list": groups.agg(col("l_tax").list()), "first": groups.agg(col("l_tax").mean().alias("m"), (col("l_tax").first() + 1).alias("f")),
+            "sql list": sql("SELECT l_returnflag, l_linestatus, size(collect_list(l_tax)) AS n FROM {} GROUP BY l_returnflag, l_linestatus", f),
+        }
+        rows += [(mode, n, float(s.agg_size), float(s.join_scaling)) for n, x in found.items() for s in x.provenance().values()]
+    return spark.createDataFrame(rows, "mode string, name string, agg_size double, join_scaling double")
 
 
 @query("SELECT 'a' AS name, (SELECT count(*) FROM part WHERE p_size > 20) AS rows, true AS listed UNION ALL SELECT 'b', (SELECT count(*) FROM nation), false")

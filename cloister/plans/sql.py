@@ -170,6 +170,14 @@ def _outputs(plan) -> dict[str, str]:
 SUMMARIES = {"count", "count_if", "approx_count_distinct", "sum", "try_sum", "avg", "try_avg", "mean", "std", "stddev", "stddev_samp", "stddev_pop", "variance", "var_samp", "var_pop", "skewness", "kurtosis", "corr", "covar_pop", "covar_samp"}
 
 
+#: Aggregates that hold values of single rows.
+RAW = {"first", "first_value", "last", "last_value", "any_value", "nth_value", "collect_list", "collect_set", "array_agg", "max_by", "min_by", "listagg", "string_agg", "histogram_numeric", "approx_top_k", "count_min_sketch"}
+
+
+def _raw(e) -> bool:
+    return (e.getClass().getSimpleName() == "AggregateExpression" and e.aggregateFunction().prettyName() in RAW) or any(map(_raw, _sequence(e.children())))
+
+
 def _sequence(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
@@ -285,6 +293,8 @@ def _provenance(df: DataFrame, frames: list[GuardedFrame], strict: bool) -> dict
         if name == "Aggregate":
             keys = [plan.groupingExpressions().apply(i).toString() for i in range(plan.groupingExpressions().size())]
             inner = frame(children[0])
+            if strict and any(map(_raw, _sequence(plan.aggregateExpressions()))):
+                return found[0]
             if not keys:
                 return times(found[0], inner.count() if strict else math.inf)
             ids = _outputs(children[0])

@@ -49,14 +49,17 @@ class Artifact:
 @dataclass
 class GuardSession:
     """Entry point.  ``reviewer`` answers review requests at once and denies by default; with a folder ``reviews`` they wait there instead for
-    an owner's answer, from any session.  ``store`` is the folder of saved tables."""
+    an owner's answer, from any session.  ``store`` is the folder of saved tables.
+
+    An aggregate of all rows stands for as many rows as there are, and one that holds the values of single rows (lists, first and last ones) for
+    one.  ``strict=False`` is the compatible mode, in which the former stands for any number of rows and the latter for its group."""
 
     spark: SparkSession
     user: str | None = None
     is_owner: bool = True
     reviewer: Callable[[ReviewRequest], bool] = lambda request: False
     store: str | None = None
-    strict: bool = False
+    strict: bool = True
     reviews: str | None = None
     catalogue: dict[str, Artifact] = field(default_factory=dict)
     events: list[dict] = field(default_factory=list)
