@@ -14,14 +14,19 @@ BROADCAST_IDS = 1_000_000
 #: Rows of texts that a Python worker gets at once, unless the session sets another number.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch, likewise; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def texts(docs: DataFrame, doc_id: str | None, text: str) -> DataFrame:
     """``doc_id`` as a long and ``text`` of a table, for Python workers.
 
-    Sets the session's Arrow batch to ``BATCH_ROWS`` rows if it is Spark's own default, so that a worker's memory does
-    not depend on how long ten thousand texts are.
+    Sets the session's Arrow batch to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes where they are Spark's own defaults, so that
+    a worker's memory does not depend on how long ten thousand texts are.
     """
+    if docs.sparkSession.conf.get(_BYTES) == "67108864b":
+        docs.sparkSession.conf.set(_BYTES, str(BATCH_BYTES))
     if docs.sparkSession.conf.get(_BATCH) == "10000":
         docs.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     ids = [] if doc_id is None else [F.col(doc_id).cast("long").alias("doc_id")]
