@@ -18,6 +18,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scans
+
 
 #: Stands for the frame's order columns among the columns that an expression shows, and for each selected column.
 ORDER, EACH = "<order>", "<each>"
@@ -74,9 +76,9 @@ class Compile:
     def groups(self) -> tuple[Column, ...]:
         return (F.col(BLOCK), *self.partition) if self.by_blocks else self.partition
 
-    def pass_of(self, keys: tuple[Column, ...]) -> Pass | None:
+    def pass_of(self, keys: tuple[Column, ...], always: bool = False) -> Pass | None:
         """The pass for windows over groups of these keys; None where a window of Spark's will do."""
-        if self.passes is None or self.inside is not None or not self.large(keys):
+        if self.passes is None or self.inside is not None or not (always or self.large(keys)):
             return None
         found = next((p for p in self.passes if list(map(str, p.keys)) == list(map(str, keys))), None)
         if found is None:
@@ -134,6 +136,12 @@ class Whole:
     carries: list[tuple[str, Column, Callable, bool]] = field(default_factory=list)
     ranks: list[tuple[str, Column, bool]] = field(default_factory=list)
     places: list[tuple[str, list[Column]]] = field(default_factory=list)
+    scans: list[tuple[str, Column, scans.Scan]] = field(default_factory=list)
+
+    def scan(self, value: Column, run: scans.Scan) -> Column:
+        """A function in Python of a block's values in order."""
+        self.scans.append((f"__scan{len(self.scans)}", value, run))
+        return F.col(self.scans[-1][0])
 
     def carry(self, of_block: Column, fold: Callable, backward: bool = False) -> Column:
         """``fold(state, value)`` of a block aggregate over the blocks before this one; null before the first."""
@@ -203,6 +211,7 @@ class Expr:
     table: Callable | None = None  # a function of the frame, for what is a table of its own
     shown: tuple[str, ...] = ()  # columns whose values the result may show; counts, sums, means and deviations show none
     raw: bool = False  # an aggregate that holds the value of a single row
+    scanned: bool = False  # goes by blocks also over small groups
 
     # Naming.
 
@@ -246,7 +255,7 @@ class Expr:
         other = lift(other)
         named = self if self.roots else other
         shown = (*self.shown, *other.shown)
-        return Expr(lambda c: f(self.build(c), other.build(c)), named.name, self.aggregated and other.aggregated, (*self.roots, *other.roots), self.columns, self.suffix_, shown=shown, raw=self.raw or other.raw)
+        return Expr(lambda c: f(self.build(c), other.build(c)), named.name, self.aggregated and other.aggregated, (*self.roots, *other.roots), self.columns, self.suffix_, shown=shown, raw=self.raw or other.raw, scanned=self.scanned or other.scanned)
 
     def __add__(self, o):
         return self._binary(o, lambda a, b: a + b)
@@ -531,7 +540,7 @@ class Expr:
 
         def build(c: Compile) -> Column:
             by = tuple(k.build(c) for k in keys)
-            own = c.pass_of(by)
+            own = c.pass_of(by, self.scanned)
             if own is None:
                 return self.build(replace(c, windowed=True, partition=by))
             inner = replace(c, windowed=True, partition=tuple(map(F.col, own.names)), whole=own.whole, prepared=own.prepared, inside=own)
@@ -616,7 +625,36 @@ class Expr:
         return self.rolling_quantile(0.5, size, "linear", min_periods)
 
     def rolling_quantile(self, q, size, interpolation="nearest", min_periods=None):
-        return self._rolling(lambda a: F.collect_list(a), size, min_periods).map(lambda values: quantile_of(F.array_sort(values), q, interpolation))
+        """Short windows are sorted for each row; in longer ones an ordered window moves along a block of rows."""
+        ranks_of(q, interpolation)
+        value = self.cast("double")
+        if size <= scans.SHORT_WINDOW:
+            return value._rolling(lambda a: F.collect_list(a), size, min_periods).map(lambda values: quantile_of(F.array_sort(values), q, interpolation))
+        run = scans.SlidingQuantile(size, size if min_periods is None else min_periods, q, interpolation)
+
+        def build(c: Compile) -> Column:
+            c.ordered()
+            if not c.by_blocks:
+                raise ValueError(f"quantiles of more than {scans.SHORT_WINDOW} rows are columns of a frame of rows")
+            c.whole.before = max(c.whole.before, size - 1)
+            return c.whole.scan(value.build(c), run)
+
+        return replace(value, build=build, scanned=True)
+
+    def cumulative_fold(self, start, step: Callable, merge: Callable, finish: Callable = lambda state: state, dtype: str = "double"):
+        """``finish`` of a running state: ``step(state, value)`` for each known value so far, from ``start``.
+
+        ``merge(a, b)`` is the state after the values of both, ``start`` its neutral element; so blocks are folded side by side, each row is
+        looked at twice, and a state for each block passes the driver.  States are Python values of bounded size; steps may change their argument only if they return it.
+        """
+
+        def build(c: Compile) -> Column:
+            c.ordered()
+            if not c.by_blocks:
+                raise ValueError("a fold is a column of a frame of rows")
+            return c.whole.scan(self.build(c), scans.Fold(start, step, merge, finish, dtype))
+
+        return replace(self, build=build, scanned=True)
 
     def ewm_mean(self, alpha: float, adjust: bool = True):
         """Exponentially weighted mean over the known values so far."""
@@ -656,7 +694,7 @@ class Expr:
         return replace(self, build=build)
 
     def cumulative_eval(self, f: Callable[[Column], Column]):
-        """``f`` of the list of values so far, for partitions of moderate size."""
+        """``f`` of the list of values so far, for small partitions: the work grows with the square of their size.  See ``cumulative_fold``."""
         return replace(self, build=lambda c: f(F.collect_list(self.build(c)).over(replace(c, whole=None).ordered().rowsBetween(Window.unboundedPreceding, 0))))
 
     def ewm_var(self, alpha: float):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloister.functions.expr import BLOCK, HALO, PLACE, Pass, Side, Whole, ranks_of
+from cloister.functions.scans import Scan
 from cloister.sources.scratch import materialise
 
 
@@ -82,9 +83,36 @@ def in_blocks(df: DataFrame, whole: Whole, prepared: Sequence[tuple[str, Column]
     df = df.withColumn(HALO, F.col(BLOCK) != own)
     for name, column in prepared:
         df = df.withColumn(name, column)
+    for name, value, run in whole.scans:
+        df = _scanned(df, name, value, run, by)
     return df if not whole.carries else _carried(df, whole, by)
 
 
+def _scanned(df: DataFrame, name: str, value: Column, run: Scan, by: Sequence[str]) -> DataFrame:
+    """A function in Python of each segment's values in order, joined to the rows by their place.  Only places and values go to Python.
+
+    What a fold carries from block to block is found first: a state for each segment, of which one for each block passes the driver."""
+    hashes = dict(zip(["__h0", "__h1"], _hashes(by), strict=True))
+    narrow = materialise(df.withColumns(hashes).select(BLOCK, "__h0", "__h1", PLACE, HALO, value.alias("__v")), "scan-values")
+    if run.carries:
+        totals = narrow.groupBy(BLOCK, "__h0", "__h1").applyInArrow(lambda segment: run.totals(segment), f"{BLOCK} long, __h0 long, __h1 long, __from long, __state binary")
+        edge = F.struct("__h0", "__h1", "__state")
+        found = totals.groupBy(BLOCK).agg(F.min_by(edge, "__from").alias("first"), F.max_by(edge, "__from").alias("last")).orderBy(BLOCK).collect()  # one row for each block
+        table, group, state = [], None, None
+        for row in found:
+            first, last = row["first"], row["last"]
+            key = (first["__h0"], first["__h1"])
+            before = state if key == group else None
+            if before is not None:
+                table.append((row[BLOCK], *key, before))
+            group = (last["__h0"], last["__h1"])
+            state = run.merged(before if group == key else None, last["__state"])
+        carried = df.sparkSession.createDataFrame(table, f"{BLOCK} long, __h0 long, __h1 long, __state binary")
+        narrow = narrow.join(F.broadcast(carried), [BLOCK, "__h0", "__h1"], "left")
+    out = narrow.groupBy(BLOCK, "__h0", "__h1").applyInArrow(lambda segment: run.rows(segment), f"{PLACE} long, __out {run.dtype}")
+    return df.join(out.withColumnRenamed("__out", name), PLACE, "left")
+
+
 def _hashes(by: Sequence[str]) -> list[Column]:
     """Two hashes that tell groups apart; null differs from other values."""
     parts = [c for k in by for c in (F.col(k).isNull(), F.col(k))]

@@ -597,6 +597,40 @@ def cumulative_eval(t):
     return t("events", "event_id").select("event_id", col("value").cumulative_eval(lambda a: F.array_max(a) - F.array_min(a)).over("user_id").alias("spread"))
 
 
+_LINES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+_BY_LINE = f"ORDER BY {', '.join(_LINES)}"
+
+
+@query(
+    f"""SELECT {', '.join(_LINES)}, round(quantile_cont(l_extendedprice, 0.5) OVER w, 4) AS med, CASE WHEN count(*) OVER w >= 5000 THEN round(quantile_cont(l_quantity, 0.9) OVER w, 4) END AS high
+    FROM lineitem WINDOW w AS ({_BY_LINE} ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW)"""
+)
+def rolling_long(t):
+    """Medians and quantiles of the last 10,000 rows: an ordered window that slides along blocks of rows."""
+    price, quantity = col("l_extendedprice"), col("l_quantity")
+    return t("lineitem", *_LINES).select(*_LINES, r(price.rolling_median(10_000, 1)).alias("med"), r(quantity.rolling_quantile(0.9, 10_000, "linear", 5000)).alias("high"))
+
+
+@query(
+    f"""WITH p AS (SELECT *, max(l_extendedprice) OVER w - l_extendedprice AS fall, max(l_extendedprice) OVER f - l_extendedprice AS own FROM lineitem
+        WINDOW w AS ({_BY_LINE} ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY l_returnflag {_BY_LINE} ROWS UNBOUNDED PRECEDING))
+    SELECT {', '.join(_LINES)}, round(max(fall) OVER w, 4) AS fall, round(max(own) OVER f, 4) AS own FROM p WINDOW w AS ({_BY_LINE} ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY l_returnflag {_BY_LINE} ROWS UNBOUNDED PRECEDING)"""
+)
+def cumulative_fold(t):
+    """The largest fall of the price from an earlier peak so far, over all rows and within groups: a state (peak, lowest, fall) that merges over blocks."""
+
+    def step(state, x):
+        peak, low, fall = state
+        peak = max(peak, x)
+        return peak, min(low, x), max(fall, peak - x)
+
+    def merge(a, b):
+        return max(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2], a[0] - b[1])
+
+    fall = col("l_extendedprice").cumulative_fold((float("-inf"), float("inf"), 0.0), step, merge, lambda state: state[2])
+    return t("lineitem", *_LINES).select(*_LINES, r(fall).alias("fall"), r(fall.over("l_returnflag")).alias("own"))
+
+
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 2, 6)) AS twice FROM embeddings")
 def list_eval(t):
     return t("embeddings").select("vec_id", col("embedding").arr.eval(lambda x: F.round(x.cast("double") * 2, 6)).alias("twice"))

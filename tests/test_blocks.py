@@ -306,3 +306,49 @@ def test_rolling_time_of_large_groups(spark, monkeypatch, closed, seconds):
             inside = [x for _, g, t, x in rows if g == k and t is not None and (s - seconds <= t if left else s - seconds < t) and (t <= s if right else t < s)]
         want.append((k, s, sum(inside) if inside else None, len(inside)))
     assert sorted(((r["k"], None if r["ts"] is None else int(r["ts"].timestamp()), r["x"], r["n"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("interpolation", ["nearest", "lower", "higher", "midpoint", "linear"])
+def test_long_rolling_quantiles(frame, values, grouped, monkeypatch, interpolation):
+    import numpy as np
+
+    from cloister.functions import scans
+
+    monkeypatch.setattr(scans, "SHORT_WINDOW", 4)
+    for size, least in ((5, 2), (20, 5), (90, 1)):
+        def want(x, size=size, least=least):
+            windows = [[y for y in x[max(0, i - size + 1) : i + 1] if y is not None] for i in range(len(x))]
+            return [float(np.quantile(w, 0.4, method=interpolation if interpolation != "nearest" else "linear")) if len(w) >= least and interpolation != "nearest" else sorted(w)[int((len(w) - 1) * 0.4 + 0.5)] if len(w) >= least else None for w in windows]
+
+        assert _close(_got(frame, v.rolling_quantile(0.4, size, interpolation, least)), want(values))
+        _by_group(grouped, (v.rolling_quantile(0.4, size, interpolation, least) * 1).over("k"), want)
+    assert _close(_got(frame, v.rolling_median(7, 3)), [float(np.median(w)) if len(w := [y for y in values[max(0, i - 6) : i + 1] if y is not None]) > 2 else None for i in range(N)])
+
+
+def test_sliding_window_with_nan():
+    import pyarrow as pa
+
+    from cloister.functions.scans import SlidingQuantile
+
+    rows = pa.table({"__ord": range(6), "__halo": [True, False, False, False, False, False], "__v": [1.0, float("nan"), 2.0, None, 0.0, 5.0]})
+    got = SlidingQuantile(3, 1, 1.0, "lower").rows(rows)["__out"].to_pylist()
+    assert [repr(x) for x in got] == ["nan", "nan", "nan", "2.0", "5.0"]
+
+
+def _distinct():
+    return dict(start={}, step=lambda s, x: {**s, x: s.get(x, 0) + 1}, merge=lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {**a, **b}}, finish=len, dtype="long")
+
+
+def test_folds_merge_over_blocks(frame, values, grouped):
+    """The number of distinct values so far, and the longest run of increases, whose states are no numbers."""
+    def distinct(x):
+        return [len({y for y in x[: i + 1] if y is not None}) for i in range(len(x))]
+
+    assert _got(frame, v.cumulative_fold(**_distinct())) == distinct(values)
+    _by_group(grouped, v.cumulative_fold(**_distinct()).over("k"), distinct)
+    last = v.cumulative_fold(None, lambda s, x: x, lambda a, b: a if b is None else b)
+    assert _close(_got(frame, last), [next((x for x in reversed(values[: i + 1]) if x is not None), None) for i in range(N)])
+    mixed = {r["id"]: (r["a"], r["b"]) for r in frame.select("id", (v.cumulative_fold(**_distinct()) + v.cumcount()).alias("a"), v.cumsum().alias("b")).fetch().collect()}
+    assert [mixed[i][0] for i in range(N)] == [a + i for i, a in enumerate(distinct(values))] and _close([mixed[i][1] for i in range(N)], _so_far(values, sum))
+    with pytest.raises(ValueError, match="frame of rows"):
+        frame.groupby("id").agg(v.rolling_median(500))
