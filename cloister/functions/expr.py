@@ -1213,7 +1213,16 @@ def array(*parts) -> Expr:
 
 
 def arange(low, high, step: int = 1) -> Expr:
-    return _all([lift(low), lift(high)], lambda a, b: F.sequence(a.cast("long"), b.cast("long") - 1, F.lit(step).cast("long")), "arange")
+    """The numbers from ``low`` to before ``high`` as a list; none if ``step`` leads away from it."""
+    if not step:
+        raise ValueError("the step must not be 0")
+
+    def numbers(a: Column, b: Column) -> Column:
+        a, b = a.cast("long"), b.cast("long")
+        filled = F.sequence(a, b - (1 if step > 0 else -1), F.lit(step).cast("long"))
+        return F.when(a < b if step > 0 else a > b, filled).when(a.isNotNull() & b.isNotNull(), F.array().cast("array<long>"))
+
+    return _all([lift(low), lift(high)], numbers, "arange")
 
 
 def expand(exprs: Sequence[Expr], schema: T.StructType) -> list[Expr]:

@@ -136,6 +136,16 @@ def column_selectors(t):
     return t("part").select(of_types(T.NumericType).mean().round(4).suffix("_mean"))
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus, range(o_orderkey % 4, 5, 2) AS up, range(3, o_orderkey % 4, -1) AS down FROM orders")
+def column_positions(t):
+    """Columns by what they are not and by place, and lists of numbers between two columns; some are empty."""
+    from cloister.functions.expr import arange, exclude, nth
+
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    rest, key = exclude("o_orderstatus", "o_orderdate"), col("o_orderkey") % 4
+    return o.select(rest, nth(1), arange(key, 5, 2).alias("up"), arange(lit(3), key, -1).alias("down"))
+
+
 @query("SELECT max(r_regionkey) AS r_regionkey, max(r_name) AS r_name FROM region")
 def select_all_max(t):
     return t("region").select(all_columns().max())
@@ -1191,12 +1201,12 @@ def split_fixed(t):
 
 @query()
 def tokenise(t):
+    """All ids and masks of the whole texts of ``documents``."""
     import public_tokenizers
 
     from cloister.operators.arrays import TokenizerConfig, encode
 
-    config = TokenizerConfig(public_tokenizers.path("byte_bpe_50k.json")).enable_padding(16)
-    return encode(t("benchmark").df.select("text"), config)
+    return encode(t("documents").df.select("text"), TokenizerConfig(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query("SELECT o_orderpriority, true AS near, true AS noised FROM orders GROUP BY o_orderpriority")
