@@ -17,6 +17,9 @@ from .session import GuardSession, RequestRejected, UnsupportedOperation
 
 Names = str | Sequence[str]
 
+#: Rows that a cross join may have.
+CROSS_ROWS = 1_000_000_000
+
 
 def _names(value: Names | None) -> list[str]:
     return [] if value is None else [value] if isinstance(value, str) else list(value)
@@ -500,13 +503,15 @@ class GuardedFrame:
 
     def join(self, other: GuardedFrame, left_on=None, right_on=None, on=None, how: str = "inner", suffix: str = "_right", allow_parallel: bool = True, force_parallel: bool = False, join_nulls: bool = False) -> GuardedFrame:
         """Equi-join on names or expressions.  Right key columns are dropped, other clashing names get ``suffix``;
-        an outer join's keys are coalesced."""
+        an outer join's keys are coalesced.  A cross join of more than ``CROSS_ROWS`` rows is refused."""
         if other.session is not self.session:
             raise ValueError("both frames must belong to the same session")
         if how == "cross":
             right = other.df.withColumnsRenamed({c: c + suffix for c in other.df.columns if c in self.df.columns})
-            mine = lineage.scaled(self.provenance, lambda: other.df.count())
-            theirs = lineage.scaled(other.provenance, lambda: self.df.count())
+            n, m = self.df.count(), other.df.count()
+            if n * m > CROSS_ROWS:
+                raise ValueError(f"a cross join of {n} by {m} rows has more than {CROSS_ROWS}: join on a key")
+            mine, theirs = lineage.scaled(self.provenance, lambda: m), lineage.scaled(other.provenance, lambda: n)
             return self._with(self.df.crossJoin(right), "join(cross)", lineage.merged(mine, theirs), self.blacklist | self._renamed(other, suffix, ()))
         left_keys = self._exprs([on if on is not None else left_on])
         right_keys = other._exprs([on if on is not None else right_on])

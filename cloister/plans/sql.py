@@ -202,8 +202,10 @@ def _shown(df: DataFrame, secret: frozenset[str]) -> frozenset[str]:
             return shows(e.e())
         if kind == "AggregateExpression" and e.aggregateFunction().prettyName() in SUMMARIES:
             return False
-        if kind == "WindowExpression":  # a partition may be one row
-            return any(map(any_attribute, _sequence(e.children())))
+        if kind == "WindowExpression":  # a partition may be one row, whose count shows no value
+            inner = e.windowFunction()
+            counts = inner.getClass().getSimpleName() == "AggregateExpression" and inner.aggregateFunction().prettyName() == "count"
+            return any_attribute(e.windowSpec()) if counts else any(map(any_attribute, _sequence(e.children())))
         if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
             walk(e.plan())
             return any(i in hidden for i in _outputs(e.plan()))

@@ -436,3 +436,11 @@ def test_medians_by_rank(spark):
     for frame in (f.median(), f.describe(), f.groupby("k").agg(col("a").median()), f.barplot("k", "a", estimator="median")):
         plan = frame.df._jdf.queryExecution().optimizedPlan().toString()
         assert "median(" not in plan and "percentile(" not in plan
+
+
+def test_cross_joins_are_bounded(session, monkeypatch):
+    a, b = nums(session), nums(session)
+    assert a.join(b, how="cross").fetch().count() == a.df.count() ** 2
+    monkeypatch.setattr("cloister.frame.CROSS_ROWS", 20)
+    with pytest.raises(ValueError, match="cross join of 5 by 5"):
+        a.join(b, how="cross")

@@ -108,3 +108,11 @@ def test_sql(frame, text):
 def test_sql_summaries_are_released(frame):
     row = sql("SELECT count(name) AS n, sum(pay) AS s FROM {}", frame).fetch().first()
     assert tuple(row) == (3, 21.0)
+
+
+def test_counts_over_windows_show_no_value(spark):
+    from cloister.plans.sql import sql
+
+    f = GuardSession(spark).send_df(spark.createDataFrame([("a", 1), ("b", 1), (None, 2)], "name string, k int"), Policy(TrueRule()), sanitized_columns=("name",))
+    got = sql("SELECT k, count(name) OVER (PARTITION BY k) AS n, max(name) OVER (PARTITION BY k) AS m, count(k) OVER (PARTITION BY name) AS p FROM {}", f).fetch().collect()
+    assert sorted((r["k"], r["n"]) for r in got) == [(1, 2), (1, 2), (2, 0)] and {(r["m"], r["p"]) for r in got} == {(None, None)}
