@@ -35,6 +35,9 @@ class ArrayFrame:
     def shape(self) -> tuple[int, ...]:
         return (self.height, *self.inner)
 
+    def to_tensor(self) -> Tensor:
+        return Tensor(self)
+
     def to(self, dtype: str) -> ArrayFrame:
         """Another element type."""
         kind = functools.reduce(lambda t, _: f"array<{t}>", self.inner, dtype)
@@ -60,6 +63,27 @@ class ArrayFrame:
         return replace(self, df=row_index(self.df.drop("row"), [F.xxhash64(F.lit(seed), F.col("value"))], "row"))
 
 
+@dataclass(frozen=True)
+class Tensor:
+    """A handle to an array that tells its element type and shape only; data sets are made of handles."""
+
+    _array: ArrayFrame
+
+    @property
+    def dtype(self) -> str:
+        return self._array.dtype
+
+    @functools.cached_property
+    def shape(self) -> tuple[int, ...]:
+        return self._array.shape
+
+    def to(self, dtype: str) -> Tensor:
+        return Tensor(self._array.to(dtype))
+
+    def __repr__(self) -> str:
+        return f"Tensor(dtype={self.dtype}, shape={self.shape})"
+
+
 def to_array(df: DataFrame, order: Sequence) -> ArrayFrame:
     """Columns of one numeric type, or of lists of one numeric type and length, as an array of rows."""
     types = [f.dataType for f in df.schema]

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloister.operators.arrays import Tensor
 from cloister.operators.layers import Network, score_errors, score_losses
 from cloister.operators.ordered import row_index
 from cloister.operators.permute import Permutation
@@ -62,6 +63,30 @@ class Dataset:
         found = materialise(row_index(materialise(rows, "samples") if id_ is None else rows, [F.col("id")], "index"), "dataset")
         return Dataset(found, PrivacyContext(limit, found.count()), features)
 
+    @staticmethod
+    def of_tensors(inputs: list[Tensor], label: Tensor, limit: float | None) -> Dataset:
+        """Samples of tensors of equal heights: a sample's input is the numbers of its row in each of ``inputs``, one after the other; ``label`` has one number
+        a row.  Rows keep their numbers, so none may be without values."""
+        tensors = [*inputs, label]
+        if len({t.shape[0] for t in tensors}) > 1:
+            raise ValueError(f"tensors of different heights: {', '.join(str(t.shape[0]) for t in tensors)}")
+        if math.prod(label.shape[1:]) != 1:
+            raise ValueError("a label is one number")
+        rows, columns = None, []
+        for k, t in enumerate(tensors):
+            flat = F.col("value")
+            for _ in t.shape[2:]:
+                flat = F.flatten(flat)
+            part = t._array.df.select("row", flat.cast("array<double>").alias(f"v{k}"))
+            rows, columns = part if rows is None else rows.join(part, "row"), [*columns, F.col(f"v{k}")]
+        found = rows.select(F.col("row").alias("index"), F.col("row").alias("id"), F.concat(*columns[:-1]).alias("x"), columns[-1][0].alias("y"))
+        found = materialise(found, "dataset")
+        missing = F.col("x").isNull() | F.exists("x", lambda v: v.isNull()) | F.col("y").isNull()
+        n, empty = found.agg(F.count(F.lit(1)), F.count_if(missing)).first()
+        if empty:
+            raise ValueError(f"{empty} rows have no value in some tensor")
+        return Dataset(found, PrivacyContext(limit, n), sum(math.prod(t.shape[1:]) for t in inputs))
+
     @property
     def n(self) -> int:
         return self.context.n

@@ -213,3 +213,24 @@ def test_private_network_learns_and_pays(spark):
     learner.fit(6, 1e5)
     assert learner.test(data, "accuracy", 100.0)[0] > 0.8 and 0 < data.context.spent < 2e5
     assert score_errors(np.array([[1000.0, 0.0]]), np.array([0.0]), "cross_entropy")[0, 0] == pytest.approx(0)
+
+
+def test_tensors_make_a_dataset(spark):
+    from cloister.operators.arrays import to_array
+
+    df = spark.createDataFrame([(i, [float(i), 1.0], [2.0 * i, 0.0]) for i in range(9)], "k int, a array<double>, b array<double>")
+    order = [F.col("a")[0]]
+    pair = to_array(df.select("a", "b"), order).to_tensor()
+    flat = to_array(df.select(F.col("a")[0].alias("a")), [F.col("a")]).to_tensor()
+    assert (pair.dtype, pair.shape) == ("double", (9, 2, 2)) and repr(flat) == "Tensor(dtype=double, shape=(9, 1))" and flat.to("float").dtype == "float"
+    assert not [n for n in vars(type(pair)) if n in ("df", "collect", "fetch")]
+    data = Dataset.of_tensors([pair, flat], flat.to("float"), 3.0)
+    assert (data.features, data.n, data.context.limit) == (5, 9, 3.0)
+    assert {r["index"]: (r["x"], r["y"]) for r in data.df.collect()} == {i: ([i, 1.0, 2.0 * i, 0.0, i], i) for i in range(9)}
+    short = to_array(df.limit(3).select(F.col("a")[0].alias("a")), [F.col("a")]).to_tensor()
+    for inputs, label, words in (([short], flat, "heights"), ([flat], pair, "one number")):
+        with pytest.raises(ValueError, match=words):
+            Dataset.of_tensors(inputs, label, None)
+    holes = to_array(df.select(F.when(F.col("k") > 3, F.col("k")).cast("double").alias("a")), [F.col("a")]).to_tensor()
+    with pytest.raises(ValueError, match="4 rows"):
+        Dataset.of_tensors([holes], flat, None)
