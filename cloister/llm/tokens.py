@@ -215,7 +215,14 @@ def write_tokens(
     return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts[: len(rows)], strict=True)], schema)
 
 
+#: Documents of a shard that a reader holds at once, besides a block of their ids.
+READ_DOCS = 1 << 15
+
+
 def _read(folder: str, id_of: np.ndarray):
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, start in zip(batch["file"], batch["start"], strict=True):
@@ -223,8 +230,10 @@ def _read(folder: str, id_of: np.ndarray):
                 for doc, ids in read_shard(f"{folder}/{file}", id_of):
                     rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
-                frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                yield frame.astype({"doc_id": "Int64"})
+                    if len(rows) == READ_DOCS:
+                        yield frame(rows)
+                        rows = []
+                yield frame(rows)
 
     return run
 

@@ -56,11 +56,11 @@ class BloomLevel:
     data: bytes  # four bits in a byte: one literal, in which a byte is found by its place
 
     def has(self, key: Column) -> Column:
-        found = F.lit(True)
-        for place in bloom_places(key, self.bits, self.hashes, self.salt):
+        def is_set(place: Column) -> Column:
             byte = F.ascii(F.substring(F.lit(self.data), (F.shiftright(place, 2) + 1).cast("int"), F.lit(1)).cast("string"))
-            found = found & (F.getbit(byte, F.pmod(place, F.lit(4)).cast("int")) == 1)
-        return found
+            return F.getbit(byte, F.pmod(place, F.lit(4)).cast("int")) == 1
+
+        return F.forall(F.array(*bloom_places(key, self.bits, self.hashes, self.salt)), is_set)  # the literal is in the plan once
 
 
 #: Hexadecimal digits to the bytes 0 to 15.

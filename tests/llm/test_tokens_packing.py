@@ -147,3 +147,17 @@ def test_pieces(spark):
             at += length
         assert at <= 64
     assert len(bins) <= 1.02 * sum(seen.values()) / 64 + 1
+
+
+def test_readers_hold_few_documents(spark, tmp_path, monkeypatch):
+    """Shards are read a few documents at a time; all rows come back once, in whatever portions."""
+    from cloister.llm import tokens
+
+    folder = str(tmp_path / "out")
+    rows = [(i, "word " * (i % 5)) for i in range(100)]
+    manifest = write_tokens(_docs(spark, rows), folder, WORD)
+    monkeypatch.setattr(tokens, "READ_DOCS", 7)
+    id_of = np.fromfile(f"{folder}/ranks.u32", "<u4")
+    parts = list(tokens._read(folder, id_of)(iter([manifest.select("file", "start").toPandas()])))
+    assert max(map(len, parts)) <= 7
+    assert sorted(d for part in parts for d in part["doc_id"]) == list(range(100))

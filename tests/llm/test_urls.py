@@ -74,3 +74,15 @@ def test_many_rules(spark, monkeypatch, most):
     for i, u in enumerate(found):
         host = u.split("/")[2]
         assert got[i] == brute(u, tuple(listed.get(host.removeprefix("www."), ())))
+
+
+def test_a_level_is_one_literal(spark):
+    from pyspark.sql import functions as F
+
+    from cloister.llm.urls import BloomLevel
+
+    level = BloomLevel(bits=64, hashes=5, salt=1, data=bytes([15]) * 16)
+    df = spark.createDataFrame([("a",), (None,)], "k string")
+    found = df.select(level.has(F.col("k")).alias("has"))
+    assert found._jdf.queryExecution().analyzed().toString().count("0x" + "0F" * 16) + found._jdf.queryExecution().analyzed().toString().count("\x0f" * 16) == 1
+    assert found.first()["has"] is True
