@@ -17,6 +17,8 @@ from .session import GuardSession, RequestRejected, UnsupportedOperation
 
 Names = str | Sequence[str]
 
+#: Values of a column that ``partition_by`` looks up.
+MOST_PARTS = 1000
 #: Rows that a cross join may have.
 CROSS_ROWS = 1_000_000_000
 
@@ -473,13 +475,14 @@ class GuardedFrame:
         df = one.select("describe", *[F.element_at(F.col(f"`{c}`"), F.col("__i") + 1).alias(c) for c in self.df.columns])
         return self._with(df, "describe()", lineage.aggregated(self.provenance, self._all_rows()), order=())
 
-    def partition_by(self, column: str) -> dict:
-        """A frame for each value of a column of few values."""
+    def partition_by(self, column: str, values: Sequence | None = None) -> dict:
+        """A frame for each value of a column; without ``values`` they are looked up, of which there may be ``MOST_PARTS``."""
         if column in self.blacklist:
             raise RequestRejected(f"the values of {column} must not be shown")
-        values = [r[0] for r in self.df.select(column).distinct().orderBy(column).limit(1001).collect()]
-        if len(values) > 1000:
-            raise ValueError(f"{column} has more than 1000 values")
+        if values is None:
+            values = [r[0] for r in self.df.select(column).distinct().orderBy(column).limit(MOST_PARTS + 1).collect()]
+            if len(values) > MOST_PARTS:
+                raise ValueError(f"{column} has more than {MOST_PARTS} values: name those that are wanted")
         return {v: self._with(self.df.where(F.col(column).eqNullSafe(F.lit(v))), f"partition({column})") for v in values}
 
     # Time groups.

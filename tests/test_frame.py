@@ -444,3 +444,12 @@ def test_cross_joins_are_bounded(session, monkeypatch):
     monkeypatch.setattr("cloister.frame.CROSS_ROWS", 20)
     with pytest.raises(ValueError, match="cross join of 5 by 5"):
         a.join(b, how="cross")
+
+
+def test_named_parts(session, monkeypatch):
+    f = nums(session)
+    monkeypatch.setattr("cloister.frame.MOST_PARTS", 1)
+    with pytest.raises(ValueError, match="more than 1 values"):
+        f.partition_by("i")
+    parts = f.partition_by("i", values=[1, 2, 99])
+    assert [parts[v].fetch().count() for v in (1, 2, 99)] == [f.df.where(f"i = {v}").count() for v in (1, 2, 99)]
