@@ -114,7 +114,8 @@ def document_masks(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     Bits 0 to 3 are the conditions of ``failures``, bit 4 says that a row with a smaller id has the same text, told by its SHA-256.  A null text is empty and
     a null part is the empty string.  Rows that repeat an id and its text both count, and neither makes the other a copy.  A row without an
     id has no order, so it is no copy and makes none; it has no labels.  A document is good (toxic) if any of its label rows says so.
-    Texts are read whole in one narrow pass; what is shuffled has a fixed size a row, and equal rows are counted before.
+    Texts of any length are read whole in one narrow pass; what is shuffled has a fixed size a row, and equal rows are counted before.
+    Other columns, whatever their names, are not looked at; without documents there are no rows.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part), F.lit("")).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     mask = F.lit(0)

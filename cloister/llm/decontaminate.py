@@ -181,7 +181,7 @@ def find_contamination(
     the items with such windows and ``spans`` the byte ranges of hit runs in the original UTF-8 text.
     Null and wordless texts have no words; null and wordless items no windows; repeated items count
     once and repeated rows each.  Items without an id hit like others and are one null, last in ``item_ids``.
-    With an empty benchmark nothing is hit.
+    With an empty benchmark nothing is hit.  Texts of any length are scanned whole; other columns are not looked at.
     """
     scanner = contamination_scanner(docs.sparkSession, benchmark, width, item_id, item_text, automaton_bytes)
     return texts(docs, doc_id, text).mapInArrow(scanner, _RESULT)

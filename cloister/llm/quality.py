@@ -215,7 +215,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
     """``doc_id, score, predicted`` of every row; whole texts, no shuffle.
 
     ``score`` is the calibrated probability of good quality.  A null, empty or wordless text is scored by
-    its zero features like any other.  Repeated rows are scored each.
+    its zero features like any other.  Repeated rows are scored each, texts of any length whole.
     """
     plain = texts(docs, doc_id, text)
     return plain.mapInArrow(quality_scorer(model), "doc_id long, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))

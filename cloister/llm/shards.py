@@ -82,7 +82,12 @@ def united(one: StructType | None, two: StructType) -> StructType:
 
 
 class ShardStore:
-    """A folder of immutable parquet shards and numbered manifests."""
+    """A folder of immutable parquet shards and numbered manifests.
+
+    Rows are kept as they arrive: nulls in any column, empty texts, repeated rows and ties all stay, in no order; a row
+    of any length is one row of one shard, which is then larger than its target.  An arrival without rows adds no shard, and a
+    store without shards reads as None.  Columns that only some arrivals have are null elsewhere; names are the caller's own.
+    """
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target_bytes, fan_in
@@ -227,7 +232,8 @@ def load_in_arrivals(store: ShardStore, table: DataFrame, order: str, arrivals:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents after arrival, compaction and commit, read back through the last manifest."""
+    """Documents after arrival, compaction and commit, read back through the last manifest: each row once, repeated ones as often as they
+    are there.  A null text has a null digest, an empty one that of no bytes; texts of any length are stored whole; an empty table gives an empty one."""
     store = ShardStore(spark, scratch_path(spark, "shards"), target_bytes=64 << 20)
     load_in_arrivals(store, read_table(spark, sf_dir, "documents"), "doc_id")
     rows = store.read()
