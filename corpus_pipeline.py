@@ -80,7 +80,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose text holds a window of a benchmark item, with or without an id; each row by its own text."""
+    """Drops rows whose text holds a window of a benchmark item, with or without an id; each row by its own whole text, so null, empty
+    and wordless texts and repeated rows stay."""
     scanner = contamination_scanner(spark, read_table(spark, sf_dir, "benchmark"))
     return _kept(docs, scanner, lambda found: pc.equal(found.column("n_hit"), 0))
 
