@@ -28,6 +28,17 @@ from cloister.sources.ship import ship_package
 ORACLE_SQL = None
 
 
+#: Bytes of an Arrow batch in the stages, as executors hold what several operators keep; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """``BATCH_BYTES`` where the session has Spark's own limit of 64 MB."""
+    if spark.conf.get(_BYTES) == "67108864b":
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
 def _kept(docs: DataFrame, scorer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """Rows of ``docs`` that ``keep`` marks in what ``scorer`` says of their own texts, whatever their ids; no shuffle.
     ``scorer`` takes batches of ids and texts and returns their rows in order."""
@@ -45,6 +56,7 @@ def _kept(docs: DataFrame, scorer: Callable[[Iterator[pa.RecordBatch]], Iterator
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text the language model rejects; null, empty and letterless texts are rejected.  Each row is judged by its
     own text, so a null or repeated doc_id changes nothing."""
+    _small_batches(spark)
     score = language_scorer(fit_languages(docs))
 
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +69,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text has a predicted quality of 0, each by its own text; without labels nothing is learned and the
     network's first weights decide."""
+    _small_batches(spark)
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
     return _kept(docs, quality_scorer(model), lambda found: pc.greater_equal(found.column("score"), LEAST_SCORE))
 
@@ -64,6 +77,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, of the smallest doc_id, of each group of rows with near copies of a text; null ids come last.
     Texts without words have no copies, but of rows that also share their doc_id one is kept."""
+    _small_batches(spark)
     row = "_row"  # rows are told apart by a key of their own
     while row.lower() in {c.lower() for c in docs.columns}:
         row += "_"
@@ -82,12 +96,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text holds a window of a benchmark item, with or without an id; each row by its own whole text, so null, empty
     and wordless texts and repeated rows stay."""
+    _small_batches(spark)
     scanner = contamination_scanner(spark, read_table(spark, sf_dir, "benchmark"))
     return _kept(docs, scanner, lambda found: pc.equal(found.column("n_hit"), 0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 1024 tokens; a null or empty text is a piece of one, repeated rows are packed each."""
+    _small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
