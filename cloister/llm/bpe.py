@@ -31,8 +31,9 @@ class ChunkEncoder(dict):
     """Ids of texts as the bytes of little-endian unsigned 32-bit integers.  It is itself the cache: a chunk that is not
     in it is encoded, and kept while there is room; frequent chunks come early."""
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = False, chunks: int = CACHE_CHUNKS):
         super().__init__()
+        self.chunks = chunks
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
         added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
@@ -66,7 +67,7 @@ class ChunkEncoder(dict):
             ids = b"".join([_ID[t.id] for t in self.model(word)])
         else:
             ids = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        if len(chunk) <= CACHE_CHARS and len(self) < CACHE_CHUNKS:
+        if len(chunk) <= CACHE_CHARS and len(self) < self.chunks:
             self[chunk] = ids
         return ids
 
@@ -82,11 +83,12 @@ _BYTE_LEVEL = byte_level()
 _ID = [np.uint32(i).astype("<u4").tobytes() for i in range(1 << 16)]
 
 
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool, int], ChunkEncoder] = {}
 
 
-def encoder(path: str, added_tokens: bool = False) -> ChunkEncoder:
-    """The worker's encoder of a tokenizer file; its path is the same on all machines."""
-    if (path, added_tokens) not in _encoders:
-        _encoders[path, added_tokens] = ChunkEncoder(path, added_tokens)
-    return _encoders[path, added_tokens]
+def encoder(path: str, added_tokens: bool = False, chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """The worker's encoder of a tokenizer file, with room for so many chunks; its path is the same on all machines."""
+    key = (path, added_tokens, chunks)
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(*key)
+    return _encoders[key]

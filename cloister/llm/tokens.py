@@ -36,6 +36,8 @@ END_ID = 2
 MAGIC = b"CLTK"
 _FOOTER = 2**64 - 1
 
+#: Chunks of text that a worker's encoder keeps.
+CHUNKS = 500_000
 #: Values in a block, and in a shard file on average.
 BLOCK_VALUES = 1 << 20
 SHARD_VALUES = 16 << 20
@@ -74,7 +76,7 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 def _tokenised(path: str, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack = encoder(path, added_tokens), zstandard.ZstdCompressor(level=1).compress
+        own, pack = encoder(path, added_tokens, CHUNKS), zstandard.ZstdCompressor(level=1).compress
         kind = np.uint16 if own.vocabulary_size <= 1 << 16 and end_id < 1 << 16 else np.uint32
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
