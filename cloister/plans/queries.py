@@ -1293,8 +1293,8 @@ def _scaled_line(t, limit=None):
 
 
 @query(
-    """WITH p AS (SELECT p_retailprice / 1000 AS y, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x FROM part)
-    SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS bias, (SELECT count(*) FROM part) AS height, 'double' AS dtype FROM p"""
+    """WITH p AS (SELECT p_retailprice / 700 + p_size / 9 AS y, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x FROM part)
+    SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS bias, (SELECT count(*) FROM part) AS height, 'double' AS dtype FROM p"""
 )
 def tensor_dataset(t):
     """Columns made arrays, arrays tensors, tensors a data set, and that trained on to its least squares."""
@@ -1302,13 +1302,13 @@ def tensor_dataset(t):
     from cloister.operators.learning import SGD, Dataset, Learner, Model
 
     size = col("p_size")
-    p = t("part").select("p_partkey", ((size - size.mean()) / size.std(0)).alias("x"), (col("p_retailprice") / 1000).alias("y"))
+    p = t("part").select("p_partkey", ((size - size.mean()) / size.std(0)).alias("x"), (col("p_retailprice") / 700 + size / 9).alias("y"))
     x, y = (to_array(p.df.select(c, F.col("p_partkey").cast("double")), [F.col("p_partkey")]) for c in ("x", "y"))
     x, y = (replace(a, df=a.df.select("row", F.slice("value", 1, 1).alias("value")), inner=(1,)).to_tensor() for a in (x, y))
     learner = Learner(Model.zeros(1), Dataset.of_tensors([x], y, None), SGD(0.5), max_batch_size=1 << 40)
     learner.fit(2, None)
     slope, bias = learner.model.weights[0]
-    return t.session.spark.createDataFrame([(round(float(slope), 4), round(float(bias), 4), x.shape[0], y.dtype)], "slope double, bias double, height long, dtype string")
+    return t.session.spark.createDataFrame([(round(float(slope), 6), round(float(bias), 6), x.shape[0], y.dtype)], "slope double, bias double, height long, dtype string")
 
 
 @query(_LEAST_SQUARES.format(more=", 2 AS steps"))
