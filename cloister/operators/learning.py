@@ -7,9 +7,11 @@ clip it and add up, so only sums of the size of the model, of the parameters tha
 from __future__ import annotations
 
 import contextlib
+import copy
 import io
 import json
 import math
+import pickle
 import secrets
 import threading
 import time
@@ -35,6 +37,9 @@ from cloister.sources.scratch import materialise, remove_path, scratch_path
 #: Folders that an epoch's batches are dealt to, at most; a step reads one of them.
 BATCH_FOLDERS = 1000
 
+#: Batches of so many samples at most are a task's work at best: one task takes the steps of several, one after the other, over so many samples at most.
+TASK_BATCH, RUN_SAMPLES = 2_000, 50_000
+
 
 class Cancelled(RuntimeError):
     """A run was asked to stop."""
@@ -106,13 +111,21 @@ class Dataset:
         if count == 1 and size == self.n:
             yield iter([self.df][start:])
             return
-        batch = F.call_function("div", Permutation.of(self.n, seed, epoch).column(F.col("index")), F.lit(size).cast("long"))
-        dealt = self.df.withColumn("batch", batch).where((F.col("batch") < count) & (F.col("batch") >= start)).withColumn("folder", F.col("batch") % BATCH_FOLDERS)
+        with self._dealt(size, epoch, seed, start, 1) as part:
+            yield (part(b, b + 1).drop("batch") for b in range(start, count))
+
+    @contextlib.contextmanager
+    def _dealt(self, size: int, epoch: int, seed: int, start: int, length: int) -> Iterator[Callable[[int, int], DataFrame]]:
+        """An epoch's rows dealt to folders, one for ``length`` batches that follow each other; a function of a first batch and
+        the one after the last, of the same folder, that gives their rows with the number of their ``batch``."""
+        batch, count = F.call_function("div", Permutation.of(self.n, seed, epoch).column(F.col("index")), F.lit(size).cast("long")), self.batch_count(size)
+        folder = F.call_function("div", F.col("batch"), F.lit(length).cast("long")) % BATCH_FOLDERS
+        dealt = self.df.withColumn("batch", batch).where((F.col("batch") < count) & (F.col("batch") >= start)).withColumn("folder", folder)
         spark, path = self.df.sparkSession, scratch_path(self.df.sparkSession, "batches")
         dealt.repartition("folder").write.partitionBy("folder").parquet(path)
         try:
             table = spark.read.schema(dealt.schema).parquet(path)
-            yield (table.where((F.col("folder") == b % BATCH_FOLDERS) & (F.col("batch") == b)).drop("batch", "folder") for b in range(start, count))
+            yield lambda a, b: table.where((F.col("folder") == a // length % BATCH_FOLDERS) & (F.col("batch") >= a) & (F.col("batch") < b)).drop("folder")
         finally:
             remove_path(spark, path)
 
@@ -221,6 +234,40 @@ class Adam:
 OPTIMIZERS = {"SGD": SGD, "Adam": Adam}
 
 
+def _in_turn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each batch, of tables that are sorted by ``batch``."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        for number, rows in part.groupby("batch", sort=True):
+            if held and held[0]["batch"].iat[0] != number:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held)
+
+
+def run_steps(rows: DataFrame, model: Model | Network, optimizer: SGD | Adam, max_norm: float | None, std: float, rng: np.random.Generator) -> tuple[np.ndarray, SGD | Adam, int]:
+    """(weights, optimiser, steps) after a step for each ``batch`` of the rows, in turn, in one task that holds one batch at a time.  Noise of deviation
+    ``std`` is added to each sum before it is used.  Its seed is drawn from ``rng``, so a task that is tried again draws the same noise, not other noise on the same sums."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, optimizer, rng.integers(0, 2**63, 4).tolist()))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, by = copy.deepcopy(shared.value[:2])  # a worker keeps what was broadcast
+        done, draws = 0, np.random.default_rng(shared.value[2])
+        for batch in _in_turn(parts):
+            total, _ = own.clipped_gradients(batch["x"].tolist(), batch["y"].to_numpy(), max_norm)
+            total = total.reshape(own.weights.shape)
+            own.weights = by.step(own.weights, (total + noise(total.shape, std, draws)) / len(batch))
+            done += 1
+        if done:
+            yield pd.DataFrame({"state": [pickle.dumps((own.weights, by, done))]})
+
+    found = rows.select("batch", "index", "x", "y").coalesce(1).sortWithinPartitions("batch", "index").mapInPandas(run, "state binary").collect()  # one row
+    shared.unpersist()
+    return pickle.loads(found[0]["state"])
+
+
 @dataclass
 class Checkpoint:
     """Where a training stands before batch ``batch`` of epoch ``epoch``: weights, the optimiser's state, the steps done and the seed of the batches."""
@@ -329,6 +376,11 @@ class Learner:
         try:
             for epoch in range(first_epoch, nb_epochs):
                 start = first_batch if epoch == first_epoch else 0
+                if count > 1 and size <= TASK_BATCH:
+                    self._short_steps(size, epoch, start, own, rate, per_n_steps_checkpoint, checkpoint, lambda k, e=epoch: progress(e, e * count + k, nb_epochs * count))
+                    if per_n_epochs_checkpoint and (epoch + 1) % per_n_epochs_checkpoint == 0:
+                        checkpoint(epoch + 1, 0)
+                    continue
                 with self.dataset.batches(size, epoch, self.seed, start) as batches:
                     for k, batch in enumerate(batches, start):
                         progress(epoch, epoch * count + k, nb_epochs * count)
@@ -354,6 +406,33 @@ class Learner:
         self.model.weights = self.optimizer.step(self.model.weights, total / (size if eps is not None else max(n, 1)))
         self.steps += 1
 
+    def _short_steps(self, size: int, epoch: int, start: int, eps: float | None, rate: float, per_checkpoint: int, checkpoint: Callable[[int, int], None], progress: Callable[[int], None]) -> None:
+        """An epoch's steps from batch ``start`` on where batches are small: a job takes as many as ``RUN_SAMPLES`` allows, up to the next checkpoint.
+        Each is told and paid for before its job starts; those that are paid for are taken also if the budget ends before the next."""
+        context, count, length = self.dataset.context, self.dataset.batch_count(size), max(RUN_SAMPLES // size, 1)
+        std = 0.0 if eps is None else sigma(eps, context.delta, self.max_grad_norm)
+        with self.dataset._dealt(size, epoch, self.seed, start, length) as part:
+            at = start
+            while at < count:
+                end, refused = min((at // length + 1) * length, count), None
+                if per_checkpoint:
+                    end = min(end, at + per_checkpoint - self.steps % per_checkpoint)
+                for k in range(at, end):
+                    progress(k)
+                    try:
+                        context.spend(math.inf if eps is None else step_cost(eps, rate, self.steps + k - at))
+                    except PermissionError as error:
+                        end, refused = k, error
+                        break
+                if end > at:
+                    weights, optimizer, done = run_steps(part(at, end), self.model, self.optimizer, None if eps is None else self.max_grad_norm, std, context.rng)
+                    self.model.weights, self.steps, at = weights, self.steps + done, end
+                    vars(self.optimizer).update(vars(optimizer))
+                    if per_checkpoint and self.steps % per_checkpoint == 0:
+                        checkpoint(epoch, at)
+                if refused is not None:
+                    raise refused
+
     def test(self, dataset: Dataset, metric: str = "l2", eps: float | None = None) -> tuple[float, float]:
         """(private mean of the metric over all samples, two deviations of its noise)."""
         sums = metric_sum(dataset.df, self.model, metric)

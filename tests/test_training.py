@@ -234,3 +234,30 @@ def test_tensors_make_a_dataset(spark):
     holes = to_array(df.select(F.when(F.col("k") > 3, F.col("k")).cast("double").alias("a")), [F.col("a")]).to_tensor()
     with pytest.raises(ValueError, match="4 rows"):
         Dataset.of_tensors([holes], flat, None)
+
+
+def test_small_batches_take_few_jobs(spark):
+    """A job takes the steps of many small batches, in turn: the weights are those of one step after the other."""
+    data = line(spark, None)
+    spark.sparkContext.setJobGroup("small-batches", "steps")
+    try:
+        learner = Learner(Model.zeros(1), data, SGD(0.1, 0.9), 8, seed=6)
+        learner.fit(1, None)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert learner.steps == 25 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("small-batches")) < 15
+    w, optimizer, model = np.zeros((1, 2)), SGD(0.1, 0.9), Model.zeros(1)
+    with data.batches(8, 0, 6) as batches:
+        for rows in [b.collect() for b in batches]:
+            model.weights = w
+            g, _ = model.clipped_gradients([r["x"] for r in rows], np.array([r["y"] for r in rows]), None)
+            w = optimizer.step(w, g.reshape(w.shape) / 8)
+    assert np.allclose(learner.model.weights, w) and np.allclose(learner.optimizer.velocity, optimizer.velocity)
+
+
+def test_budget_ends_between_small_batches(spark):
+    """Steps that were paid for are taken, the others are not."""
+    learner = Learner(Model.zeros(1), line(spark, 20.0), SGD(0.1), 2, seed=6)
+    with pytest.raises(PermissionError):
+        learner.fit(1, 30.0)
+    assert 0 < learner.steps < 100 and learner.model.weights.any() and learner.dataset.context.spent < 20
