@@ -187,6 +187,16 @@ def known(f: Callable) -> Callable:
     return lambda state, value: latest(state, value) if state is None or value is None else f(state, value)
 
 
+def round_double(value: Column, decimals: int) -> Column:
+    """A double rounded as binary numbers are: the nearest whole number of 10^-decimals to the product in double precision, halves away from zero, and the
+    sign kept, of zero too.  Spark's ``round`` goes by a double's decimal digits and has no negative zero."""
+    scale = F.lit(10.0**decimals)
+    scaled = F.abs(value) * scale
+    whole = F.floor(scaled).cast("double")
+    near = (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / scale
+    return F.when(scaled < 2.0**52, F.signum(value) * near).otherwise(value)  # larger ones are whole
+
+
 Build = Callable[[Compile], Column]
 
 

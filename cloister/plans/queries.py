@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloister.frame import GuardedFrame
-from cloister.functions.expr import all_columns, col, concat_str, count, lit, of_types, when
+from cloister.functions.expr import all_columns, col, concat_str, count, lit, of_types, round_double, when
 from cloister.policy import Action, Aggregation, AtLeastNOf, FalseRule, Policy, TrueRule, UserId
 from cloister.session import GuardSession
 
@@ -644,7 +644,7 @@ def cumulative_fold(t):
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 2, 6)) AS twice FROM embeddings")
 def list_eval(t):
-    return t("embeddings").select("vec_id", col("embedding").arr.eval(lambda x: F.round(x.cast("double") * 2, 6)).alias("twice"))
+    return t("embeddings").select("vec_id", col("embedding").arr.eval(lambda x: round_double(x.cast("double") * 2, 6)).alias("twice"))
 
 
 _W = "(ORDER BY event_id)"

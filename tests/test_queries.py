@@ -46,3 +46,15 @@ def test_registry(spark):
     assert registry.entry(spark).count() == 3
     assert set(QUERIES) <= set(registry.queries())
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_doubles_round_as_in_sql(spark):
+    """Halves of the product in double precision go away from zero, and a negative number that rounds to zero stays negative."""
+    from pyspark.sql import functions as F
+
+    from cloister.functions.expr import round_double
+
+    values = [-1e-9, -0.0, 0.0, 1.0000005, 2.0000015, -2.0000025, 0.0078125, 1e300, -3e15 - 0.5, float("inf"), float("nan"), 0.1234565]
+    got = [str(r[0]) for r in spark.createDataFrame([(v,) for v in values], "v double").select(round_double(F.col("v"), 6)).collect()]
+    want = [str(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0]) for v in values]
+    assert got == want and got[0] == "-0.0"
