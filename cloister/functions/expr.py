@@ -489,9 +489,19 @@ class Expr:
         return replace(self, build=lambda c: F.when(predicate.build(c), self.build(c)), roots=(*self.roots, *predicate.roots), shown=(*self.shown, *predicate.shown))
 
     def sort_by(self, by: Expr, reverse: bool = False):
-        """The group's values as a list in the order of another expression."""
-        pair = lambda c: F.struct(by.build(c).alias("k"), self.build(c).alias("v"))
-        return replace(self, build=lambda c: c.aggregate(F.transform(F.sort_array(F.collect_list(pair(Compile("agg", current=c.current))), not reverse), lambda s: s["v"])), listed=True)
+        """The group's values as a list in the order of another expression; rows that are equal in it keep the frame's order, if it has one, in reverse too."""
+
+        def build(c: Compile) -> Column:
+            inside = Compile("agg", current=c.current)
+            k, v = by.build(inside).alias("k"), self.build(inside).alias("v")
+            if c.order:
+                rows = F.array_sort(F.collect_list(F.struct(F.struct(*c.order).alias("o"), k, v)))
+                rows = F.transform(rows, lambda s, i: F.struct(s["k"].alias("k"), (-i if reverse else i).alias("n"), s["v"].alias("v")))
+            else:
+                rows = F.collect_list(F.struct(k, v))
+            return c.aggregate(F.transform(F.sort_array(rows, not reverse), lambda s: s["v"]))
+
+        return replace(self, build=build, listed=True)
 
     def _places_of_group(self, low: int, high: int, backward: bool, cut: Callable[[Column], Column], pick: Callable[[Column], Column] | None = None):
         """The group's values at places ``low`` to ``high`` in the frame's order (from its end if ``backward``), as a list: only

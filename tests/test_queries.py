@@ -48,6 +48,19 @@ def test_registry(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
+def test_sorted_lists_keep_the_order_of_ties(spark):
+    """Rows that are equal in what a group's list is sorted by keep the frame's order, in reverse too."""
+    from cloister.functions.expr import col
+    from cloister.policy import Policy, TrueRule
+    from cloister.session import GuardSession
+
+    rows = spark.createDataFrame([(i, i // 2 % 3, f"{9 - i}") for i in range(9)], "i long, v long, name string")
+    frame = GuardSession(spark).send_df(rows, Policy(TrueRule()), order_by=("i",))
+    for reverse in (False, True):
+        got = frame.groupby(col("i") * 0).agg(col("name").sort_by(col("v"), reverse=reverse).alias("s")).df.first()["s"]
+        assert got == [f"{9 - i}" for i in sorted(range(9), key=lambda i: i // 2 % 3, reverse=reverse)]
+
+
 def test_doubles_round_as_in_sql(spark):
     """Halves of the product in double precision go away from zero, and a negative number that rounds to zero stays negative."""
     from pyspark.sql import functions as F
