@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from cloister.operators.ordered import row_index
 
 _FLAT = (T.FloatType, T.DoubleType, T.LongType, T.IntegerType)
 _LISTS = (*_FLAT, T.ShortType)
+#: Texts of so many bytes, and one more text, are encoded at once and go back to Spark before the next.
+ENCODE_BYTES = 1 << 20
 MIXED = "DataTypes for all columns should be the same"
 
 
@@ -171,17 +175,34 @@ def encode(df: DataFrame, config: TokenizerConfig, add_special_tokens: bool = Tr
         if not isinstance(f.dataType, T.StringType):
             raise TypeError(f"column {f.name} is not text")
 
-    @F.pandas_udf("struct<ids:array<long>,mask:array<long>>")
-    def tokens(texts: pd.Series) -> pd.DataFrame:
+    names = [f.name for f in df.schema]
+    cut = config.max_length if config.max_length is not None else config.pad_length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(config.path)
-        known = texts.notna()
-        cut = config.max_length if config.max_length is not None else config.pad_length
-        ids: list = [None] * len(texts)
-        for i, e in zip(known.to_numpy().nonzero()[0], tokenizer.encode_batch(texts[known].tolist(), add_special_tokens=add_special_tokens), strict=True):
-            ids[i] = e.ids[:cut] if cut is not None else e.ids
-        pad = config.pad_length or 0
-        masks = [None if x is None else [1] * len(x) + [0] * max(0, pad - len(x)) for x in ids]
-        return pd.DataFrame({"ids": [None if x is None else x + [config.pad_id] * max(0, pad - len(x)) for x in ids], "mask": masks})
-
-    out = df.select(*[tokens(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return out.select(*[F.col(f"`{c}`.{k}").alias(f"{c}_{k}") for c in df.columns for k in ("ids", "mask")])
+        for batch in batches:
+            sizes = sum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns)
+            turns = (np.cumsum(sizes) - sizes) // ENCODE_BYTES
+            starts = np.flatnonzero(np.diff(turns, prepend=-1))
+            for low, high in zip(starts, [*starts[1:], len(turns)], strict=True):
+                columns: list[pa.Array] = []
+                for column in batch.columns:
+                    texts = column.slice(low, high - low).to_pylist()
+                    found = tokenizer.encode_batch([t for t in texts if t is not None], add_special_tokens=add_special_tokens)
+                    columns += _padded([e.ids for e in found], [t is not None for t in texts], cut, config)
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    kinds = [f"{c}_{k}" for c in names for k in ("ids", "mask")]
+    out = df.mapInArrow(run, ", ".join(f"c{i} array<long>" for i in range(len(kinds))))
+    return out.toDF(*kinds)
+
+
+def _padded(ids: list[list[int]], known: list[bool], cut: int | None, config: TokenizerConfig) -> list[pa.Array]:
+    """[ids, masks] of texts, cut and padded; null for those not known."""
+    rows, n = [np.asarray(x[:cut] if cut is not None else x, np.int64) for x in ids], config.pad_length or 0
+    more = [max(0, n - len(x)) for x in rows]
+    values = [[piece for x, m in zip(rows, more, strict=True) for piece in (x, np.full(m, config.pad_id, np.int64))], [piece for x, m in zip(rows, more, strict=True) for piece in (np.ones(len(x), np.int64), np.zeros(m, np.int64))]]
+    lengths = np.zeros(len(known) + 1, np.int64)
+    lengths[1:][np.asarray(known, bool)] = [len(x) + m for x, m in zip(rows, more, strict=True)]
+    offsets = pa.array(np.cumsum(lengths), pa.int32(), mask=np.append(~np.asarray(known, bool), False))
+    return [pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *v])) for v in values]

@@ -196,3 +196,20 @@ def test_registry_is_found_again(spark, tmp_path):
     again.delete("d")
     again.delete("m")
     assert Registry(spark, store).available()["datasets"] == []
+
+
+def test_long_texts_are_encoded_in_turn(spark):
+    """However many rows an Arrow batch has, texts of a megabyte or so are encoded at once; nulls and padding stay in place."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cloister.operators.arrays import TokenizerConfig, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "one two " * 90_000, "three", None, "four five " * 70_000, "six", "seven " * 200_000, None]
+    out = encode(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), TokenizerConfig(path, max_length=150_000).enable_padding(3, 7))
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # an evaluated column would have all rows of a batch at once
+    plain = Tokenizer.from_file(path)
+    for t, r in zip(texts, out.collect(), strict=True):
+        ids = None if t is None else plain.encode(t).ids[:150_000]
+        assert r["text_ids"] == (None if t is None else ids + [7] * (3 - len(ids))) and r["text_mask"] == (None if t is None else [1] * len(ids) + [0] * (3 - len(ids)))
