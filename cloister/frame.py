@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lineage
-from .functions.expr import BLOCK, HALO, ORDER, PLACE, Compile, Expr, Whole, as_expr, col, count, duration_micros, expand, lit
+from .functions import scans
+from .functions.expr import BLOCK, HALO, ORDER, PLACE, Compile, Expr, Whole, as_expr, col, count, count_rows, duration_micros, expand, lit
 from .operators import cleaning, ordered, plots, windows
 from .session import GuardSession, RequestRejected, UnsupportedOperation
 
@@ -697,6 +698,14 @@ class GuardedDynamic(GuardedGroup):
         return super().agg(*values, col(self.index).min().alias("__first"))._first_times(self.index)
 
 
+#: Groups of more rows than this may have long time windows.
+LONG_GROUP = 20_000
+#: Aggregates of time windows whose work need not grow with the window, and the types of their values.
+SCANNED = {F.sum: "sum", F.avg: "avg", F.min: "min", F.max: "max", count_rows: "count"}
+_FLOATS, _WHOLE = (T.FloatType, T.DoubleType), (T.ShortType, T.IntegerType, T.LongType)
+SCANNED_TYPES = {"sum": (T.DoubleType, *_WHOLE), "avg": (*_FLOATS, *_WHOLE), "min": (T.DoubleType,), "max": (T.DoubleType,)}
+
+
 class GuardedRolling:
     """Aggregates over the rows of a trailing time window of each row (index in microseconds; ``closed`` names the ends that count)."""
 
@@ -720,20 +729,47 @@ class GuardedRolling:
         if not all(e.aggregated for e in exprs):
             raise ValueError("rolling groups take aggregates")
 
+        long_windows = ordered.largest_group(frame.df, [F.col(f"`{c}`") for c in self.by]) > LONG_GROUP
+        asked: list[tuple[str, str, Column]] = []
+        whole = True  # all aggregates are of kinds that a scan knows
+
         class Rolling(Compile):
             def aggregate(self, column: Column) -> Column:
+                nonlocal whole
+                whole = False
                 return column.over(w)
 
+            def aggregate_of(self, f, value: Column) -> Column:
+                kind = SCANNED.get(f) if long_windows else None
+                if kind is None or not (kind == "count" or isinstance(frame.df.select(value).schema[0].dataType, SCANNED_TYPES[kind])):
+                    return self.aggregate(f(value))
+                asked.append((f"__r{len(asked)}", kind, value))
+                return F.col(asked[-1][0])
+
         columns = [e.build(Rolling("agg", frame._order_keys())).alias(e.name) for e in exprs]
         own = ~F.col(HALO)
-        df = rows.select(*self.by, self.index, *columns, own.alias("__own")).where("__own").drop("__own")
+        if asked and whole:
+            df = self._scanned(rows, asked).select(*[F.col(f"__by{i}").alias(c) for i, c in enumerate(self.by)], F.col("__index").alias(self.index), *columns)
+        else:
+            long_windows = False
+            columns = [e.build(Rolling("agg", frame._order_keys())).alias(e.name) for e in exprs]
+            df = rows.select(*self.by, self.index, *columns, own.alias("__own")).where("__own").drop("__own")
 
         def size() -> int:
-            counts = rows.select(F.count(F.lit(1)).over(w).alias("n"), own.alias("__own"))
-            return counts.where("__own").agg(F.min("n")).first()[0] or 0
+            return self._scanned(rows, [("n", "count", F.lit(0))]).agg(F.min("n")).first()[0] or 0
 
         sensitive = frame._sensitive([*map(col, self.by), *exprs], frozenset())
         return frame._with(df, "groupby_rolling().agg()", frame._credited(exprs, size), sensitive, ())
 
+    def _scanned(self, rows: DataFrame, asked: Sequence[tuple[str, str, Column]]) -> DataFrame:
+        """The own rows of blocks, ``__by0, ..., __index``, with aggregates of their windows whose work grows with the rows, however long windows are."""
+        names = [f"__by{i}" for i in range(len(self.by))]
+        own = [F.col(f"`{c}`").alias(n) for n, c in zip(names, self.by, strict=True)]
+        values = [(F.lit(0).cast("long") if kind == "count" else value.cast("double" if isinstance(rows.select(value).schema[0].dataType, (T.FloatType, T.DoubleType)) else "long")).alias(n) for n, kind, value in asked]
+        narrow = rows.select(BLOCK, HALO, self._key().alias("__t"), *own, F.col(f"`{self.index}`").alias("__index"), *values)
+        out = T.StructType([T.StructField(f.name, T.DoubleType() if (f.name, "avg") in {(n, k) for n, k, _ in asked} else f.dataType, True) for f in narrow.schema])
+        low, high, kinds = self.low, self.high, [(n, k) for n, k, _ in asked]
+        return narrow.groupBy(BLOCK, *names).applyInArrow(lambda segment: scans.rolling(segment, low, high, kinds), out)
+
 
 __all__ = ["Facet", "GuardedDynamic", "GuardedFrame", "GuardedGroup", "GuardedRolling"]

@@ -98,6 +98,9 @@ class Compile:
         self.aggregates.append((name, column))
         return F.col(name)
 
+    def aggregate_of(self, f: Callable[[Column], Column], value: Column) -> Column:
+        return self.aggregate(f(value))
+
     def ordered(self) -> Window:
         if not self.order:
             raise ValueError("this expression depends on the order of rows: give the frame an order (order_by=...)")
@@ -187,6 +190,10 @@ def known(f: Callable) -> Callable:
     return lambda state, value: latest(state, value) if state is None or value is None else f(state, value)
 
 
+def count_rows(_: Column) -> Column:
+    return F.count(F.lit(1))
+
+
 def round_double(value: Column, decimals: int) -> Column:
     """A double rounded as binary numbers are: the nearest whole number of 10^-decimals to the product in double precision, halves away from zero, and the
     sign kept, of zero too.  Spark's ``round`` goes by a double's decimal digits and has no negative zero."""
@@ -242,7 +249,7 @@ class Expr:
     def agg(self, f: Callable[[Column], Column]) -> Expr:
         def build(c: Compile) -> Column:
             inside = Compile("agg", c.order, current=c.current)
-            return c.aggregate(f(self.build(inside)))
+            return c.aggregate_of(f, self.build(inside))
 
         return replace(self, build=build, aggregated=True)
 
@@ -429,7 +436,7 @@ class Expr:
 
     def count(self):
         """Length of the group, nulls included."""
-        return self.summary(lambda a: F.count(F.lit(1)))
+        return self.summary(count_rows)
 
     def len(self):
         return self.count()
@@ -1180,7 +1187,7 @@ def lit(value) -> Expr:
 
 
 def count() -> Expr:
-    return Expr(lambda c: c.aggregate(F.count(F.lit(1))), "count", True)
+    return Expr(lambda c: c.aggregate_of(count_rows, F.lit(0)), "count", True)
 
 
 @dataclass(frozen=True)

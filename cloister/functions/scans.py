@@ -11,6 +11,7 @@ import pickle
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -117,3 +118,58 @@ class Fold(Scan):
                 state = self.step(state, v)
             out.append(self.finish(state))
         return _out(own, out, _KINDS[self.dtype])
+
+
+def _over_ranges(values: np.ndarray, low: np.ndarray, high: np.ndarray, join: np.ufunc, empty: float) -> np.ndarray:
+    """``join`` of the values at places ``low`` to ``high`` (without) of each range, from two pieces of it at most: what goes up to a
+    middle and what comes after it, of halves that double from level to level.  Nothing is taken off again, so no digits are lost."""
+    out, last = np.full(len(low), empty), high - 1
+    one = last == low
+    out[one] = values[low[one]]
+    levels = np.where(last > low, np.frexp((low ^ last).astype(float))[1] - 1, -1)
+    for level in range(max(levels.max(initial=-1) + 1, 0)):
+        at = np.flatnonzero(levels == level)
+        if len(at):
+            half = 1 << level
+            halves = np.concatenate([values, np.full(-len(values) % (2 * half), empty)]).reshape(-1, 2, half)
+            upto, after = join.accumulate(halves[:, 0, ::-1], axis=1)[:, ::-1], join.accumulate(halves[:, 1], axis=1)
+            out[at] = join(upto[low[at] // (2 * half), low[at] % half], after[last[at] // (2 * half), last[at] % half])
+    return out
+
+
+#: Kinds of aggregates of ``rolling`` and how two values of doubles are joined; NaN is the largest.
+JOINS = {"sum": (np.add, 0.0), "avg": (np.add, 0.0), "min": (np.fmin, math.nan), "max": (np.maximum, -math.inf)}
+
+
+def rolling(segment: pa.Table, low: int, high: int, asked: list[tuple[str, str]]) -> pa.Table:
+    """A segment's own rows with aggregates of the rows whose time ``__t`` is from ``low`` to ``high`` around theirs, each (column, kind); its values
+    are in the column, which the aggregate replaces.  Rows without a time are each other's window."""
+    known = np.flatnonzero(pc.is_valid(segment["__t"]).to_numpy())
+    times = segment["__t"].take(pa.array(known)).to_numpy()
+    order = known[np.argsort(times, kind="stable")]
+    segment = segment.take(pa.array(np.concatenate([order, np.setdiff1d(np.arange(len(segment)), known)])))
+    n, times = len(known), np.sort(times)
+    left, right = (np.full(len(segment), end, np.int64) for end in (n, len(segment)))
+    left[:n], right[:n] = np.searchsorted(times, times + low, "left"), np.searchsorted(times, times + high, "right")
+    right = np.maximum(left, right)
+    own, out = pc.invert(segment["__halo"]), {}
+    for name, kind in asked:
+        if kind == "count":
+            out[name] = pa.array(right - left)
+            continue
+        column = segment[name]
+        valid = pc.is_valid(column).to_numpy()
+        so_far = np.concatenate([[0], np.cumsum(valid)])
+        found = so_far[right] - so_far[left]
+        if pa.types.is_integer(column.type):
+            so_far = np.concatenate([[0], np.cumsum(pc.fill_null(column, 0).to_numpy())])
+            values = so_far[right] - so_far[left]
+        else:
+            join, empty = JOINS[kind]
+            values = _over_ranges(pc.fill_null(column, empty).to_numpy(), left, right, join, empty)
+        if kind == "avg":
+            values = values / np.maximum(found, 1)
+        out[name] = pa.array(values, mask=found == 0)
+    for name, values in out.items():
+        segment = segment.set_column(segment.schema.get_field_index(name), name, values)
+    return segment.filter(own)

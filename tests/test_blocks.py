@@ -1,5 +1,6 @@
 """Windows over whole frames, cut into blocks of a few rows, against plain Python."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -352,3 +353,26 @@ def test_folds_merge_over_blocks(frame, values, grouped):
     assert [mixed[i][0] for i in range(N)] == [a + i for i, a in enumerate(distinct(values))] and _close([mixed[i][1] for i in range(N)], _so_far(values, sum))
     with pytest.raises(ValueError, match="frame of rows"):
         frame.groupby("id").agg(v.rolling_median(500))
+
+
+@pytest.mark.parametrize("closed", ["left", "right", "both", "none"])
+def test_long_time_windows_as_in_spark(spark, monkeypatch, closed):
+    """Aggregates of time windows by a scan of blocks equal Spark's own windows, with nulls, NaN, infinities, equal times and rows without a time."""
+    from cloister import frame as frames
+
+    odd = {5: None, 17: float("nan"), 40: float("inf"), 60: 1e15}
+    rows = [(i, None if i % 41 == 3 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * i % 97 * 10), i % 3, odd.get(i, i * 0.37 % 11), None if i % 13 == 1 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, k int, v double, n int")
+    values = [col("v").sum().alias("s"), (col("v").mean() + 1).alias("m"), col("v").min().alias("lo"), col("v").max().alias("hi"), count().alias("c"), col("n").sum().alias("ns"), col("n").mean().alias("nm")]
+
+    def found(by):
+        out = GuardSession(spark).send_df(df, Policy(TrueRule())).groupby_rolling("ts", "3m", closed=closed, by=by).agg(*values).df
+        assert ("FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()) == (frames.LONG_GROUP == 0)
+        close = lambda x: "nan" if x != x else x if not isinstance(x, float) else float(f"{x:.9g}")
+        return sorted(str(tuple(map(close, r))) for r in out.collect())
+
+    for by in (None, "k"):
+        plain = found(by)
+        monkeypatch.setattr(frames, "LONG_GROUP", 0)
+        assert found(by) == plain
+        monkeypatch.undo()
