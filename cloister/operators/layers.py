@@ -8,7 +8,8 @@ Every layer finds, from the errors at its outputs, the errors at its inputs and
 The gradient of a linear map is the sum over a sample's positions of (error x input), whose squared norm is that of the
 positions' two Gram matrices, multiplied element by element and summed, so it is never built where it is larger than those.
 A sample's factor then scales its errors, and one product over all positions gives the sum of the clipped gradients.  Of a
-look-up table only the rows that a sample touches have gradients, which are summed by row.
+look-up table only the rows that a sample touches have gradients, which are summed by row.  Where nothing is clipped, no norms are
+found, and layers after a look-up table that look at one position alone go over its rows, not over the positions that have them.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def segment_sums(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Layer:
-    """``shapes`` of its parameters; ``fans`` says what their first values are scaled by (0: zeros, -1: ones)."""
+    """``shapes`` of its parameters; ``fans`` says what their first values are scaled by (0: zeros, -1: ones).  A ``local`` layer looks at one position alone."""
+
+    local = False
 
     def shapes(self) -> list[tuple[int, ...]]:
         return []
@@ -84,6 +87,7 @@ class Linear(Layer):
     inputs: int
     outputs: int
     bias: bool = True
+    local = True
 
     def shapes(self):
         return [(self.outputs, self.inputs), *([(self.outputs,)] if self.bias else [])]
@@ -131,10 +135,14 @@ class Embedding(Layer):
     def fans(self):
         return [1]
 
-    def forward(self, x, w):
+    def ids(self, x: Positions) -> np.ndarray:
         ids = x.data[:, 0].astype(np.int64)
         if len(ids) and (ids.min() < 0 or ids.max() >= self.rows):
             raise ValueError(f"row numbers must be from 0 to {self.rows - 1}")
+        return ids
+
+    def forward(self, x, w):
+        ids = self.ids(x)
         y = w[0][ids]
         if self.padding is not None:
             y[ids == self.padding] = 0.0
@@ -166,6 +174,7 @@ class LayerNorm(Layer):
 
     channels: int
     eps: float = 1e-5
+    local = True
 
     def shapes(self):
         return [(self.channels,), (self.channels,)]
@@ -207,6 +216,8 @@ class MeanPool(Layer):
 
 @dataclass
 class ReLU(Layer):
+    local = True
+
     def forward(self, x, w):
         return Positions(np.maximum(x.data, 0), x.first), x.data > 0
 
@@ -216,6 +227,8 @@ class ReLU(Layer):
 
 @dataclass
 class Tanh(Layer):
+    local = True
+
     def forward(self, x, w):
         y = np.tanh(x.data)
         return Positions(y, x.first), y
@@ -228,6 +241,8 @@ class Tanh(Layer):
 class Identity(Layer):
     """Stands in for layers that mix samples, such as batch normalisation, which have no per-sample gradient."""
 
+    local = True
+
     def forward(self, x, w):
         return x, None
 
@@ -326,6 +341,43 @@ def conv(inputs: int, outputs: int, kernel, stride=1, padding=0, dilation=1, gri
     return [Unfold(inputs, wide(kernel), wide(stride), wide(padding), wide(dilation), tuple(grid) if grid else None), Linear(inputs * math.prod(wide(kernel)), outputs, bias)]
 
 
+@dataclass
+class TableRows(Layer):
+    """A look-up table and the local layers after it, over the rows that occur in a slice instead of over its positions.  The errors of a
+    row's positions are summed first, which is all that sums of gradients need; samples have no norms here."""
+
+    layers: list[Layer]
+
+    def shapes(self):
+        return [shape for layer in self.layers for shape in layer.shapes()]
+
+    def forward(self, x, w):
+        table, rest = self.layers[0], iter(w)
+        ids = table.ids(x)
+        if table.rows > len(ids):
+            found, at = np.unique(ids, return_inverse=True)
+        else:
+            found = np.flatnonzero(np.bincount(ids, minlength=table.rows))
+            place = np.zeros(table.rows, np.int64)
+            place[found] = np.arange(len(found))
+            at = place[ids]
+        y, kept = Positions(found[:, None], np.arange(len(found) + 1)), []
+        for layer in self.layers:
+            own = list(itertools.islice(rest, len(layer.shapes())))
+            y, inner = layer.forward(y, own)
+            kept.append((layer, inner, own))
+        return Positions(y.data[at], x.first), (at, len(found), kept)
+
+    def gradients(self, error, kept):
+        at, n, inner = kept
+        error = np.stack([np.bincount(at, channel, minlength=n) for channel in error.T], axis=1)
+        out = []
+        for layer, own, w in reversed(inner):
+            out = [*layer.gradients(error, own), *out]
+            error = layer.backward(error, own, w)
+        return out
+
+
 LAYERS = {c.__name__: c for c in (Linear, Embedding, LayerNorm, MeanPool, ReLU, Tanh, Identity, Grid, Flatten, Unfold)}
 
 
@@ -364,10 +416,17 @@ class Network:
                     parts.append(np.ones(size) if fan < 0 else np.zeros(size) if not fan else rng.uniform(-1, 1, size) / math.sqrt(fan))
             self.weights = np.concatenate(parts)
 
-    def parameters(self) -> list[list[np.ndarray]]:
+    def grouped(self) -> list[Layer]:
+        """The layers where no sample's norm is asked for."""
+        n = 0
+        if isinstance(self.layers[0], Embedding):
+            n = next((k for k, layer in enumerate(self.layers) if k and not layer.local), len(self.layers))
+        return [TableRows(self.layers[:n]), *self.layers[n:]] if n else self.layers
+
+    def parameters(self, layers: list[Layer] | None = None) -> list[list[np.ndarray]]:
         """Views of ``weights`` for each layer."""
         out, at = [], 0
-        for layer in self.layers:
+        for layer in self.layers if layers is None else layers:
             own = []
             for shape in layer.shapes():
                 size = math.prod(shape)
@@ -376,16 +435,16 @@ class Network:
             out.append(own)
         return out
 
-    def run(self, x: Positions) -> tuple[np.ndarray, list, list[np.ndarray]]:
-        """(scores, what each layer kept, owner of each of a layer's output positions)."""
-        kept, owners = [], []
-        for layer, w in zip(self.layers, self.parameters(), strict=True):
+    def run(self, x: Positions, layers: list[Layer]) -> tuple[np.ndarray, list, list[Positions]]:
+        """(scores, what each layer kept, its output)."""
+        kept, outputs = [], []
+        for layer, w in zip(layers, self.parameters(layers), strict=True):
             x, own = layer.forward(x, w)
             kept.append(own)
-            owners.append(x.owners())
+            outputs.append(x)
         if not x.single:
             raise ValueError("the last layer must leave one position for each sample")
-        return x.data, kept, owners
+        return x.data, kept, outputs
 
     def slices(self, x) -> list[tuple[int, int, Positions]]:
         """Runs of samples of a bounded number of positions; ``x`` holds a vector, or a sequence of numbers, for each sample."""
@@ -407,7 +466,8 @@ class Network:
         return out
 
     def scores(self, x) -> np.ndarray:
-        found = [self.run(part)[0] for _, _, part in self.slices(x)]
+        layers = self.grouped()
+        found = [self.run(part, layers)[0] for _, _, part in self.slices(x)]
         return np.concatenate(found) if found else np.zeros((0, 1))
 
     def losses(self, x, y: np.ndarray) -> np.ndarray:
@@ -416,19 +476,24 @@ class Network:
     def clipped_gradients(self, x, y: np.ndarray, max_norm: float | None) -> tuple[np.ndarray, np.ndarray]:
         """(sum of per-sample gradients, each scaled to norm ``max_norm`` at most, as a flat vector; which parameters any sample touches)."""
         total, touched = np.zeros(len(self.weights)), np.zeros(len(self.weights), bool)
-        parameters = self.parameters()
+        layers = self.grouped() if max_norm is None else self.layers
+        parameters = self.parameters(layers)
         for start, end, part in self.slices(x):
-            scores, kept, owners = self.run(part)
-            error, errors, squares = score_errors(scores, y[start:end], self.loss), [None] * len(self.layers), np.zeros(end - start)
-            for k in range(len(self.layers) - 1, -1, -1):
+            scores, kept, outputs = self.run(part, layers)
+            error, errors, squares = score_errors(scores, y[start:end], self.loss), [None] * len(layers), np.zeros(end - start)
+            for k in range(len(layers) - 1, -1, -1):
                 errors[k] = error
-                squares += self.layers[k].norms(error, kept[k])
+                if max_norm is not None:
+                    squares += layers[k].norms(error, kept[k])
                 if k:
-                    error = self.layers[k].backward(error, kept[k], parameters[k])
-            factor = np.ones(end - start) if max_norm is None else np.minimum(1, max_norm / (np.sqrt(squares) + 1e-6))
+                    error = layers[k].backward(error, kept[k], parameters[k])
+            factor = None if max_norm is None else np.minimum(1, max_norm / (np.sqrt(squares) + 1e-6))
             at = 0
-            for layer, error, own, owner in zip(self.layers, errors, kept, owners, strict=True):
-                for shape, (rows, g) in zip(layer.shapes(), layer.gradients(error * factor[owner, None], own) if layer.shapes() else [], strict=True):
+            for layer, error, own, output in zip(layers, errors, kept, outputs, strict=True):
+                shapes = layer.shapes()
+                if shapes and factor is not None:
+                    error = error * factor[output.owners(), None]
+                for shape, (rows, g) in zip(shapes, layer.gradients(error, own) if shapes else [], strict=True):
                     size = math.prod(shape)
                     total[at : at + size].reshape(shape)[rows] += g
                     touched[at : at + size].reshape(shape)[rows] = True

@@ -37,6 +37,9 @@ from cloister.sources.scratch import materialise, remove_path, scratch_path
 #: Folders that an epoch's batches are dealt to, at most; a step reads one of them.
 BATCH_FOLDERS = 1000
 
+#: An epoch of so many folders at most is dealt without a shuffle: each task writes its rows of every folder.
+FEW_FOLDERS = 32
+
 #: Batches of so many samples at most are a task's work at best: one task takes the steps of several, one after the other, over so many samples at most.
 TASK_BATCH, RUN_SAMPLES = 2_000, 50_000
 
@@ -60,12 +63,13 @@ class Dataset:
         key = id_ if id_ is not None else F.monotonically_increasing_id()
         if len(inputs) == 1 and isinstance(df.schema[inputs[0]].dataType, T.ArrayType):
             x, features = F.col(f"`{inputs[0]}`").cast("array<double>"), 0
-            df = df.where(~F.exists(F.col(f"`{inputs[0]}`"), lambda v: v.isNull()))
         else:
             x, features = F.array(*[F.col(f"`{c}`").cast("double") for c in inputs]), len(inputs)
             df = df.na.drop(subset=inputs)
-        rows = df.select(key.cast("long").alias("id"), x.alias("x"), F.col(f"`{label}`").cast("double").alias("y")).na.drop()
-        found = materialise(row_index(materialise(rows, "samples") if id_ is None else rows, [F.col("id")], "index"), "dataset")
+        # Written before rows are left out and sorted, as each of these steps would compute the inputs anew.
+        rows = materialise(df.select(key.cast("long").alias("id"), x.alias("x"), F.col(f"`{label}`").cast("double").alias("y")), "samples")
+        rows = rows.where(~F.exists("x", lambda v: v.isNull())).na.drop()
+        found = materialise(row_index(rows, [F.col("id")], "index"), "dataset")
         return Dataset(found, PrivacyContext(limit, found.count()), features)
 
     @staticmethod
@@ -122,7 +126,9 @@ class Dataset:
         folder = F.call_function("div", F.col("batch"), F.lit(length).cast("long")) % BATCH_FOLDERS
         dealt = self.df.withColumn("batch", batch).where((F.col("batch") < count) & (F.col("batch") >= start)).withColumn("folder", folder)
         spark, path = self.df.sparkSession, scratch_path(self.df.sparkSession, "batches")
-        dealt.repartition("folder").write.partitionBy("folder").parquet(path)
+        if math.ceil(count / length) > FEW_FOLDERS:  # a task for each folder, or for so many rows of it
+            dealt = dealt.repartition("folder", F.col("index") % math.ceil(size * length / RUN_SAMPLES))
+        dealt.write.partitionBy("folder").parquet(path)
         try:
             table = spark.read.schema(dealt.schema).parquet(path)
             yield lambda a, b: table.where((F.col("folder") == a // length % BATCH_FOLDERS) & (F.col("batch") >= a) & (F.col("batch") < b)).drop("folder")
@@ -435,17 +441,24 @@ class Learner:
 
     def test(self, dataset: Dataset, metric: str = "l2", eps: float | None = None) -> tuple[float, float]:
         """(private mean of the metric over all samples, two deviations of its noise)."""
-        sums = metric_sum(dataset.df, self.model, metric)
+        return self.tests(dataset, [metric], eps)[0]
+
+    def tests(self, dataset: Dataset, metrics: list[str], eps: float | None = None) -> list[tuple[float, float]]:
+        """The same for each of several metrics, with ``eps`` each, from one pass over the samples."""
+        sums, n = metric_sums(dataset.df, self.model, metrics)
+        return [self._released(dataset, metric, total, n, eps) for metric, total in zip(metrics, sums, strict=True)]
+
+    def _released(self, dataset: Dataset, metric: str, total: float, n: int, eps: float | None) -> tuple[float, float]:
         bound = 1.0 if metric == "accuracy" else 10.0
-        guarded = Guarded(np.array(sums[0]), dataset.context, bound, frozenset([0])) / max(sums[1], 1)
+        guarded = Guarded(np.array(total), dataset.context, bound, frozenset([0])) / max(n, 1)
         value = float(guarded.release(eps))
         value = min(max(value, 0.0), bound)
         return (1 - value if metric == "accuracy" else value), 0.0 if eps is None else 2 * sigma(eps, dataset.context.delta, guarded.linf)
 
 
-def metric_sum(df: DataFrame, model: Model | Network, metric: str) -> tuple[float, int]:
-    """(sum of the clipped per-sample metric, samples); of accuracy it is the errors that are summed."""
-    if metric not in ("accuracy", "l2", "cross_entropy"):
+def metric_sums(df: DataFrame, model: Model | Network, metrics: list[str]) -> tuple[list[float], int]:
+    """(sum of each clipped per-sample metric, samples); of accuracy it is the errors that are summed."""
+    if not set(metrics) <= {"accuracy", "l2", "cross_entropy"}:
         raise ValueError("metric must be accuracy, l2 or cross_entropy")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -453,11 +466,11 @@ def metric_sum(df: DataFrame, model: Model | Network, metric: str) -> tuple[floa
         for part in parts:
             if len(part):
                 y, scores = part["y"].to_numpy(), shared.value.scores(part["x"].tolist())
-                values = np.clip(np.abs(scores.argmax(axis=1) - y), 0, 1) if metric == "accuracy" else np.clip(score_losses(scores, y, metric), 0, 10)
-                yield pd.DataFrame({"s": [values.sum()], "n": [len(values)]})
+                values = [np.clip(np.abs(scores.argmax(axis=1) - y), 0, 1) if metric == "accuracy" else np.clip(score_losses(scores, y, metric), 0, 10) for metric in metrics]
+                yield pd.DataFrame({"i": range(-1, len(metrics)), "s": [float(len(y)), *[v.sum() for v in values]]})  # the number of samples goes as -1
 
-    row = df.select("x", "y").mapInPandas(run, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-    return row["s"] or 0.0, row["n"] or 0
+    found = {r["i"]: r["s"] for r in df.select("x", "y").mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row for each metric
+    return [found.get(i, 0.0) for i in range(len(metrics))], int(found.get(-1, 0))
 
 
 @dataclass(frozen=True)

@@ -1427,9 +1427,9 @@ def embedding_classifier(t):
     docs = t("documents").df.select("doc_id", tokens.alias("tokens"), (F.col("lang") == "en").cast("int").alias("y"))
     data = Dataset.build(docs, ["tokens"], "y", None, F.col("doc_id"))
     learner = Learner(Network([Embedding(2048, 8), LayerNorm(8), MeanPool(), Linear(8, 2)], seed=1), data, Adam(0.02), max_batch_size=max(data.n // 4, 1), seed=1)
-    before = [learner.test(data, metric)[0] for metric in ("cross_entropy", "accuracy")]
+    before = [value for value, _ in learner.tests(data, ["cross_entropy", "accuracy"])]
     learner.fit(3, None)
-    after = [learner.test(data, metric)[0] for metric in ("cross_entropy", "accuracy")]
+    after = [value for value, _ in learner.tests(data, ["cross_entropy", "accuracy"])]
     return t.session.spark.createDataFrame([("before", *before), ("after", *after)], "at string, loss double, accuracy double")
 
 

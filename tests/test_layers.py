@@ -79,3 +79,19 @@ def test_bad_input():
         Network([Embedding(3, 2), *conv(2, 2, 1, grid=(3,)), MeanPool()]).scores([[1, 2]])
     assert net.scores([]).shape[0] == 0 and np.array_equal(net.clipped_gradients([], np.zeros(0), 1.0)[0], np.zeros(12))
     assert Positions(np.zeros((0, 2)), np.zeros(1, int)).single
+
+
+@pytest.mark.parametrize("name", ["embedding", "padding", "wide linear on texts", "conv over texts"])
+def test_local_layers_go_over_rows_of_the_table(name, monkeypatch):
+    """Where nothing is clipped, no norms are found and layers of single positions see each row of a table once; sums are those of all positions."""
+    make, _ = NETWORKS[name]
+    net, x, y = Network(make(), seed=3), texts(40, least=6), RNG.integers(0, 3, 40).astype(float)
+    whole, at = net.clipped_gradients(x, y, 1e300)
+    seen = []
+    forward = LayerNorm.forward
+    monkeypatch.setattr(LayerNorm, "forward", lambda self, p, w: seen.append(len(p.data)) or forward(self, p, w))
+    for layer in (Linear, LayerNorm, Embedding):
+        monkeypatch.setattr(layer, "norms", lambda *_: pytest.fail("norms of samples"))
+    total, touched = net.clipped_gradients(x, y, None)
+    assert np.allclose(total, whole) and np.array_equal(touched, at)
+    assert not seen or seen[0] <= 7

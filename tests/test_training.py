@@ -261,3 +261,23 @@ def test_budget_ends_between_small_batches(spark):
     with pytest.raises(PermissionError):
         learner.fit(1, 30.0)
     assert 0 < learner.steps < 100 and learner.model.weights.any() and learner.dataset.context.spent < 20
+
+
+def test_inputs_are_computed_once_and_every_task_deals_few_batches(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def tokens(i):
+        seen.add(1)
+        return [i % 5] * (i % 3 + 1)
+
+    rows = spark.range(400, numPartitions=4).select(F.col("id"), tokens("id").alias("x"), (F.col("id") % 2).alias("y"))
+    data = Dataset.build(rows, ["x"], "y", None, F.col("id"))
+    assert data.n == 400 and seen.value == 400
+    spread = Dataset(data.df.repartition(4), data.context, data.features)
+    for size, files in ((100, 4), (4, 1)):  # 100 batches are shuffled to folders of a task each
+        with spread.batches(size, 0, 1) as batches:
+            found = [[b.count(), b.select(F.input_file_name()).distinct().count()] for b, _ in zip(batches, range(2), strict=False)]
+        assert found == [[size, files]] * 2
+    learner = Learner(Network([Embedding(5, 2), MeanPool(), Linear(2, 2)], seed=1), data)
+    assert learner.tests(data, ["cross_entropy", "accuracy"]) == [learner.test(data, m) for m in ("cross_entropy", "accuracy")]
