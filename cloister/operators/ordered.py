@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloister.functions.expr import BLOCK, HALO, PLACE, Pass, Side, Whole, ranks_of
-from cloister.functions.scans import Scan
+from cloister.functions import scans
 from cloister.sources.scratch import materialise
 
 
@@ -83,34 +83,41 @@ def in_blocks(df: DataFrame, whole: Whole, prepared: Sequence[tuple[str, Column]
     df = df.withColumn(HALO, F.col(BLOCK) != own)
     for name, column in prepared:
         df = df.withColumn(name, column)
-    for name, value, run in whole.scans:
-        df = _scanned(df, name, value, run, by)
+    if whole.scans:
+        df = _scanned(df, whole, by, in_order=not (prepared or whole.ranks or whole.places))
     return df if not whole.carries else _carried(df, whole, by)
 
 
-def _scanned(df: DataFrame, name: str, value: Column, run: Scan, by: Sequence[str]) -> DataFrame:
-    """A function in Python of each segment's values in order, joined to the rows by their place.  Only places and values go to Python.
-
-    What a fold carries from block to block is found first: a state for each segment, of which one for each block passes the driver."""
-    hashes = dict(zip(["__h0", "__h1"], _hashes(by), strict=True))
-    narrow = materialise(df.withColumns(hashes).select(BLOCK, "__h0", "__h1", PLACE, HALO, value.alias("__v")), "scan-values")
-    if run.carries:
-        totals = narrow.groupBy(BLOCK, "__h0", "__h1").applyInArrow(lambda segment: run.totals(segment), f"{BLOCK} long, __h0 long, __h1 long, __from long, __state binary")
-        edge = F.struct("__h0", "__h1", "__state")
-        found = totals.groupBy(BLOCK).agg(F.min_by(edge, "__from").alias("first"), F.max_by(edge, "__from").alias("last")).orderBy(BLOCK).collect()  # one row for each block
-        table, group, state = [], None, None
-        for row in found:
-            first, last = row["first"], row["last"]
-            key = (first["__h0"], first["__h1"])
-            before = state if key == group else None
-            if before is not None:
-                table.append((row[BLOCK], *key, before))
-            group = (last["__h0"], last["__h1"])
-            state = run.merged(before if group == key else None, last["__state"])
-        carried = df.sparkSession.createDataFrame(table, f"{BLOCK} long, __h0 long, __h1 long, __state binary")
-        narrow = narrow.join(F.broadcast(carried), [BLOCK, "__h0", "__h1"], "left")
-    out = narrow.groupBy(BLOCK, "__h0", "__h1").applyInArrow(lambda segment: run.rows(segment), f"{PLACE} long, __out {run.dtype}")
-    return df.join(out.withColumnRenamed("__out", name), PLACE, "left")
+def _scanned(df: DataFrame, whole: Whole, by: Sequence[str], in_order: bool) -> DataFrame:
+    """Functions in Python of each segment's values in order, joined to the rows by their place.  Only places and values go to Python.
+
+    What folds carry from block to block is found first: a state for each piece of a block, rows that follow each other in one task, passes the
+    driver.  Rows that are not ``in_order`` in their tasks, as a sort by place leaves them, are shuffled for that."""
+    names, runs = [name for name, *_ in whole.scans], [run for *_, run in whole.scans]
+    hashes, segment = dict(zip(["__h0", "__h1"], _hashes(by), strict=True)), [BLOCK, "__h0", "__h1"]
+    narrow = df.withColumns(hashes).select(*segment, PLACE, HALO, *[value.alias(f"__v{i}") for i, (_, value, _) in enumerate(whole.scans)])
+    carrying = [(i, run) for i, run in enumerate(runs) if run.carries]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if carrying:
+        narrow = materialise(narrow if in_order else narrow.repartition(parts, BLOCK).sortWithinPartitions(BLOCK, PLACE), "scan-values")
+        states = [f"__s{i}" for i, _ in carrying]
+        schema = f"{BLOCK} long, __from long, __f0 long, __f1 long, __h0 long, __h1 long, {', '.join(f'{s} binary' for s in states)}"
+        found = narrow.where(~F.col(HALO)).mapInArrow(lambda batches: scans.pieces(batches, carrying), schema).collect()  # a row or a few for each block
+        table, block, group, state = [], None, None, None
+        for row in sorted(found, key=lambda r: r["__from"]):
+            first, last = (row["__f0"], row["__f1"]), (row["__h0"], row["__h1"])
+            if first == group and row[BLOCK] != block:
+                table.append((row[BLOCK], *first, *state))
+            before = state if first == group and first == last else [None] * len(carrying)
+            state = [run.merged(old, row[s]) for (_, run), old, s in zip(carrying, before, states, strict=True)]
+            block, group = row[BLOCK], last
+        carried = df.sparkSession.createDataFrame(table, f"{BLOCK} long, __h0 long, __h1 long, {', '.join(f'{s} binary' for s in states)}")
+        narrow = narrow.join(F.broadcast(carried), segment, "left")
+    schema = ", ".join([f"{PLACE} long", *[f"{name} {run.dtype}" for name, run in zip(names, runs, strict=True)]])
+    asked = list(zip(names, runs, strict=True))
+    # A number of partitions that is given keeps small values from being put together in few tasks.
+    out = narrow.repartition(parts, *segment).groupBy(*segment).applyInArrow(lambda rows: scans.in_turn(rows, asked), schema)
+    return df.join(out, PLACE, "left")
 
 
 def _hashes(by: Sequence[str]) -> list[Column]:

@@ -1,6 +1,8 @@
 """Windows over whole frames, cut into blocks of a few rows, against plain Python."""
 
 import datetime as dt
+import math
+import pickle
 import random
 
 import pytest
@@ -376,3 +378,28 @@ def test_long_time_windows_as_in_spark(spark, monkeypatch, closed):
         monkeypatch.setattr(frames, "LONG_GROUP", 0)
         assert found(by) == plain
         monkeypatch.undo()
+
+
+def test_scans_of_a_frame_share_a_pass(frame, values, monkeypatch):
+    from cloister.functions import scans
+
+    monkeypatch.setattr(scans, "SHORT_WINDOW", 4)
+    out = frame.select("id", v.rolling_median(9, 1).alias("a"), v.rolling_quantile(0.9, 20, "linear", 5).alias("b"), v.cumulative_fold(**_distinct()).alias("c"), v.backward_fill().alias("d"))
+    assert out.df._jdf.queryExecution().analyzed().toString().count("FlatMapGroupsInArrow") == 1
+    got = {r["id"]: r for r in out.fetch().collect()}
+    assert [got[i]["c"] for i in range(N)] == [len({y for y in values[: i + 1] if y is not None}) for i in range(N)]
+
+
+def test_pieces_of_blocks():
+    """A piece ends where places leave off or a block does, not with a batch; its state is that of its last group."""
+    import pyarrow as pa
+
+    from cloister.functions.scans import Fold, pieces
+
+    def batch(*rows):
+        return pa.RecordBatch.from_pylist([dict(zip(("__block", "__h0", "__h1", "__ord", "__v0"), r, strict=True)) for r in rows])
+
+    run = Fold(0, lambda s, x: s + x, lambda a, b: a + b, lambda s: s)
+    parts = [batch((0, 1, 1, 0, 1), (0, 1, 1, 1, 2)), batch((0, 1, 1, 2, None), (0, 2, 1, 3, 8), (0, 2, 2, 4, 16)), batch((0, 2, 2, 5, 32), (1, 2, 2, 6, 64), (1, 3, 3, 9, 128))]
+    got = [[*r.to_pylist()[0].values()] for r in pieces(iter(parts), [(0, run)])]
+    assert [[*r[:-1], pickle.loads(r[-1])] for r in got] == [[0, 0, 1, 1, 2, 2, 48], [1, 6, 2, 2, 2, 2, 64], [1, 9, 3, 3, 3, 3, 128]]
