@@ -652,7 +652,7 @@ class Expr:
         return self.rolling_quantile(0.5, size, "linear", min_periods)
 
     def rolling_quantile(self, q, size, interpolation="nearest", min_periods=None):
-        """Short windows are sorted for each row; in longer ones an ordered window moves along a block of rows."""
+        """Short windows are sorted for each row; in longer ones values are found by their rank in a window, for a block of rows at once."""
         ranks_of(q, interpolation)
         value = self.cast("double")
         if size <= scans.SHORT_WINDOW:

@@ -1,4 +1,4 @@
-"""Functions of the ordered values of a block of rows, in Python: an ordered window that slides, and folds that merge.
+"""Functions of the ordered values of a block of rows, in Python: quantiles of windows, and folds that merge.
 
 Each gets one segment, the rows of one group in one block with the copies before it, and returns a value for each of its own rows.
 What a fold carries into a block is found first, from pieces: rows of a block that follow each other in one task.
@@ -6,7 +6,6 @@ What a fold carries into a block is found first, from pieces: rows of a block th
 
 from __future__ import annotations
 
-import bisect
 import math
 import pickle
 from collections.abc import Callable, Iterator, Sequence
@@ -20,6 +19,9 @@ import pyarrow.compute as pc
 SHORT_WINDOW = 64
 
 
+#: Windows, or as many as one has rows, that share a wavelet matrix.
+PART_ROWS = 30_000
+
 _KINDS = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
@@ -50,8 +52,10 @@ def _out(segment: pa.Table, values: list, kind: pa.DataType = pa.float64()) -> p
 
 @dataclass(frozen=True)
 class SlidingQuantile(Scan):
-    """The quantile of the known values of the last ``size`` rows, null if they are fewer than ``least``.  The window is kept in order: a value
-    that comes in or goes out is found by bisection.  NaN is the largest value."""
+    """The quantile of the known values of the last ``size`` rows, null if they are fewer than ``least``.  NaN is the largest value.
+
+    A wavelet matrix of the values' ranks, built once for a segment, finds the value of any rank in any window in as many steps as a rank has bits,
+    for all windows at once; so the work hardly grows with the window."""
 
     size: int
     least: int
@@ -60,33 +64,66 @@ class SlidingQuantile(Scan):
 
     def rows(self, segment: pa.Table) -> pa.Table:
         segment = segment.sort_by("__ord")
-        values = segment["__v"].to_pylist()
-        window: list[float] = []
-        missing, out = 0, []  # NaN in the window
-        for i, v in enumerate(values):
-            if v is not None:
-                if math.isnan(v):
-                    missing += 1
-                else:
-                    bisect.insort(window, v)
-            if i >= self.size and (old := values[i - self.size]) is not None:
-                if math.isnan(old):
-                    missing -= 1
-                else:
-                    del window[bisect.bisect_left(window, old)]
-            n = len(window) + missing
-            out.append(self._of(window, n) if n and n >= self.least else None)
-        return _out(segment, out)
-
-    def _of(self, window: list[float], n: int) -> float:
-        at = lambda i: window[i] if i < len(window) else math.nan
-        place = (n - 1) * self.q
-        low, high = math.floor(place), math.ceil(place)
+        known = np.asarray(pc.is_valid(segment["__v"]))
+        so_far = np.concatenate([[0], np.cumsum(known)])
+        own = np.flatnonzero(~np.asarray(segment["__halo"]))
+        left, right = so_far[np.maximum(own + 1 - self.size, 0)], so_far[own + 1]
+        n = right - left
+        found = np.flatnonzero((n > 0) & (n >= self.least))
+        out = np.zeros(len(own))
+        values = pc.drop_null(segment["__v"]).to_numpy()
+        step = max(self.size, PART_ROWS)
+        for a in range(0, len(found), step):
+            at = found[a : a + step]
+            first, end = int(left[at[0]]), int(right[at[-1]])
+            out[at] = self._of(values[first:end], left[at] - first, right[at] - first)
+        missing = np.ones(len(own), bool)
+        missing[found] = False
+        return pa.table({"__ord": segment["__ord"].take(pa.array(own)), "__out": pa.array(out, pa.float64(), mask=missing)})
+
+    def _of(self, values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        order = np.argsort(values, kind="stable")  # NaN last
+        rank = np.empty(len(values), np.int32)
+        rank[order] = np.arange(len(values), dtype=np.int32)
+        place = (right - left - 1) * self.q
+        low, high = np.floor(place).astype(np.int64), np.ceil(place).astype(np.int64)
         if self.interpolation == "nearest":
-            return at(math.floor(place + 0.5))
-        if self.interpolation in ("lower", "higher"):
-            return at(low if self.interpolation == "lower" else high)
-        return (at(low) + at(high)) / 2 if self.interpolation == "midpoint" else at(low) + (at(high) - at(low)) * (place - low)
+            low = high = np.floor(place + 0.5).astype(np.int64)
+        elif self.interpolation in ("lower", "higher"):
+            low = high = low if self.interpolation == "lower" else high
+        levels = _wavelet(rank)
+        x = values[order[_of_rank(levels, left, right, low)]]
+        if low is high:
+            return x
+        y = x.copy()
+        more = np.flatnonzero(high > low)
+        y[more] = values[order[_of_rank(levels, left[more], right[more], high[more])]]
+        with np.errstate(invalid="ignore"):  # of infinities
+            return (x + y) / 2 if self.interpolation == "midpoint" else x + (y - x) * (place - low)
+
+
+def _wavelet(rank: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each bit of distinct numbers from 0, highest first: (bit, how many without it come before each place) in the order of the bits before."""
+    levels = []
+    for bit in reversed(range(max(len(rank) - 1, 0).bit_length())):
+        ones = (rank >> bit & 1).astype(bool)
+        zeros = np.zeros(len(rank) + 1, np.int32)
+        np.cumsum(~ones, out=zeros[1:])
+        levels.append((bit, zeros))
+        rank = np.concatenate([rank[~ones], rank[ones]])
+    return levels
+
+
+def _of_rank(levels: list[tuple[int, np.ndarray]], left: np.ndarray, right: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The number with ``k`` smaller ones among those at places ``left`` to ``right`` (without) of each window."""
+    left, right, k, found = left.astype(np.int32), right.astype(np.int32), k.astype(np.int32), np.zeros(len(k), np.int32)
+    for bit, zeros in levels:
+        a, b = zeros[left], zeros[right]
+        one = k >= b - a
+        found |= one.astype(np.int32) << bit
+        k = np.where(one, k - (b - a), k)
+        left, right = np.where(one, left - a + zeros[-1], a), np.where(one, right - b + zeros[-1], b)
+    return found
 
 
 @dataclass(frozen=True)

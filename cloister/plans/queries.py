@@ -617,7 +617,7 @@ _BY_LINE = f"ORDER BY {', '.join(_LINES)}"
     FROM lineitem WINDOW w AS ({_BY_LINE} ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW)"""
 )
 def rolling_long(t):
-    """Medians and quantiles of the last 10,000 rows: an ordered window that slides along blocks of rows."""
+    """Medians and quantiles of the last 10,000 rows, by blocks of rows."""
     price, quantity = col("l_extendedprice"), col("l_quantity")
     return t("lineitem", *_LINES).select(*_LINES, r(price.rolling_median(10_000, 1)).alias("med"), r(quantity.rolling_quantile(0.9, 10_000, "linear", 5000)).alias("high"))
 

@@ -403,3 +403,21 @@ def test_pieces_of_blocks():
     parts = [batch((0, 1, 1, 0, 1), (0, 1, 1, 1, 2)), batch((0, 1, 1, 2, None), (0, 2, 1, 3, 8), (0, 2, 2, 4, 16)), batch((0, 2, 2, 5, 32), (1, 2, 2, 6, 64), (1, 3, 3, 9, 128))]
     got = [[*r.to_pylist()[0].values()] for r in pieces(iter(parts), [(0, run)])]
     assert [[*r[:-1], pickle.loads(r[-1])] for r in got] == [[0, 0, 1, 1, 2, 2, 48], [1, 6, 2, 2, 2, 2, 64], [1, 9, 3, 3, 3, 3, 128]]
+
+
+@pytest.mark.parametrize("interpolation", ["nearest", "lower", "higher", "midpoint", "linear"])
+def test_wavelet_matrix_as_sorted_windows(monkeypatch, interpolation):
+    import pyarrow as pa
+
+    from cloister.functions import scans
+
+    monkeypatch.setattr(scans, "PART_ROWS", 11)
+    x = [None if i % 9 == 2 else math.inf if i % 31 == 5 else i * i % 23 / 2 for i in range(200)]
+    got = scans.SlidingQuantile(8, 3, 0.7, interpolation).rows(pa.table({"__ord": range(200), "__halo": [i < 4 for i in range(200)], "__v": x}))
+    assert got["__ord"].to_pylist() == [*range(4, 200)]
+    for i, found in zip(got["__ord"].to_pylist(), got["__out"].to_pylist(), strict=True):
+        w = sorted(y for y in x[max(0, i - 7) : i + 1] if y is not None)
+        place = (len(w) - 1) * 0.7
+        low, high = w[math.floor(place)], w[math.ceil(place)]
+        want = {"nearest": w[math.floor(place + 0.5)], "lower": low, "higher": high, "midpoint": (low + high) / 2, "linear": low + (high - low) * (place - math.floor(place))}[interpolation]
+        assert len(w) >= 3 and found == want or (want != want and found != found)
